@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rillmark.llm import bpe, chat, language, warc
 from rillmark.llm import decontaminate as decon
 from rillmark.llm import exact_dedup as dedup
+from rillmark.llm import jaccard_join as jaccard
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", n.alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents")).withColumnRenamed("row_id", "doc_id")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
@@ -117,6 +122,7 @@ FROM g
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_byte_bpe": op2_byte_bpe,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_language": op6_language,
     "op7_decontaminate": op7_decontaminate,
     "op8_exact_dedup": op8_exact_dedup,
