@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillmark.llm import bpe, chat, language, warc
+from rillmark.llm import bpe, chat, language, token_files, warc
 from rillmark.llm import decontaminate as decon
 from rillmark.llm import exact_dedup as dedup
 from rillmark.llm import jaccard_join as jaccard
@@ -119,6 +119,11 @@ FROM g
 """
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_tokens(spark, files).withColumnRenamed("row_id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_byte_bpe": op2_byte_bpe,
@@ -127,5 +132,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
+    "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op7_decontaminate": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_warc": OP9_SQL}
