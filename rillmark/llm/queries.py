@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillmark.llm import bpe, chat, language, lm_score, token_files, warc
+from rillmark.llm import bpe, chat, html_extract, language, lm_score, token_files, warc
 from rillmark.llm import decontaminate as decon
 from rillmark.llm import exact_dedup as dedup
 from rillmark.llm import jaccard_join as jaccard
@@ -46,6 +46,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", n.alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return found.withColumnRenamed("main_text", "text")
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.lit(False))
     return lm_score.score(_table(spark, sf_dir, "documents"), held_out).withColumnRenamed("row_id", "doc_id")
@@ -132,6 +137,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_html_extract": op3_html_extract,
     "op4_lm_score": op4_lm_score,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_language": op6_language,
