@@ -35,7 +35,7 @@ def default_metadata(chunks: DataFrame, given: str | None = None) -> DataFrame:
 
 def flatten_table(rows: Column) -> Column:
     """An array of rows (arrays of cells) as text: columns line, then cells joined by bars."""
-    lines = F.transform(rows, lambda r: F.array_join(F.filter(F.transform(r, F.trim), lambda c: c != ""), " | "))
+    lines = F.transform(rows, lambda r: F.array_join(F.filter(F.transform(r, lambda c: F.trim(c)), lambda c: c != ""), " | "))
     kept = F.array_join(F.filter(lines, lambda line: line != ""), "\n")
     head = F.when((F.size(rows) > 0) & (F.size(F.get(rows, F.lit(0))) > 0), F.concat(F.lit("Table columns: "), F.array_join(F.get(rows, F.lit(0)), ", "), F.lit(".\n"))).otherwise("")
     return F.concat(head, kept)

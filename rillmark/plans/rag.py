@@ -28,7 +28,7 @@ def retrieve(points: DataFrame, queries: DataFrame, config: RetrievalConfig, key
         allowed = text.join(points.select("id", "source"), "id").join(asked.select("query_id", "wanted"), "query_id").filter(search.wanted_source(F.col("wanted"), F.col("source")))
         text = search.top_per_query(allowed.select("query_id", "id", F.col("pos").alias("before")), leg, [F.col("before")])
         found = search.rrf([dense, text], fetch)
-    payload = points.drop("vector", "tokens")
+    payload = points.drop("vector", "tokens", "query", "targets", "score", "original_score", "pos", "query_id")
     rows = found.join(payload, "id").join(asked.select("query_id", "query", "targets"), "query_id").withColumn("original_score", F.col("score"))
     rows = postprocess.boost(rows, keywords)
     rows = postprocess.table_topup(rows, payload.filter("type = 'table'"), fetch, dedupe=config.dedupe_tables)

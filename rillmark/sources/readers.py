@@ -48,7 +48,7 @@ def csv_rows(text: Column) -> Column:
 
 def csv_text(text: Column) -> Column:
     """A CSV text as lines of cells joined by bars, without a columns line."""
-    joined = F.transform(csv_rows(text), lambda r: F.array_join(F.filter(F.transform(r, F.trim), lambda c: c != ""), " | "))
+    joined = F.transform(csv_rows(text), lambda r: F.array_join(F.filter(F.transform(r, lambda c: F.trim(c)), lambda c: c != ""), " | "))
     return F.array_join(F.filter(joined, lambda line: line != ""), "\n")
 
 

@@ -60,8 +60,8 @@ class Collection:
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def _meta(self) -> dict | None:
-        fs, path = self._file("_meta")
-        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.path}/_meta").first()[0]) if fs.exists(path) else None
+        fs, path = self._file("meta.json")
+        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.path}/meta.json").first()[0]) if fs.exists(path) else None
 
     def read(self) -> DataFrame | None:
         meta = self._meta()
@@ -71,7 +71,7 @@ class Collection:
         """Make ``points`` the collection's new version, with index tokens of their content."""
         version = f"points-{uuid.uuid4().hex}"
         points.withColumn("tokens", index_tokens(F.col("content"))).write.parquet(f"{self.path}/{version}")
-        fs, path = self._file("_meta")
+        fs, path = self._file("meta.json")
         out = fs.create(path, True)
         out.write(bytearray(json.dumps({"version": version, "dimension": self.dimension, "metric": self.metric}).encode()))
         out.close()
