@@ -673,3 +673,19 @@ def fuzzy_match(spark, sf_dir):
 def json_repair(spark, sf_dir):
     props = F.concat(F.lit("Sure: "), "props", F.lit(" done"))
     return _table(spark, sf_dir, "events").select("event_id", tx.repair_json(props).alias("repaired"), tx.json_text(F.col("props")).alias("texts"))
+
+
+@_query("question_samples", "SELECT trim(text) AS query, item_id AS example_id, 'bench' AS source, text FROM benchmark ORDER BY item_id LIMIT 100")
+def question_samples(spark, sf_dir):
+    records = _table(spark, sf_dir, "benchmark").select(F.col("text").alias("question"), F.col("item_id").alias("example_id"), F.lit("bench").alias("source"), "text")
+    return readers.question_samples(records, "example_id")
+
+
+@_query("paragraph_split", """
+SELECT doc_id, len(p) AS n, md5(array_to_string(p, '|')) AS paragraphs_md5 FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, '\\n\\s*\\n'), lambda x: trim(x, e' \\t\\n')), lambda x: x <> '') AS p FROM (
+  SELECT doc_id, regexp_replace(regexp_replace(replace(text, '.', e'. \\n\\n'), '[ \\t]+\\n', e'\\n', 'g'), '\\n{3,}', e'\\n\\n', 'g') AS t FROM documents))
+""")
+def paragraph_split(spark, sf_dir):
+    text = F.replace("text", F.lit("."), F.lit(". \n\n"))
+    parts = chunking.paragraphs(chunking.normalize_block(text))
+    return _docs(spark, sf_dir).select("doc_id", parts.alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "|")).alias("paragraphs_md5"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillmark.functions.text import first_given, normalize_text
+from rillmark.functions.text import first_given, normalize_text, path_suffixes
 from rillmark.operators.enrich import enrich, flatten_table, number_chunks
 
 _S = T.StringType()
@@ -111,3 +111,15 @@ def without_excluded(files: DataFrame, excluded: DataFrame, name: str = "name")
 def question_samples(records: DataFrame, order: str, n: int = 100) -> DataFrame:
     """The first ``n`` records as (query, example_id, source, text)."""
     return records.orderBy(order).limit(n).select(F.trim("question").alias("query"), "example_id", "source", "text")
+
+
+def resolve_references(gold: DataFrame, files: DataFrame) -> DataFrame:
+    """gold items of type FILE with ``reference``: the text of the file (path relative to a root,
+    text) that the longest suffix of the item's path names, under the root or its ``data`` folder;
+    CSV files as lines of cells.  Null if no file fits."""
+    wanted = gold.filter("gold_type = 'FILE'").select("query_id", "gold_index", F.posexplode(path_suffixes(F.col("content"))).alias("at", "suffix"))
+    places = wanted.select("query_id", "gold_index", F.explode(F.array(F.struct((F.col("at") * 2).alias("rank"), F.col("suffix").alias("path")), F.struct((F.col("at") * 2 + 1).alias("rank"), F.concat(F.lit("data/"), "suffix").alias("path")))).alias("x"))
+    text = F.when(F.lower("path").endswith(".csv"), csv_text(F.col("text"))).otherwise(F.col("text"))
+    hits = places.select("query_id", "gold_index", "x.rank", "x.path").join(files.select("path", text.alias("reference")), "path")
+    best = hits.groupBy("query_id", "gold_index").agg(F.min_by("reference", "rank").alias("reference"))
+    return gold.join(best, ["query_id", "gold_index"], "left")

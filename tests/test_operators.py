@@ -341,3 +341,9 @@ def test_questions(spark, tmp_path):
     (tmp_path / "g.json").write_text(json.dumps([{"query": "", "gold": []}, {"query": "q", "gold": [{"content": "A  b"}, {"type": "file", "content": "x/Y.pdf"}]}]))
     asked, gold = readers.read_gold(spark, str(tmp_path / "g.json"))
     assert asked.count() == 1 and [(r["normalized_text"], r["file_name"]) for r in gold.orderBy("gold_index").collect()] == [("a b", None), ("", "y.pdf")]
+
+
+def test_references(spark):
+    gold = spark.createDataFrame([(1, 0, "FILE", "/app/data/set/a.csv"), (1, 1, "FILE", "b.txt"), (1, 2, "TEXT", "b.txt"), (1, 3, "FILE", "none")], "query_id int, gold_index int, gold_type string, content string")
+    files = spark.createDataFrame([("set/a.csv", "x,y\n1,2"), ("data/b.txt", "second"), ("a.csv", "worse")], "path string, text string")
+    assert [r["reference"] for r in readers.resolve_references(gold, files).orderBy("gold_index").collect()] == ["x | y\n1 | 2", "second", None, None]
