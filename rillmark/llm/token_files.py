@@ -7,7 +7,7 @@ documents (identifier, number of ids) behind them.
 
 A block's coder is adaptive.  Three predictions are mixed for each id: the id that last followed
 the two ids before it (order 2), the one that last followed the id before it (order 1), and the
-frequencies of ids so far, by their upper two nibbles (order 0).  The weights of the three are adaptive
+frequencies of ids so far, by their number of bits (order 0).  The weights of the three are adaptive
 counts, held apart by what orders 1 and 2 say and by how the last ids were found.  The choice, and
 the parts of the id where order 0 has to tell it, go through a range coder with 32-bit state.  Blocks
 being independent, numpy codes up to LANES of them in step, an id of every block at a time.
@@ -24,6 +24,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +36,17 @@ from pyspark.sql import functions as F
 from rillmark.llm.shared import materialize, new_path, partitions
 
 BLOCK = 2048
-LANES = 1024
-TABLE = 1 << 12
+LANES = 1536
+TABLE = 1 << 11
 NONE = 65535  # an id that no vocabulary here has
 MAGIC = b"RTOK\x01\x00\x00\x00"
 _TOP = 1 << 16
 _STEP, _MOST = 24, 1 << 12
 _RUN = re.compile(r"\s ")
-CACHED_CHUNKS = 250_000
+CACHED_CHUNKS = 500_000
+_CLASS = np.maximum(0, np.frexp(np.arange(1 << 16, dtype=np.float64))[1] - 1)  # ids by their number of bits
+_CLASS_BASE = np.array([0, *(1 << c for c in range(1, 16))])
+_CLASS_SIZE = np.array([2, *(1 << c for c in range(1, 16))])
 
 
 class _Model:
@@ -56,8 +60,8 @@ class _Model:
         self.one = np.zeros(lanes, np.int64)
         self.two = np.zeros(lanes, np.int64)
         self.past = np.zeros(lanes, np.int64)
-        self.choice = np.full((lanes * 36, 3), 4, np.int64)
-        self.nibbles = np.ones((lanes * 17, 16), np.int32)  # 1 + 16 nodes a lane
+        self.choice = [np.full(lanes * 36, 4, np.int64) for _ in range(3)]
+        self.classes = np.ones((lanes, 16), np.int32)
 
     def predict(self) -> None:
         base = self.row * TABLE
@@ -66,26 +70,33 @@ class _Model:
         self.guess_one, self.guess_two = self.after_one[self.at_one], self.after_two[self.at_two]
         kind = (self.guess_two == NONE) * 2 + ((self.guess_one == self.guess_two) | (self.guess_one == NONE))
         self.cell = self.row * 36 + kind * 9 + self.past
-        self.weights = self.choice[self.cell]
+        self.first, second, third = (c[self.cell] for c in self.choice)
+        self.both = self.first + second
+        self.total = self.both + third
+
+    def span(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each lane's choice lies in its weights, and how wide it is."""
+        below = np.where(chosen == 0, 0, np.where(chosen == 1, self.first, self.both))
+        return below, np.where(chosen == 0, self.first, np.where(chosen == 1, self.both, self.total)) - below
 
     def learn(self, ids: np.ndarray, chosen: np.ndarray) -> None:
-        self.choice[self.cell, chosen] += _STEP
-        full = np.flatnonzero(self.weights.sum(1) > _MOST - 2 * _STEP)
+        for k, counts in enumerate(self.choice):
+            own = self.cell[chosen == k]
+            counts[own] += _STEP
+        full = self.cell[self.total > _MOST - 2 * _STEP]
         if len(full):
-            self.choice[self.cell[full]] = (self.choice[self.cell[full]] + 1) >> 1
+            for counts in self.choice:
+                counts[full] = (counts[full] + 1) >> 1
         self.after_one[self.at_one] = ids
         self.after_two[self.at_two] = ids
         self.two, self.one = self.one, ids
         self.past = (self.past % 3) * 3 + chosen
 
-    def node(self, lanes: np.ndarray, level: int, prefix: np.ndarray) -> np.ndarray:
-        return lanes * 17 + level + prefix
-
-    def learn_nibble(self, node: np.ndarray, nibble: np.ndarray, total: np.ndarray) -> None:
-        self.nibbles[node, nibble] += _STEP
-        full = node[total > _MOST - 2 * _STEP]
+    def learn_class(self, lanes: np.ndarray, kind: np.ndarray, total: np.ndarray) -> None:
+        self.classes[lanes, kind] += _STEP
+        full = lanes[total > _MOST - 2 * _STEP]
         if len(full):
-            self.nibbles[full] = (self.nibbles[full] + 1) >> 1
+            self.classes[full] = (self.classes[full] + 1) >> 1
 
 
 class _Writer:
@@ -144,37 +155,24 @@ class _Reader:
 
 
 def _order_zero(model: _Model, lanes: np.ndarray, ids: np.ndarray | None, writer: _Writer | None, reader: _Reader | None) -> np.ndarray:
-    """Code or decode the ids of ``lanes`` by two nibbles and a byte of even odds."""
-    prefix = np.zeros(len(lanes), np.int64)
+    """Code or decode the ids of ``lanes``: their number of bits, then the place among such ids."""
     every = np.arange(len(lanes))
-    for level in range(2):
-        node = model.node(lanes, level, prefix)
-        upto = model.nibbles[node].cumsum(1, dtype=np.int32)
-        total = upto[:, 15]
-        if writer is not None:
-            nibble = ids >> (12 - 4 * level) & 15
-        else:
-            nibble = (upto <= reader.get(lanes, total)[:, None]).sum(1)
-        below = np.where(nibble > 0, upto[every, nibble - 1], 0)
-        size = upto[every, nibble] - below
-        if writer is not None:
-            writer.put(lanes, below, size, total)
-        else:
-            reader.take(lanes, below, size)
-        model.learn_nibble(node, nibble, total)
-        prefix = prefix << 4 | nibble
+    upto = model.classes[lanes].cumsum(1)
+    total = upto[:, 15]
+    kind = _CLASS[ids] if writer is not None else (upto <= reader.get(lanes, total)[:, None]).sum(1)
+    size = model.classes[lanes, kind]
+    below = upto[every, kind] - size
     one = np.ones(len(lanes), np.int64)
     if writer is not None:
-        writer.put(lanes, ids & 255, one, 256)
-        return ids
-    last = reader.get(lanes, 256)
-    reader.take(lanes, last, one)
-    return prefix << 8 | last
-
-
-def _below(weights: np.ndarray, chosen: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    below = np.where(chosen > 0, weights[:, 0], 0) + np.where(chosen > 1, weights[:, 1], 0)
-    return below, weights[row, chosen]
+        writer.put(lanes, below, size, total)
+        writer.put(lanes, ids - _CLASS_BASE[kind], one, _CLASS_SIZE[kind])
+    else:
+        reader.take(lanes, below, size)
+        last = reader.get(lanes, _CLASS_SIZE[kind])
+        reader.take(lanes, last, one)
+        ids = _CLASS_BASE[kind] + last
+    model.learn_class(lanes, kind, total)
+    return ids
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -189,8 +187,8 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         own = ids[:, t]
         model.predict()
         chosen = np.where(own == model.guess_two, 0, np.where(own == model.guess_one, 1, 2))
-        below, size = _below(model.weights, chosen, model.row)
-        writer.put(model.row[:live], below[:live], size[:live], model.weights[:live].sum(1))
+        below, size = model.span(chosen)
+        writer.put(model.row[:live], below[:live], size[:live], model.total[:live])
         told = np.flatnonzero(chosen[:live] == 2)
         if len(told):
             _order_zero(model, told, own[told], writer, None)
@@ -206,10 +204,12 @@ def decode_blocks(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     for t in range(int(counts[0])):
         live = int(np.searchsorted(-counts, -t, "left"))
         model.predict()
-        row, weights = model.row[:live], model.weights[:live]
-        value = reader.get(row, weights.sum(1))
-        picked = (value >= weights[:, 0]).astype(np.int64) + (value >= weights[:, 0] + weights[:, 1])
-        reader.take(row, *_below(weights, picked, row))
+        row = model.row[:live]
+        value = reader.get(row, model.total[:live])
+        picked = (value >= model.first[:live]).astype(np.int64) + (value >= model.both[:live])
+        padded = np.zeros(len(coded), np.int64)
+        padded[:live] = picked
+        reader.take(row, *(x[:live] for x in model.span(padded)))
         own = np.where(picked == 0, model.guess_two[:live], model.guess_one[:live]).astype(np.int64)
         told = np.flatnonzero(picked == 2)
         if len(told):
@@ -234,20 +234,45 @@ class _Tokens:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        self.known = _Known()
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("H", found.ids).tobytes() for found in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 16-bit integers."""
-        if len(self.known) > CACHED_CHUNKS:
-            self.known.clear()
-        split = [None if _RUN.search(text) else [x if i == 0 else " " + x for i, x in enumerate(text.split(" "))] for text in texts]
+        whole = [i for i, text in enumerate(texts) if _RUN.search(text)]
+        taken = set(whole)
+        apart = [i for i in range(len(texts)) if i not in taken]
+        split = [texts[i].split(" ") for i in apart]
+        heads = self._ids([parts[0] for parts in split])
+        wanted: set[str] = set()
+        for parts in split:
+            del parts[0]
+            wanted.update(parts)
         known = self.known
-        missing = list({x for parts in split if parts for x in parts if x not in known})
+        missing = [x for x in wanted if x not in known]
+        known.once.clear()
         for i in range(0, len(missing), 10_000):
             part = missing[i : i + 10_000]
-            for x, found in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
-                known[x] = np.array(found.ids, "<u2").tobytes()
-        return [b"".join(map(known.__getitem__, parts)) if parts is not None else np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes() for text, parts in zip(texts, split, strict=True)]
+            keep = known if len(known) < CACHED_CHUNKS else known.once
+            keep.update(zip(part, self._ids([" " + x for x in part]), strict=True))
+        out = [b""] * len(texts)
+        for i, head, parts in zip(apart, heads, split, strict=True):
+            out[i] = head + b"".join(map(known.__getitem__, parts))
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        return out
+
+
+class _Known(dict):
+    """Ids of what stands behind a space; those beyond the room for them are held in ``once`` for a batch."""
+
+    def __init__(self) -> None:
+        self.once: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.once[piece]
 
 
 _tokens: dict[str, _Tokens] = {}
