@@ -37,7 +37,7 @@ LANDMARK_SLOTS = 64
 LONGEST_SAMPLE = 8000
 RIDGE = 0.03
 BATCH = 256
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def presence(column: pa.Array) -> np.ndarray:
