@@ -27,8 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED_PIECES = 250_000
-CACHED_PAIRS = 400_000
+CACHED_PIECES = 120_000
+CACHED_PAIRS = 200_000
 LONGEST_CACHED = 48
 #: White space before a space: such a run must be split as a whole.
 _RUN = re.compile(r"\s ")
@@ -179,9 +179,7 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.encode(piece)
-        if len(piece) <= LONGEST_CACHED:
-            if len(self) >= CACHED_PIECES:
-                self.clear()
+        if len(piece) <= LONGEST_CACHED and len(self) < CACHED_PIECES:
             self[piece] = ids
         return ids
 
