@@ -295,15 +295,21 @@ def _lists(prefixes: DataFrame, group: str) -> DataFrame:
     return materialize(dealt, "index-lists").groupBy("token", "group").agg(F.min(least).alias("least"), F.max(most).alias("most"), F.max(rest).alias("rest"))
 
 
+#: A pair of blocks (a_, b_) with least and most sizes and the remainder behind a common shingle.
+_UNBOUNDED = f"greatest(a_most, b_most, a_rest, b_rest) = {_SIZE}"
+_SIZES = f"100 * a_most >= {THRESHOLD} * b_least and 100 * b_most >= {THRESHOLD} * a_least"
+#: A first common shingle leaves an overlap of the smaller remainder at most.
+_PLACES = f"{100 + THRESHOLD} * least(a_rest, b_rest) >= {THRESHOLD} * (a_least + b_least)"
+_POSSIBLE = f"({_UNBOUNDED}) or (({_SIZES}) and ({_PLACES}))"
+
+
+def _side(lists: DataFrame, side: str) -> DataFrame:
+    return lists.withColumnsRenamed({"group": side, "least": f"{side}_least", "most": f"{side}_most", "rest": f"{side}_rest"})
+
+
 def _list_pairs(lists: DataFrame) -> DataFrame:
     """Distinct pairs (a, b), a < b, of groups that sizes and positions do not rule out."""
-    a = lists.select("token", F.col("group").alias("a"), F.col("least").alias("a_least"), F.col("most").alias("a_most"), F.col("rest").alias("a_rest"))
-    b = lists.select("token", F.col("group").alias("b"), F.col("least").alias("b_least"), F.col("most").alias("b_most"), F.col("rest").alias("b_rest"))
-    unbounded = f"greatest(a_most, b_most, a_rest, b_rest) = {_SIZE}"
-    sizes = f"100 * a_most >= {THRESHOLD} * b_least and 100 * b_most >= {THRESHOLD} * a_least"
-    # a first common shingle leaves an overlap of the smaller remainder at most
-    places = f"{100 + THRESHOLD} * least(a_rest, b_rest) >= {THRESHOLD} * (a_least + b_least)"
-    return a.join(b, "token").filter("a < b").filter(f"({unbounded}) or (({sizes}) and ({places}))").select("a", "b").distinct()
+    return _side(lists, "a").join(_side(lists, "b"), "token").filter("a < b").filter(_POSSIBLE).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,7 +334,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         far = compared.filter(f"not ({_LINKED})").join(reach.select(F.col("root").alias("a"), F.col("reach").alias("a_reach")), "a", "left").join(reach.select(F.col("root").alias("b"), F.col("reach").alias("b_reach")), "b", "left")
         spare = F.lit(1 - THRESHOLD / 100 + 1e-9)
         open_pairs = far.withColumn("gap", 1 - F.col("common") / F.col("either") - spare).filter("gap <= coalesce(a_reach, 0) + coalesce(b_reach, 0)")
-        open_pairs = materialize(open_pairs.select("a", "b", "gap"), "open-pairs")
+        open_pairs = materialize(open_pairs.select("a", "b", "gap", F.coalesce("a_reach", F.lit(0.0)).alias("a_reach"), F.coalesce("b_reach", F.lit(0.0)).alias("b_reach")), "open-pairs")
         if open_pairs.limit(1).count():
             edges = edges.unionByName(_members(source, own, names, prefixes, open_pairs))
     labels = own.select("d1", "d2", F.col("root").alias("component"))
@@ -342,14 +348,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _members(source: DataFrame, own: DataFrame, names: DataFrame, prefixes: DataFrame, open_pairs: DataFrame) -> DataFrame:
     """Edges (u, v) between roots of groups whose members are linked though the pivots are not."""
-    involved = open_pairs.select("a").union(open_pairs.select("b")).distinct().select(F.col("a").alias("root"))
-    lists = _lists(prefixes.join(involved, "root", "left_semi"), "label")
-    pairs = _list_pairs(lists)
     of = own.select("label", "root", "distance")
-    pairs = pairs.join(of.select(F.col("label").alias("a"), F.col("root").alias("ra"), F.col("distance").alias("da")), "a").join(of.select(F.col("label").alias("b"), F.col("root").alias("rb"), F.col("distance").alias("db")), "b")
-    pairs = pairs.filter("ra <> rb").withColumn("low", F.least("ra", "rb")).withColumn("high", F.greatest("ra", "rb"))
+    left = of.join(open_pairs, F.col("root") == F.col("a")).filter("distance >= gap - b_reach").select("label", "distance", F.col("a").alias("low"), F.col("b").alias("high"), "gap")
+    right = of.join(open_pairs, F.col("root") == F.col("b")).filter("distance >= gap - a_reach").select("label", "distance", F.col("a").alias("low"), F.col("b").alias("high"), "gap")
+    able = left.select("label").union(right.select("label")).distinct()
+    lists = _lists(prefixes.join(able, "label", "left_semi"), "label")
+    # members of different groups meet, and only if far enough from their pivots for some open pair
+    least = open_pairs.select(F.col("a").alias("root"), "gap").union(open_pairs.select("b", "gap")).groupBy("root").agg(F.min("gap").alias("gap"))
+    known = lists.join(of.join(least, "root").withColumnRenamed("label", "group"), "group")
+    a, b = (_side(known, side).withColumnsRenamed({c: f"{side}_{c}" for c in ("root", "distance", "gap")}) for side in "ab")
+    met = a.join(b, "token").filter(f"a_root < b_root and a_distance + b_distance >= greatest(a_gap, b_gap) and ({_POSSIBLE})")
+    met = met.select("a", "b", "a_root", "b_root", (F.col("a_distance") + F.col("b_distance")).alias("reach")).distinct()
     gaps = open_pairs.select(F.col("a").alias("low"), F.col("b").alias("high"), "gap")
-    pairs = materialize(pairs.join(gaps, ["low", "high"]).filter("da + db >= gap").select("a", "b", "low", "high"), "member-pairs")
+    pairs = materialize(met.withColumnsRenamed({"a_root": "low", "b_root": "high"}).join(gaps, ["low", "high"]).filter("reach >= gap").select("a", "b", "low", "high"), "member-pairs")
     wanted = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("label")).join(names, "label")
     return _compare(pairs, _fetch(source, wanted)).filter(_LINKED).select(F.col("low").alias("u"), F.col("high").alias("v")).distinct()
 
