@@ -1,22 +1,24 @@
 """Language-model scoring with a weighted backoff automaton over words.
 
-Words that make up at least WORD_SHARE of all training tokens are symbols of their own, all others
-share one symbol; the end of a text is a symbol too.  The automaton's states are contexts of up to
-ORDER - 1 symbols; an n-gram that occurs often enough is an arc with its smoothed (interpolated
-Witten-Bell) probability, and what a state has no arc for is looked up along its failure arc at the
-state's backoff weight, so every state's probabilities sum to one.  One left-to-right traversal of
-a text carries the state and accumulates log-probabilities; a word of the shared symbol adds its
-probability among such words (add one half, one event for all unseen ones).  Texts are cut into
-segments that numpy runs in step, each warmed up on the ORDER - 1 symbols before it, which
-determine the state.
-
-Both thresholds are relative to the training tokens, alike for every size of input.  At most
-1 / WORD_SHARE words and 1 / SHARE n-grams of a length can reach them, which bounds what the driver
-gathers and broadcasts.  The counts of all words have no such bound and are never broadcast:
-documents are dealt into blocks of about BLOCK_BYTES, each block asks for the counts of the words it
-holds, and they are joined by word and dealt to the blocks beside the documents.
+Every word of the training texts is a symbol, and so is the end of a text; every n-gram of up to
+ORDER symbols that the training texts hold is learned, however rare, at every size of input.  The
+automaton's states are contexts of up to ORDER - 1 symbols; an n-gram is an arc with its smoothed
+(interpolated Witten-Bell) probability, and what a state has no arc for is looked up along its
+failure arc at the state's backoff weight, so every state's probabilities sum to one.  At the root,
+add one half, with one event for all unseen words.  One left-to-right traversal of a text carries
+the state and accumulates log-probabilities.  Texts are cut into segments that numpy runs in step,
+each from the state of the ORDER - 1 symbols before it.
+
+No count has a bound, so none is gathered or broadcast.  Documents are packed into blocks of about
+BLOCK_BYTES.  Each block asks for the training counts of the words and n-grams it holds, then for
+the occurrences and distinct successors of its contexts; the keys are dealt by their hash to parts,
+a part adds up what all blocks hold of a key, and its answers are dealt back to the blocks.  A
+block's automaton has the arcs, contexts and backoff weights that its own texts can meet, which is
+what the automaton of the whole corpus would use on them.  An n-gram's kind is counted for its
+context by the one block that a part names its owner.
 
 Words are runs of bytes other than space and 0x09-0x0D with A-Z lower-cased, then one end a text.
+Words and n-grams are 64-bit hashes.
 
 Defined cases: null or blank text is an end alone; with no training row every count is 0; rows that
 repeat are scored and counted alike; further columns are ignored.
@@ -24,28 +26,27 @@ repeat are scored and counted alike; further columns are ignored.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillmark.llm.shared import materialize, partitions
-from rillmark.llm.words import Words, words
+from rillmark.llm.words import Words, mix, words
 
 ORDER = 3
-SHARE = 1e-6
-WORD_SHARE = 2e-5
-BITS = 17  # of a symbol: more than 1 / WORD_SHARE + 2
-BLOCK_BYTES = 16 << 20
+BITS = 17  # of a symbol in packed n-grams
+WIDE = 32  # of a symbol in a block
+BLOCK_BYTES = 8 << 20
 SEGMENT = 512
 LANES = 4096
-SHARED, END = 0, 1
 _END_HASH = np.uint64(0x7E57E57E57E57E57)
+_ROOT = np.uint64(0x5EED5EED5EED5EED)
 _UNKNOWN = -1
 
 
@@ -62,29 +63,6 @@ def tokens(part: Words) -> Tokens:
     return Tokens(np.insert(part.hashes, part.at[1:], _END_HASH), at)
 
 
-@dataclass
-class Stream:
-    """Symbols of texts, each text behind ORDER - 1 ends."""
-
-    data: np.ndarray
-    place: np.ndarray  # of each token
-    first: np.ndarray
-    last: np.ndarray
-
-
-def stream(own: Tokens, frequent: np.ndarray) -> Stream:
-    """``frequent``: ascending hashes of the words with a symbol of their own."""
-    docs = len(own.at) - 1
-    pads = ORDER - 1
-    place = np.arange(len(own.hashes)) + np.repeat(np.arange(1, docs + 1) * pads, np.diff(own.at))
-    data = np.full(len(own.hashes) + docs * pads, END, np.int64)
-    at = np.minimum(np.searchsorted(frequent, own.hashes), max(0, len(frequent) - 1))
-    known = frequent[at] == own.hashes if len(frequent) else np.zeros(len(own.hashes), bool)
-    data[place] = np.where(own.hashes == _END_HASH, END, np.where(known, at + 2, SHARED))
-    first = own.at[:-1] + np.arange(1, docs + 1) * pads
-    return Stream(data, place, first, first + np.diff(own.at))
-
-
 class Automaton:
     """States with arcs, failure arcs and backoff weights, in arrays."""
 
@@ -154,25 +132,31 @@ class Automaton:
             keys.append(state << BITS | packed & ((1 << BITS) - 1))
             logs.append(np.log10(p))
             targets.append(longest(order, packed))
+        self.shift = BITS
         self._hash(np.concatenate(keys), np.concatenate(logs), np.concatenate(targets))
 
+    @classmethod
+    def of_states(cls, fail: np.ndarray, backoff: np.ndarray, keys: np.ndarray, logs: np.ndarray, targets: np.ndarray) -> Automaton:
+        """From finished states and arcs; keys: state << WIDE | symbol."""
+        own = cls.__new__(cls)
+        own.fail, own.backoff, own.shift = fail, backoff, WIDE
+        own._hash(keys, logs, targets)
+        return own
+
     def _hash(self, keys: np.ndarray, logs: np.ndarray, targets: np.ndarray) -> None:
-        self.bits = max(10, int(len(keys) * 2 - 1).bit_length())
+        self.bits = max(10, (len(keys) * 3 // 2).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.logs = np.zeros(1 << self.bits, np.float32)
         self.targets = np.zeros(1 << self.bits, np.int32)
-        todo = np.arange(len(keys))
-        slot = self._slot(keys)
-        while len(todo):
-            free = self.keys[slot[todo]] < 0
-            trying = todo[free]
-            self.keys[slot[trying]] = keys[trying]
-            placed = trying[self.keys[slot[trying]] == keys[trying]]
-            self.logs[slot[placed]], self.targets[slot[placed]] = logs[placed], targets[placed]
-            waiting = np.ones(len(keys), bool)
-            waiting[placed] = False
-            todo = todo[waiting[todo]]
-            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+        for begin in range(0, len(keys), 1 << 18):
+            todo = np.arange(begin, min(begin + (1 << 18), len(keys)))
+            slot = self._slot(keys[todo])
+            while len(todo):
+                free = self.keys[slot] < 0
+                self.keys[slot[free]] = keys[todo[free]]
+                placed = free & (self.keys[slot] == keys[todo])
+                self.logs[slot[placed]], self.targets[slot[placed]] = logs[todo[placed]], targets[todo[placed]]
+                todo, slot = todo[~placed], (slot[~placed] + 1) & ((1 << self.bits) - 1)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         mixed = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
@@ -184,7 +168,7 @@ class Automaton:
         log, target = np.zeros(len(state)), np.zeros(len(state), np.int64)
         lanes = np.arange(len(state))
         while len(lanes):
-            key = state[lanes] << BITS | symbol[lanes]
+            key = state[lanes] << self.shift | symbol[lanes]
             slot = self._slot(key)
             found = self.keys[slot]
             open_ = np.flatnonzero((found != key) & (found >= 0))
@@ -201,8 +185,9 @@ class Automaton:
             state[lanes] = self.fail[state[lanes]]
         return log, target
 
-    def traverse(self, data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """log10 probability of every symbol in the spans [first, last) of ``data``."""
+    def traverse(self, data: np.ndarray, first: np.ndarray, last: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of every symbol in the spans [first, last) of ``data``; ``before``: the
+        state ahead of each place, else found by a run over the ORDER - 1 symbols ahead of it."""
         out = np.zeros(len(data))
         pieces = -(-(last - first) // SEGMENT)
         begin = np.repeat(first, pieces) + SEGMENT * (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces))
@@ -211,8 +196,8 @@ class Automaton:
         for i in range(0, len(order), LANES):
             own = order[i : i + LANES]
             start, length = begin[own], size[own]
-            state = np.zeros(len(own), np.int64)
-            for t in range(1 - ORDER, int(length[0])):
+            state = np.zeros(len(own), np.int64) if before is None else before[start]
+            for t in range(1 - ORDER if before is None else 0, int(length[0])):
                 live = int(np.searchsorted(-length, -max(t, 0), "left"))
                 log, state = self.step(state[:live], data[start[:live] + t])
                 if t >= 0:
@@ -220,164 +205,299 @@ class Automaton:
         return out
 
 
-def _prepared(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    rows = docs.select(F.col(id_col).alias("row_id"), held_out.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    blocks = max(partitions(docs.sparkSession), size // BLOCK_BYTES)
-    block = F.pmod(F.xxhash64(F.col("row_id"), F.col("body")), F.lit(blocks)).cast("int")
-    return rows.withColumn("block", block), blocks
-
-
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
-
+@dataclass
+class Block:
+    """N-grams of a block's texts.  Word, pair and triple are indexes; ``pair`` and ``triple`` are
+    of each token, ``ahead`` is the pair ahead of it; ``learn`` tells the training tokens."""
 
-def _count(rows: DataFrame, blocks: int) -> DataFrame:
-    """(block, key, n): the training count in the block of every word that the block holds."""
+    vocabulary: np.ndarray
+    word: np.ndarray
+    before: np.ndarray
+    first: np.ndarray
+    learn: np.ndarray
+    pairs: np.ndarray
+    pair: np.ndarray
+    ahead: np.ndarray
+    triples: np.ndarray
+    triple: np.ndarray
+    sample: np.ndarray  # a token of each triple
+
+    def _pairs(self) -> np.ndarray:
+        return _joined(self.vocabulary[self.pairs >> WIDE], self.vocabulary[self.pairs & 0xFFFFFFFF])
+
+    def keys(self) -> np.ndarray:
+        """Hashes of the words, pairs and triples."""
+        pairs = self._pairs()
+        return np.concatenate([self.vocabulary, pairs, _joined(pairs[self.triples >> WIDE], self.vocabulary[self.triples & 0xFFFFFFFF])])
+
+    def counts(self) -> np.ndarray:
+        """Of training tokens, by word, pair and triple."""
+        each = ((self.word, self.vocabulary), (self.pair, self.pairs), (self.triple, self.triples))
+        return np.concatenate([np.bincount(x[self.learn], minlength=len(all_)) for x, all_ in each])
+
+    def contexts(self) -> np.ndarray:
+        """Hashes of the contexts: none, a word, a pair."""
+        return np.concatenate([[_ROOT], self.vocabulary, self._pairs()])
+
+    def occurrences(self) -> np.ndarray:
+        """Of the contexts ahead of training tokens."""
+        each = ((self.before, self.vocabulary), (self.ahead, self.pairs))
+        return np.concatenate([[self.learn.sum()], *(np.bincount(x[self.learn], minlength=len(all_)) for x, all_ in each)])
+
+    def kinds(self, owned: np.ndarray) -> np.ndarray:
+        """Owned successors of the contexts; ``owned``: of words, pairs and triples, 0 or 1."""
+        w, p = len(self.vocabulary), len(self.pairs)
+        each = ((self.pairs, owned[w : w + p], w), (self.triples, owned[w + p :], p))
+        return np.concatenate([[owned[:w].sum()], *(np.bincount((x >> WIDE)[o > 0], minlength=n) for x, o, n in each)])
+
+    def automaton(self, counts: np.ndarray, occurring: np.ndarray, kinds: np.ndarray) -> tuple[Automaton, np.ndarray]:
+        """The automaton by the counts of the whole corpus, and the state ahead of each token."""
+        w, p = len(self.vocabulary), len(self.pairs)
+        seen, twos, threes = counts[:w], counts[w : w + p], counts[w + p :]
+        used = np.flatnonzero(occurring[1:] > 0) + 1
+        state = np.zeros(len(occurring), np.int64)
+        state[used] = np.arange(1, len(used) + 1)
+        last = self.pairs & 0xFFFFFFFF
+        one, two = state[1 : w + 1], state[w + 1 :]
+        two = np.where(two > 0, two, one[last])
+        fail, backoff = np.zeros(len(used) + 1, np.int64), np.zeros(len(used) + 1)
+        backoff[1:] = np.log10(kinds[used] / (occurring[used] + kinds[used]))
+        fail[state[w + 1 :]] = one[last]
+        fail[0] = 0
+
+        def smoothed(n: np.ndarray, context: np.ndarray, below: np.ndarray) -> np.ndarray:
+            return (n + kinds[context] * below) / (occurring[context] + kinds[context])
+
+        alone = (seen + 0.5) / (occurring[0] + 0.5 * (kinds[0] + 1))
+        hit = np.flatnonzero(twos > 0)
+        after = self.pairs[hit] >> WIDE
+        paired = np.zeros(p)
+        paired[hit] = smoothed(twos[hit], 1 + after, alone[last[hit]])
+        found = np.flatnonzero(threes > 0)
+        context, ends = self.triples[found] >> WIDE, self.pair[self.sample[found]]
+        keys = [np.arange(w), one[after] << WIDE | last[hit], two[context] << WIDE | last[ends]]
+        logs = [np.log10(x).astype(np.float32) for x in (alone, paired[hit], smoothed(threes[found], 1 + w + context, paired[ends]))]
+        targets = [x.astype(np.int32) for x in (one, two[hit], two[ends])]
+        del found, context, ends, hit, after, paired
+        machine = Automaton.of_states(fail, backoff, np.concatenate(keys), np.concatenate(logs), np.concatenate(targets))
+        return machine, two[self.ahead]
+
+
+def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(context * np.uint64(0x9E3779B97F4A7C15) + mix(word ^ np.uint64(0xD6E8FEB86659FD93)))
+
+
+def block_of(vocabulary: np.ndarray, word: np.ndarray, sizes: np.ndarray, held_out: np.ndarray) -> Block:
+    """``vocabulary``: ascending hashes; ``word``: of each token; ``sizes``: tokens of each text."""
+    end = int(np.searchsorted(vocabulary, _END_HASH))
+    first = np.cumsum(sizes) - sizes
+    before = np.r_[end, word[:-1]]
+    before[first] = end
+    start = end << WIDE | end
+    pairs, pair = np.unique(np.r_[start, before << WIDE | word], return_inverse=True)
+    start, pair = pair[0], pair[1:]
+    ahead = np.r_[start, pair[:-1]]
+    ahead[first] = start
+    triples, triple = np.unique(ahead << WIDE | word, return_inverse=True)
+    sample = np.empty(len(triples), np.int64)
+    sample[triple] = np.arange(len(triple))
+    return Block(vocabulary, word, before, first, np.repeat(~held_out, sizes), pairs, pair, ahead, triples, triple, sample)
+
+
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Integers from 0 up in the fewest bytes, compressed; their width and number ahead."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(x.max(initial=0)) < 1 << 8 * w)
+    planes = np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return bytes([width]) + len(x).to_bytes(8, "little") + _ZSTD.compress(planes.tobytes(), asbytes=True)
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    width, n = x[0], int.from_bytes(x[1:9], "little")
+    planes = np.frombuffer(_ZSTD.decompress(x[9:], n * width, asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
+
+
+def _packed_keys(x: np.ndarray) -> bytes:
+    """Ascending hashes as steps."""
+    return _packed(np.diff(x, prepend=np.uint64(0)))
+
+
+def _unpacked_keys(x: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(x).view(np.uint64))
+
+
+def _blocks(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
+    """One row a block: its texts' identifiers, fold and sizes, its vocabulary, the word of each token."""
+    rows = docs.select(F.col(id_col).alias("row_id"), held_out.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    kinds = {"block": T.LongType(), "row_ids": T.ArrayType(docs.schema[id_col].dataType), "held_out": T.BinaryType(), "sizes": T.BinaryType(), "vocabulary": T.BinaryType(), "words": T.BinaryType()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, found = None, []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if found:
-                keys, n = _merged(found)
-                for i in range(0, len(keys), 100_000):
-                    own = keys[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block, np.int32)), pa.array(own.view(np.int64)), pa.array(n[i : i + 100_000])], names=["block", "key", "n"])
+        number, size, found = TaskContext.get().partitionId() << 32, 0, []
+
+        def flush() -> pa.RecordBatch:
+            vocabulary = np.unique(np.concatenate([f[2] for f in found]))
+            word = np.concatenate([np.searchsorted(vocabulary, f[2])[f[3]] for f in found])
+            ids = pa.concat_arrays([f[0] for f in found])
+            own = [_packed(np.concatenate([f[1] for f in found])), _packed(np.concatenate([f[4] for f in found])), _packed_keys(vocabulary), _packed(word)]
+            listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
             found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), listed, *(pa.array([x], pa.binary()) for x in own)], names=list(kinds))
 
         for batch in batches:
-            owner = batch.column("block").to_numpy(zero_copy_only=False)
-            cuts = np.r_[0, np.flatnonzero(owner[1:] != owner[:-1]) + 1, len(owner)]
-            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if owner[i] != block:
-                    yield from flush()
-                    block = int(owner[i])
-                train = ~batch.column("held_out").slice(i, j - i).to_numpy(zero_copy_only=False).astype(bool)
-                for part in words(batch.column("body").slice(i, j - i)):
-                    own = tokens(part)
-                    keys, inverse = np.unique(own.hashes, return_inverse=True)
-                    learned = np.repeat(train[part.first : part.first + len(part.at) - 1], np.diff(own.at))
-                    found.append((keys, np.bincount(inverse, learned, len(keys)).astype(np.int64)))
-                    if len(found) >= 8:
-                        found[:] = [_merged(found)]
-        yield from flush()
-
-    dealt = rows.repartition(blocks, "block").sortWithinPartitions("block").select("block", "held_out", "body")
-    return dealt.mapInArrow(run, "block int, key long, n long")
-
-
-def _ngrams(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(key, n): packed ORDER-grams of symbols in the training texts."""
-    shared = rows.sparkSession.sparkContext.broadcast(frequent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
-        for batch in batches:
+            held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(np.int64)
             for part in words(batch.column("body")):
-                own = stream(tokens(part), shared.value)
-                packed = np.zeros(len(own.place), np.int64)
-                for j in range(ORDER - 1, -1, -1):
-                    packed = packed << BITS | own.data[own.place - j]
-                found.append(np.unique(packed, return_counts=True))
-                if len(found) >= 16:
-                    found[:] = [_merged(found)]
-                    if len(found[0][0]) > 1_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found.pop()], names=["key", "n"])
+                own, n = tokens(part), len(part.at) - 1
+                found.append((batch.column("row_id").slice(part.first, n), held[part.first : part.first + n], *np.unique(own.hashes, return_inverse=True), np.diff(own.at)))
+                size += len(part.data)
+                if size >= BLOCK_BYTES:
+                    yield flush()
+                    number, size = number + 1, 0
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(found)], names=["key", "n"])
-
-    return rows.filter(~F.col("held_out")).select("body").mapInArrow(run, "key long, n long")
-
-
-def _build(ngrams: DataFrame, symbols: int) -> Automaton:
-    """The automaton from (key, n): counts of whole ORDER-grams."""
-    ngrams = ngrams.groupBy("key").agg(F.sum("n").alias("n"))
-    orders = [F.struct(F.lit(m).alias("m"), F.col("key").bitwiseAND(F.lit((1 << BITS * m) - 1)).alias("gram")) for m in range(1, ORDER + 1)]
-    each = ngrams.select(F.explode(F.array(*orders)).alias("x"), "n").groupBy("x.m", "x.gram").agg(F.sum("n").alias("n"))
-    each = materialize(each, "ngrams")
-    seen = np.zeros(symbols)
-    for row in each.filter("m = 1").collect():  # one row a symbol
-        seen[row["gram"]] = row["n"]
-    least = max(1.0, SHARE * float(seen.sum()))
-    kept = each.filter((F.col("m") > 1) & (F.col("n") >= least)).orderBy("m", "gram").toArrow()  # 1 / SHARE of each length at most
-    context = each.filter("m > 1").groupBy("m", F.shiftright("gram", BITS).alias("context")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
-    used = context.filter(F.col("n") >= least).orderBy("m", "context").toArrow()
-    arcs, contexts = [], []
-    for m in range(2, ORDER + 1):
-        a, c = kept.filter(pa.compute.equal(kept["m"], m)), used.filter(pa.compute.equal(used["m"], m))
-        arcs.append((m, a["gram"].to_numpy(), a["n"].to_numpy()))
-        contexts.append((m - 1, c["context"].to_numpy(), c["n"].to_numpy(), c["kinds"].to_numpy()))
-    return Automaton(arcs, contexts, seen)
-
-
-def _packed_counts(counts: DataFrame) -> DataFrame:
-    """(block, key, n) to rows (block, keys and counts as bytes), to be shuffled without a row a word."""
+            yield flush()
+
+    return rows.mapInArrow(run, T.StructType([T.StructField(k, v) for k, v in kinds.items()]))
+
+
+def _deal(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys, and where each part, a range of them, begins and the last ends."""
+    order = np.argsort(keys)
+    part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    return order, np.r_[0, np.cumsum(np.bincount(part, minlength=parts))]
+
+
+_ASKED = "block long, part int, keys binary, n binary, more binary"
+_TOLD = "block long, part int, n binary, more binary"
+
+
+def _asked(block: int, keys: np.ndarray, n: np.ndarray, more: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    order, at = _deal(keys, parts)
+    keys, n, more = keys[order], n[order], more[order]
+    some = np.flatnonzero(np.diff(at))
+    for i in range(0, len(some), 256):
+        own = some[i : i + 256].tolist()
+        columns = [[f(x[at[j] : at[j + 1]]) for j in own] for f, x in ((_packed_keys, keys), (_packed, n), (_packed, more))]
+        yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int64()), pa.array(own, pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], names=["block", "part", "keys", "n", "more"])
+
+
+def _told(asked: DataFrame, parts: int, owners: bool) -> DataFrame:
+    """Answers to each block and part, in the order of its keys: the sums of n over all blocks, and
+    1 for the one block that owns a key with n > 0, or else the sums of more."""
+
+    def answer(part: int, rows: list[tuple[int, bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        rows.sort(key=lambda r: r[0])
+        lists = [_unpacked_keys(r[1]) for r in rows]
+        keys = np.concatenate(lists)
+        n = np.concatenate([_unpacked(r[2]) for r in rows])
+        distinct, inverse = np.unique(keys, return_inverse=True)
+        total = np.bincount(inverse, n, len(distinct)).astype(np.int64)[inverse]
+        if owners:
+            having = np.flatnonzero(n)
+            more = np.zeros(len(keys), np.int64)
+            owner = np.full(len(distinct), -1)
+            owner[inverse[having]] = having
+            more[owner[owner >= 0]] = 1
+        else:
+            more = np.bincount(inverse, np.concatenate([_unpacked(r[3]) for r in rows]), len(distinct)).astype(np.int64)[inverse]
+        at = np.cumsum([0, *map(len, lists)])
+        columns = [[_packed(x[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)] for x in (total, more)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], names=["block", "part", "n", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows = None, []
         for batch in batches:
-            block, key, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "key", "n"))
-            cuts = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)]
-            spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array([key[i:j].tobytes() for i, j in spans], pa.binary()), pa.array([n[i:j].tobytes() for i, j in spans], pa.binary())], names=["block", "keys", "counts"])
+            for block, own, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != part and rows:
+                    yield from answer(part, rows)
+                    rows = []
+                part = own
+                rows.append((block, *row))
+        if rows:
+            yield from answer(part, rows)
 
-    return counts.select("block", "key", "n").sortWithinPartitions("block").mapInArrow(run, "block int, keys binary, counts binary")
+    return asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, _TOLD)
+
+
+def _visited(blocks: DataFrame, number: int, answers: list[DataFrame]) -> DataFrame:
+    """Rows of answers (kind 0 and up), then the row of the block, each block in one task."""
+    none = F.lit(None)
+    rows = blocks.withColumns({"kind": F.lit(len(answers)), "part": none.cast("int"), "n": none.cast("binary"), "more": none.cast("binary")})
+    for kind, told in enumerate(answers):
+        rows = rows.unionByName(told.withColumn("kind", F.lit(kind)), allowMissingColumns=True)
+    return rows.repartition(number, "block").sortWithinPartitions("block", "kind", "part")
+
+
+def _opened(batches: Iterator[pa.RecordBatch], answers: int) -> Iterator[tuple[dict, Block, list[tuple[np.ndarray, np.ndarray]]]]:
+    """(row, block, answers in the order dealt) of each block that comes from _visited."""
+    told: list[list[tuple[bytes, bytes]]] = [[] for _ in range(answers)]
+    for batch in batches:
+        for i in range(batch.num_rows):
+            kind = batch.column("kind")[i].as_py()
+            if kind < answers:
+                told[kind].append((batch.column("n")[i].as_py(), batch.column("more")[i].as_py()))
+                continue
+            row = {c: batch.column(c)[i] for c in ("block", "row_ids")} | {c: _unpacked(batch.column(c)[i].as_py()) for c in ("held_out", "sizes", "words")}
+            vocabulary = _unpacked_keys(batch.column("vocabulary")[i].as_py())
+            lists = [tuple(np.concatenate([_unpacked(x) for x in column]) for column in zip(*t, strict=True)) for t in told]
+            told = [[] for _ in range(answers)]
+            yield row, block_of(vocabulary, row["words"], row["sizes"], row["held_out"] > 0), lists
+            del row, vocabulary, lists  # one block in memory
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """Materialized; the shuffle files behind it, which nothing reads again, go at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return materialize(df, name)
+    finally:
+        conf.unset(key) if old is None else conf.set(key, old)
+
+
+def _restored(keys: np.ndarray, *dealt: np.ndarray) -> list[np.ndarray]:
+    """Answers in the order of the keys."""
+    order, out = np.argsort(keys), [np.empty_like(x) for x in dealt]
+    for x, own in zip(dealt, out, strict=True):
+        own[order] = x
+    return out
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: row_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score.  Rows where ``held_out`` is true are not learned from."""
-    rows, blocks = _prepared(docs, held_out, id_col, text_col)
-    own = materialize(_count(rows, blocks), "counts")
-    totals = materialize(own.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 0"), "totals")
-    train_tokens, distinct = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    end = int(_END_HASH)
-    often = totals.filter((F.col("n") >= WORD_SHARE * train_tokens) & (F.col("key") != end)).toArrow()  # 1 / WORD_SHARE at most
-    frequent = np.sort(often["key"].to_numpy().astype(np.int64).view(np.uint64))
-    ends = totals.filter(F.col("key") == end).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shared_tokens = train_tokens - ends - int(often["n"].to_numpy().sum())
-    shared_words = max(0, distinct - len(frequent) - 1)
-    known = docs.sparkSession.sparkContext.broadcast(pickle.dumps((_build(_ngrams(rows, frequent), len(frequent) + 2), frequent)))
-    wanted = own.select("block", "key").join(totals, "key")
-
-    none = F.lit(None)
-    lists = _packed_counts(wanted).select("block", F.lit(0).alias("kind"), none.cast(docs.schema[id_col].dataType).alias("row_id"), none.cast("boolean").alias("held_out"), none.cast("string").alias("body"), "keys", "counts")
-    texts = rows.select("block", F.lit(1).alias("kind"), "row_id", "held_out", "body", none.cast("binary").alias("keys"), none.cast("binary").alias("counts"))
-    both = lists.unionByName(texts).repartition(blocks, "block").sortWithinPartitions("block", "kind")
-    schema = rows.select("row_id", "held_out", *(F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_known", "train_tokens")), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score")).schema
+    blocks = materialize(_blocks(docs, held_out, id_col, text_col), "blocks")
+    parts = max(partitions(docs.sparkSession), blocks.count())
+    names = ["row_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    schema = docs.select(F.col(id_col).alias("row_id"), held_out.alias("held_out"), *(F.lit(0).cast("long").alias(c) for c in names[2:5]), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score")).schema
+
+    def ask_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, own, _ in _opened(batches, 0):
+            n = own.counts()
+            yield from _asked(row["block"].as_py(), own.keys(), n, np.zeros(len(n), np.int64), parts)
+            del row, own, n
+
+    def ask_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, own, [(_, owned)] in _opened(batches, 1):
+            [owned] = _restored(own.keys(), owned)
+            yield from _asked(row["block"].as_py(), own.contexts(), own.occurrences(), own.kinds(owned), parts)
+            del row, own, owned
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, often = pickle.loads(known.value)
-        block, parts, keys, counts = None, [], None, None
-        for batch in batches:
-            owner = batch.column("block").to_numpy(zero_copy_only=False)
-            kind = batch.column("kind").to_numpy(zero_copy_only=False)
-            cuts = np.r_[0, np.flatnonzero((owner[1:] != owner[:-1]) | (kind[1:] != kind[:-1])) + 1, len(owner)]
-            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if owner[i] != block:
-                    block, parts, keys = owner[i], [], None
-                piece = batch.slice(i, j - i)
-                if kind[i] == 0:
-                    parts += zip(piece.column("keys").to_pylist(), piece.column("counts").to_pylist(), strict=True)
-                    continue
-                if keys is None:
-                    keys = np.frombuffer(b"".join(p[0] for p in parts), np.uint64)
-                    counts = np.frombuffer(b"".join(p[1] for p in parts), np.int64)
-                    order = np.argsort(keys)
-                    keys, counts, parts = keys[order], counts[order], []
-                for part in words(piece.column("body")):
-                    own = tokens(part)
-                    place = np.minimum(np.searchsorted(keys, own.hashes), max(0, len(keys) - 1))
-                    c = np.where(keys[place] == own.hashes, counts[place], 0) if len(keys) else np.zeros(len(own.hashes), np.int64)
-                    base = np.log10((c + 0.5) / (train_tokens + 0.5 * (distinct + 1)))
-                    spelled = stream(own, often)
-                    logs = machine.traverse(spelled.data, spelled.first, spelled.last)[spelled.place]
-                    among = np.log10((c + 0.5) / (shared_tokens + 0.5 * (shared_words + 1)))
-                    logs += np.where(spelled.data[spelled.place] == SHARED, among, 0.0)
-                    ids = piece.slice(part.first, len(part.at) - 1)
-                    sums = [np.add.reduceat(x, own.at[:-1]) for x in ((c > 0).astype(np.int64), base, logs)]
-                    n = np.diff(own.at)
-                    yield pa.RecordBatch.from_arrays([ids.column("row_id"), ids.column("held_out"), pa.array(n), pa.array(sums[0]), pa.array(np.full(len(n), train_tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=schema.names)
-
-    return both.mapInArrow(run, schema)
+        for row, own, [(n, _), (occurring, kinds)] in _opened(batches, 2):
+            [n] = _restored(own.keys(), n)
+            occurring, kinds = _restored(own.contexts(), occurring, kinds)
+            machine, before = own.automaton(n, occurring, kinds)
+            c = n[: len(own.vocabulary)][own.word]
+            base = np.log10((c + 0.5) / (occurring[0] + 0.5 * (kinds[0] + 1)))
+            logs = machine.traverse(own.word, own.first, own.first + row["sizes"], before)
+            sums = [np.add.reduceat(x, own.first) for x in ((c > 0).astype(np.int64), base, logs)]
+            size = row["sizes"]
+            yield pa.RecordBatch.from_arrays([row["row_ids"].values, pa.array(row["held_out"] > 0), pa.array(size), pa.array(sums[0]), pa.array(np.full(len(size), occurring[0], np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=names)
+            del row, own, n, occurring, kinds, machine, before, c, base, logs, sums
+
+    counts = _kept(_told(blocks.withColumn("kind", F.lit(0)).mapInArrow(ask_counts, _ASKED), parts, True), "counts")
+    contexts = _kept(_told(_visited(blocks, parts, [counts]).mapInArrow(ask_contexts, _ASKED), parts, False), "contexts")
+    return _visited(blocks, parts, [counts, contexts]).mapInArrow(run, schema)

@@ -273,6 +273,40 @@ def test_lm_automaton_is_a_distribution_and_equals_plain_backoff():
     assert np.allclose(whole[order - 1 :], logs[order - 1 :])
 
 
+def test_lm_learns_rare_words_and_ngrams_of_a_large_corpus(spark):
+    common = " ".join(f"w{i * i % 23} w{i % 7}" for i in range(65_000))
+    rare = "Zyx quov blim zyx trenk quov blim"
+    rows = [(0, common, False), (1, rare, False), (2, "trenk " + rare, True), (3, "zyx new quov blim w1", True), (4, None, True), (5, "quov blim w1 w2", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(3)
+    held = {i: [*split(t), None] for i, t, _ in rows}
+    grams, occurring, kinds = Counter(), Counter(), Counter()
+    for i, _, out in rows:
+        padded = [None, None, *held[i]]
+        for j in range(2, len(padded)) if not out else ():
+            for m in (1, 2, 3):
+                g = (m, *padded[j - m + 1 : j + 1])
+                kinds[g[:-1]] += g not in grams
+                grams[g] += 1
+                occurring[g[:-1]] += 1
+    n, v = occurring[1,], kinds[1,]
+
+    def plain(g):
+        if len(g) == 1:
+            return (grams[1, *g] + 0.5) / (n + 0.5 * (v + 1))
+        context = (len(g), *g[:-1])
+        below = plain(g[1:])
+        return (grams[len(g), *g] + kinds[context] * below) / (occurring[context] + kinds[context]) if occurring[context] else below
+
+    expected = {}
+    for i, ws in held.items():
+        padded = [None, None, *ws]
+        expected[i] = sum(log10(plain(tuple(padded[j - 2 : j + 1]))) for j in range(2, len(padded)))
+    got = {r["row_id"]: r["score"] for r in lm_score.score(docs, F.col("held")).collect()}
+    assert got.keys() == expected.keys()
+    for i in got:
+        assert abs(got[i] - expected[i]) < 1e-4 * max(1, len(held[i]) / 100), i
+
+
 # ---- 5 Jaccard ------------------------------------------------------------------------------
 
 
