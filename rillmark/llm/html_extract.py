@@ -39,6 +39,8 @@ _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 _PART = re.compile(r"[A-Za-z]+")
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 _SKIP = {"head", "template", "noscript", "select", "button", "svg", "math", "object", "audio", "video", "canvas", "datalist"}
+#: Start tags that don't end an open head; its end tag may be left out.
+_HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "input"}
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
@@ -90,8 +92,20 @@ def blocks(page: str) -> Iterator[Block]:
         label = next((y for _, _, y in reversed(stack) if y >= 0), 0)
         return Block(text, tuple(path), own, label)
 
+    def leave_head(body: bool = False) -> None:
+        """End an innermost open head, or any when the body begins."""
+        nonlocal skipping, anchors
+        names = [x[0] for x in stack]
+        if "head" in names if body else names[-1:] == ["head"]:
+            for gone in names[names.index("head") if body else -1 :]:
+                skipping -= gone in _SKIP
+                anchors -= gone == "a"
+                stack.pop()
+
     def text(piece: str) -> None:
         nonlocal linked
+        if skipping and piece.strip():
+            leave_head()
         if piece and not skipping:
             piece = html.unescape(piece) if "&" in piece else piece
             parts.append(piece)
@@ -127,6 +141,8 @@ def blocks(page: str) -> Iterator[Block]:
                 anchors -= gone == "a"
             del stack[keep:]
             continue
+        if skipping and tag not in _HEAD:
+            leave_head(tag == "body")
         if tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else size

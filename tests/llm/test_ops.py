@@ -225,6 +225,13 @@ def test_html_whole_page(spark, labeller):
     assert [r["n_chars"] for r in got if r["page_id"] == 4] == [len(expected) + 12 * 20_000]
 
 
+def test_html_head_without_end_tag():
+    head = "<html><head><meta charset='u'><title>T</title><script>var a;</script><noscript><img src='x'></noscript>"
+    for rest in ("<body><p>Text of it.</p></body></html>", "<p>Text of it.</p>", "<a href='/'></a><p>Text of it.", "Text of it.", "<template><p>Not this.</p></template><body>Text of it.", "</head><body><p>Text of it.</p>"):
+        assert [b.text for b in html_extract.blocks(head + rest)] == ["Text of it."], rest
+    assert list(html_extract.blocks(head)) == []
+
+
 # ---- 4 language model -----------------------------------------------------------------------
 
 
