@@ -504,11 +504,12 @@ ranks AS (SELECT query_id, CASE WHEN total_gold > 0 AND best IS NOT NULL THEN ro
 """
 
 
-def _gold(spark, sf_dir):
+def _gold(spark, sf_dir, most: int | None = 60):
     docs = _docs(spark, sf_dir)
     w = Window.partitionBy("query_id").orderBy(F.col("n_chars").desc(), F.col("n"))
     rows = docs.select((F.col("doc_id") % 20).cast("int").alias("query_id"), F.col("doc_id").alias("n"), "n_chars", F.col("text").alias("content"), "source", F.col("lang").alias("doc_id"), F.lit("x").alias("section_path"))
-    rows = rows.withColumn("pos", F.row_number().over(w)).filter("pos <= 60").drop("n", "n_chars")
+    rows = rows.withColumn("pos", F.row_number().over(w)).drop("n", "n_chars")
+    rows = rows if most is None else rows.filter(F.col("pos") <= most)
     items = _table(spark, sf_dir, "benchmark").filter("item_id % 20 <> 19")
     is_file = F.col("item_id") % 7 == 3
     entry = F.struct(F.when(is_file, "file").otherwise(F.lit(None)).alias("type"), F.when(is_file, F.concat(F.lit("gold\\set/SRC"), (F.col("item_id") % 10).cast("string"))).otherwise(F.col("text")).alias("content"))
@@ -665,7 +666,7 @@ def record_chunks(spark, sf_dir):
 
 @_query("fuzzy_match")
 def fuzzy_match(spark, sf_dir):
-    rows, gold, _ = _gold(spark, sf_dir)
+    rows, gold, _ = _gold(spark, sf_dir, None)
     return evaluation.match_gold(rows.withColumn("content", F.substring("content", 1, 300)), gold, evaluation.FUZZY_THRESHOLD).select("query_id", "pos", "gold_index")
 
 
