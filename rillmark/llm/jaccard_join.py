@@ -1,27 +1,33 @@
 """Exact Jaccard self-join on word shingles by relations between sets.
 
-Documents are sets of 64-bit hashes of five consecutive words; equal sets are one set, named by
-its smallest document.  The join does work for groups of similar sets once:
+Documents are sets of 64-bit hashes of five consecutive words; equal sets are one set.  The join
+does the work for similar sets once:
 
-1. *Similar sets.*  Sets that share min-hash bands are offered the smallest such set as a pivot; a
-   set whose exact similarity to its pivot reaches the threshold becomes the pivot's member, at a
-   known distance.
-2. *Index lists.*  All shingles are ordered by how often they occur (read from a count sketch of
+1. *Index lists.*  All shingles are ordered by how often they occur (read from a count sketch of
    fixed size, ties by hash), rare ones first.  Two sets that reach the threshold share a shingle
-   among the first n - ceil(t n) + 1 of each.  Index lists hold, for each such shingle, the groups
-   (pivots) it occurs in, as a block with the least and greatest size and the greatest remainder
-   behind the shingle's position.  A pair of blocks that sizes or positions rule out is skipped.
-3. *Derived answers.*  The pivots of a remaining pair are compared exactly.  If they are linked, so
-   are the groups, without looking at members.  If not, the Jaccard distance is a metric: members
-   x of A and y of B can only be linked if d(A, B) - d(x, A) - d(y, B) <= 1 - t, so most groups are
-   done; members of the others are joined by their own index lists and compared exactly.
-
-No list is collected: lists are joined with each other in blocks that Spark may split.
+   among the first n - ceil(t n) + 1 of each.  An index list holds the sets whose prefix has that
+   shingle, with their sizes and the shingle's position.  Lists of a single set are never made:
+   tokens are dealt as packed keys, and each block of sets is told by one bit a key what is shared.
+2. *Pivots.*  The set with the earliest position in a list has the fewest rare shingles of its own,
+   so it is the most central one; every other set of the list is offered it as a pivot and compared
+   exactly.  Sets that stay apart are offered the next one, as long as that is worth a round.
+   Linked sets are in one component, and nothing inside a component is looked at again.
+3. *Skipped blocks.*  What is left of the lists is cut into blocks by size (in steps of two per
+   cent), pivot and component.  From its least size and greatest remainder behind the position a
+   block knows which sizes it can link with; it meets only blocks of those sizes and of other
+   components, by an equi-join on token and size.
+4. *Derived answers.*  The pivots of a remaining pair of groups are compared exactly.  If they are
+   linked, so are the groups, without looking at members.  If not, the Jaccard distance is a metric:
+   members x of A and y of B can only be linked if d(A, B) - d(x, A) - d(y, B) <= 1 - t, so most
+   groups are done; members of the others meet by the same blocks and are compared exactly.
+
+No list is collected, and no token, set or pivot needs a task of its own.
 
 Defined cases: a text of fewer words than a shingle is one shingle of all its words; an empty, null
 or blank text has no shingle and links with nothing; a null identifier is never a component, and
 rows with one take part in no link unless a row with the same set has an identifier; repeated rows
-each get a result; an empty table gives an empty result; further columns are ignored.
+each get a result, and rows that repeat an identifier with different texts are different documents;
+an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,22 +37,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.llm.components import components
-from rillmark.llm.shared import materialize, partitions
+from rillmark.llm.shared import fresh_names, materialize, partitions
 from rillmark.llm.words import mix, words
 
 SHINGLE = 5
 THRESHOLD = 80  # per cent
 SKETCH = 1 << 20
 SLICES = 64
-BANDS, ROWS = 6, 3
-FILTER_BITS = 1 << 24
+SEEN = 200_000  # digests a task remembers; a set that returns later is only written again
+BLOCK_TOKENS = 1 << 17
+PART_TOKENS = 1 << 22  # keys of a part that are in memory at once, about
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+STEPS = 50  # size blocks: by the natural logarithm of the size
+MOST_ROUNDS = 6
 _FACTOR = np.random.default_rng(77).integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PERMUTE = np.random.default_rng(78).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SIZE = (1 << 20) - 1
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -78,44 +87,41 @@ def _digest(own: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)[0]), int(two.view(np.int64)[0])
 
 
-def _bands(own: np.ndarray) -> list[int]:
-    parts = [mix(own[None, i : i + 20_000] * _PERMUTE[:, None]).min(1) for i in range(0, len(own), 20_000)]
-    least = np.min(parts, axis=0).tolist()
-    return [hash((b, *least[b * ROWS : (b + 1) * ROWS])) for b in range(BANDS)]
-
-
 def _prefix_length(n: int) -> int:
     return n - (THRESHOLD * n + 99) // 100 + 1
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """kind 0: each row's size and digest (and bands, on a task's first row of a set); kind 1:
+    """kind 0: each row's size and digest (and shingles, where a task meets a set first); kind 1:
     slices of the task's count sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(SKETCH, np.uint32), set()
-        for batch in batches:
-            sizes, ones, twos, bands = [], [], [], []
-            for own in shingle_sets(batch.column("body")):
-                n = len(own)
-                digest = _digest(own) if n else (0, 0)
-                first = n > 0 and digest not in seen
-                if first:
-                    seen.add(digest)
-                    counts[(own & np.uint64(SKETCH - 1)).astype(np.int64)] += np.uint32(1)
-                sizes.append(n)
-                ones.append(digest[0])
-                twos.append(digest[1])
-                bands.append(_bands(own) if first else None)
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), batch.column("row_id"), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        for whole in batches:
+            for batch in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+                sizes, ones, twos, held = [], [], [], []
+                for own in shingle_sets(batch.column("body")):
+                    n = len(own)
+                    digest = _digest(own) if n else (0, 0)
+                    first = n > 0 and digest not in seen
+                    if first:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(digest)
+                        counts[(own & np.uint64(SKETCH - 1)).astype(np.int64)] += np.uint32(1)
+                    sizes.append(n)
+                    ones.append(digest[0])
+                    twos.append(digest[1])
+                    held.append(own.view(np.int64) if first else None)
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), batch.column("row_id"), batch.column("body_hash"), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(held, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if counts.any():
             parts = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(SLICES, -1)]
             none = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([1] * SLICES, pa.int32()), none, none, none, none, pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * SLICES, pa.int32()), none, none, none, none, none, pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    names = ["kind", "row_id", "n", "d1", "d2", "bands", "slice", "counts"]
-    return docs.mapInArrow(run, "kind int, row_id long, n long, d1 long, d2 long, bands array<long>, slice int, counts binary")
+    names = ["kind", "row_id", "body_hash", "n", "d1", "d2", "shingles", "slice", "counts"]
+    return docs.mapInArrow(run, "kind int, row_id long, body_hash long, n long, d1 long, d2 long, shingles array<long>, slice int, counts binary")
 
 
 def _sum_slices(sketches: DataFrame, *keys: str) -> DataFrame:
@@ -142,230 +148,335 @@ def _sketch(scanned: DataFrame) -> np.ndarray:
     return counts.reshape(-1)
 
 
-def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(d1, d2, n, tokens) for a task's first row of each set: its prefix, rare shingles first."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+def _prefixes(scanned: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """(d1, d2, n, tokens) of written sets: their prefixes, rare shingles first."""
+    shared = scanned.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = shared.value, set()
+        counts = shared.value
         for batch in batches:
-            rows = []
-            for own in shingle_sets(batch.column("body")):
-                if len(own) and (digest := _digest(own)) not in seen:
-                    seen.add(digest)
-                    order = np.lexsort((own, counts[(own & np.uint64(SKETCH - 1)).astype(np.int64)]))
-                    rows.append((*digest, len(own), own[order[: _prefix_length(len(own))]].view(np.int64)))
-            if rows:
-                one, two, n, tokens = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["d1", "d2", "n", "tokens"])
+            held, tokens = batch.column("shingles"), []
+            at, values = held.offsets.to_numpy(), held.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            for begin, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                own = values[begin:end]
+                order = np.lexsort((own, counts[(own & np.uint64(SKETCH - 1)).astype(np.int64)]))
+                tokens.append(own[order[: _prefix_length(len(own))]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("d1", "d2", "n")), pa.array(tokens, pa.list_(pa.int64()))], names=["d1", "d2", "n", "tokens"])
 
-    return docs.select("body").mapInArrow(run, "d1 long, d2 long, n long, tokens array<long>")
+    return scanned.filter("shingles is not null").select("d1", "d2", "n", "shingles").mapInArrow(run, "d1 long, d2 long, n long, tokens array<long>")
 
 
-def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(label, shingles) of the wanted sets (label, d1, d2), from the texts.
+_BLOCKS = "block long, part int, keys binary, d1 binary, d2 binary, n binary, size binary"
 
-    A filter of FILTER_BITS bits keeps other texts' sets out of the shuffle."""
-    slot = F.pmod(F.col("d1"), F.lit(FILTER_BITS))
-    lanes = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("lane")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
-    table = np.zeros(FILTER_BITS // 64, np.int64)
-    table[lanes.column("lane").to_numpy()] = lanes.column("bits").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+def _blocks(prefixes: DataFrame, parts: int) -> DataFrame:
+    """Rows of part -1: a block of distinct sets with their tokens as keys; others: the block's
+    distinct tokens of that part, ascending, each with whether several sets of the block have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = shared.value, set()
+        number, last, held, total = TaskContext.get().partitionId() << 32, None, [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            one, two, n, tokens = zip(*held, strict=True)
+            every = np.concatenate(tokens)
+            sides = [np.array(x, np.int64).tobytes() for x in (one, two, n, [len(t) for t in tokens])]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([-1], pa.int32()), pa.array([every.tobytes()], pa.binary()), *(pa.array([x], pa.binary()) for x in sides)], names=names)
+            keys, count = np.unique(every.view(np.uint64), return_counts=True)
+            at = np.searchsorted(keys >> np.uint64(32), (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts) + np.uint64(1 if parts & (parts - 1) else 0))
+            at[0], at[-1] = 0, len(keys)
+            some = np.flatnonzero(np.diff(at)).tolist()
+            for i in range(0, len(some), 512):
+                own = some[i : i + 512]
+                none = pa.nulls(len(own), pa.binary())
+                columns = [[x[at[j] : at[j + 1]].tobytes() for j in own] for x in (keys, np.minimum(count, 2).astype(np.uint8))]
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(own), pa.int64()), pa.array(own, pa.int32()), pa.array(columns[0], pa.binary()), none, none, none, pa.array(columns[1], pa.binary())], names=names)
+
         for batch in batches:
-            rows = []
-            for own in shingle_sets(batch.column("body")):
-                if not len(own):
+            tokens = batch.column("tokens")
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("d1", "d2", "n")), strict=True)):
+                if row[:2] == last:
                     continue
-                digest = _digest(own)
-                place = digest[0] % FILTER_BITS
-                if int(bits[place >> 6]) >> (place & 63) & 1 and digest not in seen:
-                    seen.add(digest)
-                    rows.append((*digest, own.view(np.int64)))
-            for i in range(0, len(rows), 200):
-                one, two, own = zip(*rows[i : i + 200], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["d1", "d2", "shingles"])
-
-    found = docs.select("body").mapInArrow(run, "d1 long, d2 long, shingles array<long>")
-    found = found.groupBy("d1", "d2").agg(F.max("shingles").alias("shingles"))
-    return materialize(found.join(wanted, ["d1", "d2"]).select("label", "shingles"), "sets")
+                last = row[:2]
+                held.append((*row, np.asarray(tokens[i].values)))
+                total += len(held[-1][3])
+                if total >= BLOCK_TOKENS:
+                    yield from flush()
+                    number, held, total = number + 1, [], 0
+        if held:
+            yield from flush()
+
+    names = ["block", "part", "keys", "d1", "d2", "n", "size"]
+    return prefixes.repartition(partitions(prefixes.sparkSession), "d1").sortWithinPartitions("d1", "d2").mapInArrow(run, _BLOCKS)
+
+
+def _answers(asked: DataFrame, parts: int) -> DataFrame:
+    """(block, part, shared): for each key that a block asked in a part whether another set has it."""
+
+    def answer(part: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        lists = [np.frombuffer(r[1], np.uint64) for r in rows]
+        keys = np.concatenate(lists)
+        distinct, inverse = np.unique(keys, return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([np.frombuffer(r[2], np.uint8) for r in rows]), len(distinct))
+        shared, at = (total > 1)[inverse], np.cumsum([0, *map(len, lists)])
+        told = [np.packbits(shared[i:j]).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(told, pa.binary()), pa.array([len(x) for x in lists], pa.int64())], names=["block", "part", "shared", "asked"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows = None, []
+        for batch in batches:
+            for block, own, keys, several in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != part and rows:
+                    yield answer(part, rows)
+                    rows = []
+                part = own
+                rows.append((block, keys, several))
+        if rows:
+            yield answer(part, rows)
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with the exact intersection and union of their sets."""
-    right = pairs.join(sets.select(F.col("label").alias("b"), F.col("shingles").alias("right")), "b")
-    both = right.join(sets.select(F.col("label").alias("a"), F.col("shingles").alias("left")), "a")
-    common = F.size(F.array_intersect("left", "right")).cast("long")
-    return both.withColumn("common", common).withColumn("either", F.size("left") + F.size("right") - F.col("common")).drop("left", "right")
+    own = asked.filter("part >= 0").select("block", "part", "keys", F.col("size").alias("several"))
+    return own.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "block long, part int, shared binary, asked long")
 
 
-_LINKED = f"100 * common >= {THRESHOLD} * either"
+_LISTS = "token long, d1 long, d2 long, n long, place long"
 
 
-def _stars(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(label, root, distance) of the sets that became members of a pivot."""
-    keys = sets.select("label", "n", F.explode("bands").alias("band"))
-    pivots = keys.groupBy("band").agg(F.min("label").alias("root"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    votes = keys.join(pivots, "band").groupBy("label", "root").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("label").agg(F.max(F.struct("votes", (-F.col("root")).alias("order"))).alias("best")).select("label", (-F.col("best.order")).alias("root"))
-    best = materialize(best, "pivots")
-    offered = best.filter("label <> root").join(best.filter("label = root").select("root"), "root", "left_semi")
-    sizes = sets.select("label", "n")
-    offered = offered.join(sizes, "label").join(sizes.select(F.col("label").alias("root"), F.col("n").alias("m")), "root")
-    offered = materialize(offered.filter(f"100 * least(n, m) >= {THRESHOLD} * greatest(n, m)").select(F.col("root").alias("a"), F.col("label").alias("b")), "offers")
-    if not offered.limit(1).count():
-        return offered.select(F.col("b").alias("label"), F.col("a").alias("root"), F.lit(0.0).alias("distance"))
-    wanted = offered.select("a").union(offered.select("b")).distinct().select(F.col("a").alias("label")).join(sets.select("label", "d1", "d2"), "label")
-    compared = _compare(offered, _fetch(docs, wanted)).filter(_LINKED)
-    return materialize(compared.select(F.col("b").alias("label"), F.col("a").alias("root"), (1 - F.col("common") / F.col("either")).alias("distance")), "members")
-
-
-def _pack(least: np.ndarray, most: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Three sizes in a long; larger ones than fit are kept so that they rule nothing out."""
-    most = np.where(most > _SIZE, _SIZE, most)
-    rest = np.where(rest > _SIZE, _SIZE, rest)
-    return (np.minimum(least, _SIZE).astype(np.int64) << 40) | (most.astype(np.int64) << 20) | rest.astype(np.int64)
-
-
-def _lists(prefixes: DataFrame, group: str) -> DataFrame:
-    """(token, group, least, most, rest): index lists of tokens that more than one group has.
-
-    Rows of a group in a partition are combined before the shuffle, so a token of a huge group
-    costs one row a partition."""
-
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, key = [], None
-
-        def blocks() -> pa.RecordBatch:
-            tokens = np.concatenate([t for _, t in own])
-            sizes = np.repeat([n for n, _ in own], [len(t) for _, t in own])
-            rest = sizes - np.concatenate([np.arange(len(t)) for _, t in own])
-            if len(own) > 1:
-                order = np.argsort(tokens, kind="stable")
-                tokens, sizes, rest = tokens[order], sizes[order], rest[order]
-                first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-                least, most, rest = np.minimum.reduceat(sizes, first), np.maximum.reduceat(sizes, first), np.maximum.reduceat(rest, first)
-                tokens = tokens[first]
-            else:
-                least = most = sizes
-            return pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(np.full(len(tokens), key), pa.int64()), pa.array(_pack(least, most, rest), pa.int64())], names=["token", "group", "sizes"])
+def _lists(prefixes: DataFrame, tokens: int) -> DataFrame:
+    """Index lists (token, d1, d2, n, place) of the tokens that more than one set has in its prefix."""
+    parts = max(partitions(prefixes.sparkSession), -(-tokens // PART_TOKENS))
+    blocks = materialize(_blocks(prefixes, parts), "prefix-blocks")
+    answers = _answers(blocks, parts)
+    none = F.lit(None)
+    own = blocks.filter("part < 0").drop("part").withColumns({"part": F.lit(2**31 - 1), "shared": none.cast("binary"), "asked": none.cast("long")})
+    both = own.unionByName(answers, allowMissingColumns=True).repartition(parts, "block").sortWithinPartitions("block", "part")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: list[np.ndarray] = []
         for batch in batches:
-            tokens = batch.column("tokens")
-            for i, (g, n) in enumerate(zip(batch.column("group").to_pylist(), batch.column("n").to_pylist(), strict=True)):
-                if own and (g != key or len(own) >= 200):
-                    yield blocks()
-                    own = []
-                key = g
-                own.append((n, np.asarray(tokens[i].values)))
-        if own:
-            yield blocks()
-
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by token and group, those of tokens with several groups."""
-        last: tuple | None = None  # the row before, and whether it is known to be of such a token
+            at = {c: batch.column(c) for c in ("keys", "d1", "d2", "n", "size", "shared", "asked")}
+            is_answer = at["shared"].is_valid().to_pylist()
+            for i in range(batch.num_rows):
+                if is_answer[i]:
+                    told.append(np.unpackbits(np.frombuffer(at["shared"][i].as_py(), np.uint8), count=at["asked"][i].as_py()).astype(bool))
+                    continue
+                tokens = np.frombuffer(at["keys"][i].as_py(), np.int64)
+                distinct, inverse = np.unique(tokens.view(np.uint64), return_inverse=True)
+                one, two, n, size = (np.frombuffer(at[c][i].as_py(), np.int64) for c in ("d1", "d2", "n", "size"))
+                keep = np.flatnonzero(np.concatenate(told)[inverse])
+                told = []
+                owner = np.repeat(np.arange(len(n)), size)
+                place = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
+                for j in range(0, len(keep), 50_000):
+                    k = keep[j : j + 50_000]
+                    o = owner[k]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tokens[k], one[o], two[o], n[o], place[k])], names=["token", "d1", "d2", "n", "place"])
+
+    return both.mapInArrow(run, _LISTS)
+
+
+def _fetch(scanned: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, shingles) of the wanted sets (sid, d1, d2).
+
+    A filter sized by their number, up to MOST_BITS bits, keeps other sets out of the shuffle."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * wanted.count()).bit_length()))
+    slot = F.pmod(F.col("d1"), F.lit(bits))
+    lanes = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("lane")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[lanes.column("lane").to_numpy()] = lanes.column("bits").to_numpy()
+    shared = scanned.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
         for batch in batches:
-            token, owner, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if last is not None:
-                token, owner, sizes = np.r_[last[0], token], np.r_[last[1], owner], np.r_[last[2], sizes]
-            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(token)]))
-            mixed = np.logical_or.reduceat(np.r_[False, (owner[1:] != owner[:-1]) & (token[1:] == token[:-1])], starts)
-            if last is not None and last[3]:
-                mixed[0] = True
-            keep = mixed[run]
-            keep[-1] = False  # held back for the next batch
+            place = batch.column("d1").to_numpy() % bits
+            keep = held[place >> 6] >> (place & 63) & 1
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(owner[keep]), pa.array(sizes[keep])], names=["token", "group", "sizes"])
-            if not mixed[-1]:  # rows of an undecided token are all of one group: one row says enough
-                tail = starts[-1]
-                least, most, rest = (sizes[tail:] >> 40).min(), (sizes[tail:] >> 20 & _SIZE).max(), (sizes[tail:] & _SIZE).max()
-                last = token[-1], owner[-1], least << 40 | most << 20 | rest, False
-            else:
-                last = token[-1], owner[-1], sizes[-1], True
-        if last is not None and last[3]:
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in last[:3]], names=["token", "group", "sizes"])
+                yield batch.filter(pa.array(keep.astype(bool)))
 
-    schema = "token long, group long, sizes long"
-    blocks = prefixes.select(F.col(group).alias("group"), "n", "tokens").sortWithinPartitions("group").mapInArrow(combine, schema)
-    dealt = blocks.repartition(partitions(prefixes.sparkSession), "token").sortWithinPartitions("token", "group").mapInArrow(several, schema)
-    least, most, rest = F.shiftright("sizes", 40), F.shiftright("sizes", 20).bitwiseAND(F.lit(_SIZE).cast("long")), F.col("sizes").bitwiseAND(F.lit(_SIZE).cast("long"))
-    return materialize(dealt, "index-lists").groupBy("token", "group").agg(F.min(least).alias("least"), F.max(most).alias("most"), F.max(rest).alias("rest"))
+    found = scanned.filter("shingles is not null").select("d1", "d2", "shingles").mapInArrow(run, "d1 long, d2 long, shingles array<long>")
+    found = found.groupBy("d1", "d2").agg(F.max("shingles").alias("shingles"))
+    return materialize(found.join(wanted, ["d1", "d2"]).select("sid", "shingles"), "sets")
 
 
-#: A pair of blocks (a_, b_) with least and most sizes and the remainder behind a common shingle.
-_UNBOUNDED = f"greatest(a_most, b_most, a_rest, b_rest) = {_SIZE}"
-_SIZES = f"100 * a_most >= {THRESHOLD} * b_least and 100 * b_most >= {THRESHOLD} * a_least"
-#: A first common shingle leaves an overlap of the smaller remainder at most.
-_PLACES = f"{100 + THRESHOLD} * least(a_rest, b_rest) >= {THRESHOLD} * (a_least + b_least)"
-_POSSIBLE = f"({_UNBOUNDED}) or (({_SIZES}) and ({_PLACES}))"
+def _compare(scanned: DataFrame, names: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
+    """pairs (a, b, ...), which must be materialized, with the exact intersection and union of their sets."""
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "sid")
+    sets = _fetch(scanned, materialize(names.join(wanted, "sid"), "wanted"))
+    right = pairs.join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("right")), "b")
+    both = right.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("left")), "a")
+    common = F.size(F.array_intersect("left", "right")).cast("long")
+    found = both.withColumn("common", common).withColumn("either", F.size("left") + F.size("right") - F.col("common")).drop("left", "right")
+    return materialize(found, label)
 
 
-def _side(lists: DataFrame, side: str) -> DataFrame:
-    return lists.withColumnsRenamed({"group": side, "least": f"{side}_least", "most": f"{side}_most", "rest": f"{side}_rest"})
+_LINKED = f"100 * common >= {THRESHOLD} * either"
 
 
-def _list_pairs(lists: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of groups that sizes and positions do not rule out."""
-    return _side(lists, "a").join(_side(lists, "b"), "token").filter("a < b").filter(_POSSIBLE).select("a", "b").distinct()
+def _possible(a: str, b: str) -> str:
+    """Whether sets of sizes ``*_n`` may reach the threshold: a first common shingle leaves an overlap
+    of the smaller remainder ``*_rest`` at most."""
+    return f"100 * least({a}_n, {b}_n) >= {THRESHOLD} * greatest({a}_n, {b}_n) and {100 + THRESHOLD} * least({a}_rest, {b}_rest) >= {THRESHOLD} * ({a}_n + {b}_n)"
+
+
+def _pivots(scanned: DataFrame, names: DataFrame, lists: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """The comparisons (a: pivot, b, common, either) of all rounds, and (sid, component) by them."""
+    entries = lists.withColumn("rest", F.col("n") - F.col("place"))
+    hub = F.min(F.struct("place", "sid", "n")).alias("hub")
+    done: DataFrame | None = None
+    found: DataFrame | None = None
+    last: DataFrame | None = None
+    for turn in range(MOST_ROUNDS):
+        rows = entries if found is None else _apart(entries, found)
+        if last is None:
+            hubs = rows.groupBy("token").agg(hub)
+        else:
+            later = rows.join(last.withColumnRenamed("hub", "before"), "token").filter(F.struct("place", "sid", "n") > F.col("before"))
+            hubs = later.groupBy("token").agg(hub)
+        hubs = last = materialize(hubs, "pivots")
+        side = hubs.select("token", F.col("hub.sid").alias("a"), F.col("hub.n").alias("a_n"), (F.col("hub.n") - F.col("hub.place")).alias("a_rest"))
+        if found is not None:
+            side = side.join(found.select(F.col("sid").alias("a"), F.col("component").alias("a_component")), "a", "left").withColumn("a_component", F.coalesce("a_component", "a"))
+        met = rows.withColumnsRenamed({"sid": "b", "n": "b_n", "rest": "b_rest"}).join(side, "token").filter(f"a <> b and {_possible('a', 'b')}")
+        if found is not None:
+            met = met.filter("component <> a_component")
+        offers = met.select("a", "b").distinct()
+        if done is not None:
+            offers = offers.join(done.select("a", "b").union(done.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+        offers = materialize(offers, "offers")
+        count = offers.count()
+        if not count:
+            break
+        compared = _compare(scanned, names, offers, "compared")
+        linked = compared.filter(_LINKED).count()
+        done = compared if done is None else done.unionByName(compared)
+        if linked:
+            found = materialize(components(done.filter(_LINKED).select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("sid"), "component"), "components")
+        if 10 * linked < count and (turn or 100 * linked < count):  # few sets are left that a pivot would take
+            break
+        if turn == 0 and not _many_left(entries, found):
+            break
+    return done, found
+
+
+def _many_left(entries: DataFrame, found: DataFrame) -> bool:
+    """Whether sets of different components would meet in the lists' blocks more often than lists have rows."""
+    rows = _apart(entries, found).withColumn("block", _block(F.col("n"))).filter(f"{100 + THRESHOLD} * rest >= {2 * THRESHOLD} * n")
+    each = rows.groupBy("token", "block", "component").agg(F.count(F.lit(1)).alias("c"))
+    whole = each.groupBy("token", "block").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("met"))
+    met = whole.agg(F.sum("met")).first()[0] or 0
+    return met > entries.count()
+
+
+def _apart(entries: DataFrame, found: DataFrame | None) -> DataFrame:
+    """The entries with their components, of tokens that several components have."""
+    if found is None:
+        return entries.withColumn("component", F.col("sid"))
+    rows = entries.join(found, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
+    return rows.join(mixed, "token", "left_semi")
+
+
+def _block(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) * STEPS).cast("int")
+
+
+def _met(rows: DataFrame, keys: list[str], open_pairs: DataFrame | None = None) -> DataFrame:
+    """Rows (token, block, component, keys..., least, most, rest) paired as a_ and b_, a being the
+    larger one: blocks of different components that sizes and positions don't rule out.
+
+    ``rows`` stand for blocks of sets of sizes least to most and remainders up to rest.  With
+    ``open_pairs`` (a_pivot, b_pivot, gap) only those groups meet, and sets far enough from them."""
+    top = F.least(F.col("most"), F.floor(((100 + THRESHOLD) * F.col("rest") - THRESHOLD * F.col("least")) / THRESHOLD))
+    low = F.ceil(THRESHOLD * F.col("least") / 100)
+    able = rows.withColumns({"top": top, "low": low}).filter("top >= low and top > 0")
+    a = able.withColumn("block", F.explode(F.sequence(_block(F.col("low")), _block(F.col("top"))))).drop("top", "low")
+    a = a.withColumnsRenamed({c: f"a_{c}" for c in (*keys, "component", "least", "most", "rest")})
+    b = rows.withColumnsRenamed({c: f"b_{c}" for c in (*keys, "component", "least", "most", "rest")})
+    possible = f"a_component <> b_component and b_least <= a_most and 100 * b_most >= {THRESHOLD} * a_least and {100 + THRESHOLD} * least(a_rest, b_rest) >= {THRESHOLD} * (a_least + b_least)"
+    if open_pairs is None:
+        return a.join(b, ["token", "block"]).filter(possible)
+    return a.join(open_pairs, "a_pivot").join(b, ["token", "block", "b_pivot"]).filter(f"{possible} and a_distance + b_distance >= gap")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: row_id, n_shingles, component_id."""
-    source = docs.select(F.col(id_col).cast("long").alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    return _components(docs, id_col, text_col).select("row_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row_id, body_hash (of the text), n, group (null without shingles) and component_id of each row."""
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    source = docs.select(F.col(id_col).cast("long").alias("row_id"), F.xxhash64(body).alias("body_hash"), body.alias("body"))
     scanned = materialize(_scan(source), "scan")
-    rows = scanned.filter("kind = 0").select("row_id", "n", "d1", "d2", "bands")
-    sets = materialize(rows.filter("n > 0 and row_id is not null").groupBy("d1", "d2").agg(F.min("row_id").alias("label"), F.max("n").alias("n"), F.max("bands").alias("bands")), "distinct-sets")
-    members = _stars(source, sets)
-    names = sets.select("label", "d1", "d2")
-    own = names.join(members, "label", "left").select("label", "d1", "d2", F.coalesce("root", "label").alias("root"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
-    own = materialize(own, "groups")
-
-    prefixes = _prefixes(source, _sketch(scanned)).join(own, ["d1", "d2"])
-    pairs = materialize(_list_pairs(_lists(prefixes, "root")), "pairs")
-    edges = None
-    if pairs.limit(1).count():
-        wanted = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("label")).join(names, "label")
-        compared = materialize(_compare(pairs, _fetch(source, wanted)), "compared")
-        edges = compared.filter(_LINKED).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        reach = members.groupBy("root").agg(F.max("distance").alias("reach"))
-        far = compared.filter(f"not ({_LINKED})").join(reach.select(F.col("root").alias("a"), F.col("reach").alias("a_reach")), "a", "left").join(reach.select(F.col("root").alias("b"), F.col("reach").alias("b_reach")), "b", "left")
-        spare = F.lit(1 - THRESHOLD / 100 + 1e-9)
-        open_pairs = far.withColumn("gap", 1 - F.col("common") / F.col("either") - spare).filter("gap <= coalesce(a_reach, 0) + coalesce(b_reach, 0)")
-        open_pairs = materialize(open_pairs.select("a", "b", "gap", F.coalesce("a_reach", F.lit(0.0)).alias("a_reach"), F.coalesce("b_reach", F.lit(0.0)).alias("b_reach")), "open-pairs")
-        if open_pairs.limit(1).count():
-            edges = edges.unionByName(_members(source, own, names, prefixes, open_pairs))
-    labels = own.select("d1", "d2", F.col("root").alias("component"))
-    if edges is not None:
-        found = components(edges)
-        labels = own.join(found.select(F.col("node").alias("root"), F.col("component").alias("reached")), "root", "left").select("d1", "d2", F.coalesce("reached", "root").alias("component"))
-    named = rows.select("row_id", "n", "d1", "d2").join(labels, ["d1", "d2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("row_id"))
-    return named.select("row_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-
-
-def _members(source: DataFrame, own: DataFrame, names: DataFrame, prefixes: DataFrame, open_pairs: DataFrame) -> DataFrame:
-    """Edges (u, v) between roots of groups whose members are linked though the pivots are not."""
-    of = own.select("label", "root", "distance")
-    left = of.join(open_pairs, F.col("root") == F.col("a")).filter("distance >= gap - b_reach").select("label", "distance", F.col("a").alias("low"), F.col("b").alias("high"), "gap")
-    right = of.join(open_pairs, F.col("root") == F.col("b")).filter("distance >= gap - a_reach").select("label", "distance", F.col("a").alias("low"), F.col("b").alias("high"), "gap")
-    able = left.select("label").union(right.select("label")).distinct()
-    lists = _lists(prefixes.join(able, "label", "left_semi"), "label")
-    # members of different groups meet, and only if far enough from their pivots for some open pair
-    least = open_pairs.select(F.col("a").alias("root"), "gap").union(open_pairs.select("b", "gap")).groupBy("root").agg(F.min("gap").alias("gap"))
-    known = lists.join(of.join(least, "root").withColumnRenamed("label", "group"), "group")
-    a, b = (_side(known, side).withColumnsRenamed({c: f"{side}_{c}" for c in ("root", "distance", "gap")}) for side in "ab")
-    met = a.join(b, "token").filter(f"a_root < b_root and a_distance + b_distance >= greatest(a_gap, b_gap) and ({_POSSIBLE})")
-    met = met.select("a", "b", "a_root", "b_root", (F.col("a_distance") + F.col("b_distance")).alias("reach")).distinct()
-    gaps = open_pairs.select(F.col("a").alias("low"), F.col("b").alias("high"), "gap")
-    pairs = materialize(met.withColumnsRenamed({"a_root": "low", "b_root": "high"}).join(gaps, ["low", "high"]).filter("reach >= gap").select("a", "b", "low", "high"), "member-pairs")
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("label")).join(names, "label")
-    return _compare(pairs, _fetch(source, wanted)).filter(_LINKED).select(F.col("low").alias("u"), F.col("high").alias("v")).distinct()
+    rows = scanned.filter("kind = 0").select("row_id", "body_hash", "n", "d1", "d2")
+    sets = rows.filter("n > 0 and row_id is not null").groupBy("d1", "d2").agg(F.min("row_id").alias("label"), F.max("n").alias("n"))
+    sets = materialize(sets.withColumn("sid", F.monotonically_increasing_id()), "distinct-sets")
+    names = sets.select("sid", "d1", "d2")
+
+    shingles = sets.agg(F.sum("n")).first()[0] or 0
+    lists = _lists(_prefixes(scanned, _sketch(scanned)), shingles * (100 - THRESHOLD) // 100).join(names, ["d1", "d2"]).select("token", "sid", "n", "place")
+    lists = materialize(lists, "index-lists")
+    compared, found = _pivots(scanned, names, lists)
+    if compared is not None:
+        more = _across(scanned, names, lists, compared, found)
+        if more is not None:
+            # edges between components found so far, and then what they make of them
+            again = components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+            known = names.select("sid").join(found, "sid", "left").select("sid", F.coalesce("component", "sid").alias("component")) if found is not None else names.select("sid", F.col("sid").alias("component"))
+            found = materialize(known.join(again, "component", "left").select("sid", F.coalesce("whole", "component").alias("component")), "components")
+    grouped = sets if found is None else sets.join(found, "sid", "left")
+    grouped = grouped.withColumn("group", F.col("sid") if found is None else F.coalesce("component", "sid"))
+    least = grouped.groupBy("group").agg(F.min("label").alias("least"))
+    named = materialize(grouped.join(least, "group").select("d1", "d2", "group", "least"), "named-sets")
+    each = rows.join(named, ["d1", "d2"], "left")
+    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("row_id"))
+    return each.select("row_id", "body_hash", "n", "group", component.alias("component_id"))
+
+
+def _across(scanned: DataFrame, names: DataFrame, lists: DataFrame, compared: DataFrame, found: DataFrame | None) -> DataFrame | None:
+    """Edges (u, v) between components whose sets are linked though no pivot has told."""
+    linked = compared.filter(_LINKED).withColumn("distance", 1 - F.col("common") / F.col("either"))
+    used = linked.select(F.col("a").alias("sid")).distinct().withColumn("pivot", F.col("sid"))
+    best = linked.groupBy(F.col("b").alias("sid")).agg(F.min(F.struct("distance", "a")).alias("best"))
+    best = best.join(used.select("sid"), "sid", "left_anti").select("sid", F.col("best.a").alias("pivot"), F.col("best.distance").alias("distance"))
+    members = materialize(best.unionByName(used.withColumn("distance", F.lit(0.0))), "members")
+
+    entries = _apart(lists.withColumn("rest", F.col("n") - F.col("place")), found).join(members, "sid", "left")
+    entries = entries.withColumns({"pivot": F.coalesce("pivot", "sid"), "distance": F.coalesce("distance", F.lit(0.0)), "block": _block(F.col("n"))})
+    entries = materialize(entries, "entries")
+    blocks = entries.groupBy("token", "block", "component", "pivot").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
+    pairs = _met(blocks, ["pivot"]).select(F.least("a_pivot", "b_pivot").alias("a"), F.greatest("a_pivot", "b_pivot").alias("b")).distinct()
+    pairs = materialize(pairs, "pivot-pairs")
+    if not pairs.limit(1).count():
+        return None
+    told = _compare(scanned, names, pairs, "compared-pivots")
+    of = entries.select(F.col("pivot"), "component").distinct()
+    edges = told.filter(_LINKED).join(of.withColumnsRenamed({"pivot": "a", "component": "u"}), "a").join(of.withColumnsRenamed({"pivot": "b", "component": "v"}), "b").select("u", "v")
+
+    reach = members.groupBy("pivot").agg(F.max("distance").alias("reach"))
+    far = told.filter(f"not ({_LINKED})").withColumn("gap", 1 - F.col("common") / F.col("either") - F.lit(1 - THRESHOLD / 100 + 1e-9))
+    for side in "ab":
+        far = far.join(reach.withColumnsRenamed({"pivot": side, "reach": f"{side}_reach"}), side, "left")
+    far = materialize(far.filter("gap <= coalesce(a_reach, 0) + coalesce(b_reach, 0)").select("a", "b", "gap"), "open-pairs")
+    if not far.limit(1).count():
+        return edges
+    wanted = far.select(F.col("a").alias("pivot")).union(far.select("b")).distinct()
+    able = entries.join(wanted, "pivot", "left_semi").withColumns({"least": F.col("n"), "most": F.col("n")}).drop("n", "place")
+    either_way = far.toDF("a_pivot", "b_pivot", "gap").unionByName(far.toDF("b_pivot", "a_pivot", "gap"))
+    met = _met(able, ["sid", "pivot", "distance"], either_way)
+    met = met.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"), F.col("a_component").alias("u"), F.col("b_component").alias("v")).distinct()
+    more = _compare(scanned, names, materialize(met, "member-pairs"), "compared-members").filter(_LINKED)
+    return edges.unionByName(more.select("u", "v"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name their component: one document of each group, whole rows."""
-    found = jaccard_components(docs, id_col, text_col).filter("component_id is not null and row_id <> component_id").select(F.col("row_id").alias("__gone")).distinct()
-    return docs.join(found, docs[id_col] == F.col("__gone"), "left_anti")
+    """One document of each group, with all columns: the one that names the component.
+
+    A document is an identifier with its text: rows that repeat both stay or go together, and of one
+    identifier's texts in a group one stays.  Rows without a shingle, or in a group without an
+    identifier, stay."""
+    found = _components(docs, id_col, text_col).filter("group is not null and row_id is not null")
+    stays = found.groupBy("group").agg(F.min(F.struct("row_id", "body_hash")).alias("stays"))
+    gone, text_hash = fresh_names(docs, "gone", "text_hash")
+    drop = found.join(stays, "group").filter(F.struct("row_id", "body_hash") != F.col("stays")).select(F.col("row_id").alias(gone), F.col("body_hash").alias(text_hash)).distinct()
+    same = (F.col(id_col).cast("long") == F.col(gone)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(text_hash))
+    return docs.join(drop, same, "left_anti")

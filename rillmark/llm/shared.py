@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     if found:
         return found.rstrip("/")
     if _fallback is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         _fallback = "file://" + tempfile.mkdtemp(prefix="rillmark-")
     return _fallback
 
@@ -59,6 +61,18 @@ def _remove_all() -> None:
             return
 
 
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that ``df`` does not use, made of the wanted ones."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     """Partitions of an explicit exchange: the session's setting, as for Spark's own."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -368,6 +368,49 @@ def test_jaccard_chains_families_and_shared_passages(spark):
     assert got == brute_components(pairs(docs))
 
 
+def test_jaccard_large_family_at_the_threshold(spark):
+    """2,000 copies of one text, most pairs of them near the threshold on either side of it."""
+    draw = random.Random(12)
+    base = [f"w{i}" for i in range(110)]
+    texts = []
+    for i in range(2000):
+        own = list(base)
+        for j in draw.sample(range(110), draw.choice([1, 1, 2, 2, 2, 3])):
+            own[j] = f"x{i}y{j}"
+        texts.append(" ".join(own))
+    texts += [" ".join(f"z{i}k{j}" for j in range(60)) for i in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vocabulary: dict = {}
+    sets = [sorted(vocabulary.setdefault(g, len(vocabulary)) for g in {tuple(w[i : i + 5]) for w in [split(t)] for i in range(len(w) - 4)}) for t in texts]
+    shared = [g for g, n in Counter(g for s in sets for g in s).items() if n > 1]
+    place = {g: k for k, g in enumerate(shared)}
+    held = np.zeros((len(sets), len(shared)), np.float32)
+    for i, own in enumerate(sets):
+        held[i, [place[g] for g in own if g in place]] = 1
+    common = held @ held.T
+    size = np.array([len(s) for s in sets])
+    linked = 100 * common >= 80 * (size[:, None] + size[None, :] - common)
+    assert 0.05 < linked[:2000, :2000].mean() < 0.95
+    np.fill_diagonal(linked, True)
+    least = np.arange(len(sets))
+    while True:
+        now = np.array([least[linked[i]].min() for i in range(len(sets))])
+        if (now == least).all():
+            break
+        least = now
+    got = {r["row_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == dict(enumerate(least.tolist()))
+
+
+def test_jaccard_drops_rows_not_identifiers(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, "a"), (1, "something else altogether, which stays", "b"), (2, long + " x", "c"), (2, "another clean text of more than five words", "d"), (None, long, "e"), (3, None, "f"), (3, "", "g"), (4, long, "h"), (4, long, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string")
+    left = sorted((r["gone"]) for r in jaccard_join.drop_near_copies(docs).collect())
+    assert left == ["a", "b", "d", "e", "f", "g"]
+    assert jaccard_join.drop_near_copies(docs).columns == docs.columns
+
+
 # ---- 6 language -----------------------------------------------------------------------------
 
 
