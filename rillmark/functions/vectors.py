@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillmark.functions.text import tokens
 
@@ -21,8 +24,13 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _counts(buckets: pd.Series, dimension: pd.Series) -> pd.Series:
+    """How often each bucket occurs; Catalyst has no histogram of an array."""
+    return pd.Series([np.bincount(np.asarray(b, np.int64), minlength=d).astype(np.float64) for b, d in zip(buckets, dimension, strict=True)])
+
+
 def hash_embedding(text: Column, dimension: int = 64) -> Column:
     """Counts of tokens by bucket, the bucket being the token's md5 (first 8 digits) modulo ``dimension``."""
-    bucket = F.transform(tokens(F.lower(text)), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dimension)))
-    counts = F.aggregate(bucket, F.array_repeat(F.lit(0.0), dimension), lambda acc, b: F.transform(acc, lambda x, i: x + F.when(i == b, 1.0).otherwise(0.0)))
-    return counts
+    bucket = F.transform(tokens(F.lower(text)), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dimension)).cast("int"))
+    return _counts(bucket, F.lit(dimension))

@@ -21,12 +21,9 @@ def retrieve(points: DataFrame, queries: DataFrame, config: RetrievalConfig, key
     fetch = search.pool_size(config.top_k)
     leg = max(fetch, config.hybrid_prefetch)
     asked = search.company_filter(queries).withColumn("targets", postprocess.route_sections(F.col("query")))
-    dense = search.dense_topk_filtered(points.select("id", "vector", "source"), queries, leg if config.hybrid_search else fetch, config.score_threshold)
-    found = dense
+    found = dense = search.dense_topk(points.select("id", "vector", "source"), asked, leg if config.hybrid_search else fetch, config.score_threshold)
     if config.hybrid_search:
-        text = search.text_match(points, queries, leg) if config.text_mode == "match" else search.bm25(points, queries, leg)
-        allowed = text.join(points.select("id", "source"), "id").join(asked.select("query_id", "wanted"), "query_id").filter(search.wanted_source(F.col("wanted"), F.col("source")))
-        text = search.top_per_query(allowed.select("query_id", "id", F.col("pos").alias("before")), leg, [F.col("before")])
+        text = search.text_match(points, asked, leg) if config.text_mode == "match" else search.bm25(points, asked, leg)
         found = search.rrf([dense, text], fetch)
     payload = points.drop("vector", "tokens", "query", "targets", "score", "original_score", "pos", "query_id")
     rows = found.join(payload, "id").join(asked.select("query_id", "query", "targets"), "query_id").withColumn("original_score", F.col("score"))

@@ -12,24 +12,24 @@ from rillmark.functions.vectors import hash_embedding
 from rillmark.operators import chunking, enrich, evaluation, postprocess, prompts, search
 from rillmark.sources import readers, store
 
-#: A list for each of 20 questions, made of documents.  The text is run by both engines.
+#: Lists of 40 documents each, over the whole table; every list has a question.  Run by both engines.
 LISTS = """
 SELECT q.query, q.targets, d.* FROM (
-  SELECT CAST(doc_id % 20 AS INT) AS query_id, CAST(row_number() OVER (PARTITION BY doc_id % 20 ORDER BY n_chars DESC, doc_id) AS INT) AS pos,
+  SELECT CAST(floor(doc_id / 40) AS INT) AS query_id, CAST(row_number() OVER (PARTITION BY floor(doc_id / 40) ORDER BY n_chars DESC, doc_id) AS INT) AS pos,
          CAST(CASE WHEN doc_id % 11 = 0 THEN doc_id - 11 ELSE doc_id END AS STRING) AS id,
          CAST(round(0.95 - 0.0007 * (n_chars % 1000), 6) AS DOUBLE) AS score, CAST(round(0.95 - 0.0007 * (n_chars % 1000), 6) AS DOUBLE) AS original_score,
          concat(lang, '-corp_', CAST(2017 + doc_id % 3 AS STRING)) AS doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE source END AS source, concat(lang, ' corp') AS company,
-         CASE WHEN doc_id % 5 = 0 THEN 'table' ELSE 'text' END AS type,
+         CASE WHEN (floor(doc_id / 40) % 3 = 0 AND doc_id % 5 = 0) OR (floor(doc_id / 40) % 3 = 1 AND doc_id % 29 = 0) THEN 'table' ELSE 'text' END AS type,
          CASE doc_id % 4 WHEN 0 THEN 'Item 7 md&a' WHEN 1 THEN 'risk overview' WHEN 2 THEN '' ELSE 'General' END AS section_path,
-         CASE WHEN doc_id % 6 = 0 THEN 'Business' END AS section_name, CASE WHEN doc_id % 5 = 0 THEN concat('T', CAST(doc_id % 13 AS STRING)) END AS table_id,
+         CASE WHEN doc_id % 13 = 0 THEN 'Business' END AS section_name, CASE WHEN doc_id % 5 = 0 THEN concat('T', CAST(doc_id % 13 AS STRING)) END AS table_id,
          CASE WHEN doc_id % 10 = 0 THEN 'cash flow' END AS table_title, CAST(doc_id % 9 AS INT) AS page, CAST(2017 + doc_id % 3 AS STRING) AS fiscal_year, text AS content
   FROM {documents}
 ) d JOIN (
   SELECT qid AS query_id,
          CASE qid % 5 WHEN 0 THEN 'Compare the en corp and fr corp risk factors of 2018' WHEN 1 THEN 'What does item 7 say about cash flow?' WHEN 2 THEN 'Who are the directors of de corp and es corp and en corp?' WHEN 3 THEN 'liquidity of the business' ELSE 'nothing in particular' END AS query,
          CASE qid % 5 WHEN 0 THEN {array}('risk', 'risks') WHEN 1 THEN {array}('item_7', 'md&a', 'financials') WHEN 2 THEN {array}('directors') WHEN 3 THEN {array}('business') ELSE CAST({array}() AS {strings}) END AS targets
-  FROM (SELECT DISTINCT CAST(doc_id % 20 AS INT) AS qid FROM {documents})
-) q ON q.query_id = d.query_id WHERE d.pos <= 40
+  FROM (SELECT DISTINCT CAST(floor(doc_id / 40) AS INT) AS qid FROM {documents})
+) q ON q.query_id = d.query_id
 """
 _DUCK_LISTS = LISTS.replace("{documents}", "documents").replace("{array}", "list_value").replace("{strings}", "VARCHAR[]").replace("AS STRING", "AS VARCHAR")
 _L = f"WITH l AS ({_DUCK_LISTS})"
@@ -65,14 +65,14 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _questions(points: DataFrame) -> DataFrame:
-    return points.filter("id < 20").select(F.col("id").cast("int").alias("query_id"), F.col("vector").alias("query_vec"))
+    return points.filter("id % 20 = 0").select(F.col("id").cast("int").alias("query_id"), F.col("vector").alias("query_vec"))
 
 
 # ---- search ---------------------------------------------------------------------------------
 
 _DENSE = """
   SELECT q.vec_id::INT AS query_id, c.vec_id AS id, round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
-  FROM embeddings c, (SELECT * FROM embeddings WHERE vec_id < 20) q
+  FROM embeddings c, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q
 """
 
 
@@ -86,16 +86,18 @@ def dense_topk(spark, sf_dir):
     return search.dense_topk(points, _questions(points), 10, 0.1)
 
 
-@_query("dense_topk_expressions", _ranked(_DENSE, 5))
+@_query("dense_topk_expressions", _ranked("SELECT * FROM (" + _DENSE + ") JOIN (SELECT vec_id AS id, label FROM embeddings) USING (id) WHERE label = (SELECT min(label) FROM embeddings e WHERE e.vec_id = query_id)", 5).replace("SELECT *", "SELECT query_id, id, score, pos", 1))
 def dense_topk_expressions(spark, sf_dir):
-    points = _points(spark, sf_dir)
-    return search.top_per_query(search.dense_scores(points, _questions(points)), 5, [F.col("score").desc(), F.col("id")])
+    rows = _table(spark, sf_dir, "embeddings")
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("query_vec"), "label")
+    pairs = asked.join(rows.select(F.col("vec_id").alias("id"), "label"), "label")  # the candidates: points of the question's label
+    return search.top_per_query(search.dense_scores(_points(spark, sf_dir), pairs), 5, [F.col("score").desc(), F.col("id")])
 
 
 _FILTERED = """
   SELECT query_id, id, score FROM (
-    SELECT q.vec_id::INT AS query_id, c.vec_id AS id, c.label, q.vec_id % 4 AS f, round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
-    FROM embeddings c, (SELECT * FROM embeddings WHERE vec_id < 20) q
+    SELECT q.vec_id::INT AS query_id, c.vec_id AS id, c.label, q.vec_id // 20 % 4 AS f, round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+    FROM embeddings c, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q
   ) WHERE f = 0 OR f = 3 OR (f = 1 AND label % 3 = 0) OR (f = 2 AND label % 3 IN (0, 1))
 """
 
@@ -105,8 +107,9 @@ def dense_topk_filtered(spark, sf_dir):
     rows = _table(spark, sf_dir, "embeddings")
     source = F.when(F.col("label") % 3 == 0, "oracle-corporation_2019").when(F.col("label") % 3 == 1, "eros-international-plc_2019").otherwise("other_2019")
     points = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), source.alias("source"))
-    ask = F.when(F.col("vec_id") % 4 == 1, "What did Oracle report?").when(F.col("vec_id") % 4 == 2, "Oracle and generosity").otherwise("Anything")
-    questions = rows.filter("vec_id < 20").select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("query_vec"), ask.alias("query"))
+    turn = F.floor(F.col("vec_id") / 20) % 4
+    ask = F.when(turn == 1, "What did Oracle report?").when(turn == 2, "Oracle and generosity").otherwise("Anything")
+    questions = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("query_vec"), ask.alias("query"))
     return search.dense_topk_filtered(points, questions, 10)
 
 
@@ -122,23 +125,24 @@ def company_filter(spark, sf_dir):
 
 
 _TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) BETWEEN 2 AND 20))"
-_ASK = "array_to_string(regexp_split_to_array(text, '\\s+')[1:3], ' ')"
-_MATCH = f"""
+
+
+def _match(items: str = "true") -> str:
+    return f"""
   SELECT q.query_id, c.doc_id AS id FROM (SELECT doc_id, {_TOKENS.format("text")} AS t FROM documents) c
-  JOIN (SELECT item_id::INT AS query_id, {_TOKENS.format(_ASK)} AS t FROM benchmark WHERE item_id < 20) q ON len(q.t) > 0 AND list_has_all(c.t, q.t)
+  JOIN (SELECT item_id::INT AS query_id, {_TOKENS.format("text")} AS t FROM benchmark WHERE {items}) q ON len(q.t) > 0 AND list_has_all(c.t, q.t)
 """
 
 
-def _asked(spark, sf_dir, words: int = 3) -> DataFrame:
-    first = F.array_join(F.slice(F.split("text", r"\s+"), 1, words), " ")
-    return _table(spark, sf_dir, "benchmark").filter("item_id < 20").select(F.col("item_id").cast("int").alias("query_id"), first.alias("query"))
+def _asked(spark, sf_dir, items: str = "true") -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").filter(items).select(F.col("item_id").cast("int").alias("query_id"), F.col("text").alias("query"))
 
 
 def _contents(spark, sf_dir) -> DataFrame:
     return _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
 
 
-@_query("text_match_leg", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id)::INT AS pos FROM ({_MATCH})) WHERE pos <= 50")
+@_query("text_match_leg", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id)::INT AS pos FROM ({_match()})) WHERE pos <= 50")
 def text_match_leg(spark, sf_dir):
     return search.text_match(_contents(spark, sf_dir), _asked(spark, sf_dir), 50)
 
@@ -147,7 +151,7 @@ _BM25 = f"""
   SELECT query_id, id, round(sum(round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)), 9)), 6) AS score FROM (
     WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) BETWEEN 2 AND 20) AS words FROM documents),
     o AS (SELECT id, len(words) AS length, unnest(words) AS token FROM w), tf AS (SELECT token, id, count(*) AS tf, max(length) AS length FROM o GROUP BY 1, 2),
-    df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), q AS (SELECT query_id, unnest(t) AS token FROM (SELECT item_id::INT AS query_id, {_TOKENS.format(_ASK)} AS t FROM benchmark WHERE item_id < 20))
+    df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), q AS (SELECT query_id, unnest(t) AS token FROM (SELECT item_id::INT AS query_id, {_TOKENS.format('text')} AS t FROM benchmark WHERE item_id % 20 = 0))
     SELECT query_id, id, tf::DOUBLE AS tf, length, df::DOUBLE AS df, (SELECT count(*) FROM w)::DOUBLE AS n, (SELECT avg(len(words)) FROM w) AS mean FROM tf JOIN df USING (token) JOIN q USING (token)
   ) GROUP BY 1, 2
 """
@@ -155,7 +159,7 @@ _BM25 = f"""
 
 @_query("bm25_leg", _ranked(_BM25, 20))
 def bm25_leg(spark, sf_dir):
-    return search.bm25(_contents(spark, sf_dir), _asked(spark, sf_dir), 20)
+    return search.bm25(_contents(spark, sf_dir), _asked(spark, sf_dir, "item_id % 20 = 0"), 20)
 
 
 @_query("rrf_fusion", f"""
@@ -182,19 +186,40 @@ def hash_embeddings(spark, sf_dir):
     return _table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.transform(hash_embedding(F.col("text")), lambda x: x.cast("int").cast("string")), ",").alias("vector"))
 
 
-_HYBRID_DENSE = f"SELECT q.k::INT AS query_id, c.k AS id, round(list_cosine_similarity(c.v, q.v), 6) AS score FROM ({_hashed('documents', 'doc_id')}) c, ({_hashed('benchmark', 'item_id', 'item_id < 20')}) q"
+_HYBRID_DENSE = f"SELECT q.k::INT AS query_id, c.k AS id, round(list_cosine_similarity(c.v, q.v), 6) AS score FROM ({_hashed('documents', 'doc_id')}) c, ({_hashed('benchmark', 'item_id', 'item_id % 20 = 0')}) q"
 
 
 @_query("hybrid_search", f"""
-WITH d AS ({_ranked(_HYBRID_DENSE, 50, "score >= 0.1")}), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id)::INT AS pos FROM ({_MATCH})) WHERE pos <= 50)
+WITH d AS ({_ranked(_HYBRID_DENSE, 50, "score >= 0.1")}), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id)::INT AS pos FROM ({_match('item_id % 20 = 0')})) WHERE pos <= 50)
 SELECT query_id, id, score, pos FROM ({_ranked("SELECT query_id, id, round(sum(1.0 / (1 + pos)), 6) AS score FROM (SELECT query_id, id, pos FROM d UNION ALL SELECT query_id, id, pos FROM t) GROUP BY 1, 2", 50)})
 """)
 def hybrid_search(spark, sf_dir):
     chunks = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), hash_embedding(F.col("text")).alias("vector"))
-    items = _table(spark, sf_dir, "benchmark").filter("item_id < 20").select(F.col("item_id").cast("int").alias("query_id"), hash_embedding(F.col("text")).alias("query_vec"))
+    items = _table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").cast("int").alias("query_id"), hash_embedding(F.col("text")).alias("query_vec"))
     return search.hybrid_search(chunks, items.join(_asked(spark, sf_dir), "query_id"), 5)
 
 
+#: Every other question names a company, and its lists hold only that company's chunks.
+_OF_COMPANY = "f = 1 OR contains(source, 'oracle-corporation')"
+
+
+@_query("hybrid_filtered", f"""
+WITH c AS (SELECT k AS id, v, {_TOKENS.format("'oracle ' || text")} AS t, CASE k % 3 WHEN 0 THEN 'oracle-corporation_2019' WHEN 1 THEN 'eros-international-plc_2019' ELSE 'other_2019' END AS source FROM ({_hashed('documents', 'doc_id')})),
+q AS (SELECT k::INT AS query_id, v, k // 20 % 2 AS f FROM ({_hashed('benchmark', 'item_id', 'item_id % 20 = 0')})),
+p AS (SELECT query_id, id, round(list_cosine_similarity(c.v, q.v), 6) AS score FROM c, q WHERE {_OF_COMPANY}),
+d AS ({_ranked("SELECT * FROM p", 50, "score >= 0.1")}),
+m AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id)::INT AS pos FROM c JOIN q ON list_has_all(c.t, CASE WHEN f = 0 THEN ['oracle', 'the'] ELSE ['that'] END) WHERE {_OF_COMPANY})
+SELECT query_id, id, score, pos FROM ({_ranked("SELECT query_id, id, round(sum(1.0 / (1 + pos)), 6) AS score FROM (SELECT query_id, id, pos FROM d UNION ALL SELECT query_id, id, pos FROM m WHERE pos <= 50) GROUP BY 1, 2", 50)})
+""")
+def hybrid_filtered(spark, sf_dir):
+    d, item = F.col("doc_id"), F.col("item_id")
+    source = F.when(d % 3 == 0, "oracle-corporation_2019").when(d % 3 == 1, "eros-international-plc_2019").otherwise("other_2019")
+    chunks = _docs(spark, sf_dir).select(d.alias("id"), F.concat(F.lit("oracle "), "text").alias("content"), hash_embedding(F.col("text")).alias("vector"), source.alias("source"))
+    ask = F.when(F.floor(item / 20) % 2 == 0, "Oracle: the").otherwise("that")
+    items = _table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select(item.cast("int").alias("query_id"), hash_embedding(F.col("text")).alias("query_vec"), ask.alias("query"))
+    return search.hybrid_search(chunks, search.company_filter(items), 5)
+
+
 # ---- after retrieval ------------------------------------------------------------------------
 
 _OUT = ["query_id", "pos", "id", "score"]
@@ -209,10 +234,10 @@ SELECT doc_id, array_to_string(list_concat(list_transform(regexp_extract_all(q,
   CASE WHEN contains(q, 'controls') OR contains(q, 'internal control') OR contains(q, 'item 9a') THEN 'controls' END,
   CASE WHEN contains(q, 'business') OR contains(q, 'item 1') THEN 'business' END,
   CASE WHEN contains(q, 'board of directors') OR contains(q, 'directors') OR contains(q, 'item 10') THEN 'directors' END], lambda x: x IS NOT NULL)), ',') AS targets
-FROM (SELECT doc_id, lower('Item ' || doc_id % 12 || chr(97 + (doc_id % 3)::INT) || ' and item  ' || doc_id % 11 || ' ' || CASE doc_id % 3 WHEN 0 THEN 'Risks' WHEN 1 THEN 'Cash Flow' ELSE 'internal controls' END || ' ' || substr(text, 1, 40)) AS q FROM documents)
+FROM (SELECT doc_id, lower('Item ' || doc_id % 12 || chr(97 + (doc_id % 3)::INT) || ' and item  ' || doc_id % 11 || ' ' || CASE doc_id % 3 WHEN 0 THEN 'Risks' WHEN 1 THEN 'Cash Flow' ELSE 'internal controls' END || ' ' || text) AS q FROM documents)
 """)
 def section_route(spark, sf_dir):
-    ask = F.concat(F.lit("Item "), (F.col("doc_id") % 12).cast("string"), F.char(97 + F.col("doc_id") % 3), F.lit(" and item  "), (F.col("doc_id") % 11).cast("string"), F.lit(" "), F.when(F.col("doc_id") % 3 == 0, "Risks").when(F.col("doc_id") % 3 == 1, "Cash Flow").otherwise("internal controls"), F.lit(" "), F.substring("text", 1, 40))
+    ask = F.concat(F.lit("Item "), (F.col("doc_id") % 12).cast("string"), F.char(97 + F.col("doc_id") % 3), F.lit(" and item  "), (F.col("doc_id") % 11).cast("string"), F.lit(" "), F.when(F.col("doc_id") % 3 == 0, "Risks").when(F.col("doc_id") % 3 == 1, "Cash Flow").otherwise("internal controls"), F.lit(" "), "text")
     return _docs(spark, sf_dir).select("doc_id", F.array_join(postprocess.route_sections(ask), ",").alias("targets"))
 
 
@@ -234,19 +259,19 @@ _SAMPLE = "list_transform(range(6), lambda j: round(j * (n - 1) / 5.0)::INT)"
 
 
 @_query("table_topup", f"""
-{_L}, t AS (SELECT lang || '-corp_' || (2017 + doc_id % 3) AS doc_id, (doc_id + 1000000)::VARCHAR AS id, (doc_id % 50)::INT AS page, 'T' || doc_id % 17 AS table_id FROM documents WHERE doc_id % 3 = 0),
+{_L}, t AS (SELECT lang || '-corp_' || (2017 + doc_id % 3) AS doc_id, (doc_id + 1000000)::VARCHAR AS id, (doc_id % 50)::INT AS page, 'T' || doc_id % 17 AS table_id FROM documents),
 s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY id) AS scroll FROM t) WHERE scroll <= 50),
-q AS (SELECT query_id, min_by(score, pos) AS top FROM l WHERE query_id >= 5 GROUP BY 1 HAVING count(*) FILTER (WHERE type = 'table') < 3),
+q AS (SELECT query_id, min_by(score, pos) AS top FROM l GROUP BY 1 HAVING count(*) FILTER (WHERE type = 'table') < 3),
 k AS (SELECT query_id, doc_id AS key, min(pos) AS doc_pos FROM l JOIN q USING (query_id) GROUP BY 1, 2),
 r AS (SELECT k.query_id, s.id, doc_pos, top, row_number() OVER (PARTITION BY k.query_id, key ORDER BY page, table_id, scroll) - 1 AS i, count(*) OVER (PARTITION BY k.query_id, key) AS n FROM k JOIN q USING (query_id) JOIN s ON s.doc_id = k.key),
 a AS (SELECT *, CASE WHEN n <= 6 THEN i ELSE list_position({_SAMPLE}, i::INT) - 1 END AS idx FROM r),
-u AS (SELECT query_id, 0 AS added, pos, id, score FROM l WHERE query_id >= 5 UNION ALL SELECT query_id, 1, doc_pos * 6 + idx, id, round(top + 1.0 - idx * 0.01, 6) FROM a WHERE idx >= 0)
+u AS (SELECT query_id, 0 AS added, pos, id, score FROM l UNION ALL SELECT query_id, 1, doc_pos * 6 + idx, id, round(top + 1.0 - idx * 0.01, 6) FROM a WHERE idx >= 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, added, pos)::INT AS pos, id, score FROM u
 """)
 def table_topup(spark, sf_dir):
-    docs = _docs(spark, sf_dir).filter("doc_id % 3 = 0")
+    docs = _docs(spark, sf_dir)
     tables = docs.select(F.concat("lang", F.lit("-corp_"), (2017 + F.col("doc_id") % 3).cast("string")).alias("doc_id"), (F.col("doc_id") + 1000000).cast("string").alias("id"), (F.col("doc_id") % 50).cast("int").alias("page"), F.concat(F.lit("T"), (F.col("doc_id") % 17).cast("string")).alias("table_id"), F.lit("table").alias("type"))
-    return postprocess.table_topup(_lists(spark, sf_dir).filter("query_id >= 5"), tables, 50).select(*_OUT)
+    return postprocess.table_topup(_lists(spark, sf_dir), tables, 50).select(*_OUT)
 
 
 @_query("section_filter_refill", f"""
@@ -338,13 +363,13 @@ def chunk_min_length(spark, sf_dir):
 
 
 @_query("section_carry_forward", """
-WITH b AS (SELECT doc_id % 40 AS d, doc_id, CASE WHEN doc_id % 6 = 0 THEN 'Item ' || doc_id % 10 || 'A. ' || lang || chr(10) || 'body' WHEN doc_id % 35 = 0 THEN 'SIGNATURES of ' || lang ELSE substr(text, 1, 60) END AS t FROM documents),
+WITH b AS (SELECT doc_id % 40 AS d, doc_id, CASE WHEN doc_id % 6 = 0 THEN 'Item ' || doc_id % 10 || 'A. ' || lang || chr(10) || 'body' WHEN doc_id % 35 = 0 THEN 'SIGNATURES of ' || lang ELSE text END AS t FROM documents),
 h AS (SELECT d, doc_id, trim(split_part(t, chr(10), 1)) AS line FROM b)
 SELECT doc_id, coalesce(last_value(CASE WHEN regexp_matches(line, '(?i)^\\s*(Table\\s+of\\s+Contents\\b|Item\\s+\\d+[A-Z]?\\b|Management[’'']?s\\s+Discussion\\b|Consolidated\\s+(Statements?|Statement)\\b|Notes?\\s+to\\s+Consolidated\\s+Financial\\s+Statements\\b|Report\\s+of\\s+Independent\\b|Exhibit\\s+Index\\b|Signatures\\b)') THEN line END IGNORE NULLS)
   OVER (PARTITION BY d ORDER BY doc_id ROWS UNBOUNDED PRECEDING), 'General') AS section_path FROM h
 """)
 def section_carry_forward(spark, sf_dir):
-    text = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("Item "), (F.col("doc_id") % 10).cast("string"), F.lit("A. "), "lang", F.lit("\nbody"))).when(F.col("doc_id") % 35 == 0, F.concat(F.lit("SIGNATURES of "), "lang")).otherwise(F.substring("text", 1, 60))
+    text = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("Item "), (F.col("doc_id") % 10).cast("string"), F.lit("A. "), "lang", F.lit("\nbody"))).when(F.col("doc_id") % 35 == 0, F.concat(F.lit("SIGNATURES of "), "lang")).otherwise(F.col("text"))
     blocks = _docs(spark, sf_dir).select((F.col("doc_id") % 40).alias("d"), "doc_id", text.alias("text"))
     return chunking.carry_sections(blocks, "d", ["doc_id"]).select("doc_id", "section_path")
 
@@ -390,7 +415,7 @@ def _fixture_chunks(spark, sf_dir) -> DataFrame:
         F.when(d % 6 == 0, "Statement of Income").when(d % 6 == 1, "Cash Flow notes").alias("section_name"),
         F.when(d % 7 != 0, (d % 9).cast("int")).alias("page"),
         F.when(d % 8 == 0, "t1.csv").when(d % 8 == 1, "Segments").when(d % 8 == 2, "").alias("table_title"),
-        F.when(d % 10 == 0, F.concat(F.lit("June 30 and September 30 "), F.substring("text", 1, 30))).otherwise(F.substring("text", 1, 30)).alias("text"),
+        F.when(d % 10 == 0, F.concat(F.lit("June 30 and September 30 "), "text")).otherwise(F.col("text")).alias("text"),
     )
 
 
@@ -398,7 +423,7 @@ _FIXTURE = """
   SELECT doc_id AS line_no, lang || '-corp_' || (2017 + doc_id % 3) AS doc_id, CASE WHEN doc_id % 3 = 0 THEN source END AS source0, CASE WHEN doc_id % 5 = 0 THEN 'table' ELSE 'text' END AS type,
     CASE doc_id % 4 WHEN 0 THEN 'Board of Directors' WHEN 1 THEN '' WHEN 2 THEN 'Properties' END AS section_path, CASE doc_id % 6 WHEN 0 THEN 'Statement of Income' WHEN 1 THEN 'Cash Flow notes' END AS section_name,
     CASE WHEN doc_id % 7 <> 0 THEN doc_id % 9 END AS page, CASE doc_id % 8 WHEN 0 THEN 't1.csv' WHEN 1 THEN 'Segments' WHEN 2 THEN '' END AS title0,
-    CASE WHEN doc_id % 10 = 0 THEN 'June 30 and September 30 ' || substr(text, 1, 30) ELSE substr(text, 1, 30) END AS text FROM documents
+    CASE WHEN doc_id % 10 = 0 THEN 'June 30 and September 30 ' || text ELSE text END AS text FROM documents
 """
 _ENRICHED = f"""
   WITH f AS ({_FIXTURE}), n AS (SELECT *, coalesce(source0, doc_id) AS source, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS chunk_id, count(*) OVER (PARTITION BY doc_id) AS total,
@@ -440,29 +465,31 @@ def point_ids(spark, sf_dir):
 # ---- store, gold, summaries -----------------------------------------------------------------
 
 
-def _store_points(spark, sf_dir, condition: str, mark: str) -> DataFrame:
-    return _docs(spark, sf_dir).filter(condition).select((F.col("doc_id") % 700).cast("string").alias("id"), "doc_id", F.lit(0).alias("chunk_id"), "source", F.concat(F.lit(mark), F.substring("text", 1, 20)).alias("content"))
+def _store_points(spark, sf_dir, key, mark: str) -> DataFrame:
+    return _docs(spark, sf_dir).select(key.cast("string").alias("id"), "doc_id", F.lit(0).alias("chunk_id"), "source", F.concat(F.lit(mark), "text").alias("content"))
 
 
 @_query("upsert_merge", """
-WITH n AS (SELECT * FROM (SELECT (doc_id % 700)::VARCHAR AS id, doc_id, 0 AS chunk_id, source, 'new ' || substr(text, 1, 20) AS content, row_number() OVER (PARTITION BY doc_id % 700 ORDER BY doc_id DESC) AS r FROM documents WHERE doc_id % 2 = 1) WHERE r = 1)
+WITH n AS (SELECT * FROM (SELECT (doc_id // 2 * 3)::VARCHAR AS id, doc_id, 0 AS chunk_id, source, 'new ' || text AS content, row_number() OVER (PARTITION BY doc_id // 2 ORDER BY doc_id DESC) AS r FROM documents) WHERE r = 1)
 SELECT id, doc_id, chunk_id::INT AS chunk_id, source, content FROM n UNION ALL
-SELECT (doc_id % 700)::VARCHAR, doc_id, 0, source, 'old ' || substr(text, 1, 20) FROM documents WHERE doc_id < 500 AND (doc_id % 700)::VARCHAR NOT IN (SELECT id FROM n)
+SELECT doc_id::VARCHAR, doc_id, 0, source, 'old ' || text FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT id FROM n)
 """)
 def upsert_merge(spark, sf_dir):
-    return store.merge_points(_store_points(spark, sf_dir, "doc_id < 500", "old "), _store_points(spark, sf_dir, "doc_id % 2 = 1", "new ")).select("id", "doc_id", "chunk_id", "source", "content")
+    old, new = _store_points(spark, sf_dir, F.col("doc_id"), "old "), _store_points(spark, sf_dir, F.floor(F.col("doc_id") / 2) * 3, "new ")
+    return store.merge_points(old, new).select("id", "doc_id", "chunk_id", "source", "content")
 
 
-@_query("delete_by_source", "SELECT doc_id, source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 97 = 5)")
+@_query("delete_by_source", "SELECT doc_id, source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE source LIKE '%3')")
 def delete_by_source(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", "source")
-    return store.delete_sources(docs, docs.filter("doc_id % 97 = 5")).select("doc_id", "source")
+    return store.delete_sources(docs, docs.filter("source like '%3'")).select("doc_id", "source")
 
 
-@_query("exclusion_anti_join", "SELECT p_partkey, p_name AS name FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 3 = 0)")
+@_query("exclusion_anti_join", "SELECT c_custkey, c_name AS name FROM customer WHERE c_name NOT IN (SELECT trim(c_name) FROM customer WHERE c_custkey % 3 = 0)")
 def exclusion_anti_join(spark, sf_dir):
-    part = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"))
-    return readers.without_excluded(part, part.filter("p_partkey % 3 = 0").select("name")).select("p_partkey", "name")
+    files = _table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"))
+    excluded = files.filter("c_custkey % 3 = 0").select(F.concat(F.lit(" "), "name", F.lit(" ")).alias("name"))
+    return readers.without_excluded(files, excluded).select("c_custkey", "name")
 
 
 @_query("store_verify", "SELECT count(*) AS n_points, count(*) FILTER (WHERE embedding IS NULL) AS no_vector, count(DISTINCT len(embedding)) AS n_dimensions, max(len(embedding))::INT AS dimension, count(*) FILTER (WHERE label::VARCHAR = '3') AS no_content, count(DISTINCT vec_id) AS n_ids FROM embeddings")
@@ -471,24 +498,26 @@ def store_verify(spark, sf_dir):
     return store.verify(rows)
 
 
-@_query("scroll_scan", "SELECT query_id, doc_id, id FROM (SELECT c_custkey::INT AS query_id, o_custkey AS doc_id, o_orderkey AS id, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS r FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 10 = 0) WHERE r <= 3")
+@_query("scroll_scan", "SELECT query_id, doc_id, id FROM (SELECT c_custkey::INT AS query_id, o_custkey AS doc_id, o_orderkey AS id, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS r FROM customer JOIN orders ON o_custkey = c_custkey) WHERE r <= 3")
 def scroll_scan(spark, sf_dir):
     points = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("id"))
-    wanted = _table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0").select(F.col("c_custkey").cast("int").alias("query_id"), F.col("c_custkey").alias("doc_id"))
+    wanted = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("query_id"), F.col("c_custkey").alias("doc_id"))
     return store.scroll(points, wanted, 3).select("query_id", "doc_id", "id")
 
 
 _NORM = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
+_QUERY_IDS = "SELECT DISTINCT floor(doc_id / 40)::INT AS query_id FROM documents"
+#: A list's gold: the items of its class of 20; lists of the class 19 have none, and an item in seven is a file.
 _GOLD = f"""
-  SELECT query_id, gold_index::INT AS gold_index, nt, fn FROM (
-    SELECT (item_id % 20)::INT AS query_id, item_id // 20 AS gold_index, CASE WHEN item_id % 7 <> 3 THEN {_NORM.format("text")} ELSE '' END AS nt, CASE WHEN item_id % 7 = 3 THEN 'src' || item_id % 10 END AS fn FROM benchmark WHERE item_id % 20 <> 19)
+  SELECT query_id, (item_id // 20)::INT AS gold_index, CASE WHEN item_id % 7 <> 3 THEN {_NORM.format("text")} ELSE '' END AS nt, CASE WHEN item_id % 7 = 3 THEN 'src' || item_id % 10 END AS fn
+  FROM benchmark JOIN ({_QUERY_IDS}) ON item_id % 20 = query_id % 20 WHERE item_id % 20 <> 19
 """
 _MATCHED = f"""
   SELECT l.query_id, l.pos, coalesce(min(g.gold_index) FILTER (WHERE nt <> '' AND (contains(t, nt) OR contains(nt, t))), min(g.gold_index) FILTER (WHERE fn IS NOT NULL AND (contains(source, fn) OR contains(doc_id, fn) OR contains(lower(section_path), fn)))) AS gold_index
-  FROM (SELECT query_id, pos, {_NORM.format("content")} AS t, source, doc_id, section_path FROM docs WHERE pos <= 60) l LEFT JOIN ({_GOLD}) g USING (query_id) GROUP BY 1, 2
+  FROM (SELECT query_id, pos, {_NORM.format("content")} AS t, source, doc_id, section_path FROM docs) l LEFT JOIN ({_GOLD}) g USING (query_id) GROUP BY 1, 2
 """
-_GOLD_DOCS = "docs AS (SELECT (doc_id % 20)::INT AS query_id, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY n_chars DESC, doc_id) AS pos, text AS content, source, lang AS doc_id, 'x' AS section_path FROM documents)"
-_TOTALS = f"totals AS (SELECT DISTINCT (doc_id % 20)::INT AS query_id, coalesce(n, 0) AS total_gold FROM documents LEFT JOIN (SELECT query_id, count(*) AS n FROM ({_GOLD}) GROUP BY 1) g ON g.query_id = doc_id % 20)"
+_GOLD_DOCS = "docs AS (SELECT floor(doc_id / 40)::INT AS query_id, row_number() OVER (PARTITION BY floor(doc_id / 40) ORDER BY n_chars DESC, doc_id) AS pos, text AS content, source, lang AS doc_id, 'x' AS section_path FROM documents)"
+_TOTALS = f"totals AS (SELECT query_id, coalesce(n, 0) AS total_gold FROM ({_QUERY_IDS}) LEFT JOIN (SELECT query_id, count(*) AS n FROM ({_GOLD}) GROUP BY 1) USING (query_id))"
 _METRICS = f"""
 WITH {_GOLD_DOCS}, m AS ({_MATCHED}), {_TOTALS}, k AS (SELECT unnest([1, 3, 5, 10]) AS k),
 f AS (SELECT query_id, k, count(*) AS n, count(gold_index) AS relevant, count(DISTINCT gold_index) AS covered FROM m, k WHERE pos <= k GROUP BY 1, 2),
@@ -504,20 +533,18 @@ ranks AS (SELECT query_id, CASE WHEN total_gold > 0 AND best IS NOT NULL THEN ro
 """
 
 
-def _gold(spark, sf_dir, most: int | None = 60):
-    docs = _docs(spark, sf_dir)
-    w = Window.partitionBy("query_id").orderBy(F.col("n_chars").desc(), F.col("n"))
-    rows = docs.select((F.col("doc_id") % 20).cast("int").alias("query_id"), F.col("doc_id").alias("n"), "n_chars", F.col("text").alias("content"), "source", F.col("lang").alias("doc_id"), F.lit("x").alias("section_path"))
-    rows = rows.withColumn("pos", F.row_number().over(w)).drop("n", "n_chars")
-    rows = rows if most is None else rows.filter(F.col("pos") <= most)
+def _gold(spark, sf_dir):
+    docs = _docs(spark, sf_dir).withColumn("query_id", F.floor(F.col("doc_id") / 40).cast("int"))
+    w = Window.partitionBy("query_id").orderBy(F.col("n_chars").desc(), F.col("doc_id"))
+    rows = docs.withColumn("pos", F.row_number().over(w)).select("query_id", F.col("text").alias("content"), "source", F.col("lang").alias("doc_id"), F.lit("x").alias("section_path"), "pos")
     items = _table(spark, sf_dir, "benchmark").filter("item_id % 20 <> 19")
     is_file = F.col("item_id") % 7 == 3
     entry = F.struct(F.when(is_file, "file").otherwise(F.lit(None)).alias("type"), F.when(is_file, F.concat(F.lit("gold\\set/SRC"), (F.col("item_id") % 10).cast("string"))).otherwise(F.col("text")).alias("content"))
     held = F.array_sort(F.collect_list(F.struct((F.floor(F.col("item_id") / 20)).alias("i"), entry.alias("g"))))
-    entries = items.groupBy((F.col("item_id") % 20).cast("int").alias("query_id")).agg(F.transform(held, lambda x: x["g"]).alias("gold"))
-    gold = readers.explode_gold(entries)
-    totals = evaluation.gold_counts(docs.select((F.col("doc_id") % 20).cast("int").alias("query_id")).distinct(), gold)
-    return rows, gold, totals
+    entries = items.groupBy((F.col("item_id") % 20).cast("int").alias("class")).agg(F.transform(held, lambda x: x["g"]).alias("gold"))
+    asked = docs.select("query_id").distinct()
+    gold = readers.explode_gold(asked.join(entries, F.col("query_id") % 20 == F.col("class")).select("query_id", "gold"))
+    return rows, gold, evaluation.gold_counts(asked, gold)
 
 
 @_query("gold_match", f"WITH {_GOLD_DOCS} SELECT query_id, pos::INT AS pos, gold_index FROM ({_MATCHED})")
@@ -585,11 +612,11 @@ def report_means(spark, sf_dir):
 
 
 @_query("prompt_build", f"""
-{_L}, c AS (SELECT query_id, any_value(query) AS query, list(substr(content, 1, 200) ORDER BY pos) AS c FROM l WHERE pos <= 5 GROUP BY 1)
+{_L}, c AS (SELECT query_id, any_value(query) AS query, list(content ORDER BY pos) AS c FROM l WHERE pos <= 5 GROUP BY 1)
 SELECT query_id, '{prompts.OPENING.replace("'", "''")}' || chr(10) || chr(10) || array_to_string(list_transform(c, lambda x, i: 'Context ' || i || ':' || chr(10) || x), chr(10) || chr(10)) || chr(10) || chr(10) || 'Question: ' || query || chr(10) || chr(10) || '{prompts.CLOSING.replace("'", "''")}' AS prompt FROM c
 """)
 def prompt_build(spark, sf_dir):
-    rows = _lists(spark, sf_dir).withColumn("content", F.substring("content", 1, 200))
+    rows = _lists(spark, sf_dir)
     asked = rows.select("query_id", "query").distinct()
     return prompts.collect_contexts(rows, 5).join(asked, "query_id").select("query_id", prompts.prompt(F.col("query"), F.col("contexts")).alias("prompt"))
 
@@ -637,10 +664,12 @@ def path_functions(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", tx.normalize_path(path).alias("path"), tx.basename(path).alias("base"), F.array_join(tx.path_suffixes(path), ";").alias("suffixes"))
 
 
-@_query("highlight", "SELECT item_id, replace(e, substr(e, 11, 20), '<mark>' || substr(e, 11, 20) || '</mark>') AS html FROM (SELECT item_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS e FROM benchmark) WHERE NOT contains(e, '&') AND NOT contains(e, '\"') AND NOT contains(e, '''')")
+_ESCAPED = """replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')"""
+
+
+@_query("highlight", f"SELECT doc_id, CASE WHEN p = '' THEN e ELSE replace(e, p, '<mark>' || p || '</mark>') END AS html FROM (SELECT doc_id, {_ESCAPED.format('text')} AS e, {_ESCAPED.format('substr(text, 11, 20)')} AS p FROM documents)")
 def highlight(spark, sf_dir):
-    items = _table(spark, sf_dir, "benchmark").filter(~F.col("text").rlike("[&<>\"']"))
-    return items.select("item_id", tx.highlight(F.col("text"), F.substring("text", 11, 20)).alias("html"))
+    return _docs(spark, sf_dir).select("doc_id", tx.highlight(F.col("text"), F.substring("text", 11, 20)).alias("html"))
 
 
 @_query("event_latency_by_type", "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.9), 4) AS p90 FROM events GROUP BY 1")
@@ -666,7 +695,7 @@ def record_chunks(spark, sf_dir):
 
 @_query("fuzzy_match")
 def fuzzy_match(spark, sf_dir):
-    rows, gold, _ = _gold(spark, sf_dir, None)
+    rows, gold, _ = _gold(spark, sf_dir)
     return evaluation.match_gold(rows, gold, evaluation.FUZZY_THRESHOLD).select("query_id", "pos", "gold_index")
 
 

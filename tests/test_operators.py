@@ -236,7 +236,7 @@ def test_dense_topk_legs_agree(spark):
     points = spark.createDataFrame([(i, [float(x) for x in draw.normal(size=8)] if i % 9 else [0.0] * 8) for i in range(200)] + [(999, None)], "id long, vector array<float>")
     asked = points.filter("id > 0 and id < 8 ").select(F.col("id").cast("int").alias("query_id"), F.col("vector").alias("query_vec"))
     order = [F.col("score").desc(), F.col("id")]
-    expected = search.top_per_query(search.dense_scores(points, asked, 0.0), 5, order)
+    expected = search.top_per_query(search.dense_scores(points, asked.crossJoin(points.select("id"))).filter("score >= 0"), 5, order)
     got = search.dense_topk(points.repartition(7), asked, 5, 0.0)
     key = lambda f: sorted((r["query_id"], r["pos"], r["id"], r["score"]) for r in f.collect())
     assert key(got) == key(expected)
@@ -244,6 +244,30 @@ def test_dense_topk_legs_agree(spark):
     assert first == [r for r in key(got) if r[1] <= 3]
 
 
+def test_dense_topk_takes_queries_in_parts(spark, monkeypatch):
+    draw = np.random.default_rng(2)
+    points = spark.createDataFrame([(i, [float(x) for x in draw.normal(size=6)] if i % 7 else [0.0] * 6) for i in range(120)], "id long, vector array<float>")
+    asked = points.filter("id < 30").select(F.col("id").cast("int").alias("query_id"), F.col("vector").alias("query_vec"))
+    key = lambda f: sorted((r["query_id"], r["pos"], r["id"], r["score"]) for r in f.collect())
+    whole = key(search.dense_topk(points, asked, 4))
+    monkeypatch.setattr(search, "MOST_QUERIES", 8)
+    assert key(search.dense_topk(points, asked, 4)) == whole and len(whole) == 120
+    none = search.dense_topk(points, asked.limit(0), 4)
+    assert none.columns == ["query_id", "id", "score", "pos"] and none.count() == 0
+    empty = asked.limit(0).withColumn("query", F.lit(""))
+    assert search.dense_topk_filtered(points.withColumn("source", F.lit("x")), empty, 4).count() == 0
+
+
+@pytest.mark.parametrize("mode", ["match", "bm25"])
+def test_filters_come_before_the_cut(spark, mode):
+    rows = [(i, "oracle cash flow", [1.0, 0.5], "other_2019") for i in range(300)] + [(300, "oracle cash flow", [0.1, 1.0], "oracle-corporation_2019"), (301, "oracle cash flow", [1.0, 0.5], None)]
+    chunks = spark.createDataFrame(rows, "id long, content string, vector array<double>, source string")
+    asked = search.company_filter(spark.createDataFrame([(0, "oracle cash flow", [1.0, 0.5])], "query_id int, query string, query_vec array<double>"))
+    leg = search.text_match if mode == "match" else search.bm25
+    assert [r["id"] for r in leg(chunks, asked, 200).collect()] == [300]
+    assert [r["id"] for r in search.hybrid_search(chunks, asked, 20, text_mode=mode).collect()] == [300]
+
+
 def test_company_filter_is_by_substring(spark):
     asked = search.company_filter(spark.createDataFrame([(0, "nothing"), (1, "generosity"), (2, "OSG and Overseas, a10")], "query_id int, query string"))
     assert [sorted(r["wanted"]) for r in asked.orderBy("query_id").collect()] == [[], ["eros-international-plc"], ["a10-networks-inc", "overseas-shipholding-group-inc"]]
