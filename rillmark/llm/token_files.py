@@ -1,20 +1,22 @@
 """Token ids in compressed binary files, in ascending order of documents.
 
 Documents are dealt by ranges of their identifier and sorted, so that the files of ascending
-partitions hold the ids of all documents in order.  A file is a sequence of blocks of BLOCK ids
-(the last may be shorter), each coded from a fresh state with a CRC-32 of its ids, and an index of
-documents (identifier, number of ids) behind them.
-
-A block's coder is adaptive.  Three predictions are mixed for each id: the id that last followed
-the two ids before it (order 2), the one that last followed the id before it (order 1), and the
-frequencies of ids so far, by their number of bits (order 0).  The weights of the three are adaptive
-counts, held apart by what orders 1 and 2 say and by how the last ids were found.  The choice, and
-the parts of the id where order 0 has to tell it, go through a range coder with 32-bit state.  Blocks
-being independent, numpy codes up to LANES of them in step, an id of every block at a time.
+partitions hold the ids of all documents in order.  A file is a sequence of groups of blocks of BLOCK
+ids (the last may be shorter).  Each block is coded from a fresh state with a CRC-32 of its ids; an
+index of documents (identifier, number of ids) stands in chunks between the groups, each ahead of
+the groups that hold its documents, so that neither writing nor reading holds a file's index.
+
+A block's coder mixes contexts.  An id is coded digit by digit (base 16).  For every digit three
+predictions are mixed into one distribution, which drives a range coder with 32-bit state: order 2
+(the id that its cell last learned behind the two ids before), order 1 (behind the id before) and
+order 0 (adaptive counts of the digit behind the digits so far).  Orders 1 and 2 give their digit a
+weight as long as the digits so far agree with their id; the weights are adaptive probabilities that
+such a guess holds, kept for each digit and for how often the cell has been right.  Blocks being
+independent, numpy codes up to LANES of them in step, a digit of every block at a time.
 
 Defined cases: null text counts as empty and still gets its end id; null identifiers come first;
 rows that repeat an identifier stand side by side; an empty table writes no file; further columns
-are ignored.
+are ignored; strings that look like special tokens get what the library gives them.
 """
 
 from __future__ import annotations
@@ -37,80 +39,115 @@ from rillmark.llm.shared import materialize, new_path, partitions
 
 BLOCK = 2048
 LANES = 1536
-TABLE = 1 << 11
-NONE = 65535  # an id that no vocabulary here has
-MAGIC = b"RTOK\x01\x00\x00\x00"
-_TOP = 1 << 16
-_STEP, _MOST = 24, 1 << 12
+MAGIC = b"RTOK\x02\x00\x00\x00"
+_INDEX, _GROUP, _END = 1, 2, 0  # kinds of a file's sections
 _RUN = re.compile(r"\s ")
 CACHED_CHUNKS = 500_000
-_CLASS = np.maximum(0, np.frexp(np.arange(1 << 16, dtype=np.float64))[1] - 1)  # ids by their number of bits
-_CLASS_BASE = np.array([0, *(1 << c for c in range(1, 16))])
-_CLASS_SIZE = np.array([2, *(1 << c for c in range(1, 16))])
+INDEX_DOCUMENTS = 20_000
+FILE_TOKENS = 1 << 24  # a partition's next file begins at the next document
+
+_TOP = 1 << 16  # the coder's range never falls below
+_SCALE = 1 << 15  # the frequencies of a digit add up to this
+_CELLS = 1 << 11  # of each of orders 1 and 2
+_NODES, _HASHED = 1 + 16 + 256, 1 << 10  # order 0: nodes by the first two digits; by hash for longer prefixes
+_STEP, _MOST = 20, 1 << 11  # a count's growth, and the sum at which a node's counts are halved
+_SURE = 16  # levels of how often a cell was right
+_KEPT = 4  # a cell this sure survives one miss
+_RIGHT, _WRONG, _RATE = _SCALE - 2048, 512, 4  # bounds of a weight, and its speed
+
+
+_UP = np.arange(1, 17, dtype=np.uint32)
+_FROM = np.tri(16, dtype=np.uint32).T.copy()  # row d: 1 from d on
 
 
 class _Model:
     """Adaptive state of all lanes; the same calls in the same order serve coding and decoding."""
 
-    def __init__(self, lanes: int):
-        self.lanes = lanes
+    def __init__(self, lanes: int, digits: int):
+        self.lanes, self.digits = lanes, digits
         self.row = np.arange(lanes)
-        self.after_one = np.full(lanes * TABLE, NONE, np.uint16)
-        self.after_two = np.full(lanes * TABLE, NONE, np.uint16)
+        self.counts = np.ones((lanes * (_NODES + _HASHED), 16), np.uint16)
+        self.guess = [np.full(lanes * _CELLS, -1, np.int32) for _ in range(2)]
+        self.sure = [np.zeros(lanes * _CELLS, np.uint8) for _ in range(2)]
+        start = (np.linspace(0.15, 0.95, _SURE) * _SCALE).astype(np.int32)
+        self.odds = [np.tile(start, lanes * digits) for _ in range(2)]
         self.one = np.zeros(lanes, np.int64)
         self.two = np.zeros(lanes, np.int64)
-        self.past = np.zeros(lanes, np.int64)
-        self.choice = [np.full(lanes * 36, 4, np.int64) for _ in range(3)]
-        self.classes = np.ones((lanes, 16), np.int32)
-
-    def predict(self) -> None:
-        base = self.row * TABLE
-        self.at_one = base + ((self.one * 0x9E3B) >> 4 & (TABLE - 1))
-        self.at_two = base + (((self.one * 0x9E3B) ^ (self.two * 0x3C6F35)) >> 3 & (TABLE - 1))
-        self.guess_one, self.guess_two = self.after_one[self.at_one], self.after_two[self.at_two]
-        kind = (self.guess_two == NONE) * 2 + ((self.guess_one == self.guess_two) | (self.guess_one == NONE))
-        self.cell = self.row * 36 + kind * 9 + self.past
-        self.first, second, third = (c[self.cell] for c in self.choice)
-        self.both = self.first + second
-        self.total = self.both + third
-
-    def span(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each lane's choice lies in its weights, and how wide it is."""
-        below = np.where(chosen == 0, 0, np.where(chosen == 1, self.first, self.both))
-        return below, np.where(chosen == 0, self.first, np.where(chosen == 1, self.both, self.total)) - below
-
-    def learn(self, ids: np.ndarray, chosen: np.ndarray) -> None:
-        for k, counts in enumerate(self.choice):
-            own = self.cell[chosen == k]
-            counts[own] += _STEP
-        full = self.cell[self.total > _MOST - 2 * _STEP]
-        if len(full):
-            for counts in self.choice:
-                counts[full] = (counts[full] + 1) >> 1
-        self.after_one[self.at_one] = ids
-        self.after_two[self.at_two] = ids
-        self.two, self.one = self.one, ids
-        self.past = (self.past % 3) * 3 + chosen
 
-    def learn_class(self, lanes: np.ndarray, kind: np.ndarray, total: np.ndarray) -> None:
-        self.classes[lanes, kind] += _STEP
-        full = lanes[total > _MOST - 2 * _STEP]
+    def begin(self) -> None:
+        """Ask the cells of orders 1 and 2 for the next id."""
+        base, one = self.row * _CELLS, self.one * 0x9E3B
+        self.at = [base + (one >> 4 & _CELLS - 1), base + ((one ^ self.two * 0x3C6F35) >> 3 & _CELLS - 1)]
+        self.said = [guess[at].astype(np.int64) for guess, at in zip(self.guess, self.at, strict=True)]
+        self.right = [sure[at].astype(np.int64) for sure, at in zip(self.sure, self.at, strict=True)]
+        self.alive = [said >= 0 for said in self.said]
+        self.prefix = np.zeros(self.lanes, np.int64)
+
+    def predict(self, k: int) -> None:
+        """The mixed distribution of digit ``k``: counts of order 0, each ``rest`` / 256 wide, and two weights."""
+        node = (16**k - 1) // 15 + self.prefix if k < 3 else _NODES + ((self.prefix * 0x9E3779B1 + k) >> 8 & _HASHED - 1)
+        self.node = self.row * (_NODES + _HASHED) + node
+        own = self.counts[self.node]
+        self.upto = np.cumsum(own, axis=1, dtype=np.uint32)
+        self.below = self.upto - own
+        self.total = self.upto[:, 15]
+        shift = 4 * (self.digits - 1 - k)
+        self.digit = [said >> shift & 15 for said in self.said]
+        self.slot = [(self.row * self.digits + k) * _SURE + right for right in self.right]
+        one, two = (odds[slot] * alive for odds, slot, alive in zip(self.odds, self.slot, self.alive, strict=True))
+        self.weight = [((_SCALE - two) * one >> 15).astype(np.uint32), two.astype(np.uint32)]
+        self.rest = (np.uint32(_SCALE - 16) - self.weight[0] - self.weight[1] << np.uint32(8)) // self.total
+
+    def span(self, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where digit ``d`` of each lane begins on a line of _SCALE, and its width."""
+        below, upto = self.below[self.row, d], self.upto[self.row, d]
+        first = (below * self.rest >> np.uint32(8)) + d.astype(np.uint32)
+        last = (upto * self.rest >> np.uint32(8)) + (d + 1).astype(np.uint32)
+        for digit, weight in zip(self.digit, self.weight, strict=True):
+            first += weight * (digit < d)
+            last += weight * (digit <= d)
+        return first.astype(np.int64), (last - first).astype(np.int64)
+
+    def find(self, place: np.ndarray) -> np.ndarray:
+        """The digit that holds each lane's place on the line."""
+        upto = (self.upto * self.rest[:, None] >> np.uint32(8)) + _UP
+        for digit, weight in zip(self.digit, self.weight, strict=True):
+            upto += weight[:, None] * _FROM[digit]
+        return np.minimum((upto <= place[:, None].astype(np.uint32)).sum(1), 15)
+
+    def learn(self, k: int, d: np.ndarray) -> None:
+        self.counts.reshape(-1)[self.node * 16 + d] += _STEP
+        full = self.node[self.total > _MOST]
         if len(full):
-            self.classes[full] = (self.classes[full] + 1) >> 1
+            self.counts[full] = (self.counts[full] + 1) >> 1
+        for odds, slot, alive, digit in zip(self.odds, self.slot, self.alive, self.digit, strict=True):
+            hit = digit == d
+            p = odds[slot]
+            odds[slot] = p + ((np.where(hit, _RIGHT, _WRONG) - p >> _RATE) * alive)
+            alive &= hit
+        self.prefix = self.prefix << 4 | d
+
+    def end(self, ids: np.ndarray) -> None:
+        """Tell the cells which id it was."""
+        for guess, sure, at, said, right in zip(self.guess, self.sure, self.at, self.said, self.right, strict=True):
+            hit = said == ids
+            sure[at] = np.where(hit, np.minimum(right + 1, _SURE - 1), right >> 1)
+            guess[at] = np.where(right >= _KEPT, said, ids)
+        self.two, self.one = self.one, ids
 
 
 class _Writer:
     def __init__(self, lanes: int, length: int):
         self.low = np.zeros(lanes, np.int64)
         self.range = np.full(lanes, 0xFFFFFFFF, np.int64)
-        self.words = np.zeros((lanes, length * 6 + 4), np.int64)
+        self.words = np.zeros((lanes, length + 4), np.int64)
         self.used = np.zeros(lanes, np.int64)
 
-    def put(self, lanes: np.ndarray, below: np.ndarray, size: np.ndarray, total) -> None:
-        part = self.range[lanes] // total
-        self.low[lanes] += part * below
-        self.range[lanes] = part = part * size
-        self._shift(lanes[part < _TOP])
+    def put(self, live: int, below: np.ndarray, size: np.ndarray) -> None:
+        part = self.range[:live] >> 15
+        self.low[:live] += part * below[:live]
+        self.range[:live] = part = part * size[:live]
+        self._shift(np.flatnonzero(part < _TOP))
 
     def _shift(self, lanes: np.ndarray) -> None:
         if len(lanes):
@@ -139,109 +176,88 @@ class _Reader:
         self.code = self.words[:, 0] << 16 | self.words[:, 1]
         self.range = np.full(len(blocks), 0xFFFFFFFF, np.int64)
 
-    def get(self, lanes: np.ndarray, total) -> np.ndarray:
-        """Where each lane's next value lies in [0, total)."""
-        self.part = self.range[lanes] // total
-        return np.minimum(self.code[lanes] // self.part, total - 1)
+    def places(self) -> np.ndarray:
+        """Where each lane's next digit lies on the line."""
+        self.part = self.range >> 15
+        return np.minimum(self.code // self.part, _SCALE - 1)
 
-    def take(self, lanes: np.ndarray, below: np.ndarray, size: np.ndarray) -> None:
-        self.code[lanes] -= self.part * below
-        self.range[lanes] = part = self.part * size
-        low = lanes[part < _TOP]
+    def take(self, live: int, below: np.ndarray, size: np.ndarray) -> None:
+        self.code[:live] -= self.part[:live] * below[:live]
+        self.range[:live] = part = self.part[:live] * size[:live]
+        low = np.flatnonzero(part < _TOP)
         if len(low):
             self.code[low] = self.code[low] << 16 | self.words[low, self.used[low]]
-            self.used[low] += 1
+            self.used[low] = np.minimum(self.used[low] + 1, self.words.shape[1] - 1)  # a damaged block may run on
             self.range[low] <<= 16
 
 
-def _order_zero(model: _Model, lanes: np.ndarray, ids: np.ndarray | None, writer: _Writer | None, reader: _Reader | None) -> np.ndarray:
-    """Code or decode the ids of ``lanes``: their number of bits, then the place among such ids."""
-    every = np.arange(len(lanes))
-    upto = model.classes[lanes].cumsum(1)
-    total = upto[:, 15]
-    kind = _CLASS[ids] if writer is not None else (upto <= reader.get(lanes, total)[:, None]).sum(1)
-    size = model.classes[lanes, kind]
-    below = upto[every, kind] - size
-    one = np.ones(len(lanes), np.int64)
-    if writer is not None:
-        writer.put(lanes, below, size, total)
-        writer.put(lanes, ids - _CLASS_BASE[kind], one, _CLASS_SIZE[kind])
-    else:
-        reader.take(lanes, below, size)
-        last = reader.get(lanes, _CLASS_SIZE[kind])
-        reader.take(lanes, last, one)
-        ids = _CLASS_BASE[kind] + last
-    model.learn_class(lanes, kind, total)
-    return ids
-
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
+def _digits(most: int) -> int:
+    """Digits of ids up to ``most``."""
+    return max(1, -(-most.bit_length() // 4))
+
+
+def encode_blocks(blocks: list[np.ndarray], digits: int) -> list[bytes]:
     """Code blocks of ids (longest first, each at least one id) in step."""
     lengths = np.array([len(b) for b in blocks])
-    ids = np.zeros((len(blocks), lengths[0]), np.int64)
+    ids = np.zeros((lengths[0], len(blocks)), np.int64)
     for i, block in enumerate(blocks):
-        ids[i, : len(block)] = block
-    model, writer = _Model(len(blocks)), _Writer(len(blocks), int(lengths[0]))
+        ids[: len(block), i] = block
+    model, writer = _Model(len(blocks), digits), _Writer(len(blocks), int(lengths[0]) * digits)
     for t in range(int(lengths[0])):
         live = int(np.searchsorted(-lengths, -t, "left"))  # lanes with more than t ids
-        own = ids[:, t]
-        model.predict()
-        chosen = np.where(own == model.guess_two, 0, np.where(own == model.guess_one, 1, 2))
-        below, size = model.span(chosen)
-        writer.put(model.row[:live], below[:live], size[:live], model.total[:live])
-        told = np.flatnonzero(chosen[:live] == 2)
-        if len(told):
-            _order_zero(model, told, own[told], writer, None)
-        model.learn(own, chosen)
+        model.begin()
+        for k in range(digits):
+            model.predict(k)
+            d = ids[t] >> 4 * (digits - 1 - k) & 15
+            writer.put(live, *model.span(d))
+            model.learn(k, d)
+        model.end(ids[t])
     return writer.finish()
 
 
-def decode_blocks(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
+def decode_blocks(coded: list[bytes], lengths: list[int], digits: int) -> list[np.ndarray]:
     """The ids of coded blocks (longest first)."""
     counts = np.array(lengths)
-    ids = np.zeros((len(coded), counts[0]), np.int64)
-    model, reader = _Model(len(coded)), _Reader(coded)
+    ids = np.zeros((counts[0], len(coded)), np.int64)
+    model, reader = _Model(len(coded), digits), _Reader(coded)
     for t in range(int(counts[0])):
         live = int(np.searchsorted(-counts, -t, "left"))
-        model.predict()
-        row = model.row[:live]
-        value = reader.get(row, model.total[:live])
-        picked = (value >= model.first[:live]).astype(np.int64) + (value >= model.both[:live])
-        padded = np.zeros(len(coded), np.int64)
-        padded[:live] = picked
-        reader.take(row, *(x[:live] for x in model.span(padded)))
-        own = np.where(picked == 0, model.guess_two[:live], model.guess_one[:live]).astype(np.int64)
-        told = np.flatnonzero(picked == 2)
-        if len(told):
-            own[told] = _order_zero(model, told, None, None, reader)
-        ids[:live, t] = own
-        full = np.zeros(len(coded), np.int64)
-        full[:live] = own
-        chosen = np.where(full == model.guess_two, 0, np.where(full == model.guess_one, 1, 2))
-        model.learn(full, chosen)
-    return [ids[i, :n] for i, n in enumerate(lengths)]
+        model.begin()
+        for k in range(digits):
+            model.predict(k)
+            d = model.find(reader.places())
+            d[live:] = 0  # as the coder fills ended lanes
+            reader.take(live, *model.span(d))
+            model.learn(k, d)
+        model.end(model.prefix)
+        ids[t, :live] = model.prefix[:live]
+    return [ids[:n, i] for i, n in enumerate(lengths)]
 
 
 class _Tokens:
     """Ids of texts by the tokenizers library, which is asked once for each piece between spaces.
 
     A space between other characters always starts a token; texts with longer white space before
-    a space are given to the library whole."""
+    a space, or with the string of a special token, are given to the library whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.most = max(self.library.get_vocab(with_added_tokens=True).values(), default=0)
+        self.kind = np.dtype("<u2") if self.most < 1 << 16 else np.dtype("<u4")
+        special = [re.escape(x.content) for x in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join([_RUN.pattern, *special]))
         self.known = _Known()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("H", found.ids).tobytes() for found in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        code = "HI"[self.kind.itemsize // 2 - 1]
+        return [array(code, found.ids).tobytes() for found in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 16-bit integers."""
-        whole = [i for i, text in enumerate(texts) if _RUN.search(text)]
+        """Each text's ids as little-endian unsigned integers of type ``kind``."""
+        whole = [i for i, text in enumerate(texts) if self.special.search(text)]
         taken = set(whole)
         apart = [i for i in range(len(texts)) if i not in taken]
         split = [texts[i].split(" ") for i in apart]
@@ -278,15 +294,59 @@ class _Known(dict):
 _tokens: dict[str, _Tokens] = {}
 
 
-def _group(blocks: list[np.ndarray]) -> bytes:
-    """A group of up to LANES blocks: number, then (ids, bytes, CRC-32) of each, then their codes."""
-    coded = encode_blocks(blocks)
+def _group(blocks: list[np.ndarray], digits: int) -> bytes:
+    """A group of up to LANES blocks: number, digits, (ids, bytes, CRC-32) of each, then their codes."""
+    coded = encode_blocks(blocks, digits)
     heads = b"".join(struct.pack("<III", len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())) for b, c in zip(blocks, coded, strict=True))
-    return struct.pack("<I", len(blocks)) + heads + b"".join(coded)
+    return struct.pack("<BII", _GROUP, len(blocks), digits) + heads + b"".join(coded)
+
+
+def _listed(index: list[tuple[bool, int, int]]) -> bytes:
+    """A chunk of the index: number of bytes, then the documents."""
+    packed = zlib.compress(b"".join(struct.pack("<?qq", *x) for x in index))
+    return struct.pack("<BI", _INDEX, len(packed)) + packed
+
+
+class _File:
+    """A file that is being written."""
+
+    def __init__(self, folder: str, kind: np.dtype, digits: int):
+        self.kind, self.digits = kind, digits
+        store, at = pyarrow.fs.FileSystem.from_uri(folder)
+        store.create_dir(at, recursive=True)
+        name = f"part-{uuid.uuid4().hex}.tok"
+        self.path, self.total, self.held, self.index = f"{folder}/{name}", 0, bytearray(), []
+        self.out = store.open_output_stream(f"{at}/{name}", compression=None)
+        self.out.write(MAGIC)
+
+    def add(self, key: int | None, ids: bytes) -> None:
+        self.held += ids
+        n = len(ids) // self.kind.itemsize
+        self.index.append((key is None, key or 0, n))
+        self.total += n
+        if len(self.held) >= self.kind.itemsize * BLOCK * LANES or len(self.index) >= INDEX_DOCUMENTS:
+            self.flush(False)
+
+    def flush(self, all_of_it: bool) -> None:
+        if self.index:
+            self.out.write(_listed(self.index))
+            self.index = []
+        ids = np.frombuffer(bytes(self.held), self.kind).astype(np.int64)
+        whole = len(ids) if all_of_it else len(ids) // BLOCK * BLOCK
+        blocks = [ids[i : i + BLOCK] for i in range(0, whole, BLOCK)]
+        for i in range(0, len(blocks), LANES):
+            self.out.write(_group(blocks[i : i + LANES], self.digits))
+        del self.held[: self.kind.itemsize * whole]
+
+    def close(self, part: int, nth: int) -> pa.RecordBatch:
+        self.flush(True)
+        self.out.write(bytes([_END]))
+        self.out.close()
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([nth], pa.int32()), pa.array([self.path]), pa.array([self.total], pa.int64())], names=["part", "nth", "path", "tokens"])
 
 
 def write_tokens(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the files; returns their list (part, path, tokens), one row a file."""
+    """Write the files; returns their list (part, nth, path, tokens), one row a file."""
     spark = docs.sparkSession
     folder = new_path(spark, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
@@ -295,80 +355,57 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _tokens:
             _tokens[path] = _Tokens(path)
-        own, end = _tokens[path], np.array([end_id], "<u2").tobytes()
-        store, at = pyarrow.fs.FileSystem.from_uri(folder)
-        name, out, part, total = f"part-{uuid.uuid4().hex}.tok", None, None, 0
-        held, index = bytearray(), []
-
-        def flush(all_of_it: bool) -> None:
-            ids = np.frombuffer(bytes(held), "<u2").astype(np.int64)
-            whole = len(ids) if all_of_it else len(ids) // BLOCK * BLOCK
-            blocks = [ids[i : i + BLOCK] for i in range(0, whole, BLOCK)]
-            for i in range(0, len(blocks), LANES):
-                out.write(_group(blocks[i : i + LANES]))
-            del held[: 2 * whole]
-
+        own, file, part, nth = _tokens[path], None, 0, 0
+        end, digits = np.array([end_id], own.kind).tobytes(), _digits(max(own.most, end_id))
         for batch in batches:
             for piece in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                if out is None:
-                    store.create_dir(at, recursive=True)
-                    out = store.open_output_stream(f"{at}/{name}", compression=None)
-                    out.write(MAGIC)
-                    part = piece.column("part")[0].as_py()
+                part = piece.column("part")[0].as_py()
                 for key, ids in zip(piece.column("row_id").to_pylist(), own.encode(piece.column("body").to_pylist()), strict=True):
-                    held += ids
-                    held += end
-                    n = len(ids) // 2 + 1
-                    index.append((key is None, key or 0, n))
-                    total += n
-                if len(held) >= 2 * BLOCK * LANES:
-                    flush(False)
-        if out is not None:
-            flush(True)
-            out.write(struct.pack("<I", 0))
-            packed = zlib.compress(b"".join(struct.pack("<?qq", *x) for x in index))
-            place = out.tell()
-            out.write(packed)
-            out.write(struct.pack("<QQ", place, len(packed)))
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([total], pa.int64())], names=["part", "path", "tokens"])
-
-    return materialize(dealt.mapInArrow(write, "part int, path string, tokens long"), "token-list")
+                    if file is not None and file.total >= FILE_TOKENS:
+                        yield file.close(part, nth)
+                        file, nth = None, nth + 1
+                    file = _File(folder, own.kind, digits) if file is None else file
+                    file.add(key, ids + end)
+        if file is not None:
+            yield file.close(part, nth)
+
+    return materialize(dealt.mapInArrow(write, "part int, nth int, path string, tokens long"), "token-list")
 
 
 def read_file(source) -> Iterator[tuple[int | None, np.ndarray]]:
     """(identifier, ids) of every document of an open file, in order; checks every block."""
-    size = source.size()
-    source.seek(size - 16)
-    place, length = struct.unpack("<QQ", source.read(16))
-    source.seek(place)
-    index = list(struct.iter_unpack("<?qq", zlib.decompress(source.read(length))))
-    source.seek(0)
     if source.read(len(MAGIC)) != MAGIC:
         raise ValueError("not a token file")
-
-    def blocks() -> Iterator[np.ndarray]:
-        while n := struct.unpack("<I", source.read(4))[0]:
-            heads = [struct.unpack("<III", source.read(12)) for _ in range(n)]
-            coded = [source.read(h[1]) for h in heads]
-            for (_, _, check), ids in zip(heads, decode_blocks(coded, [h[0] for h in heads]), strict=True):
-                if zlib.crc32(ids.astype("<u4").tobytes()) != check:
-                    raise ValueError("a block's checksum does not match")
-                yield ids
-
-    stream, held, have = blocks(), [], 0
-    for null, key, n in index:
-        while have < n:
-            held.append(next(stream))
-            have += len(held[-1])
-        joined = np.concatenate(held) if len(held) > 1 else held[0]
-        yield None if null else key, joined[:n]
-        held, have = [joined[n:]], have - n
+    held, have = [], 0
+    waiting: list[tuple[bool, int, int]] = []  # documents whose ids are not all read
+    while (kind := source.read(1)) != bytes([_END]):
+        if not kind:
+            raise ValueError("the file ends early")
+        if kind[0] == _INDEX:
+            waiting += struct.iter_unpack("<?qq", zlib.decompress(source.read(struct.unpack("<I", source.read(4))[0])))
+            continue
+        n, digits = struct.unpack("<II", source.read(8))
+        heads = [struct.unpack("<III", source.read(12)) for _ in range(n)]
+        coded = [source.read(h[1]) for h in heads]
+        for (_, _, check), ids in zip(heads, decode_blocks(coded, [h[0] for h in heads], digits), strict=True):
+            if zlib.crc32(ids.astype("<u4").tobytes()) != check:
+                raise ValueError("a block's checksum does not match")
+            held.append(ids)
+            have += len(ids)
+        done = 0
+        joined, at = np.concatenate(held), 0
+        for null, key, n in waiting:
+            if at + n > have:
+                break
+            yield None if null else key, joined[at : at + n]
+            at, done = at + n, done + 1
+        del waiting[:done]
+        held, have = [joined[at:]], have - at
 
 
 def read_tokens(spark: SparkSession, files: DataFrame) -> DataFrame:
     """Read the files back: row_id, start (ids of all documents before), n_tokens, ids_crc32."""
-    listed = files.orderBy("part").collect()  # one row a file
+    listed = files.orderBy("part", "nth").collect()  # one row a file
     bases, base = [], 0
     for row in listed:
         bases.append((row["path"], base))
