@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -29,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillmark.llm.shared import fresh_names, without
 from rillmark.llm.words import words
 
 PATHS, WORDS, COUNTS = 160, 32, 10
 HIDDEN = 20
 SEED = 11
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>", re.DOTALL)
+#: A comment, a tag, or a bogus comment; what never ends runs to the end of the page, so that no place
+#: is read twice.  Quotes only delimit a value right behind an equals sign.
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _PART = re.compile(r"[A-Za-z]+")
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -43,6 +47,8 @@ _SKIP = {"head", "template", "noscript", "select", "button", "svg", "math", "obj
 _HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "input"}
+#: Open elements that a block's path or an implied end tag looks at, at either end of a deeper stack.
+_DEPTH = 128
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _ENDS_P = {"article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul"}
 
@@ -74,8 +80,9 @@ def _leaf_slot(tag: str) -> int:
 
 
 def blocks(page: str) -> Iterator[Block]:
-    """The non-empty blocks of a page in order."""
+    """The non-empty blocks of a page in order; its time is linear in the page."""
     stack: list[tuple[str, tuple[int, ...], int]] = []
+    count: Counter[str] = Counter()  # of the open elements
     parts: list[str] = []
     linked = anchors = 0
     at = skipping = 0
@@ -87,20 +94,27 @@ def blocks(page: str) -> Iterator[Block]:
         parts.clear()
         if not text:
             return None
-        tags = [tag for tag, _, _ in stack if tag not in _INLINE]
-        path = {slot for _, slots, _ in stack for slot in slots} | {_leaf_slot(tags[-1] if tags else "")}
-        label = next((y for _, _, y in reversed(stack) if y >= 0), 0)
+        near = stack if len(stack) <= 2 * _DEPTH else stack[:_DEPTH] + stack[-_DEPTH:]
+        leaf = next((tag for tag, _, _ in reversed(near) if tag not in _INLINE), "")
+        path = {slot for _, slots, _ in near for slot in slots} | {_leaf_slot(leaf)}
+        label = next((y for _, _, y in reversed(near) if y >= 0), 0)
         return Block(text, tuple(path), own, label)
 
+    def leave(keep: int) -> None:
+        """End the open elements from the one at ``keep`` on."""
+        nonlocal skipping, anchors
+        for gone, _, _ in stack[keep:]:
+            skipping -= gone in _SKIP
+            anchors -= gone == "a"
+            count[gone] -= 1
+        del stack[keep:]
+
     def leave_head(body: bool = False) -> None:
         """End an innermost open head, or any when the body begins."""
-        nonlocal skipping, anchors
-        names = [x[0] for x in stack]
-        if "head" in names if body else names[-1:] == ["head"]:
-            for gone in names[names.index("head") if body else -1 :]:
-                skipping -= gone in _SKIP
-                anchors -= gone == "a"
-                stack.pop()
+        if body and count["head"]:
+            leave([x[0] for x in stack].index("head"))
+        elif stack and stack[-1][0] == "head":
+            leave(len(stack) - 1)
 
     def text(piece: str) -> None:
         nonlocal linked
@@ -126,25 +140,24 @@ def blocks(page: str) -> Iterator[Block]:
             continue
         tag = tag.lower()
         if found[1]:
-            names = [x[0] for x in stack]
-            if tag not in names:
+            if not count[tag]:
                 if tag in ("br", "p") and not skipping and (block := close()):
                     yield block
                 continue
-            keep = len(names) - 1 - names[::-1].index(tag)
-            if tag in _INLINE and any(x not in _INLINE for x in names[keep:]):
+            keep, crossing = len(stack) - 1, False
+            while stack[keep][0] != tag and not crossing:
+                crossing = tag in _INLINE and stack[keep][0] not in _INLINE
+                keep -= 1
+            if crossing:
                 continue  # an inline end tag doesn't end blocks
             if tag not in _INLINE and not skipping and (block := close()):
                 yield block
-            for gone, _, _ in stack[keep:]:
-                skipping -= gone in _SKIP
-                anchors -= gone == "a"
-            del stack[keep:]
+            leave(keep)
             continue
         if skipping and tag not in _HEAD:
             leave_head(tag == "body")
         if tag in _RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.IGNORECASE).search(page, at)
             at = end.end() if end else size
             continue
         if tag == "br":
@@ -156,12 +169,9 @@ def blocks(page: str) -> Iterator[Block]:
                 yield block
             ends = _CLOSES.get(tag, {"p"} if tag in _ENDS_P else ())
             if ends:
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, max(-1, len(stack) - 1 - _DEPTH), -1):
                     if stack[k][0] in ends:
-                        for gone, _, _ in stack[k:]:
-                            skipping -= gone in _SKIP
-                            anchors -= gone == "a"
-                        del stack[k:]
+                        leave(k)
                     elif stack[k][0] not in _INLINE:
                         break
         if tag in _VOID or found[3].endswith("/") and tag not in _INLINE:
@@ -169,6 +179,7 @@ def blocks(page: str) -> Iterator[Block]:
         names = " ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(found[3])) if "=" in found[3] else ""
         label = int(found[3][found[3].index("data-y=") + 8]) if "data-y=" in found[3] and found[3][found[3].index("data-y=") + 8 :][:1] in ("0", "1") else -1
         stack.append((tag, _element_slots(tag, names), label))
+        count[tag] += 1
         skipping += tag in _SKIP
         anchors += tag == "a"
     if not skipping and (block := close()):
@@ -479,10 +490,13 @@ def main_texts(model: Labeller, pages: list[str], most_blocks: int = 20_000) ->
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` of ``pages`` with main_text and n_chars (its code points)."""
-    keep = [c for c in pages.columns if c != html_col] if keep is None else keep
+    """Columns ``keep`` of ``pages`` with main_text and n_chars (its code points).
+
+    A kept column with the name of a result is left out."""
+    keep = without([c for c in pages.columns if c != html_col] if keep is None else keep, "main_text", "n_chars")
+    [body] = fresh_names(pages, "body")
     shared = pages.sparkSession.sparkContext.broadcast(trained().p)
-    rows = pages.select(*keep, F.coalesce(F.col(html_col), F.lit("")).alias("__html"))
+    rows = pages.select(*keep, F.coalesce(F.col(html_col), F.lit("")).alias(body))
     schema = pages.select(*keep, F.lit("").alias("main_text"), F.lit(0).cast("long").alias("n_chars")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -490,7 +504,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = N
         model.p = shared.value
         for whole in batches:
             for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                texts = main_texts(model, batch.column("__html").to_pylist())
+                texts = main_texts(model, batch.column(body).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -34,7 +34,6 @@ REVISIT_BYTES = 1000
 RANGE_BYTES = 8 << 20
 _MAGIC = b"\x1f\x8b\x08"
 _BLOCK = 1 << 18
-_LONGEST_HEADER = 1 << 20
 _DATE = "2024-01-01T00:00:00Z"
 _URN = "urn:page:"
 
@@ -126,6 +125,7 @@ def _member(window: _Window) -> tuple[dict[str, str], bytes, int] | None:
             return None
         part = window.data[fed : fed + _BLOCK]
         fed += len(part)
+        searched = max(0, len(text) - 3)
         try:
             text += inflate.decompress(part)
         except zlib.error:
@@ -133,15 +133,13 @@ def _member(window: _Window) -> tuple[dict[str, str], bytes, int] | None:
         if head is None:
             if not b"WARC/1.".startswith(bytes(text[:7])):
                 return None
-            if (end := text.find(b"\r\n\r\n")) >= 0:
+            if (end := text.find(b"\r\n\r\n", searched)) >= 0:
                 head = _header(bytes(text[:end]))
                 if head is None:
                     return None
-            elif len(text) > _LONGEST_HEADER:
-                return None
     if head is None:
         return None
-    begin = text.find(b"\r\n\r\n") + 4
+    begin = end + 4
     stop = begin + int(head["content-length"])
     if len(text) < stop:
         return None
