@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillmark.llm.shared import fresh_names, without
+
 CACHED_PIECES = 120_000
 CACHED_PAIRS = 200_000
 LONGEST_CACHED = 48
@@ -197,17 +199,19 @@ def codec(path: str, pattern: str) -> BytePairCodec:
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
     """Columns ``keep`` of ``docs`` and token_ids binary (little-endian unsigned 32-bit integers).
 
-    With ``decoded`` the ids are decoded again in the same pass, to a column of that name.
+    With ``decoded`` the ids are decoded again in the same pass, to a column of that name.  A kept
+    column with the name of a result is left out.
     """
-    keep = docs.columns if keep is None else keep
-    rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__body"))
+    keep = without(docs.columns if keep is None else keep, "token_ids", *["decoded"] * decoded)
+    [body] = fresh_names(docs, "body")
+    rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias(body))
     schema = docs.select(*keep, F.lit(None).cast("binary").alias("token_ids"), *[F.lit(None).cast("binary").alias("decoded")] * decoded).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for whole in batches:
             for batch in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
-                ids = [own.encode(text) for text in batch.column("__body").to_pylist()]
+                ids = [own.encode(text) for text in batch.column(body).to_pylist()]
                 columns = [*batch.columns[:-1], pa.array(ids, pa.binary())]
                 if decoded:
                     columns.append(pa.array([own.decode(x) for x in ids], pa.binary()))
@@ -218,13 +222,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "token_ids") -> DataFrame:
     """``tokens`` with the column decoded (binary); null ids decode to no bytes."""
-    rows = tokens.drop("decoded").withColumn("__ids", F.coalesce(F.col(ids_col), F.lit(b"")))
+    [held] = fresh_names(tokens, "ids")
+    rows = tokens.drop("decoded").withColumn(held, F.coalesce(F.col(ids_col), F.lit(b"")))
     schema = tokens.drop("decoded").withColumn("decoded", F.lit(None).cast("binary")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            back = pa.array([own.decode(x) for x in batch.column("__ids").to_pylist()], pa.binary())
+            back = pa.array([own.decode(x) for x in batch.column(held).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], back], names=schema.names)
 
     return rows.mapInArrow(run, schema)

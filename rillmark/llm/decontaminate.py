@@ -22,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.shared import materialize
+from rillmark.llm.shared import fresh_names, materialize
 
 WINDOW = 10
 GRAM = 5
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -62,8 +62,14 @@ def _fingerprints(rows: DataFrame, length: int) -> DataFrame:
     return _with_grams(rows, k).select(*keys, F.explode_outer(prints).alias("print")).filter(F.col("print").isNotNull())
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(texts: DataFrame) -> bool:
+    """Whether test windows (window) are few and short enough for a broadcast."""
+    rows, size = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("window").cast("long")), F.lit(0).cast("long"))).first()
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
+def _sized(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -78,44 +84,54 @@ def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, window:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row for each row of ``docs``: row_id, n_words, n_hit, items (sorted strings)."""
-    windows = materialize(benchmark_windows(benchmark, item_col, item_text_col, window), "benchmark-windows")
-    lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most ``window`` values
-    texts = windows.select("length", "window").distinct()
-    n_windows = texts.count()
-
     source = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("body"))
-    parts = []
-    for length in lengths:
-        own = texts.filter(F.col("length") == length)
-        prints = _fingerprints(own.select(F.split("window", " ").alias("words")), length).distinct()
-        rows = source.select("row_id", word_list(F.col("body")).alias("words"))
-        found = _fingerprints(rows, length).join(_sized(prints, n_windows), "print")
-        hit = found.groupBy("row_id").agg(F.collect_set("print").alias("prints"))
-        parts.append(_extend(source, hit, _sized(own.select("window"), n_windows), length))
-    if not parts:
+    found = _shared_windows(source, benchmark, item_col, item_text_col, window)
+    if found is None:
         return source.select("row_id", F.size(word_list(F.col("body"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    shared = parts[0]
-    for part in parts[1:]:
-        shared = shared.unionByName(part)
-    shared = materialize(shared, "benchmark-hits")
+    shared, windows = found
 
     positions = F.flatten(F.transform(F.collect_set(F.struct("start", "length")), lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1)))
     covered = shared.groupBy("row_id", "body_hash").agg(positions.alias("positions"))
     covered = covered.select("row_id", "body_hash", F.size(F.array_distinct("positions")).cast("long").alias("n_hit"))
     owners = windows.select("window", "item_id")
-    items = shared.select("row_id", "body_hash", "window").distinct().join(_sized(owners, owners.count()), "window").groupBy("row_id", "body_hash").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    items = shared.select("row_id", "body_hash", "window").distinct().join(_sized(owners, _small(owners)), "window").groupBy("row_id", "body_hash").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     hits = covered.join(items, (covered.row_id.eqNullSafe(items.row_id)) & (covered.body_hash == items.body_hash)).select(covered.row_id.alias("hit_id"), covered.body_hash.alias("hit_hash"), "n_hit", "items")
 
-    each = source.select("row_id", F.xxhash64(F.coalesce("body", F.lit(""))).alias("body_hash"), F.size(word_list(F.col("body"))).cast("long").alias("n_words"))
+    each = source.select("row_id", _text_hash(F.col("body")).alias("body_hash"), F.size(word_list(F.col("body"))).cast("long").alias("n_words"))
     return each.join(hits, each.row_id.eqNullSafe(hits.hit_id) & (each.body_hash == hits.hit_hash), "left").select("row_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+def _text_hash(body: Column) -> Column:
+    return F.xxhash64(F.coalesce(body, F.lit("")))
+
+
+def _shared_windows(source: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int) -> tuple[DataFrame, DataFrame] | None:
+    """(row_id, body_hash, start, length, window) of the windows that rows (row_id, body) share with
+    items, and the items' windows; None if no item has a word."""
+    windows = materialize(benchmark_windows(benchmark, item_col, item_text_col, window), "benchmark-windows")
+    lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most ``window`` values
+    if not lengths:
+        return None
+    texts = windows.select("length", "window").distinct()
+    small = _small(texts)
+    shared = None
+    for length in lengths:
+        own = texts.filter(F.col("length") == length)
+        prints = _fingerprints(own.select(F.split("window", " ").alias("words")), length).distinct()
+        rows = source.select("row_id", word_list(F.col("body")).alias("words"))
+        found = _fingerprints(rows, length).join(_sized(prints, small), "print")
+        hit = found.groupBy("row_id").agg(F.collect_set("print").alias("prints"))
+        part = _extend(source, hit, _sized(own.select("window"), small), length)
+        shared = part if shared is None else shared.unionByName(part)
+    return materialize(shared, "benchmark-hits"), windows
+
+
 def _extend(source: DataFrame, hit: DataFrame, windows: DataFrame, length: int) -> DataFrame:
     """Windows of documents around shared fingerprints that equal a test window in every word."""
     k = min(GRAM, length)
     w = length - k + 1
     hit = hit.withColumnRenamed("row_id", "hit_id")
-    rows = source.join(hit, source.row_id.eqNullSafe(hit.hit_id)).select("row_id", F.xxhash64(F.coalesce("body", F.lit(""))).alias("body_hash"), "prints", word_list(F.col("body")).alias("words"))
+    rows = source.join(hit, source.row_id.eqNullSafe(hit.hit_id)).select("row_id", _text_hash(F.col("body")).alias("body_hash"), "prints", word_list(F.col("body")).alias("words"))
     grams, words = F.col("grams"), F.col("words")
     at = F.filter(F.sequence(F.lit(1), F.size(grams)), lambda p: F.array_contains(F.col("prints"), F.get(grams, p - 1)))
     rows = _with_grams(rows, k).withColumn("at", F.when(F.size(grams) >= w, at).otherwise(F.array().cast("array<int>")))
@@ -128,5 +144,10 @@ def _extend(source: DataFrame, hit: DataFrame, windows: DataFrame, length: int)
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that share no window with a benchmark item, with their columns."""
-    found = decontaminate(docs, benchmark, id_col, text_col).filter("n_hit > 0").select(F.col("row_id").alias("__hit")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("__hit")), "left_anti")
+    source = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("body"))
+    found = _shared_windows(source, benchmark, "item_id", "text", WINDOW)
+    if found is None:
+        return docs
+    hit, text_hash = fresh_names(docs, "hit", "text_hash")
+    gone = found[0].select(F.col("row_id").alias(hit), F.col("body_hash").alias(text_hash)).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col(hit)) & (_text_hash(docs[text_col]) == F.col(text_hash)), "left_anti")

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillmark.llm.shared import fresh_names, without
 from rillmark.llm.words import LOWER, byte_view, mix
 
 UNKNOWN = "und"
@@ -109,11 +110,14 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return fit([r["text"] for r in rows], [r["lang"] for r in rows], marks)
 
 
-def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (the identifier) with lang_pred and score (0 to 1: the share of the best)."""
-    keep = [id_col] if keep is None else keep
-    rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__body"), has_letter(F.col(text_col)).alias("__letter"))
-    schema = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` (the identifier) with lang_pred and score (0 to 1: the share of the best).
+
+    The results take ``names``; a kept column of such a name is left out."""
+    keep = without([id_col] if keep is None else keep, *names)
+    body, letter = fresh_names(docs, "body", "letter")
+    rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias(body), has_letter(F.col(text_col)).alias(letter))
+    schema = docs.select(*keep, F.lit("").alias(names[0]), F.lit(0.0).alias(names[1])).schema
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # FEATURES x languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,18 +125,18 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
         for whole in batches:
             for batch in (whole.slice(i, BATCH) for i in range(0, whole.num_rows, BATCH)):
                 n = batch.num_rows
-                letters = batch.column("__letter").to_numpy(zero_copy_only=False)
-                names, best = np.full(n, UNKNOWN, object), np.zeros(n)
+                letters = batch.column(letter).to_numpy(zero_copy_only=False)
+                told, best = np.full(n, UNKNOWN, object), np.zeros(n)
                 if known is not None:
                     langs, weights, offset = known
-                    x = presence(batch.column("__body"))
+                    x = presence(batch.column(body))
                     norm = np.sqrt(np.maximum(1, x.sum(1)))
                     margin = (x.astype(np.float32) @ weights) / norm[:, None] + offset
                     share = np.exp(4 * (margin - margin.max(1, keepdims=True)))
                     top = margin.argmax(1)
-                    names = np.where(letters, np.array(langs, object)[top], UNKNOWN)
+                    told = np.where(letters, np.array(langs, object)[top], UNKNOWN)
                     best = np.where(letters, 1 / share.sum(1), 0.0)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(names, pa.string()), pa.array(best, pa.float64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(told, pa.string()), pa.array(best, pa.float64())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -141,3 +145,10 @@ def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     """Learn from the rows of ``docs`` outside ``held_out`` and predict all of them."""
     model = train(docs.filter(~held_out), id_col, text_col, lang_col)
     return predict(docs, model, id_col, text_col, keep)
+
+
+def drop_untold(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` with a letter and a language of that score or more, with their columns."""
+    names = fresh_names(docs, "lang_pred", "score")
+    told = predict(docs, train(docs, id_col, text_col, lang_col), id_col, text_col, docs.columns, tuple(names))
+    return told.filter((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).select(*docs.columns)
