@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.shared import materialize
+from rillmark.llm.shared import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.filter("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).distinct(), "edges")
     state = None
     while True:
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        before, edges = edges, materialize(_small_star(_large_star(edges)), "edges")
+        discard(before)
         now = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
         if tuple(now) == state:
             break

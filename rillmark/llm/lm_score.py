@@ -42,7 +42,7 @@ from rillmark.llm.words import Words, mix, words
 ORDER = 3
 BITS = 17  # of a symbol in packed n-grams
 WIDE = 32  # of a symbol in a block
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SEGMENT = 512
 LANES = 4096
 _END_HASH = np.uint64(0x7E57E57E57E57E57)
@@ -446,17 +446,6 @@ def _opened(batches: Iterator[pa.RecordBatch], answers: int) -> Iterator[tuple[d
             del row, vocabulary, lists  # one block in memory
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """Materialized; the shuffle files behind it, which nothing reads again, go at once."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    old = conf.get(key, None)
-    conf.set(key, "true")
-    try:
-        return materialize(df, name)
-    finally:
-        conf.unset(key) if old is None else conf.set(key, old)
-
-
 def _restored(keys: np.ndarray, *dealt: np.ndarray) -> list[np.ndarray]:
     """Answers in the order of the keys."""
     order, out = np.argsort(keys), [np.empty_like(x) for x in dealt]
@@ -498,6 +487,6 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([row["row_ids"].values, pa.array(row["held_out"] > 0), pa.array(size), pa.array(sums[0]), pa.array(np.full(len(size), occurring[0], np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=names)
             del row, own, n, occurring, kinds, machine, before, c, base, logs, sums
 
-    counts = _kept(_told(blocks.withColumn("kind", F.lit(0)).mapInArrow(ask_counts, _ASKED), parts, True), "counts")
-    contexts = _kept(_told(_visited(blocks, parts, [counts]).mapInArrow(ask_contexts, _ASKED), parts, False), "contexts")
-    return _visited(blocks, parts, [counts, contexts]).mapInArrow(run, schema)
+    counts = materialize(_told(blocks.withColumn("kind", F.lit(0)).mapInArrow(ask_counts, _ASKED), parts, True), "counts")
+    contexts = materialize(_told(_visited(blocks, parts, [counts]).mapInArrow(ask_contexts, _ASKED), parts, False), "contexts")
+    return materialize(_visited(blocks, parts, [counts, contexts]).mapInArrow(run, schema), "scores")

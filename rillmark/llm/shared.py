@@ -10,9 +10,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 _fallback: str | None = None
 _written: list[tuple[SparkSession, str]] = []
 
@@ -39,12 +42,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files behind, and give Python workers batches of a
+    bounded size, as rows may be whole blocks or very long texts."""
+    old = {key: spark.conf.get(key, None) for key in _TIDY}
+    for key, value in _TIDY.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._rillmark_path = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a materialized table that nothing reads any more."""
+    remove(df.sparkSession, df._rillmark_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -73,6 +98,12 @@ def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def without(columns: list[str], *results: str) -> list[str]:
+    """``columns`` but those whose names the results take."""
+    taken = {r.lower() for r in results}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def partitions(spark: SparkSession) -> int:
     """Partitions of an explicit exchange: the session's setting, as for Spark's own."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -551,36 +551,60 @@ def test_warc_false_magic_and_foreign_tools(spark):
 
 def test_token_blocks_round_trip():
     draw = np.random.default_rng(5)
-    cases = [draw.integers(0, 50_000, 900), np.full(2048, 49_999), draw.zipf(1.4, 2048) % 50_000, np.tile(np.arange(7), 100), np.array([0]), np.array([65_000])]
+    cases = [draw.integers(0, 50_000, 900), np.full(2048, 49_999), draw.zipf(1.4, 2048) % 50_000, np.tile(np.arange(7), 100), np.array([0]), np.array([65_535])]
     cases.sort(key=len, reverse=True)
     cases = [c.astype(np.int64) for c in cases]
-    coded = token_files.encode_blocks(cases)
-    for a, b in zip(cases, token_files.decode_blocks(coded, [len(c) for c in cases])):
-        assert (a == b).all()
-    sizes = {len(c): len(x) for c, x in zip(cases, coded)}
-    assert sizes[700] < 0.3 * 1400
+    for digits, scale in ((4, 1), (5, 15), (8, 60_000)):
+        own = [c * scale for c in cases]
+        coded = token_files.encode_blocks(own, digits)
+        for a, b in zip(own, token_files.decode_blocks(coded, [len(c) for c in own], digits)):
+            assert (a == b).all()
+        sizes = {len(c): len(x) for c, x in zip(own, coded)}
+        assert sizes[700] < 0.3 * 1400 * digits / 4
+
+
+def test_token_blocks_are_smaller_than_deflated_ones(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    ids = np.concatenate([[*found.ids, 2] for found in library.encode_batch(texts, add_special_tokens=False)])
+    blocks = [ids[i : i + token_files.BLOCK] for i in range(0, len(ids), token_files.BLOCK)]
+    mixed = sum(map(len, token_files.encode_blocks(blocks, 4)))
+    assert mixed < sum(len(zlib.compress(b.astype("<u2").tobytes(), 6)) for b in blocks)
+
+
+def _token_file(documents):
+    file = token_files._File.__new__(token_files._File)
+    file.kind, file.digits, file.path, file.total, file.held, file.index, file.out = np.dtype("<u2"), 4, "", 0, bytearray(), [], io.BytesIO()
+    file.out.close = lambda: None
+    file.out.write(token_files.MAGIC)
+    for key, ids in documents:
+        file.add(key, np.array(ids, "<u2").tobytes())
+    file.close(0, 0)
+    return file.out.getvalue()
 
 
 def test_token_file_detects_damage():
-    ids = [np.arange(500, dtype=np.int64)]
-    group = bytearray(token_files._group(ids))
-    group[-5] ^= 0x40
-    data = token_files.MAGIC + bytes(group) + b"\0\0\0\0"
-    index = zlib.compress(token_files.struct.pack("<?qq", False, 1, 500))
-    whole = data + index + token_files.struct.pack("<QQ", len(data), len(index))
-    source = io.BytesIO(whole)
-    source.size = lambda: len(whole)
-    with pytest.raises(ValueError):
-        list(token_files.read_file(source))
+    documents = [(1, range(300)), (None, [2]), (7, range(200, 400))]
+    whole = _token_file(documents)
+    assert [(k, ids.tolist()) for k, ids in token_files.read_file(io.BytesIO(whole))] == [(k, list(ids)) for k, ids in documents]
+    damaged = bytearray(whole)
+    damaged[-5] ^= 0x40
+    for data in (bytes(damaged), whole[:-1], b"x" + whole[1:]):
+        with pytest.raises(ValueError):
+            list(token_files.read_file(io.BytesIO(data)))
 
 
 def test_token_files(spark, monkeypatch):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(token_files, "BLOCK", 256)
+    monkeypatch.setattr(token_files, "FILE_TOKENS", 2000)
+    monkeypatch.setattr(token_files, "INDEX_DOCUMENTS", 3)
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    docs = documents(spark)
+    docs = documents(spark, [*some_texts(), "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|im_end|>  y "])
     got = sorted(((r["row_id"] is not None, r["row_id"] or 0), r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_tokens(spark, token_files.write_tokens(docs, path, 2)).collect())
     start, expected = 0, []
     for i, text in sorted(pairs(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
