@@ -20,9 +20,7 @@ LEAST_SCORE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; rows without a letter, or without a clear language, go."""
-    model = language.train(docs)
-    told = language.predict(docs, model, keep=docs.columns)
-    return told.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return language.drop_untold(docs, LEAST_SCORE)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
