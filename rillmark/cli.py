@@ -1,4 +1,4 @@
-"""Command line: ingest, retrieve, query, evaluate, latency."""
+"""Command line: chunk, ingest, retrieve, query, evaluate, and pipeline for the first, second and last in a row."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import argparse
 import json
 import logging
 import sys
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from rillmark import providers
 from rillmark.config import RetrievalConfig, normalize_ks
 from rillmark.functions.vectors import hash_embedding
-from rillmark.operators import evaluation
+from rillmark.operators import chunking, evaluation
 from rillmark.plans import rag
 from rillmark.sources import readers
 from rillmark.sources.store import Collection
@@ -33,14 +34,29 @@ def _queries(spark: SparkSession, texts: list[str]) -> DataFrame:
     return _vectors(spark.createDataFrame(list(enumerate(texts)), "query_id int, query string"), "query", "query_vec")
 
 
-def ingest(args) -> int:
+def chunk(args) -> int:
     spark = _spark()
-    chunks = _vectors(readers.load_chunks(spark, args.path), "embedding_content", "vector")
+    readers.write_chunks(chunking.record_chunks(readers.read_records(spark, args.path)), args.chunks)
+    return 0
+
+
+def ingest(args) -> int:
+    spark, begin = _spark(), time.monotonic()
+    tables = readers.read_table_files(spark, args.tables, args.root) if args.tables else None
+    chunks = _vectors(readers.load_chunks(spark, args.path, tables), "embedding_content", "vector")
     n = Collection(spark, args.collection).upsert(chunks.drop("given_keys"), overwrite=not args.no_overwrite)
     print(f"{n} chunks")
+    log.info(evaluation.throughput(n, n, time.monotonic() - begin))
     return 0
 
 
+def pipeline(args) -> int:
+    """Records to chunk files, chunk files to the collection, and its evaluation."""
+    chunk(args)
+    args.path = args.chunks
+    return ingest(args) or evaluate(args)
+
+
 def retrieve(args) -> int:
     spark = _spark()
     rows = rag.retrieve(Collection(spark, args.collection).read(), _queries(spark, [args.query]), RetrievalConfig(top_k=args.top_k))
@@ -62,11 +78,13 @@ def evaluate(args) -> int:
     if args.golden_path:
         ks, top_k = normalize_ks(args.k_values, args.top_k)
         asked, gold = readers.read_gold(spark, args.golden_path)
-        rows = rag.retrieve(points, _vectors(asked, "query", "query_vec"), RetrievalConfig(top_k=top_k))
+        rows = rag.retrieve(points, _vectors(asked, "query", "query_vec"), RetrievalConfig(top_k=top_k), readers.read_keywords(spark, args.keywords) if args.keywords else None)
         totals = evaluation.gold_counts(asked, gold)
         matched = evaluation.match_gold(rows, gold, args.fuzzy_threshold)
         out = evaluation.summary_at_k(evaluation.metrics_at_k(matched, totals, tuple(ks)), totals).orderBy("k")
         report = [r.asDict() for r in out.collect()]  # one row a k
+        if args.details:
+            evaluation.query_details(matched, totals, tuple(ks)).write.mode("overwrite").json(args.details)
     elif args.csv_path or args.json_path or args.question:
         if args.question:
             asked = spark.createDataFrame([(args.question, args.ground_truth)], "question string, ground_truth string")
@@ -89,22 +107,27 @@ def evaluate(args) -> int:
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="rillmark")
     commands = top.add_subparsers(dest="command")
-    for name, f in (("ingest", ingest), ("retrieve", retrieve), ("query", query), ("evaluate", evaluate)):
+    for name, f in (("chunk", chunk), ("ingest", ingest), ("retrieve", retrieve), ("query", query), ("evaluate", evaluate), ("pipeline", pipeline)):
         p = commands.add_parser(name)
         p.set_defaults(run=f)
         p.add_argument("--collection", default="collection")
-        if name == "ingest":
+        if name in ("chunk", "ingest", "pipeline"):
             p.add_argument("path")
+        if name in ("chunk", "pipeline"):
+            p.add_argument("--chunks", default="chunks")
+        if name in ("ingest", "pipeline"):
             p.add_argument("--no-overwrite", action="store_true")
-        elif name == "evaluate":
-            for option in ("--csv-path", "--json-path", "--golden-path", "--question", "--ground-truth", "--output"):
+            p.add_argument("--tables")
+            p.add_argument("--root", default="")
+        if name in ("evaluate", "pipeline"):
+            for option in ("--csv-path", "--json-path", "--golden-path", "--question", "--ground-truth", "--output", "--details", "--keywords"):
                 p.add_argument(option)
             p.add_argument("--question-col", default="question")
             p.add_argument("--ground-truth-col", default="ground_truth")
             p.add_argument("--k-values", type=int, nargs="+", default=[1, 3, 5, 10])
             p.add_argument("--fuzzy-threshold", type=float, default=0.7)
             p.add_argument("--top-k", type=int, default=10)
-        else:
+        if name in ("retrieve", "query"):
             p.add_argument("query")
             p.add_argument("--top-k", type=int, default=5)
     return top

@@ -34,6 +34,7 @@ class RetrievalConfig:
     hybrid_search: bool = field(default_factory=lambda: env_bool("HYBRID_SEARCH", True))
     hybrid_prefetch: int = field(default_factory=lambda: env_int("HYBRID_PREFETCH_LIMIT", 50))
     text_mode: str = "match"
+    vector_name: str = "vector"
     final_contexts: int = field(default_factory=lambda: env_int("FINAL_CONTEXT_LIMIT", 5))
     adaptive: bool = False
     adaptive_min_keep: int = 3

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from difflib import SequenceMatcher
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -145,21 +147,43 @@ def json_text(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
+def repaired_json(text: str | None) -> str | None:
+    """The JSON document in a model's answer: the whole text, else the widest braces, else brackets."""
+    if not isinstance(text, str):
+        return None
+    whole = text.strip()
+    spans = [(0, len(whole))] + [(whole.find(a), whole.rfind(b) + 1) for a, b in ("{}", "[]")]
+    for begin, end in spans:
+        if 0 <= begin < end - 1 or (begin == 0 and end > 0):
+            try:
+                return json.dumps(json.loads(whole[begin:end]), ensure_ascii=False)
+            except ValueError:
+                continue
+    return None
+
+
 @F.pandas_udf(T.StringType())
 def repair_json(values: pd.Series) -> pd.Series:
-    """The JSON document in a model's answer: the whole text, else the widest braces, else brackets."""
+    """repaired_json of a column."""
+    return values.map(repaired_json)
 
-    def one(text):
-        if not isinstance(text, str):
-            return None
-        whole = text.strip()
-        spans = [(0, len(whole))] + [(whole.find(a), whole.rfind(b) + 1) for a, b in ("{}", "[]")]
-        for begin, end in spans:
-            if 0 <= begin < end - 1 or (begin == 0 and end > 0):
-                try:
-                    return json.dumps(json.loads(whole[begin:end]), ensure_ascii=False)
-                except ValueError:
-                    continue
-        return None
 
-    return values.map(one)
+def bpe_tokens(path: str, pattern: str) -> Callable[[Column], Column]:
+    """A splitter of texts into byte-pair tokens by a file of ranks, for chunkers in place of ``tokens``.
+
+    A token's bytes that are not whole characters become replacement marks."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def split(texts: pd.Series) -> pd.Series:
+        codec = _codec(path, pattern)
+        return texts.map(lambda t: [codec.decode_single_token_bytes(i).decode("utf-8", "replace") for i in codec.encode_ordinary(t or "")])
+
+    return split
+
+
+@cache
+def _codec(path: str, pattern: str):
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_tiktoken_bpe(path), special_tokens={})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,30 +24,31 @@ HEADING_PATTERNS = [
 ]
 
 
-def sliding_windows(docs: DataFrame, text_col: str = "text", size: int = SLIDING_SIZE, overlap: int = SLIDING_OVERLAP) -> DataFrame:
+def sliding_windows(docs: DataFrame, text_col: str = "text", size: int = SLIDING_SIZE, overlap: int = SLIDING_OVERLAP, split: Callable[[Column], Column] = tokens, joint: str = " ") -> DataFrame:
     """One row a window of ``size`` tokens every ``size - overlap``: offset, chunk, n_tokens.
 
+    ``split`` makes the tokens, white-space ones if not given; ``joint`` stands between them in a chunk.
     Windows start while a token is left, so trailing ones may lie inside their predecessor."""
     step = size - overlap
-    rows = docs.withColumn("__tokens", tokens(F.col(text_col)))
+    rows = docs.withColumn("__tokens", split(F.col(text_col)))
     starts = F.expr(f"if(size(__tokens) > 0, sequence(0, size(__tokens) - 1, {step}), array())")
     windows = F.transform(starts, lambda s: F.slice(F.col("__tokens"), s + 1, size))
     each = rows.select(*docs.columns, F.posexplode(windows).alias("offset", "__window"))
-    return each.select(*docs.columns, "offset", F.array_join("__window", " ").alias("chunk"), F.size("__window").alias("n_tokens"))
+    return each.select(*docs.columns, "offset", F.array_join("__window", joint).alias("chunk"), F.size("__window").alias("n_tokens"))
 
 
-def paragraph_chunks(docs: DataFrame, text_col: str = "text", size: int = PARAGRAPH_SIZE, overlap: int = PARAGRAPH_OVERLAP) -> DataFrame:
+def paragraph_chunks(docs: DataFrame, text_col: str = "text", size: int = PARAGRAPH_SIZE, overlap: int = PARAGRAPH_OVERLAP, split: Callable[[Column], Column] = tokens, joint: str = " ") -> DataFrame:
     """A text of at most ``size`` tokens whole; else parts of ``size - overlap`` tokens, each behind
     the last ``overlap`` tokens of the one before: offset, chunk, n_tokens."""
     if overlap >= size:
         raise ValueError("overlap must be below size")
     step = size - overlap
-    rows = docs.withColumn("__tokens", tokens(F.col(text_col)))
+    rows = docs.withColumn("__tokens", split(F.col(text_col)))
     parts = F.expr(f"if(size(__tokens) <= {size}, array(0), sequence(0, cast(ceil(size(__tokens) / {step}) - 1 as int)))")
     whole = F.size("__tokens") <= size
     windows = F.transform(parts, lambda i: F.when(whole, F.col("__tokens")).otherwise(F.slice(F.col("__tokens"), F.greatest(F.lit(0), i * step - overlap) + 1, (i + 1) * step - F.greatest(F.lit(0), i * step - overlap))))
     each = rows.select(*docs.columns, F.posexplode(windows).alias("offset", "__window"))
-    return each.select(*docs.columns, "offset", F.array_join("__window", " ").alias("chunk"), F.size("__window").alias("n_tokens"))
+    return each.select(*docs.columns, "offset", F.array_join("__window", joint).alias("chunk"), F.size("__window").alias("n_tokens"))
 
 
 def minimum_length(chunks: DataFrame, doc_col: str, order: list[str], chunk_col: str = "chunk", shortest: int = SHORTEST) -> DataFrame:

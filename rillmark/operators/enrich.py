@@ -12,7 +12,7 @@ TITLE_PHRASES = ["statement of", "balance sheet", "cash flow", "income"]
 UNTITLED_PHRASES = ["statement of", "balance sheet"]
 
 
-def number_chunks(chunks: DataFrame, line_col: str = "line_no", doc_col: str = "doc_id") -> DataFrame:
+def number_chunks(chunks: DataFrame, line_col: str = "line_no", doc_col: str | list[str] = "doc_id") -> DataFrame:
     """chunk_id (from 0 in line order) and total_chunks of each document, in one window."""
     w = Window.partitionBy(doc_col)
     return chunks.withColumn("chunk_id", (F.row_number().over(w.orderBy(line_col)) - 1).cast("int")).withColumn("total_chunks", F.count(F.lit(1)).over(w).cast("int"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.functions.text import compute_cost, fuzzy_bound, fuzzy_ratio, normalize_path, normalize_text
@@ -87,19 +87,42 @@ def summary_at_k(at_k: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
-def latency_summary(records: DataFrame, latency: str, prompt: str, completion: str, price_in: float = 0.0008, price_out: float = 0.004) -> DataFrame:
-    """One row: count, mean, exact 50th, 90th and 99th percentile of latency, tokens and costs."""
+def latency_summary(records: DataFrame, latency: str, prompt: str, completion: str, price_in: float = 0.0008, price_out: float = 0.004, accuracy: int | None = None) -> DataFrame:
+    """One row: count, mean, 50th, 90th and 99th percentile of latency, tokens and costs.
+
+    Percentiles are exact and interpolated, from the counts of distinct values; with ``accuracy`` they
+    are of a bounded sketch (relative rank error 1 / accuracy), for records without bound."""
+    def percentile(p: int) -> Column:
+        return F.percentile(latency, p / 100) if accuracy is None else F.percentile_approx(F.col(latency).cast("double"), p / 100, accuracy)
+
     cost = compute_cost(F.col(prompt), F.col(completion), price_in, price_out)
     return records.agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg(latency), 4).alias("avg_ms"),
-        *[F.round(F.percentile(latency, p / 100), 4).alias(f"p{p}_ms") for p in (50, 90, 99)],
+        *[F.round(percentile(p), 4).alias(f"p{p}_ms") for p in (50, 90, 99)],
         F.sum(F.col(prompt) + F.col(completion)).cast("long").alias("total_tokens"),
         F.round(F.sum(cost), 4).alias("total_cost"),
         F.round(F.avg(cost), DIGITS).alias("avg_cost"),
     )
 
 
+def query_details(matched: DataFrame, totals: DataFrame, ks: tuple[int, ...] = K_VALUES) -> DataFrame:
+    """One row a query: its rank metrics, metrics at every k, and its list with the gold each row matches."""
+    at_k = metrics_at_k(matched, totals, ks)
+    fields = ("k", "precision", "recall", "covered", "full_coverage", "hit")
+    each = at_k.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("at_k"))
+    shown = [c for c in ("pos", "id", "score", "doc_id", "gold_index") if c in matched.columns]
+    lists = matched.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*shown))).alias("retrieved"))  # top_k rows a query
+    return rank_metrics(matched, totals).join(totals, "query_id").join(each, "query_id").join(lists, "query_id", "left")
+
+
+def throughput(done: int, total: int | None, seconds: float) -> str:
+    """A progress line: chunks, chunks a second, and the seconds left if the total is known."""
+    rate = done / seconds if seconds > 0 else 0.0
+    left = f", {(total - done) / rate:.0f} s left" if total is not None and rate > 0 else ""
+    return f"{done}{'' if total is None else f'/{total}'} chunks, {rate:.1f} chunks/s{left}"
+
+
 def numeric_means(results: DataFrame) -> DataFrame:
     """Mean of each numeric column, NaN skipped: one row."""
     kinds = {"int", "bigint", "float", "double"}

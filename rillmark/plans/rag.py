@@ -18,13 +18,17 @@ def retrieve(points: DataFrame, queries: DataFrame, config: RetrievalConfig, key
 
     Candidates are found on identifiers and vectors alone; what else a point holds is joined to the
     few rows that remain."""
+    points = search.named_vector(points, config.vector_name)
+    hybrid = config.hybrid_search and bool({"content", "tokens"} & set(points.columns)) and "query" in queries.columns  # else dense alone
     fetch = search.pool_size(config.top_k)
     leg = max(fetch, config.hybrid_prefetch)
     asked = search.company_filter(queries).withColumn("targets", postprocess.route_sections(F.col("query")))
-    found = dense = search.dense_topk(points.select("id", "vector", "source"), asked, leg if config.hybrid_search else fetch, config.score_threshold)
-    if config.hybrid_search:
+    found = dense = search.dense_topk(points.select("id", "vector", "source"), asked, leg if hybrid else fetch, config.score_threshold)
+    if hybrid:
         text = search.text_match(points, asked, leg) if config.text_mode == "match" else search.bm25(points, asked, leg)
         found = search.rrf([dense, text], fetch)
+    title, path = (F.col(c) if c in points.columns else F.lit(None).cast("string") for c in ("table_title", "table_path"))
+    points = points.withColumn("table_path", postprocess.table_path(F.col("type"), path, title)) if "type" in points.columns else points
     payload = points.drop("vector", "tokens", "query", "targets", "score", "original_score", "pos", "query_id")
     rows = found.join(payload, "id").join(asked.select("query_id", "query", "targets"), "query_id").withColumn("original_score", F.col("score"))
     rows = postprocess.boost(rows, keywords)

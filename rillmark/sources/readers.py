@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
 import os
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillmark.functions.text import first_given, normalize_text, path_suffixes
 from rillmark.operators.enrich import enrich, flatten_table, number_chunks
+from rillmark.operators.postprocess import DEFAULT_KEYWORDS
 
 _S = T.StringType()
 METADATA = T.StructType(
@@ -21,8 +26,8 @@ CHUNK = T.StructType([T.StructField("text", _S), T.StructField("metadata", METAD
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value): non-blank lines with a number that ascends within each file."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") * (1 << 20) + F.monotonically_increasing_id() % (1 << 33)).alias("line_no"), "value")
+    """(file, block, line_no, value): non-blank lines with a number that ascends within each file."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), (F.col("_metadata.file_block_start") * (1 << 20) + F.monotonically_increasing_id() % (1 << 33)).alias("line_no"), "value")
     return rows.filter(F.trim("value") != "")
 
 
@@ -33,17 +38,36 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("line_no", F.col("j.text").alias("text"), "j.metadata.*", keys.alias("given_keys"))
 
 
-def read_table_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of CSV files, each flattened to text."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    return files.select("path", flatten_table(csv_rows(F.col("value"))).alias("content"))
+def list_files(spark: SparkSession, folder: str, pattern: str = "*", excluded: DataFrame | None = None) -> DataFrame:
+    """(name, path) of a folder's files in order of names, without those on a list (name)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "path")
+    return files.orderBy("name") if excluded is None else without_excluded(files, excluded)
 
 
-def csv_rows(text: Column) -> Column:
-    """Rows of cells of a small CSV text; quotes around cells are cut, separators inside them kept."""
-    records = F.filter(F.split(text, r"\r?\n(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"), lambda r: r != "")
-    cells = F.transform(records, lambda r: F.split(r, ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"))
-    return F.transform(cells, lambda row: F.transform(row, lambda c: F.replace(F.regexp_replace(c, r'^"([\s\S]*)"$', "$1"), F.lit('""'), F.lit('"'))))
+def relative_path(path: Column, root: str = "") -> Column:
+    """A file's path without its scheme, the root and a leading ``./``, as records name it."""
+    plain = F.regexp_replace(F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/"), r"^\./", "")
+    top = "/" + root.split(":", 1)[-1].strip("/") + "/" if root else ""
+    return F.when(F.startswith(plain, F.lit(top)), F.substring(plain, len(top) + 1, 1 << 20)).otherwise(plain) if top else plain
+
+
+def read_table_files(spark: SparkSession, path: str, root: str = "") -> DataFrame:
+    """(path, content) of CSV files, each flattened to text; paths are relative to ``root``."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path, wholetext=True)
+    return files.select(relative_path(F.col("_metadata.file_path"), root).alias("path"), flatten_table(csv_rows(F.col("value"))).alias("content"))
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def csv_rows(texts: pd.Series) -> pd.Series:
+    """Rows of cells of a CSV text, blank lines left out; in time linear in the text."""
+
+    def one(text: str | None) -> list[list[str]] | None:
+        if text is None:
+            return None
+        csv.field_size_limit(max(csv.field_size_limit(), len(text) + 1))
+        return [row for row in csv.reader(io.StringIO(text, newline="")) if row]
+
+    return texts.map(one)
 
 
 def csv_text(text: Column) -> Column:
@@ -54,21 +78,52 @@ def csv_text(text: Column) -> Column:
 
 def load_chunks(spark: SparkSession, path: str, tables: DataFrame | None = None) -> DataFrame:
     """Numbered and enriched chunks of a JSONL file, with table files (path, content) put in."""
-    if not path.endswith((".jsonl", "/", "*")) and os.path.splitext(path)[1] not in ("", ".jsonl"):
+    if not path.endswith((".jsonl", "/", "*")) and "." in os.path.basename(path) and os.path.splitext(path)[1] not in ("", ".jsonl"):
         raise ValueError(f"only .jsonl can be ingested, not {path}")
     chunks = number_chunks(read_chunks(spark, path))
     if tables is not None:
         wanted = F.replace(F.when(F.col("type") == "table", first_given(F.col("table_csv_path"), F.col("text"))), F.lit("/app/data/"), F.lit("data/"))
+        wanted = relative_path(wanted)
         named = tables.select(F.col("path").alias("__path"), F.col("content").alias("__content"))
         chunks = chunks.withColumn("__wanted", wanted).join(named, F.col("__wanted") == F.col("__path"), "left").withColumn("table_path", F.coalesce("table_path", "__wanted")).withColumn("text", F.coalesce("__content", "text")).drop("__wanted", "__path", "__content")
     return enrich(chunks)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``lines`` (file, block, line_no, value) with n, the line's number in its file from 1: lines are
+    counted in each block, and blocks behind each other, so a file of any length is read in parallel."""
+    counts = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("lines"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("file", "block", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("line_no"))
+    return rows.withColumn("n", inside).join(starts, ["file", "block"]).withColumn("n", F.col("start") + F.col("n")).drop("start")
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Raw records (line_no from 1, example_id, source, query, text, document_text)."""
     schema = "example_id string, source string, query string, text string, document_text string"
-    rows = lines(spark, path).withColumn("j", F.from_json("value", schema))
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("line_no"))).select(F.col("n").alias("line_no"), "j.*")
+    return numbered(lines(spark, path)).withColumn("j", F.from_json("value", schema)).select(F.col("n").alias("line_no"), "j.*")
+
+
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    """Chunk JSONL (text, metadata) that ``read_chunks`` reads back, in order of documents and places."""
+    known = [f for f in METADATA.fieldNames() if f in chunks.columns]
+    place = [c for c in ("doc_id", "order", "chunk_id", "line_no") if c in chunks.columns]
+    record = F.to_json(F.struct(F.col("text"), F.struct(*[F.col(c).cast(METADATA[c].dataType).alias(c) for c in known]).alias("metadata")))
+    chunks.repartitionByRange(*place).sortWithinPartitions(*place).select(record.alias("value")).write.text(path)
+
+
+def read_keywords(spark: SparkSession, path: str) -> list[str]:
+    """A JSON list of terms in lower case, blank ones left out; the default terms if it is missing or no list."""
+    jvm = spark.sparkContext._jvm
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    if not file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(file):
+        return DEFAULT_KEYWORDS
+    try:
+        found = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    except (TypeError, ValueError):
+        return DEFAULT_KEYWORDS
+    return [str(x).lower() for x in found if str(x).strip()] if isinstance(found, list) else DEFAULT_KEYWORDS
 
 
 def read_questions(spark: SparkSession, path: str, question: str = "question", truth: str = "ground_truth") -> DataFrame:
@@ -89,7 +144,7 @@ def read_gold(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Queries (query_id, query, answer) and gold (query_id, gold_index, gold_type, content,
     normalized_text, file_name) of a golden set; entries without a query are left out."""
     schema = "array<struct<query:string,answer:string,gold:array<struct<type:string,content:string>>>>"
-    raw = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.from_json("value", schema)).alias("query_id", "e"))
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", schema)).alias("query_id", "e"))
     kept = raw.select("query_id", "e.*").filter(F.coalesce(F.trim("query"), F.lit("")) != "")
     return kept.select("query_id", "query", "answer"), explode_gold(kept)
 

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillmark.functions.text import index_tokens
 
@@ -43,9 +44,13 @@ def verify(points: DataFrame, vector: str = "vector", content: str = "content")
 
 
 class Collection:
-    """Points below a path, in versions: a write makes a new one, and a pointer file names the last.
+    """Points below a path, dealt to buckets by their source; a pointer file names each bucket's files.
 
-    Readers of the version before are not disturbed, and a failed write leaves the pointer alone."""
+    A write makes new files for the buckets it touches, and moves the pointer last: readers of the
+    state before are not disturbed, a failed write leaves it alone, and other buckets are not read or
+    written again.  An identifier belongs to one source, as identifiers are made of sources."""
+
+    BUCKETS = 64
 
     def __init__(self, spark: SparkSession, path: str, dimension: int | None = None, metric: str = "cosine"):
         self.spark, self.path = spark, path.rstrip("/")
@@ -61,31 +66,88 @@ class Collection:
 
     def _meta(self) -> dict | None:
         fs, path = self._file("meta.json")
-        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.path}/meta.json").first()[0]) if fs.exists(path) else None
-
-    def read(self) -> DataFrame | None:
-        meta = self._meta()
-        return self.spark.read.parquet(f"{self.path}/{meta['version']}") if meta else None
+        return json.loads(self.spark.read.text(f"{self.path}/meta.json", wholetext=True).first()[0]) if fs.exists(path) else None
 
-    def write(self, points: DataFrame) -> None:
-        """Make ``points`` the collection's new version, with index tokens of their content."""
-        version = f"points-{uuid.uuid4().hex}"
-        points.withColumn("tokens", index_tokens(F.col("content"))).write.parquet(f"{self.path}/{version}")
+    def _point(self, buckets: dict[str, str], schema: T.StructType) -> None:
         fs, path = self._file("meta.json")
         out = fs.create(path, True)
-        out.write(bytearray(json.dumps({"version": version, "dimension": self.dimension, "metric": self.metric}).encode()))
+        out.write(bytearray(json.dumps({"dimension": self.dimension, "metric": self.metric, "buckets": buckets, "schema": schema.jsonValue()}).encode()))
         out.close()
 
-    def upsert(self, points: DataFrame, overwrite: bool = True) -> int:
-        """Add points; with ``overwrite`` all older points of their sources go first."""
-        old = self.read()
-        if self.dimension is not None and points.filter(F.size("vector") != self.dimension).limit(1).count():
-            raise ValueError("a vector has another dimension than the collection")
-        fresh = points.drop("tokens")
-        if old is None:
-            old = fresh.limit(0)
-        old = old.drop("tokens")
-        if overwrite:
-            old = delete_sources(old, fresh)
-        self.write(merge_points(old, fresh))
-        return fresh.count()
+    def _read(self, meta: dict, buckets: list[str]) -> DataFrame:
+        schema = T.StructType.fromJson(meta["schema"])
+        paths = [f"{self.path}/{meta['buckets'][b]}" for b in buckets if b in meta["buckets"]]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def read(self) -> DataFrame | None:
+        meta = self._meta()
+        return self._read(meta, list(meta["buckets"])) if meta else None
+
+    def _stage(self, points: DataFrame) -> tuple[DataFrame, str]:
+        """The points with index tokens and bucket, written once, so that no vector is made again."""
+        name = f"staging-{uuid.uuid4().hex}"
+        bucket = F.pmod(F.xxhash64("source"), F.lit(self.BUCKETS)).cast("int")
+        points.drop("tokens").withColumns({"tokens": index_tokens(F.col("content")), "source_bucket": bucket}).write.parquet(f"{self.path}/{name}")
+        staged = self.spark.read.parquet(f"{self.path}/{name}")
+        low, high = staged.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first() if "vector" in staged.columns else (None, None)
+        sizes = {n for n in (low, high, self.dimension) if n is not None and n >= 0}
+        if len(sizes) > 1:
+            self._remove(name)
+            raise ValueError(f"a vector has another dimension than the collection: {sorted(sizes)}")
+        self.dimension = next(iter(sizes), None)
+        return staged, name
+
+    def _remove(self, name: str) -> None:
+        fs, path = self._file(name)
+        fs.delete(path, True)
+
+    def _save(self, points: DataFrame, kept: dict[str, str]) -> None:
+        """Write points (with source_bucket), by bucket and in several files each, beside the kept buckets."""
+        version = f"points-{uuid.uuid4().hex}"
+        dealt = points.repartition("source_bucket", F.pmod(F.xxhash64("id"), F.lit(8)))
+        dealt.write.partitionBy("source_bucket").parquet(f"{self.path}/{version}")
+        fs, path = self._file(version)
+        names = [x.getPath().getName() for x in fs.listStatus(path) if x.isDirectory()]
+        self._point(kept | {n.split("=")[1]: f"{version}/{n}" for n in names if n.startswith("source_bucket=")}, points.drop("source_bucket").schema)
+
+    def write(self, points: DataFrame) -> None:
+        """Make ``points`` the whole collection."""
+        staged, name = self._stage(points)
+        self._save(staged, {})
+        self._remove(name)
+
+    def upsert(self, points: DataFrame, overwrite: bool = True, replace: list[str] | None = None) -> int:
+        """Add points; with ``overwrite`` all older points that share ``replace`` (the source) with a
+        new one go first.  Only the buckets of the points' sources are read and written."""
+        staged, name = self._stage(points)
+        meta = self._meta()
+        if meta is None:
+            self._save(merge_points(staged.limit(0), staged), {})
+        else:
+            touched = [str(r[0]) for r in staged.select("source_bucket").distinct().collect()]  # BUCKETS at most
+            old = self._read(meta, touched).withColumn("source_bucket", F.pmod(F.xxhash64("source"), F.lit(self.BUCKETS)).cast("int"))
+            if overwrite:
+                by = replace or ["source"]
+                for c in by:
+                    old = old if c in old.columns else old.withColumn(c, F.lit(None).cast(staged.schema[c].dataType))
+                old = old.join(staged.select(*by).distinct(), by, "left_anti")
+            kept = {b: where for b, where in meta["buckets"].items() if b not in touched}
+            self._save(merge_points(_like(old, staged), _like(staged, old)), kept)
+        n = staged.count()
+        self._remove(name)
+        return n
+
+    def vacuum(self) -> int:
+        """Remove files that the pointer doesn't name: earlier states, and what failed writes left."""
+        meta = self._meta() or {"buckets": {}}
+        used = {where.split("/")[0] for where in meta["buckets"].values()}
+        fs, path = self._file("")
+        gone = [x.getPath().getName() for x in fs.listStatus(path) if x.isDirectory() and x.getPath().getName() not in used]
+        for name in gone:
+            self._remove(name)
+        return len(gone)
+
+
+def _like(points: DataFrame, other: DataFrame) -> DataFrame:
+    """``points`` with the columns that only ``other`` has, as nulls."""
+    return points.withColumns({c: F.lit(None).cast(other.schema[c].dataType) for c in other.columns if c not in points.columns})

@@ -1,7 +1,7 @@
 """Chunk files that arrive in a folder, upserted batch by batch.
 
-A batch replaces all points of the sources it holds, and identifiers follow from source and number,
-so a batch that runs twice leaves the same collection.
+A batch replaces the points of the files it holds, and identifiers follow from source, file and
+number, so a batch that runs twice leaves the same collection, and a source may come in many files.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from rillmark.functions.text import point_id
 from rillmark.operators.enrich import enrich, number_chunks
 from rillmark.sources.readers import CHUNK
 from rillmark.sources.store import Collection
@@ -23,8 +24,10 @@ def ingest_stream(spark: SparkSession, folder: str, collection: Collection, embe
 
     def upsert(batch: DataFrame, _: int) -> None:
         parsed = batch.filter(F.trim("value") != "").withColumn("line_no", F.monotonically_increasing_id()).withColumn("j", F.from_json("value", CHUNK))
-        points = embed(enrich(number_chunks(parsed.select("line_no", F.col("j.text").alias("text"), "j.metadata.*"))))
-        collection.upsert(points)
+        chunks = parsed.select("line_no", "file", F.col("j.text").alias("text"), "j.metadata.*")
+        own = enrich(number_chunks(chunks, doc_col=["doc_id", "file"]))
+        name = point_id(F.concat("source", F.lit(":"), F.element_at(F.split("file", "/"), -1)), F.col("chunk_id"))
+        collection.upsert(embed(own.withColumn("id", name)), replace=["source", "file"])
 
     writer = rows.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

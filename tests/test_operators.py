@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillmark import cli, providers
+from rillmark import adapters, cli, providers
 from rillmark.config import RetrievalConfig, normalize_ks
 from rillmark.functions import text as tx
 from rillmark.functions.vectors import hash_embedding
@@ -355,6 +355,79 @@ def test_streaming_ingest_is_idempotent(spark, tmp_path):
         assert collection.read().count() == 12
 
 
+def test_streaming_ingest_of_a_source_in_several_files(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    collection = store.Collection(spark, f"file://{tmp_path}/c")
+    embedded = lambda df: df.withColumn("vector", hash_embedding(F.col("embedding_content")).cast("array<float>"))
+    for i, name in enumerate(("a", "b", "c")):  # each file is a batch of its own
+        (folder / f"{name}.jsonl").write_text("".join(json.dumps({"text": f"part {i} {j}", "metadata": {"doc_id": "one_2019"}}) + "\n" for j in range(i + 1)))
+        ingest_stream(spark, str(folder), collection, embedded, str(tmp_path / "state")).awaitTermination()
+    assert sorted(r["text"] for r in collection.read().collect()) == sorted(f"part {i} {j}" for i in range(3) for j in range(i + 1))
+    assert collection.read().select("id").distinct().count() == 6
+
+
+def test_upsert_touches_only_its_sources(spark, tmp_path):
+    collection = store.Collection(spark, f"file://{tmp_path}/c")
+    made = lambda ids, source, text, n=2: spark.createDataFrame([(f"{source}{i}", source, 0, source, text, [1.0] * n) for i in ids], "id string, doc_id string, chunk_id int, source string, content string, vector array<float>")
+    assert collection.upsert(made(range(3), "a", "old").union(made(range(2), "b", "kept"))) == 5 and collection.dimension == 2
+    before = collection._meta()["buckets"]
+    assert collection.upsert(made([1, 7], "a", "new").withColumn("more", F.lit("x"))) == 2
+    after = collection._meta()["buckets"]
+    assert sum(before[b] != after[b] for b in before) == 1
+    got = {r["id"]: (r["content"], r["more"], r["tokens"]) for r in collection.read().collect()}
+    assert got == {"a1": ("new", "x", ["new"]), "a7": ("new", "x", ["new"]), "b0": ("kept", None, ["kept"]), "b1": ("kept", None, ["kept"])}
+    assert collection.upsert(made([2], "a", "added"), overwrite=False) == 1 and collection.read().count() == 5
+    for other in (made([0], "a", "x", 3), made([0], "c", "x", 2).union(made([1], "c", "x", 5))):
+        with pytest.raises(ValueError):
+            collection.upsert(other)
+    assert collection.read().count() == 5 and store.Collection(spark, f"file://{tmp_path}/c").dimension == 2
+    assert collection.vacuum() > 0 and collection.vacuum() == 0 and collection.read().count() == 5
+    collection.write(made([9], "z", "only"))
+    assert [r["id"] for r in collection.read().collect()] == ["z9"]
+
+
+def test_files_and_chunk_sink(spark, tmp_path):
+    for name in ("b.pdf", "a.pdf", "c.txt"):
+        (tmp_path / name).write_text("x")
+    excluded = spark.createDataFrame([(" b.pdf ",), ("",)], "name string")
+    assert [r["name"] for r in readers.list_files(spark, str(tmp_path), "*.pdf").collect()] == ["a.pdf", "b.pdf"]
+    assert [r["name"] for r in readers.list_files(spark, str(tmp_path), "*.pdf", excluded).collect()] == ["a.pdf"]
+    (tmp_path / "k.json").write_text('["Net Income", " ", "EBITDA"]')
+    assert readers.read_keywords(spark, str(tmp_path / "k.json")) == ["net income", "ebitda"]
+    (tmp_path / "bad.json").write_text("{")
+    assert readers.read_keywords(spark, str(tmp_path / "bad.json")) == readers.read_keywords(spark, str(tmp_path / "none.json")) != []
+    rows = [(f"d{i % 2}_2020", "Item 7", i, i // 2, f"text\n{i}") for i in range(8)]
+    chunks = spark.createDataFrame(rows, "doc_id string, section_path string, page int, order int, text string").repartition(3)
+    readers.write_chunks(chunks, str(tmp_path / "out"))
+    back = readers.read_chunks(spark, str(tmp_path / "out"))
+    assert sorted((r["doc_id"], r["section_path"], r["page"], r["order"], r["text"]) for r in back.collect()) == sorted(rows)
+    numbers = [json.loads(line)["metadata"]["order"] for f in sorted((tmp_path / "out").glob("part-*")) for line in f.read_text().splitlines()]
+    assert numbers == [0, 1, 2, 3] * 2
+
+
+def test_tables_are_found_by_relative_path(spark, tmp_path):
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "t.csv").write_text('h,"x, y"\n1,"two\nlines"\n')
+    (tmp_path / "c.jsonl").write_text(json.dumps({"text": "/app/data/t.csv", "metadata": {"doc_id": "d_2019", "type": "table"}}) + "\n")
+    tables = readers.read_table_files(spark, str(tmp_path / "data"), str(tmp_path))
+    assert [r["path"] for r in tables.collect()] == ["data/t.csv"]
+    row = readers.load_chunks(spark, str(tmp_path / "c.jsonl"), tables).first()
+    assert "Table columns: h, x, y" in row["content"] and "1 | two\nlines" in row["content"]
+
+
+def test_record_numbers_over_blocks(spark, tmp_path):
+    (tmp_path / "r.jsonl").write_text("".join(json.dumps({"query": str(i), "text": "t" * 300}) + "\n" * (1 + i % 3) for i in range(1, 2000)))
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "40000")
+    try:
+        got = [(r["line_no"], int(r["query"])) for r in readers.read_records(spark, str(tmp_path / "r.jsonl")).collect()]
+    finally:
+        spark.conf.set(key, old)
+    assert len(got) == 1999 and all(a == b for a, b in got)
+
+
 def test_questions(spark, tmp_path):
     (tmp_path / "q.csv").write_text('question,ground_truth\n"a, b",t\nc,\n')
     assert sorted(map(tuple, readers.read_questions(spark, str(tmp_path / "q.csv")).collect())) == [("a, b", "t"), ("c", "")]
@@ -371,3 +444,104 @@ def test_references(spark):
     gold = spark.createDataFrame([(1, 0, "FILE", "/app/data/set/a.csv"), (1, 1, "FILE", "b.txt"), (1, 2, "TEXT", "b.txt"), (1, 3, "FILE", "none")], "query_id int, gold_index int, gold_type string, content string")
     files = spark.createDataFrame([("set/a.csv", "x,y\n1,2"), ("data/b.txt", "second"), ("a.csv", "worse")], "path string, text string")
     assert [r["reference"] for r in readers.resolve_references(gold, files).orderBy("gold_index").collect()] == ["x | y\n1 | 2", "second", None, None]
+
+
+# ---- adapters, command line, expressions ----------------------------------------------------
+
+
+def test_generators_over_transports():
+    lines = ['{"message": {"content": "a "}}', "", '{"message": {"content": "b"}, "model": "m1", "prompt_eval_count": 3, "eval_count": 2}']
+    asked = [{"role": "system", "content": "s"}, {"role": "user", "content": "q"}]
+    got = adapters.make("generator", "lines", send=lambda r: lines, model="m")().generate(asked)
+    assert got == {"content": "a b", "model": "m1", "prompt_tokens": 3, "completion_tokens": 2}
+    with pytest.raises(RuntimeError):
+        adapters.LineStreamGenerator(lambda r: ['{"error": "x"}'], "m").generate(asked)
+    calls, waits = [], []
+
+    def busy(request):
+        calls.append(request)
+        if len(calls) < 3:
+            raise adapters.Throttled
+        return {"output": {"message": {"content": [{"text": "x"}, {"text": "y"}]}}, "usage": {"inputTokens": 1, "outputTokens": 2, "totalTokens": 3}}
+
+    got = adapters.ConverseGenerator(busy, "m", sleep=waits.append).generate(asked)
+    assert got["content"] == "xy" and got["total_tokens"] == 3 and waits == [1.0, 2.0]
+    assert calls[0]["system"] == [{"text": "s"}] and calls[0]["messages"] == [{"role": "user", "content": [{"text": "q"}]}]
+    calls.clear()
+    with pytest.raises(adapters.Throttled):
+        adapters.with_retries(busy, {}, attempts=2, sleep=waits.append)
+    with pytest.raises(ValueError):
+        adapters.make("generator", "none")
+
+
+def test_candidates_are_limited_and_repaired():
+    answers_, asked, naps, now = ["no", 'Sure: {"a": 1} ok'], [], [], [0.0]
+
+    def send(request):
+        asked.append(request)
+        return {"candidates": [{"parts": []}, {"parts": [{"text": answers_[min(len(asked), 2) - 1]}]}], "usage": {"total_tokens": 5}}
+
+    own = adapters.CandidateGenerator(send, "m", per_minute=30, clock=lambda: now[0], sleep=naps.append)
+    got = own.generate([{"role": "system", "content": " s "}, {"role": "user", "content": "Return JSON please"}])
+    assert got["content"] == '{"a": 1}' and got["total_tokens"] == 5 and naps == [2.0]
+    assert asked[0]["system_instruction"] == "s" and [t["role"] for t in asked[1]["contents"]] == ["user", "model", "user"]
+    asked.clear()
+    assert own.generate([{"role": "user", "content": "plain"}])["content"] == "no" and len(asked) == 1
+    assert adapters.ChatAdapter(providers.EchoGenerator())([{"role": "human", "content": ["a ", {"text": "b"}, {"image": 1}]}]) == "a b"
+
+
+def test_rerank_smoke(spark):
+    """One question, four documents, top 3; a score of zero stays, a missing one goes last."""
+    rows = spark.createDataFrame([(0, i + 1, str(i), "what is risk", t, 0.5) for i, t in enumerate(["risk is", "no", "what risk is", "none"])], "query_id int, pos int, id string, query string, content string, score double")
+
+    def send(request):
+        return {"results": [{"index": 2, "relevance_score": 0.9}, {"index": 0, "score": 0.0}, {"index": 9, "score": 1.0}]}
+
+    make = adapters.make("reranker", "service", send=send, model="m")
+    assert make().scores("q", ["a", "b", "c"]) == [0.0, None, 0.9]
+    got = postprocess.rerank(rows, providers.rerank_scores(rows, make, 4), 4)
+    assert [r["id"] for r in got.filter("pos <= 3").orderBy("pos").collect()] == ["2", "0", "1"]
+    failing = adapters.make("reranker", "service", send=lambda r: 1 / 0, model="m")
+    assert [r["id"] for r in postprocess.rerank(rows, providers.rerank_scores(rows, failing, 4), 4).orderBy("pos").collect()] == ["0", "1", "2", "3"]
+    vectors = adapters.ServiceEmbedding(lambda r: {"embeddings": [[1.0, 2.0, 3.0]] * len(r["input"])}, "m")
+    assert vectors.dimension() == 3
+
+
+def test_pipeline_command(spark, tmp_path, capsys):
+    with open(tmp_path / "r.jsonl", "w") as out:
+        for i in range(4):
+            out.write(json.dumps({"example_id": i, "source": f"src{i}_2020", "query": "q", "text": f"liquid assets of number {i} rose"}) + "\n")
+    (tmp_path / "g.json").write_text(json.dumps([{"query": "liquid assets", "gold": [{"content": "liquid assets of number 2 rose"}]}]))
+    where = f"file://{tmp_path}/c"
+    assert cli.main(["pipeline", str(tmp_path / "r.jsonl"), "--chunks", str(tmp_path / "chunks"), "--collection", where, "--golden-path", str(tmp_path / "g.json"), "--k-values", "4", "--details", str(tmp_path / "details")]) == 0
+    assert json.loads(capsys.readouterr().out.split("chunks\n", 1)[1])[0]["evidence_recall"] == 1.0
+    details = spark.read.json(str(tmp_path / "details")).first()
+    assert details["total_gold"] == 1 and sorted(r["gold_index"] is None for r in details["retrieved"]) == [False, True, True, True]
+    assert evaluation.throughput(50, 200, 10.0) == "50/200 chunks, 5.0 chunks/s, 30 s left"
+
+
+def test_dense_alone_and_named_vectors(spark):
+    points = spark.createDataFrame([("a", "s", "text", [1.0, 0.0], [0.0, 1.0]), ("b", "s", "text", [0.0, 1.0], [1.0, 0.0])], "id string, source string, type string, vector array<double>, other array<double>")
+    asked = spark.createDataFrame([(0, [1.0, 0.1])], "query_id int, query_vec array<double>")
+    assert search.named_vector(points, "none") is points
+    for name, first in (("vector", "a"), ("other", "b"), ("none", "a")):
+        assert [r["id"] for r in search.dense_topk(search.named_vector(points, name), asked, 1).collect()] == [first]
+
+
+def test_small_expressions(spark):
+    assert one(spark, tx.flatten_parts(F.array(F.struct(F.lit("a").alias("text")), F.struct(F.lit(None).cast("string").alias("text")), F.struct(F.lit("b").alias("text"))))) == "ab"
+    box = F.struct(*[F.lit(v).alias(n) for n, v in (("x0", 1.0), ("y0", 2.25), ("x1", 3.0), ("y1", 4.0))])
+    assert one(spark, tx.format_bbox(box)).startswith("(1.0, 2.") and "→ (3.0, 4.0)" in one(spark, tx.format_bbox(box))
+    assert one(spark, tx.clean_local_path(F.lit("/app/data//x/y.csv"))) == "data/x/y.csv"
+    assert one(spark, postprocess.table_path(F.lit("table"), F.lit(None).cast("string"), F.lit("T"))) == "data/csvs/T.csv"
+    assert one(spark, postprocess.table_path(F.lit("text"), F.lit(None).cast("string"), F.lit("T"))) is None
+
+
+def test_chunks_of_byte_pair_tokens(spark):
+    public = pytest.importorskip("public_tokenizers")
+    split = tx.bpe_tokens(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    docs = spark.createDataFrame([(1, "Some words, é and more of them. " * 40), (2, None)], "doc_id long, text string")
+    got = chunking.sliding_windows(docs, size=50, overlap=10, split=split, joint="").orderBy("offset").collect()
+    assert got[0]["n_tokens"] == 50 and {r["doc_id"] for r in got} == {1} and got[0]["chunk"].startswith("Some words, é and")
+    whole = chunking.paragraph_chunks(docs, size=10_000, overlap=0, split=split, joint="").filter("doc_id = 1").first()
+    assert whole["chunk"] == docs.first()["text"]
