@@ -12,7 +12,7 @@ does the work for similar sets once:
    so it is the most central one; every other set of the list is offered it as a pivot and compared
    exactly.  Sets that stay apart are offered the next one, as long as that is worth a round.
    Linked sets are in one component, and nothing inside a component is looked at again.
-3. *Skipped blocks.*  What is left of the lists is cut into blocks by size (in steps of two per
+3. *Skipped blocks.*  What is left of the lists is cut into blocks by size (in steps of five per
    cent), pivot and component.  From its least size and greatest remainder behind the position a
    block knows which sizes it can link with; it meets only blocks of those sizes and of other
    components, by an equi-join on token and size.
@@ -42,19 +42,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.llm.components import components
-from rillmark.llm.shared import fresh_names, materialize, partitions
+from rillmark.llm.shared import discard, fresh_names, materialize, partitions, tidy
 from rillmark.llm.words import mix, words
 
 SHINGLE = 5
 THRESHOLD = 80  # per cent
-SKETCH = 1 << 20
+SKETCH = 1 << 22
 SLICES = 64
 SEEN = 200_000  # digests a task remembers; a set that returns later is only written again
 BLOCK_TOKENS = 1 << 17
 PART_TOKENS = 1 << 22  # keys of a part that are in memory at once, about
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
-STEPS = 50  # size blocks: by the natural logarithm of the size
-MOST_ROUNDS = 6
+STEPS = 20  # size blocks: by the natural logarithm of the size
+MOST_ROUNDS, WORTH = 6, 8
 _FACTOR = np.random.default_rng(77).integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -166,30 +166,25 @@ def _prefixes(scanned: DataFrame, sketch: np.ndarray) -> DataFrame:
     return scanned.filter("shingles is not null").select("d1", "d2", "n", "shingles").mapInArrow(run, "d1 long, d2 long, n long, tokens array<long>")
 
 
-_BLOCKS = "block long, part int, keys binary, d1 binary, d2 binary, n binary, size binary"
+_BLOCK = "block long, tokens binary, sids binary, n binary, size binary"
+_ASKED = "block long, part int, keys binary, sids binary, n binary, place binary"
 
 
-def _blocks(prefixes: DataFrame, parts: int) -> DataFrame:
-    """Rows of part -1: a block of distinct sets with their tokens as keys; others: the block's
-    distinct tokens of that part, ascending, each with whether several sets of the block have it."""
+def _sid(one: np.ndarray, two: np.ndarray, turn: int) -> np.ndarray:
+    """A set's number by its digest; ``turn`` is chosen so that no two sets of the data share one."""
+    return one ^ two >> np.int64(64 - turn) if turn else one
+
+
+def _blocks(prefixes: DataFrame, turn: int) -> DataFrame:
+    """Blocks of distinct sets, one row each: their prefixes, numbers, sizes and prefix lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, last, held, total = TaskContext.get().partitionId() << 32, None, [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             one, two, n, tokens = zip(*held, strict=True)
-            every = np.concatenate(tokens)
-            sides = [np.array(x, np.int64).tobytes() for x in (one, two, n, [len(t) for t in tokens])]
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([-1], pa.int32()), pa.array([every.tobytes()], pa.binary()), *(pa.array([x], pa.binary()) for x in sides)], names=names)
-            keys, count = np.unique(every.view(np.uint64), return_counts=True)
-            at = np.searchsorted(keys >> np.uint64(32), (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts) + np.uint64(1 if parts & (parts - 1) else 0))
-            at[0], at[-1] = 0, len(keys)
-            some = np.flatnonzero(np.diff(at)).tolist()
-            for i in range(0, len(some), 512):
-                own = some[i : i + 512]
-                none = pa.nulls(len(own), pa.binary())
-                columns = [[x[at[j] : at[j + 1]].tobytes() for j in own] for x in (keys, np.minimum(count, 2).astype(np.uint8))]
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(own), pa.int64()), pa.array(own, pa.int32()), pa.array(columns[0], pa.binary()), none, none, none, pa.array(columns[1], pa.binary())], names=names)
+            sides = [np.concatenate(tokens), _sid(np.array(one, np.int64), np.array(two, np.int64), turn), np.array(n, np.int64), np.array([len(t) for t in tokens], np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in sides)], names=["block", "tokens", "sids", "n", "size"])
 
         for batch in batches:
             tokens = batch.column("tokens")
@@ -200,77 +195,146 @@ def _blocks(prefixes: DataFrame, parts: int) -> DataFrame:
                 held.append((*row, np.asarray(tokens[i].values)))
                 total += len(held[-1][3])
                 if total >= BLOCK_TOKENS:
-                    yield from flush()
+                    yield flush()
                     number, held, total = number + 1, [], 0
         if held:
-            yield from flush()
+            yield flush()
+
+    return prefixes.repartition(partitions(prefixes.sparkSession), "d1").sortWithinPartitions("d1", "d2").mapInArrow(run, _BLOCK)
+
 
-    names = ["block", "part", "keys", "d1", "d2", "n", "size"]
-    return prefixes.repartition(partitions(prefixes.sparkSession), "d1").sortWithinPartitions("d1", "d2").mapInArrow(run, _BLOCKS)
+def _opened(batch: pa.RecordBatch, i: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's number, and the token, set, size and position of each entry."""
+    tokens, sids, n, size = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in ("tokens", "sids", "n", "size"))
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
+    return batch.column("block")[i].as_py(), tokens, np.repeat(sids, size), np.repeat(n, size), place
 
 
-def _answers(asked: DataFrame, parts: int) -> DataFrame:
-    """(block, part, shared): for each key that a block asked in a part whether another set has it."""
+def _asked(number: int, keys: np.ndarray, columns: list[np.ndarray | None], parts: int) -> Iterator[pa.RecordBatch]:
+    """A block's ascending keys and what goes with them, a row for each part (a range of keys)."""
+    at = np.searchsorted(keys, (np.arange(1, parts, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts) << np.uint64(32))
+    at = np.r_[0, at, len(keys)]
+    some = np.flatnonzero(np.diff(at)).tolist()
+    for i in range(0, len(some), 512):
+        own = some[i : i + 512]
+        packed = [pa.nulls(len(own), pa.binary()) if x is None else pa.array([x[at[j] : at[j + 1]].tobytes() for j in own], pa.binary()) for x in (keys, *columns)]
+        yield pa.RecordBatch.from_arrays([pa.array([number] * len(own), pa.int64()), pa.array(own, pa.int32()), *packed], names=["block", "part", "keys", "sids", "n", "place"])
 
-    def answer(part: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+
+def _told(asked: DataFrame, parts: int, hubs: bool) -> DataFrame:
+    """Answers to each block and part in the order of its keys.
+
+    At first (``n``: how many sets of the block have the key, two standing for more) whether several
+    sets have it; then of all blocks' entries the one of the earliest position, and how many there
+    are (above the position's 32 bits)."""
+
+    def answer(part: int, rows: list[tuple]) -> pa.RecordBatch:
         lists = [np.frombuffer(r[1], np.uint64) for r in rows]
-        keys = np.concatenate(lists)
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([np.frombuffer(r[2], np.uint8) for r in rows]), len(distinct))
-        shared, at = (total > 1)[inverse], np.cumsum([0, *map(len, lists)])
-        told = [np.packbits(shared[i:j]).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(told, pa.binary()), pa.array([len(x) for x in lists], pa.int64())], names=["block", "part", "shared", "asked"])
+        distinct, inverse = np.unique(np.concatenate(lists), return_inverse=True)
+        n = np.concatenate([np.frombuffer(r[3], np.int64 if hubs else np.uint8) for r in rows])
+        at = np.cumsum([0, *map(len, lists)])
+        if hubs:
+            sids, packed = (np.concatenate([np.frombuffer(r[k], np.int64) for r in rows]) for k in (2, 4))
+            place, count = packed & _PLACE, packed >> 32
+            order = np.lexsort((sids, place, inverse))
+            best = order[np.flatnonzero(np.r_[True, np.diff(inverse[order]) > 0])]
+            place = place[best] | np.bincount(inverse, count, len(distinct)).astype(np.int64) << 32
+            columns = [[x[inverse][i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)] for x in (sids[best], n[best], place)]
+        else:
+            shared = (np.bincount(inverse, n, len(distinct)) > 1)[inverse]
+            columns = [[None] * len(rows), [shared[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], [None] * len(rows)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.nulls(len(rows), pa.binary()), *(pa.array(c, pa.binary()) for c in columns)], names=["block", "part", "keys", "sids", "n", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rows = None, []
         for batch in batches:
-            for block, own, keys, several in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, own, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != part and rows:
                     yield answer(part, rows)
                     rows = []
                 part = own
-                rows.append((block, keys, several))
+                rows.append((block, *packed))
         if rows:
             yield answer(part, rows)
 
-    own = asked.filter("part >= 0").select("block", "part", "keys", F.col("size").alias("several"))
-    return own.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "block long, part int, shared binary, asked long")
+    return asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, _ASKED)
 
 
-_LISTS = "token long, d1 long, d2 long, n long, place long"
+def _visited(blocks: DataFrame, told: DataFrame, parts: int) -> DataFrame:
+    """The answers to a block, and then the block, in one task."""
+    answers = told.withColumnsRenamed({"sids": "hub", "n": "hub_n", "place": "hub_place"}).drop("keys")
+    rows = blocks.withColumn("part", F.lit(2**31 - 1)).unionByName(answers, allowMissingColumns=True)
+    return rows.repartition(parts, "block").sortWithinPartitions("block", "part")
 
 
-def _lists(prefixes: DataFrame, tokens: int) -> DataFrame:
-    """Index lists (token, d1, d2, n, place) of the tokens that more than one set has in its prefix."""
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list[tuple]]]:
+    """Each block's row with the packed answers (hub, hub_n, hub_place) that came before it."""
+    told: list[tuple] = []
+    for batch in batches:
+        part = batch.column("part").to_pylist()
+        for i in range(batch.num_rows):
+            if part[i] == 2**31 - 1:
+                yield batch, i, told
+                told = []
+            else:
+                told.append(tuple(batch.column(c)[i].as_py() for c in ("hub", "hub_n", "hub_place")))
+
+
+_PLACE = (1 << 32) - 1
+_ENTRIES = "token long, sid long, n int, rest int, hub long, offered boolean, open boolean"
+
+
+def _lists(prefixes: DataFrame, tokens: int, turn: int) -> DataFrame:
+    """Index lists (token, sid, n, rest) of the tokens that more than one set has in its prefix.
+
+    ``offered`` entries can link with the most central set of their list (hub).  The offer decides all
+    pairs with the hub, so it stays out of what is left (``open``), as do lists of two sets."""
     parts = max(partitions(prefixes.sparkSession), -(-tokens // PART_TOKENS))
-    blocks = materialize(_blocks(prefixes, parts), "prefix-blocks")
-    answers = _answers(blocks, parts)
-    none = F.lit(None)
-    own = blocks.filter("part < 0").drop("part").withColumns({"part": F.lit(2**31 - 1), "shared": none.cast("binary"), "asked": none.cast("long")})
-    both = own.unionByName(answers, allowMissingColumns=True).repartition(parts, "block").sortWithinPartitions("block", "part")
+    blocks = materialize(_blocks(prefixes, turn), "prefix-blocks")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: list[np.ndarray] = []
+    def ask_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = {c: batch.column(c) for c in ("keys", "d1", "d2", "n", "size", "shared", "asked")}
-            is_answer = at["shared"].is_valid().to_pylist()
             for i in range(batch.num_rows):
-                if is_answer[i]:
-                    told.append(np.unpackbits(np.frombuffer(at["shared"][i].as_py(), np.uint8), count=at["asked"][i].as_py()).astype(bool))
-                    continue
-                tokens = np.frombuffer(at["keys"][i].as_py(), np.int64)
-                distinct, inverse = np.unique(tokens.view(np.uint64), return_inverse=True)
-                one, two, n, size = (np.frombuffer(at[c][i].as_py(), np.int64) for c in ("d1", "d2", "n", "size"))
-                keep = np.flatnonzero(np.concatenate(told)[inverse])
-                told = []
-                owner = np.repeat(np.arange(len(n)), size)
-                place = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
-                for j in range(0, len(keep), 50_000):
-                    k = keep[j : j + 50_000]
-                    o = owner[k]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tokens[k], one[o], two[o], n[o], place[k])], names=["token", "d1", "d2", "n", "place"])
+                tokens = np.frombuffer(batch.column("tokens")[i].as_py(), np.uint64)
+                keys, count = np.unique(tokens, return_counts=True)
+                yield from _asked(batch.column("block")[i].as_py(), keys, [None, np.minimum(count, 2).astype(np.uint8), None], parts)
+
+    def keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i, told in _answered(batches):
+            number, tokens, sids, n, place = _opened(batch, i)
+            inverse = np.unique(tokens.view(np.uint64), return_inverse=True)[1]
+            keep = np.frombuffer(b"".join(t[1] for t in told), bool)[inverse]
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x[keep].tobytes()], pa.binary()) for x in (tokens, sids, n, place))], names=["block", "tokens", "sids", "n", "size"])
 
-    return both.mapInArrow(run, _LISTS)
+    def ask_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tokens, sids, n, place = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in ("tokens", "sids", "n", "size"))
+                order = np.lexsort((sids, place, tokens.view(np.uint64)))
+                starts = np.flatnonzero(np.r_[True, np.diff(tokens[order]) != 0])
+                first, count = order[starts], np.diff(np.r_[starts, len(order)])
+                yield from _asked(batch.column("block")[i].as_py(), tokens[first].view(np.uint64), [sids[first], n[first], place[first] | count << 32], parts)
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i, told in _answered(batches):
+            tokens, sids, n, place = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in ("tokens", "sids", "n", "size"))
+            inverse = np.unique(tokens.view(np.uint64), return_inverse=True)[1]
+            hub, hub_n, hub_place = (np.frombuffer(b"".join(t[k] for t in told), np.int64)[inverse] for k in range(3))
+            hub_place, count = hub_place & _PLACE, hub_place >> 32
+            sized = 100 * np.minimum(n, hub_n) >= THRESHOLD * np.maximum(n, hub_n)
+            placed = (100 + THRESHOLD) * np.minimum(n - place, hub_n - hub_place) >= THRESHOLD * (n + hub_n)
+            offered, open_ = sized & placed & (sids != hub), (count > 2) & (sids != hub)
+            keep = offered | open_
+            columns = [x[keep] for x in (tokens, sids, n.astype(np.int32), (n - place).astype(np.int32), hub, offered, open_)]
+            for j in range(0, len(columns[0]), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[j : j + 50_000]) for x in columns], names=["token", "sid", "n", "rest", "hub", "offered", "open"])
+
+    shared = materialize(_visited(blocks, _told(blocks.mapInArrow(ask_shared, _ASKED), parts, False), parts).mapInArrow(keep_shared, _BLOCK), "shared-prefixes")
+    discard(blocks)
+    found = materialize(_visited(shared, _told(shared.mapInArrow(ask_hubs, _ASKED), parts, True), parts).mapInArrow(entries, _ENTRIES), "index-lists")
+    discard(shared)
+    return found
 
 
 def _fetch(scanned: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -300,12 +364,16 @@ def _fetch(scanned: DataFrame, wanted: DataFrame) -> DataFrame:
 def _compare(scanned: DataFrame, names: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
     """pairs (a, b, ...), which must be materialized, with the exact intersection and union of their sets."""
     wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "sid")
-    sets = _fetch(scanned, materialize(names.join(wanted, "sid"), "wanted"))
+    wanted = materialize(names.join(wanted, "sid"), "wanted")
+    sets = _fetch(scanned, wanted)
     right = pairs.join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("right")), "b")
     both = right.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("left")), "a")
     common = F.size(F.array_intersect("left", "right")).cast("long")
     found = both.withColumn("common", common).withColumn("either", F.size("left") + F.size("right") - F.col("common")).drop("left", "right")
-    return materialize(found, label)
+    compared = materialize(found, label)
+    discard(wanted)
+    discard(sets)
+    return compared
 
 
 _LINKED = f"100 * common >= {THRESHOLD} * either"
@@ -314,62 +382,59 @@ _LINKED = f"100 * common >= {THRESHOLD} * either"
 def _possible(a: str, b: str) -> str:
     """Whether sets of sizes ``*_n`` may reach the threshold: a first common shingle leaves an overlap
     of the smaller remainder ``*_rest`` at most."""
-    return f"100 * least({a}_n, {b}_n) >= {THRESHOLD} * greatest({a}_n, {b}_n) and {100 + THRESHOLD} * least({a}_rest, {b}_rest) >= {THRESHOLD} * ({a}_n + {b}_n)"
+    return f"100L * least({a}_n, {b}_n) >= {THRESHOLD}L * greatest({a}_n, {b}_n) and {100 + THRESHOLD}L * least({a}_rest, {b}_rest) >= {THRESHOLD}L * ({a}_n + {b}_n)"
+
+
+def _linked_components(compared: DataFrame) -> DataFrame | None:
+    """(sid, component) of the sets in links, the component being its least set."""
+    links = compared.filter(_LINKED).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if not links.limit(1).count():
+        return None
+    return materialize(components(links).select(F.col("node").alias("sid"), "component"), "components")
 
 
-def _pivots(scanned: DataFrame, names: DataFrame, lists: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    """The comparisons (a: pivot, b, common, either) of all rounds, and (sid, component) by them."""
-    entries = lists.withColumn("rest", F.col("n") - F.col("place"))
-    hub = F.min(F.struct("place", "sid", "n")).alias("hub")
-    done: DataFrame | None = None
-    found: DataFrame | None = None
+def _pivots(scanned: DataFrame, names: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """The comparisons (a: pivot, b, common, either) of all rounds, (sid, component) by them, and the
+    entries that are left."""
+    offers = materialize(lists.filter("offered").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct(), "offers")
+    done = _compare(scanned, names, offers, "compared")
+    found = _linked_components(done)
+    entries = lists.filter("open").select("token", "sid", "n", "rest")
+    if found is None:
+        return done, None, entries.withColumn("component", F.col("sid"))
+    left = materialize(_apart(entries, found), "left")
+    entry = F.struct((F.col("n") - F.col("rest")).alias("place"), "sid", "n", "rest")
     last: DataFrame | None = None
-    for turn in range(MOST_ROUNDS):
-        rows = entries if found is None else _apart(entries, found)
-        if last is None:
-            hubs = rows.groupBy("token").agg(hub)
-        else:
-            later = rows.join(last.withColumnRenamed("hub", "before"), "token").filter(F.struct("place", "sid", "n") > F.col("before"))
-            hubs = later.groupBy("token").agg(hub)
-        hubs = last = materialize(hubs, "pivots")
-        side = hubs.select("token", F.col("hub.sid").alias("a"), F.col("hub.n").alias("a_n"), (F.col("hub.n") - F.col("hub.place")).alias("a_rest"))
-        if found is not None:
-            side = side.join(found.select(F.col("sid").alias("a"), F.col("component").alias("a_component")), "a", "left").withColumn("a_component", F.coalesce("a_component", "a"))
-        met = rows.withColumnsRenamed({"sid": "b", "n": "b_n", "rest": "b_rest"}).join(side, "token").filter(f"a <> b and {_possible('a', 'b')}")
-        if found is not None:
-            met = met.filter("component <> a_component")
-        offers = met.select("a", "b").distinct()
-        if done is not None:
-            offers = offers.join(done.select("a", "b").union(done.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-        offers = materialize(offers, "offers")
-        count = offers.count()
-        if not count:
-            break
+    for _ in range(MOST_ROUNDS if _many(left) else 0):  # offer the next set of each list
+        later = left if last is None else left.join(last.withColumnRenamed("hub", "before"), "token").filter(entry > F.col("before"))
+        last = materialize(later.groupBy("token").agg(F.min(entry).alias("hub")), "pivots")
+        side = last.select("token", F.col("hub.sid").alias("a"), F.col("hub.n").alias("a_n"), F.col("hub.rest").alias("a_rest"))
+        side = side.join(found.select(F.col("sid").alias("a"), F.col("component").alias("a_component")), "a", "left").withColumn("a_component", F.coalesce("a_component", "a"))
+        met = left.withColumnsRenamed({"sid": "b", "n": "b_n", "rest": "b_rest"}).join(side, "token").filter(f"component <> a_component and {_possible('a', 'b')}")
+        tried = done.select("a", "b").union(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        offers = materialize(met.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "offers")
         compared = _compare(scanned, names, offers, "compared")
         linked = compared.filter(_LINKED).count()
-        done = compared if done is None else done.unionByName(compared)
+        done = done.unionByName(compared)
         if linked:
-            found = materialize(components(done.filter(_LINKED).select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("sid"), "component"), "components")
-        if 10 * linked < count and (turn or 100 * linked < count):  # few sets are left that a pivot would take
-            break
-        if turn == 0 and not _many_left(entries, found):
+            found = _linked_components(done)
+            before, left = left, materialize(_apart(left.drop("component"), found), "left")
+            discard(before)
+        if 10 * linked < offers.count():  # few sets are left that a pivot would take
             break
-    return done, found
+    return done, found, left
 
 
-def _many_left(entries: DataFrame, found: DataFrame) -> bool:
-    """Whether sets of different components would meet in the lists' blocks more often than lists have rows."""
-    rows = _apart(entries, found).withColumn("block", _block(F.col("n"))).filter(f"{100 + THRESHOLD} * rest >= {2 * THRESHOLD} * n")
+def _many(left: DataFrame) -> bool:
+    """Whether sets of different components would meet in the lists' blocks more often than there are entries."""
+    rows = left.withColumn("block", _block(F.col("n"))).filter(f"{100 + THRESHOLD}L * rest >= {2 * THRESHOLD}L * n")
     each = rows.groupBy("token", "block", "component").agg(F.count(F.lit(1)).alias("c"))
     whole = each.groupBy("token", "block").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("met"))
-    met = whole.agg(F.sum("met")).first()[0] or 0
-    return met > entries.count()
+    return (whole.agg(F.sum("met")).first()[0] or 0) > WORTH * left.count()
 
 
-def _apart(entries: DataFrame, found: DataFrame | None) -> DataFrame:
+def _apart(entries: DataFrame, found: DataFrame) -> DataFrame:
     """The entries with their components, of tokens that several components have."""
-    if found is None:
-        return entries.withColumn("component", F.col("sid"))
     rows = entries.join(found, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
     return rows.join(mixed, "token", "left_semi")
@@ -379,22 +444,20 @@ def _block(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) * STEPS).cast("int")
 
 
-def _met(rows: DataFrame, keys: list[str], open_pairs: DataFrame | None = None) -> DataFrame:
+def _met(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (token, block, component, keys..., least, most, rest) paired as a_ and b_, a being the
     larger one: blocks of different components that sizes and positions don't rule out.
 
-    ``rows`` stand for blocks of sets of sizes least to most and remainders up to rest.  With
-    ``open_pairs`` (a_pivot, b_pivot, gap) only those groups meet, and sets far enough from them."""
-    top = F.least(F.col("most"), F.floor(((100 + THRESHOLD) * F.col("rest") - THRESHOLD * F.col("least")) / THRESHOLD))
-    low = F.ceil(THRESHOLD * F.col("least") / 100)
+    ``rows`` stand for blocks of sets of sizes least to most and remainders up to rest."""
+    rows = rows.withColumns({c: F.col(c).cast("int") for c in ("least", "most", "rest")})
+    top = F.least(F.col("most"), F.floor(((100 + THRESHOLD) * F.col("rest").cast("long") - THRESHOLD * F.col("least").cast("long")) / THRESHOLD))
+    low = F.ceil(THRESHOLD * F.col("least").cast("long") / 100)
     able = rows.withColumns({"top": top, "low": low}).filter("top >= low and top > 0")
     a = able.withColumn("block", F.explode(F.sequence(_block(F.col("low")), _block(F.col("top"))))).drop("top", "low")
     a = a.withColumnsRenamed({c: f"a_{c}" for c in (*keys, "component", "least", "most", "rest")})
     b = rows.withColumnsRenamed({c: f"b_{c}" for c in (*keys, "component", "least", "most", "rest")})
-    possible = f"a_component <> b_component and b_least <= a_most and 100 * b_most >= {THRESHOLD} * a_least and {100 + THRESHOLD} * least(a_rest, b_rest) >= {THRESHOLD} * (a_least + b_least)"
-    if open_pairs is None:
-        return a.join(b, ["token", "block"]).filter(possible)
-    return a.join(open_pairs, "a_pivot").join(b, ["token", "block", "b_pivot"]).filter(f"{possible} and a_distance + b_distance >= gap")
+    possible = f"a_component <> b_component and b_least <= a_most and 100L * b_most >= {THRESHOLD}L * a_least and {100 + THRESHOLD}L * least(a_rest, b_rest) >= {THRESHOLD}L * (a_least + b_least)"
+    return a.join(b, ["token", "block"]).filter(possible)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -404,25 +467,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row_id, body_hash (of the text), n, group (null without shingles) and component_id of each row."""
+    with tidy(docs.sparkSession):
+        return _grouped(docs, id_col, text_col)
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     body = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("row_id"), F.xxhash64(body).alias("body_hash"), body.alias("body"))
     scanned = materialize(_scan(source), "scan")
     rows = scanned.filter("kind = 0").select("row_id", "body_hash", "n", "d1", "d2")
     sets = rows.filter("n > 0 and row_id is not null").groupBy("d1", "d2").agg(F.min("row_id").alias("label"), F.max("n").alias("n"))
-    sets = materialize(sets.withColumn("sid", F.monotonically_increasing_id()), "distinct-sets")
+    sets, turn = materialize(sets, "distinct-sets"), 0
+    while True:
+        sets = sets.withColumn("sid", F.col("d1").bitwiseXOR(F.shiftright("d2", 64 - turn) if turn else F.lit(0).cast("long")))
+        if not sets.groupBy("sid").count().filter("count > 1").limit(1).count():
+            break
+        turn += 1
     names = sets.select("sid", "d1", "d2")
 
     shingles = sets.agg(F.sum("n")).first()[0] or 0
-    lists = _lists(_prefixes(scanned, _sketch(scanned)), shingles * (100 - THRESHOLD) // 100).join(names, ["d1", "d2"]).select("token", "sid", "n", "place")
-    lists = materialize(lists, "index-lists")
-    compared, found = _pivots(scanned, names, lists)
-    if compared is not None:
-        more = _across(scanned, names, lists, compared, found)
-        if more is not None:
-            # edges between components found so far, and then what they make of them
-            again = components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
-            known = names.select("sid").join(found, "sid", "left").select("sid", F.coalesce("component", "sid").alias("component")) if found is not None else names.select("sid", F.col("sid").alias("component"))
-            found = materialize(known.join(again, "component", "left").select("sid", F.coalesce("whole", "component").alias("component")), "components")
+    lists = _lists(_prefixes(scanned, _sketch(scanned)), shingles * (100 - THRESHOLD) // 100, turn)
+    compared, found, left = _pivots(scanned, names, lists)
+    if found is not None:
+        discard(lists)
+    more = _across(scanned, names, left, compared)
+    if more is not None:
+        # edges between components found so far, and then what they make of them
+        again = components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        known = names.select("sid", F.col("sid").alias("component")) if found is None else names.select("sid").join(found, "sid", "left").select("sid", F.coalesce("component", "sid").alias("component"))
+        found = materialize(known.join(again, "component", "left").select("sid", F.coalesce("whole", "component").alias("component")), "components")
     grouped = sets if found is None else sets.join(found, "sid", "left")
     grouped = grouped.withColumn("group", F.col("sid") if found is None else F.coalesce("component", "sid"))
     least = grouped.groupBy("group").agg(F.min("label").alias("least"))
@@ -432,7 +505,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.select("row_id", "body_hash", "n", "group", component.alias("component_id"))
 
 
-def _across(scanned: DataFrame, names: DataFrame, lists: DataFrame, compared: DataFrame, found: DataFrame | None) -> DataFrame | None:
+def _across(scanned: DataFrame, names: DataFrame, left: DataFrame, compared: DataFrame) -> DataFrame | None:
     """Edges (u, v) between components whose sets are linked though no pivot has told."""
     linked = compared.filter(_LINKED).withColumn("distance", 1 - F.col("common") / F.col("either"))
     used = linked.select(F.col("a").alias("sid")).distinct().withColumn("pivot", F.col("sid"))
@@ -440,9 +513,11 @@ def _across(scanned: DataFrame, names: DataFrame, lists: DataFrame, compared: Da
     best = best.join(used.select("sid"), "sid", "left_anti").select("sid", F.col("best.a").alias("pivot"), F.col("best.distance").alias("distance"))
     members = materialize(best.unionByName(used.withColumn("distance", F.lit(0.0))), "members")
 
-    entries = _apart(lists.withColumn("rest", F.col("n") - F.col("place")), found).join(members, "sid", "left")
+    entries = left.join(members, "sid", "left")
     entries = entries.withColumns({"pivot": F.coalesce("pivot", "sid"), "distance": F.coalesce("distance", F.lit(0.0)), "block": _block(F.col("n"))})
     entries = materialize(entries, "entries")
+    if hasattr(left, "_rillmark_path"):
+        discard(left)
     blocks = entries.groupBy("token", "block", "component", "pivot").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
     pairs = _met(blocks, ["pivot"]).select(F.least("a_pivot", "b_pivot").alias("a"), F.greatest("a_pivot", "b_pivot").alias("b")).distinct()
     pairs = materialize(pairs, "pivot-pairs")
@@ -460,9 +535,9 @@ def _across(scanned: DataFrame, names: DataFrame, lists: DataFrame, compared: Da
     if not far.limit(1).count():
         return edges
     wanted = far.select(F.col("a").alias("pivot")).union(far.select("b")).distinct()
-    able = entries.join(wanted, "pivot", "left_semi").withColumns({"least": F.col("n"), "most": F.col("n")}).drop("n", "place")
-    either_way = far.toDF("a_pivot", "b_pivot", "gap").unionByName(far.toDF("b_pivot", "a_pivot", "gap"))
-    met = _met(able, ["sid", "pivot", "distance"], either_way)
+    able = entries.join(wanted, "pivot", "left_semi").withColumns({"least": F.col("n"), "most": F.col("n")}).drop("n")
+    met = _met(able, ["sid", "pivot", "distance"]).select("a_sid", "b_sid", "a_component", "b_component", (F.col("a_distance") + F.col("b_distance")).alias("reach"), F.least("a_pivot", "b_pivot").alias("a"), F.greatest("a_pivot", "b_pivot").alias("b")).distinct()
+    met = met.join(far, ["a", "b"]).filter("reach >= gap")
     met = met.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"), F.col("a_component").alias("u"), F.col("b_component").alias("v")).distinct()
     more = _compare(scanned, names, materialize(met, "member-pairs"), "compared-members").filter(_LINKED)
     return edges.unionByName(more.select("u", "v"))
