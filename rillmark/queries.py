@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rillmark import providers
 from rillmark.functions import text as tx
 from rillmark.functions.vectors import hash_embedding
 from rillmark.operators import chunking, enrich, evaluation, postprocess, prompts, search
+from rillmark.plans import answers
 from rillmark.sources import readers, store
 
 #: Lists of 40 documents each, over the whole table; every list has a question.  Run by both engines.
@@ -699,7 +703,7 @@ def fuzzy_match(spark, sf_dir):
     return evaluation.match_gold(rows, gold, evaluation.FUZZY_THRESHOLD).select("query_id", "pos", "gold_index")
 
 
-@_query("json_repair")
+@_query("json_repair", "SELECT event_id, props AS repaired, json_extract_string(props, '$.k') AS texts FROM events")
 def json_repair(spark, sf_dir):
     props = F.concat(F.lit("Sure: "), "props", F.lit(" done"))
     return _table(spark, sf_dir, "events").select("event_id", tx.repair_json(props).alias("repaired"), tx.json_text(F.col("props")).alias("texts"))
@@ -719,3 +723,160 @@ def paragraph_split(spark, sf_dir):
     text = F.replace("text", F.lit("."), F.lit(". \n\n"))
     parts = chunking.paragraphs(chunking.normalize_block(text))
     return _docs(spark, sf_dir).select("doc_id", parts.alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "|")).alias("paragraphs_md5"))
+
+
+# ---- files, layout, messages ----------------------------------------------------------------
+
+
+def _scratch(spark, name: str) -> str:
+    """A new folder that driver and executors share, for the files a query writes and reads back."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.gettempdir()
+    return f"{base.rstrip('/')}/rillmark-{name}-{uuid.uuid4().hex}"
+
+
+_JSONL = f"""
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS o FROM ({_FIXTURE})
+"""
+
+
+@_query("chunk_jsonl", f"""
+WITH j AS ({_JSONL}) SELECT doc_id, coalesce(source0, doc_id) AS source, type, section_path, section_name, page::INT AS page, o::INT AS "order", title0 AS table_title, md5(text) AS text_md5, lang_company AS company, year AS fiscal_year, 'prechunked' AS parser, o::INT AS chunk_id FROM (SELECT *, replace(split_part(doc_id, '_', 1), '-', ' ') AS lang_company, split_part(doc_id, '_', 2) AS year FROM j)
+""")
+def chunk_jsonl(spark, sf_dir):
+    """Chunk files written, read back, numbered, and completed."""
+    path = _scratch(spark, "chunks")
+    chunks = enrich.number_chunks(_fixture_chunks(spark, sf_dir)).withColumn("order", F.col("chunk_id")).drop("chunk_id", "total_chunks")
+    readers.write_chunks(chunks, path)
+    back = enrich.default_metadata(enrich.number_chunks(readers.read_chunks(spark, path), "order"), "given_keys")
+    return back.select("doc_id", "source", "type", "section_path", "section_name", "page", "order", "table_title", F.md5("text").alias("text_md5"), "company", "fiscal_year", "parser", "chunk_id")
+
+
+@_query("record_files", "SELECT doc_id::VARCHAR AS example_id, source, md5(text) AS text_md5, count(*) OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) AS line_no FROM documents")
+def record_files(spark, sf_dir):
+    """Raw records, dealt to three files, with their line numbers."""
+    path = _scratch(spark, "records")
+    d = F.col("doc_id")
+    record = F.to_json(F.struct(d.alias("example_id"), "source", F.lit("q").alias("query"), "text"))
+    _docs(spark, sf_dir).withColumn("third", d % 3).repartition("third").sortWithinPartitions("third", "doc_id").select(record.alias("value"), "third").write.partitionBy("third").text(path)
+    return readers.read_records(spark, f"{path}/*").select("example_id", "source", F.md5("text").alias("text_md5"), "line_no")
+
+
+@_query("golden_files", f"""
+SELECT item_id // 4 AS query_id, item_id % 4 AS gold_index, CASE WHEN item_id % 7 = 3 THEN 'FILE' ELSE 'TEXT' END AS gold_type, CASE WHEN item_id % 7 <> 3 THEN {_NORM.format("text")} ELSE '' END AS normalized_text, CASE WHEN item_id % 7 = 3 THEN 'src' || item_id END AS file_name FROM benchmark
+""")
+def golden_files(spark, sf_dir):
+    """A golden set as one JSON document, four pieces of evidence a question."""
+    path = _scratch(spark, "golden")
+    item = F.col("item_id")
+    entry = F.struct(F.when(item % 7 == 3, "file").alias("type"), F.when(item % 7 == 3, F.concat(F.lit("a\\b/SRC"), item.cast("string"))).otherwise(F.col("text")).alias("content"))
+    by_question = _table(spark, sf_dir, "benchmark").groupBy(F.floor(item / 4).alias("q")).agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", entry.alias("g")))), lambda x: x["g"]).alias("gold"))
+    each = F.transform(F.array_sort(F.collect_list(F.struct("q", "gold"))), lambda x: F.struct(F.concat(F.lit("ask "), x["q"].cast("string")).alias("query"), F.lit("").alias("answer"), x["gold"].alias("gold")))
+    by_question.agg(F.to_json(each).alias("value")).write.text(path)
+    gold = readers.read_gold(spark, path)[1]
+    return gold.select(F.col("query_id").cast("long").alias("query_id"), F.col("gold_index").cast("long").alias("gold_index"), "gold_type", "normalized_text", "file_name")
+
+
+@_query("question_files", "SELECT trim(text) AS question, CASE WHEN item_id % 2 = 0 THEN 'truth ' || item_id ELSE '' END AS ground_truth FROM benchmark")
+def question_files(spark, sf_dir):
+    path = _scratch(spark, "questions") + ".jsonl"
+    item = F.col("item_id")
+    _table(spark, sf_dir, "benchmark").select(F.trim("text").alias("question"), F.when(item % 2 == 0, F.concat(F.lit("truth "), item.cast("string"))).alias("ground_truth")).write.json(path)
+    return readers.read_questions(spark, path)
+
+
+@_query("table_files", """
+SELECT o_orderkey, 'Table columns: key, note.' || chr(10) || 'key | note' || chr(10) || o_orderkey || ' | ' || o_orderstatus || ', "x"' || chr(10) || o_orderpriority AS content,
+  'key | note' || chr(10) || o_orderkey || ' | ' || o_orderstatus || ', "x"' || chr(10) || o_orderpriority AS plain FROM orders
+""")
+def table_files(spark, sf_dir):
+    """CSV texts with quotes, empty cells and blank rows, flattened in both ways."""
+    key = F.col("o_orderkey").cast("string")
+    text = F.concat(F.lit("key,note\n"), key, F.lit(',"'), "o_orderstatus", F.lit(', ""x"""\n , \n\n'), "o_orderpriority", F.lit(",\n"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", enrich.flatten_table(readers.csv_rows(text)).alias("content"), readers.csv_text(text).alias("plain"))
+
+
+@_query("reading_order", f"""
+WITH o AS (SELECT o_orderkey AS block_no, b.* FROM (SELECT o_orderkey, (o_orderkey // 40)::BIGINT AS page, ((o_orderkey % 2) * (o_custkey % 7) * 50 + (o_totalprice::BIGINT % 40))::DOUBLE AS x0, (o_custkey % 97)::DOUBLE AS y0 FROM orders) b),
+m AS (SELECT page, x0 + 20.0 AS mid FROM o), g AS (SELECT *, mid - lag(mid) OVER w AS gap, (mid + lag(mid) OVER w) / 2.0 AS gutter FROM m WINDOW w AS (PARTITION BY page ORDER BY mid)),
+b AS (SELECT page, arg_max(gutter, [gap, -mid]) AS gutter, max(gap) AS gap, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT b.page, CASE WHEN any_value(n) >= 8 AND any_value(gap) >= 0.08 * 400 AND count(*) FILTER (WHERE mid < gutter) >= 3 AND any_value(n) - count(*) FILTER (WHERE mid < gutter) >= 3 THEN any_value(gutter) END AS gutter FROM m JOIN b USING (page) GROUP BY 1),
+p AS (SELECT o.page, block_no, x0, y0, CASE WHEN gutter IS NOT NULL AND x0 + 20.0 >= gutter THEN 1 ELSE 0 END AS col FROM o JOIN c USING (page))
+SELECT page, block_no, col::INT AS "column", row_number() OVER (PARTITION BY page ORDER BY col, y0, x0, block_no)::INT AS position FROM p
+""")
+def reading_order(spark, sf_dir):
+    x0 = (F.col("o_orderkey") % 2) * (F.col("o_custkey") % 7) * 50 + F.bround("o_totalprice", 0).cast("long") % 40
+    blocks = _table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 40).alias("page"), F.col("o_orderkey").alias("block_no"), x0.cast("double").alias("x0"), (F.col("o_custkey") % 97).cast("double").alias("y0"))
+    blocks = blocks.withColumn("x1", F.col("x0") + 40.0)
+    return chunking.reading_order(blocks, chunking.detect_columns(blocks, ["page"], 400.0), ["page"]).select("page", "block_no", "column", "position")
+
+
+@_query("chat_messages", f"""
+{_L}, c AS (SELECT query_id, any_value(query) AS query, list(content ORDER BY pos) AS c FROM l WHERE pos <= 5 GROUP BY 1)
+SELECT query_id, 'system,user' AS roles, '{prompts.SYSTEM.replace("'", "''")}' AS system, md5('{prompts.OPENING.replace("'", "''")}' || chr(10) || chr(10) || array_to_string(list_transform(c, lambda x, i: 'Context ' || i || ':' || chr(10) || x), chr(10) || chr(10)) || chr(10) || chr(10) || 'Question: ' || query || chr(10) || chr(10) || '{prompts.CLOSING.replace("'", "''")}') AS user_md5 FROM c
+""")
+def chat_messages(spark, sf_dir):
+    rows = _lists(spark, sf_dir)
+    made = prompts.collect_contexts(rows, 5).join(rows.select("query_id", "query").distinct(), "query_id").withColumn("m", prompts.messages(F.col("query"), F.col("contexts")))
+    return made.select("query_id", F.array_join(F.col("m.role"), ",").alias("roles"), F.col("m")[0]["content"].alias("system"), F.md5(F.col("m")[1]["content"]).alias("user_md5"))
+
+
+@_query("message_parts", "SELECT conv_id, md5(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS text_md5 FROM conversations GROUP BY 1")
+def message_parts(spark, sf_dir):
+    parts = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    return _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.md5(tx.flatten_parts(parts)).alias("text_md5"))
+
+
+@_query("viewer_fields", """
+SELECT o_orderkey, printf('(%.1f, %.1f) → (%.1f, %.1f)', o_orderkey / 10.0::DOUBLE, o_custkey / 10.0::DOUBLE, (o_orderkey + 7) / 10.0::DOUBLE, (o_custkey + 3) / 10.0::DOUBLE) AS bbox, 'data/x/' || o_orderstatus || '.csv' AS path,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'given.csv' WHEN o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0 THEN 'data/csvs/' || o_orderpriority || '.csv' WHEN o_orderkey % 3 = 1 THEN '' END AS table_path FROM orders
+""")
+def viewer_fields(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    box = F.struct(*[(v / 10.0).alias(n) for n, v in (("x0", k), ("y0", c), ("x1", k + 7), ("y1", c + 3))])
+    path = F.concat(F.lit("/app/data//x/"), "o_orderstatus", F.lit(".csv"))
+    given = F.when(k % 3 == 0, "given.csv").when(k % 3 == 1, "")
+    title = F.when(k % 5 != 0, F.col("o_orderpriority")).otherwise("")
+    table = postprocess.table_path(F.when(k % 2 == 0, "table").otherwise("text"), given, title)
+    return _table(spark, sf_dir, "orders").select("o_orderkey", tx.format_bbox(box).alias("bbox"), tx.clean_local_path(path).alias("path"), table.alias("table_path"))
+
+
+@_query("provider_embedding", f"SELECT k AS doc_id, array_to_string(list_transform(v, lambda x: x::INT), ',') AS vector FROM ({_hashed('documents', 'doc_id')})")
+def provider_embedding(spark, sf_dir):
+    """Vectors of a provider, whose batches hold texts of like length; rows keep their vectors."""
+    rows = providers.embed(_docs(spark, sf_dir).select("doc_id", "text"), providers.HashEmbedding, "text")
+    return rows.select("doc_id", F.array_join(F.transform("vector", lambda x: x.cast("int").cast("string")), ",").alias("vector"))
+
+
+@_query("collection_upsert", """
+WITH n AS (SELECT *, source = 'src1' OR source = 'src2' AS again FROM documents)
+SELECT doc_id::VARCHAR AS id, source, CASE WHEN again THEN 'second' ELSE 'first' END AS version, len(embedding)::INT AS dimension FROM n JOIN (SELECT embedding FROM embeddings WHERE vec_id = 0) ON true WHERE NOT again OR doc_id % 3 = 0
+""")
+def collection_upsert(spark, sf_dir):
+    """A collection of all documents; two sources come again, with half of their points."""
+    vector = _table(spark, sf_dir, "embeddings").filter("vec_id = 0").select(F.col("embedding").alias("vector"))
+    made = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "doc_id", F.lit(0).alias("chunk_id"), "source", F.col("text").alias("content")).crossJoin(F.broadcast(vector))  # one row
+    collection = store.Collection(spark, _scratch(spark, "collection"))
+    collection.upsert(made.withColumn("version", F.lit("first")))
+    collection.upsert(made.filter("source in ('src1', 'src2') and doc_id % 3 = 0").withColumn("version", F.lit("second")))
+    return collection.read().select("id", "source", "version", F.size("vector").alias("dimension"))
+
+
+@_query("answer_cache", f"""
+{_L}, c AS (SELECT query_id, any_value(query) AS query, list(content ORDER BY pos) AS c FROM l WHERE pos <= 3 GROUP BY 1)
+SELECT query AS question, 'a' || query_id AS answer, md5(array_to_string(c, '|')) AS contexts_md5, 5 AS total_tokens, CASE WHEN query_id % 2 = 0 THEN 't' || query_id END AS ground_truth FROM c
+""")
+def answer_cache(spark, sf_dir):
+    """Answers with their truths, written as a cache and read back."""
+    rows = _lists(spark, sf_dir)
+    usage = F.struct(F.lit(2).alias("prompt_tokens"), F.lit(3).alias("completion_tokens"), F.lit(5).alias("total_tokens"))
+    number = F.col("query_id").cast("string")
+    found = prompts.collect_contexts(rows, 3).join(rows.select("query_id", "query").distinct(), "query_id").select("query_id", "query", "contexts", F.concat(F.lit("a"), number).alias("answer"), F.lit("m").alias("model"), usage.alias("usage"))
+    truths = found.filter("query_id % 2 = 0").select("query_id", F.concat(F.lit("t"), number).alias("ground_truth"))
+    path = _scratch(spark, "answers")
+    answers.write_cache(answers.dataset(found, truths), path)
+    back = answers.read_cache(spark, path)
+    return back.select("question", "answer", F.md5(F.array_join("contexts", "|")).alias("contexts_md5"), "usage.total_tokens", "ground_truth")
