@@ -29,7 +29,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.llm.shared import partitions
@@ -171,3 +171,25 @@ def digest_chats(pieces: DataFrame) -> DataFrame:
 def log_of_turns(turns: DataFrame) -> DataFrame:
     """A table of finished turns (conv_id, turn, role, text) as a log of ``message`` events."""
     return turns.select("conv_id", F.col("turn").alias("message"), F.col("turn").alias("seq"), F.lit("message").alias("event"), "role", "text")
+
+
+def streamed_log(turns: DataFrame) -> DataFrame:
+    """The same turns as a log of how they might have come about: texts arrive in deltas, others are
+    edited, and every assistant message takes the place of a draft and of a turn that followed it.
+
+    Turns that tie are in the order of role and text."""
+    n, role, text = F.col("n"), F.col("role"), F.col("text")
+    half = F.floor(F.length(text) / 2).cast("int")
+    first, rest = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+
+    def event(k: int, kind: str, said: Column, who: Column = role, number: Column = n) -> Column:
+        return F.struct(number.alias("message"), (8 * n + k).alias("seq"), F.lit(kind).alias("event"), who.alias("role"), said.alias("text"))
+
+    draft = F.concat(F.lit("draft <|im_end|> "), text)
+    redone = F.array(event(0, "message", draft), event(1, "message", F.lit("withdrawn"), F.lit("user"), n + 1), event(2, "delta", F.lit(" too"), F.lit(None).cast("string"), n + 1), event(3, "regenerate", first), event(4, "delta", rest))
+    edited = F.array(event(0, "message", F.lit("to be edited")), event(1, "delta", F.lit(" soon")), event(2, "edit", text))
+    plain = F.array(event(0, "message", first), event(1, "delta", rest))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    given = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.row_number().over(order).cast("long"))
+    events = F.when(role == "assistant", redone).when(n % 2 == 0, edited).otherwise(plain)
+    return given.select("conv_id", F.explode(events).alias("e")).select("conv_id", "e.*")

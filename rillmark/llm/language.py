@@ -6,7 +6,9 @@ some of them are landmarks, the Nystroem map takes every text to its kernel with
 times the inverse root of the landmarks' own kernel matrix, and kernel ridge regression, one
 language against the rest, is solved there.  n-grams are hashed to FEATURES presence bits, so the
 kernel with all landmarks is one matrix product; as the regression is linear in it, the product of
-landmarks and weights is taken once and a batch of texts is scored by a single product.
+landmarks and weights is taken once and a batch of texts is scored by a single product.  A text
+longer than PART characters is scored in parts of that length, whose margins are averaged by length:
+presence in one long text would fill all bits, and languages draw together.
 
 The sample: the labelled rows whose text has a letter and 1 to LONGEST_SAMPLE characters; for each
 language, the row of least hash in each of SAMPLE_SLOTS slots of a hash of the identifier and text.
@@ -39,6 +41,7 @@ LONGEST_SAMPLE = 8000
 RIDGE = 0.03
 BATCH = 256
 PIECE = 1 << 18
+PART = 1 << 14
 
 
 def presence(column: pa.Array) -> np.ndarray:
@@ -89,6 +92,20 @@ def fit(texts: list[str], langs: list[str], landmarks: list[bool]) -> tuple[list
     return names, (z.T @ (root @ beta)).astype(np.float32), offset.astype(np.float32)
 
 
+def margins(texts: list[str], weights: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """The regression's value of each language for each text."""
+    parts = [(i, text[k : k + PART]) for i, text in enumerate(texts) for k in range(0, max(1, len(text)), PART)]
+    out, size = np.zeros((len(texts), len(offset))), np.zeros(len(texts))
+    for k in range(0, len(parts), BATCH):
+        owner, own = zip(*parts[k : k + BATCH], strict=True)
+        x = presence(pa.array(own, pa.string()))
+        found = (x.astype(np.float32) @ weights) / np.sqrt(np.maximum(1, x.sum(1)))[:, None] + offset
+        weight = np.array([max(1, len(t)) for t in own], float)
+        np.add.at(out, list(owner), found * weight[:, None])
+        np.add.at(size, list(owner), weight)
+    return out / size[:, None]
+
+
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
@@ -129,9 +146,7 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
                 told, best = np.full(n, UNKNOWN, object), np.zeros(n)
                 if known is not None:
                     langs, weights, offset = known
-                    x = presence(batch.column(body))
-                    norm = np.sqrt(np.maximum(1, x.sum(1)))
-                    margin = (x.astype(np.float32) @ weights) / norm[:, None] + offset
+                    margin = margins(batch.column(body).to_pylist(), weights, offset)
                     share = np.exp(4 * (margin - margin.max(1, keepdims=True)))
                     top = margin.argmax(1)
                     told = np.where(letters, np.array(langs, object)[top], UNKNOWN)

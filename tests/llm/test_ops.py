@@ -136,6 +136,16 @@ def test_chat_digests_and_empty(spark):
     assert chat.digest_chats(chat.format_chats(chat.log_of_turns(turns.limit(0)))).count() == 0
 
 
+def test_chat_streamed_log_folds_back(spark):
+    draw = random.Random(6)
+    rows = [(c, t, draw.choice(["user", "assistant", "system", None]), draw.choice(["", "x", None, "é<|im_end|>\n", "<\\|im_start|>assistant ok", "longer text of it"])) for c in range(12) for t in range(draw.randrange(1, 9))]
+    rows += [(3, 0, "user", "tie"), (3, 0, "assistant", "tie"), (3, 0, "user", "tie"), (None, None, None, None), (None, 2, "assistant", "z")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    key = lambda f: sorted(map(repr, chat.digest_chats(chat.format_chats(f)).collect()))
+    assert key(chat.streamed_log(turns)) == key(chat.log_of_turns(turns.fillna("", ["role", "text"])))
+    assert chat.streamed_log(turns).filter("event in ('regenerate', 'edit', 'delta')").count() > 60
+
+
 # ---- 2 BPE ----------------------------------------------------------------------------------
 
 
@@ -433,6 +443,48 @@ def test_language(spark):
     assert language.identify(docs.limit(0), F.col("held")).count() == 0
 
 
+def test_language_equals_an_explicit_kernel_ridge():
+    """Landmarks are all rows here, so the Nystroem map is exact: unhashed kernel, dual ridge."""
+    draw = random.Random(14)
+    stems = {"en": ["the", "and", "th", "ing"], "de": ["der", "und", "sch", "ung"], "fr": ["le", "et", "eau", "ent"]}
+    said = lambda lang, n: " ".join("".join(draw.choice(stems[lang] + ["re", "on"]) for _ in range(draw.randrange(1, 4))) for _ in range(n))
+    langs = [["de", "en", "fr"][i % 3] for i in range(45)]
+    texts, asked = [said(lang, 12) for lang in langs], [said(lang, draw.choice([2, 5, 30])) for lang in langs]
+
+    def grams(text):
+        data = text.encode().lower()
+        return {data[i : i + n] for n in language.ORDERS for i in range(len(data) - n + 1)}
+
+    def kernel(a, b):
+        return np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in b] for x in a])
+
+    known = [grams(t) for t in texts]
+    k, q = kernel(known, known), kernel([grams(t) for t in asked], known)
+    names = sorted(set(langs))
+    y = np.array([[1.0 if lang == name else -1.0 for name in names] for lang in langs])
+    mean = k.mean(0)
+    # ridge in the kernel's own space: f = centred features, every language of weight one in all
+    scale = np.array([1 / langs.count(lang) for lang in langs])
+    centre = k - mean
+    beta = np.linalg.solve(centre.T @ (centre * scale[:, None]) + language.RIDGE / len(names) * k, centre.T @ (y * scale[:, None]))
+    expected = q @ beta + ((y * scale[:, None]).sum(0) / scale.sum() - mean @ beta)
+    found_names, weights, offset = language.fit(texts, langs, [True] * len(texts))
+    got = language.margins(asked, weights, offset)
+    assert found_names == names and (got.argmax(1) == expected.argmax(1)).mean() >= 0.97
+    assert np.abs(got - expected).mean() < 0.1 and np.corrcoef(got.ravel(), expected.ravel())[0, 1] > 0.97
+
+
+def test_language_of_very_long_texts_is_as_clear_as_of_short_ones():
+    draw = random.Random(4)
+    stems = {"en": ["the", "and", "th", "ing"], "de": ["der", "und", "sch", "ung"]}
+    word = lambda lang: "".join(draw.choice(stems[lang]) + draw.choice("abcdefghijklmnopqrstuvwxyz") * draw.randrange(3) for _ in range(draw.randrange(1, 4)))
+    langs = ["en", "de"] * 40
+    _, weights, offset = language.fit([" ".join(word(lang) for _ in range(30)) for lang in langs], langs, [True] * 80)
+    long = " ".join(word("de") for _ in range(150_000))
+    few, many = language.margins([long[:3000], long], weights, offset)
+    assert few.argmax() == many.argmax() == 0 and many[0] - many[1] > 0.8 * (few[0] - few[1])
+
+
 def test_language_presence_counts_each_gram_once():
     x = language.presence(pa.array(["abcabc", "abc", None, "é" * 3]))
     assert (x[0] & x[1]).sum() == x[1].sum() and x[2].sum() == 0
