@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from rillmark.llm.shared import fresh_names, without
 
-CACHED_PIECES = 120_000
-CACHED_PAIRS = 200_000
+CACHED_PIECES = 180_000
+CACHED_PAIRS = 400_000
 LONGEST_CACHED = 48
 #: White space before a space: such a run must be split as a whole.
 _RUN = re.compile(r"\s ")
@@ -58,8 +60,19 @@ class BytePairCodec:
         self._pairs: dict[int, bool] = {}
         self._left_spine: dict[int, list[tuple[bytes, int]]] = {}
         self._right_spine: dict[int, list[tuple[bytes, int]]] = {}
-        self._pieces = _Pieces(lambda piece: np.array(self.encode_piece(piece.encode("utf-8")), "<u4").tobytes())
-        self._spaced = _Pieces(lambda chunk: b"".join(map(self._pieces.__getitem__, self.pattern.findall(" " + chunk))))
+        self._pieces = _Pieces(self._packed)
+        self._spaced = _Pieces(self._behind_space)
+
+    def _packed(self, piece: str) -> bytes:
+        return _little(self.encode_piece(piece.encode("utf-8")))
+
+    def _behind_space(self, chunk: str) -> bytes:
+        parts = self.pattern.findall(" " + chunk)
+        if len(parts) == 1:
+            return self._packed(parts[0])
+        # the first part is known by what stands behind its space, if that is a piece of its own
+        first = self._spaced[parts[0][1:]] if len(parts[0]) > 1 and self.pattern.findall(parts[0]) == parts[:1] else self._pieces[parts[0]]
+        return first + b"".join(map(self._pieces.__getitem__, parts[1:]))
 
     def merge(self, piece: bytes, below: int = 1 << 62) -> list[int]:
         """Tokens by merging the neighbours of lowest rank again and again: the definition.
@@ -124,13 +137,21 @@ class BytePairCodec:
         if whole is not None:
             return [whole]
         text = piece.decode("latin-1")
-        greedy = [rank for _, (_, rank) in self._automaton.iter_long(text)]
-        if all(map(self._tolerates, greedy, greedy[1:])):
+        pairs, last = self._pairs, -1
+        greedy = []
+        for _, (_, rank) in self._automaton.iter_long(text):
+            if last >= 0:
+                fits = pairs.get(last << 32 | rank)
+                if not (self._tolerates(last, rank) if fits is None else fits):
+                    break
+            greedy.append(rank)
+            last = rank
+        else:
             return greedy
         longest = [-1] * (len(piece) + 1)
         for end, (n, rank) in self._automaton.iter(text):
             longest[end - n + 1] = rank  # ends ascend, so the longest match of a start comes last
-        lengths, shorter, pairs = self._lengths, self._shorter, self._pairs
+        lengths, shorter = self._lengths, self._shorter
         chosen: list[int] = []
         dead = bytearray(len(piece) + 1)
         at, token, last = 0, longest[0], -1
@@ -173,6 +194,13 @@ class BytePairCodec:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def _little(ids: list[int]) -> bytes:
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
 class _Pieces(dict):
     """Encoded pieces; a missing one is encoded, and remembered while there is room."""
 
