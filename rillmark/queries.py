@@ -230,6 +230,7 @@ _OUT = ["query_id", "pos", "id", "score"]
 _SEC = "coalesce(nullif(section_name, ''), nullif(section_path, ''))"
 
 
+#: Fixed values in this text: the words that route a question, and their targets.
 @_query("section_route", """
 SELECT doc_id, array_to_string(list_concat(list_transform(regexp_extract_all(q, 'item\\s+(\\d+[a-z]?)', 1), lambda m: 'item_' || m), list_filter([
   CASE WHEN contains(q, 'risk factors') OR contains(q, 'item 1a') OR contains(q, 'risks') THEN 'risk' END,
@@ -429,6 +430,7 @@ _FIXTURE = """
     CASE WHEN doc_id % 7 <> 0 THEN doc_id % 9 END AS page, CASE doc_id % 8 WHEN 0 THEN 't1.csv' WHEN 1 THEN 'Segments' WHEN 2 THEN '' END AS title0,
     CASE WHEN doc_id % 10 = 0 THEN 'June 30 and September 30 ' || text ELSE text END AS text FROM documents
 """
+#: Fixed values in this text: titles, phrases that make a section's name a title, and header labels.
 _ENRICHED = f"""
   WITH f AS ({_FIXTURE}), n AS (SELECT *, coalesce(source0, doc_id) AS source, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS chunk_id, count(*) OVER (PARTITION BY doc_id) AS total,
     type = 'table' AND contains(text, 'June 30') AND contains(text, 'September 30') AS qu, lower(coalesce(section_name, '')) AS sn FROM f),

@@ -145,76 +145,68 @@ def listed(frame):
     return out
 
 
+def shown(rows):
+    return [(d[2], d[3]) for d in rows]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
-def test_section_filter_equals_list_version(spark, seed):
-    rows, top_k = random_lists(seed), 12
-    expected = {}
-    for q, docs in by_query(rows).items():
-        targets = docs[0][12]
-        routed = [any(t in (d[10] or d[9] or "").lower() for t in targets) for d in docs]
-        if not targets:
-            kept = docs
-        elif not any(routed):
-            kept = docs[:top_k]
-        elif sum(routed) >= 5:
-            kept = [d for d, r in zip(docs, routed) if r]
-        else:
-            keys = {d[5] or d[6] for d, r in zip(docs, routed) if r} - {""}
-            kept, seen = [], set()
-            for want in (0, 1, 2):
-                for d, r in zip(docs, routed):
-                    kind = 0 if r else 1 if (d[5] or d[6]) in keys else 2
-                    if kind == want and d[2] not in seen and len(kept) < 5:
-                        seen.add(d[2])
-                        kept.append(d)
-        expected[q] = [(d[2], d[3]) for d in kept]
-    assert listed(postprocess.filter_sections(spark.createDataFrame(rows, SCHEMA), top_k)) == expected
+def test_section_filter_by_classes(spark, seed):
+    """A short list is the first of each identifier by (class, place), in that order."""
+    rows, top_k, enough = random_lists(seed), 12, 5
+
+    def expected(docs):
+        hits = {d[1] for d in docs if any(t in (d[10] or d[9] or "").lower() for t in d[12])}
+        documents = {d[5] or d[6] for d in docs if d[1] in hits} - {""}
+        rank = lambda d: (0 if d[1] in hits else 2 - ((d[5] or d[6]) in documents), d[1])
+        firsts = {i: min((d for d in docs if d[2] == i), key=rank) for i in {d[2] for d in docs}}
+        if not docs[0][12]:
+            return docs
+        if not hits:
+            return [d for d in docs if d[1] <= top_k]
+        return [d for d in docs if d[1] in hits] if len(hits) >= enough else sorted(firsts.values(), key=rank)[:enough]
+
+    got = listed(postprocess.filter_sections(spark.createDataFrame(rows, SCHEMA), top_k))
+    assert got == {q: shown(expected(docs)) for q, docs in by_query(rows).items()}
 
 
 @pytest.mark.parametrize("seed", [3, 4])
-def test_balance_equals_list_version(spark, seed):
+def test_balance_by_turns(spark, seed):
+    """Rows have a turn: their number within a named company, up to the quota.  Rows with a turn come
+    by (turn, the company's first place), then those without, by place; of an identifier with a turn
+    only its earliest turn counts."""
     rows, top_k = random_lists(seed), 6
-    expected = {}
-    for q, docs in by_query(rows).items():
-        own = [(d[7] or d[6] or d[5]).lower() for d in docs]
-        groups = {}
-        for d, c in zip(docs, own):
-            if c and c in d[11].lower():
-                groups.setdefault(c, []).append(d)
-        if len(groups) < 2:
-            expected[q] = [(d[2], d[3]) for d in docs]
-            continue
-        quota, kept, used = max(2, top_k // len(groups)), [], set()
-        for i in range(quota):
-            for group in groups.values():
-                if i < len(group) and group[i][2] not in used and len(kept) < top_k:
-                    used.add(group[i][2])
-                    kept.append(group[i])
-        kept += [d for d in docs if d[2] not in used]
-        expected[q] = [(d[2], d[3]) for d in kept[:top_k]]
-    assert listed(postprocess.balance_companies(spark.createDataFrame(rows, SCHEMA), top_k)) == expected
+
+    def expected(docs):
+        named = {d[1]: c for d in docs if (c := (d[7] or d[6] or d[5]).lower()) and c in d[11].lower()}
+        places = {c: [p for p in sorted(named) if named[p] == c] for c in set(named.values())}
+        if len(places) < 2:
+            return docs
+        quota = max(2, top_k // len(places))
+        turn = {p: (i, held[0]) for held in places.values() for i, p in enumerate(held) if i < quota}
+        earliest = {i: min(turn[d[1]] for d in docs if d[2] == i and d[1] in turn) for i in {d[2] for d in docs if d[1] in turn}}
+        first = [d for d in docs if d[1] in turn and turn[d[1]] == earliest[d[2]]]
+        return [*sorted(first, key=lambda d: turn[d[1]]), *(d for d in docs if d[2] not in earliest)][:top_k]
+
+    got = listed(postprocess.balance_companies(spark.createDataFrame(rows, SCHEMA), top_k))
+    assert got == {q: shown(expected(docs)) for q, docs in by_query(rows).items()}
 
 
 @pytest.mark.parametrize("settings", [(2, 0, 0.0, 0.0), (2, 1, 0.9, 0.05), (0, 2, 0.95, 0.02), (3, 0, 0.9, 0.0)])
-def test_adaptive_equals_list_version(spark, settings):
+def test_adaptive_by_first_failure(spark, settings):
+    """Rows within their document's cap, up to the first that lies too far below the top."""
     least, cap, ratio, drop = settings
     rows = random_lists(5)
-    expected = {}
-    for q, docs in by_query(rows).items():
-        top, kept, counts = docs[0][3], [], {}
-        for d in docs:
-            key = d[6] or d[5]
-            if cap and key and counts.get(key, 0) >= cap:
-                continue
-            if len(kept) >= least:
-                a = not (ratio > 0 and top > 0) or d[3] >= ratio * top
-                b = not (drop > 0 and top >= d[3]) or top - d[3] <= drop
-                if not (a or b):
-                    break
-            kept.append(d)
-            counts[key] = counts.get(key, 0) + 1
-        expected[q] = [(d[2], d[3]) for d in kept or docs[: max(least, 1)]]
-    assert listed(postprocess.adaptive_filter(spark.createDataFrame(rows, SCHEMA), least, cap, ratio, drop)) == expected
+
+    def expected(docs):
+        same = lambda d: [x for x in docs if (x[6] or x[5]) == (d[6] or d[5]) and x[1] < d[1]]
+        within = [d for d in docs if not cap or not (d[6] or d[5]) or len(same(d)) < cap]
+        top = within[0][3]
+        far = lambda score: ratio > 0 and top > 0 and score < ratio * top and drop > 0 and top >= score and top - score > drop
+        cuts = [n for n, d in enumerate(within) if n >= least and far(d[3])]
+        return within[: min(cuts, default=len(within))] or docs[: max(least, 1)]
+
+    got = listed(postprocess.adaptive_filter(spark.createDataFrame(rows, SCHEMA), least, cap, ratio, drop))
+    assert got == {q: shown(expected(docs)) for q, docs in by_query(rows).items()}
 
 
 def test_topup_samples_evenly_and_may_repeat(spark):
