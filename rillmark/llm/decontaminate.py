@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.shared import fresh_names, materialize
+from rillmark.llm.shared import fresh_names, materialize, settle, small
 
 WINDOW = 10
 GRAM = 5
@@ -47,19 +47,26 @@ def _gram_hashes(words: str, k: int) -> Column:
     return F.when(F.size(hashed) >= k, grams).otherwise(F.array().cast("array<bigint>"))
 
 
-def _with_grams(rows: DataFrame, k: int) -> DataFrame:
-    return rows.withColumn("hashes", F.transform("words", lambda x: F.xxhash64(x))).withColumn("grams", _gram_hashes("hashes", k))
+def _with_grams(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """rows (words, ...) with hashes of the words, and of k consecutive ones for each k that is needed."""
+    rows = rows.withColumn("hashes", F.transform("words", lambda x: F.xxhash64(x)))
+    return rows.withColumns({f"grams_{k}": _gram_hashes("hashes", k) for k in sorted({min(GRAM, length) for length in lengths})})
 
 
-def _fingerprints(rows: DataFrame, length: int) -> DataFrame:
-    """rows (key..., words) -> (key..., print): distinct winnowed hashes of each row."""
-    k = min(GRAM, length)
-    w = length - k + 1
-    grams = F.col("grams")
-    least = F.transform(F.sequence(F.lit(1), F.size(grams) - (w - 1)), lambda i: F.array_min(F.slice(grams, i, w)))
-    prints = F.when(F.size(grams) >= w, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))
+def _fingerprints(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """rows (key..., words) -> (key..., length, print): distinct winnowed hashes of each row, for
+    windows of each length; texts are read and hashed once for all of them."""
+
+    def winnowed(length: int) -> Column:
+        k = min(GRAM, length)
+        w, grams = length - k + 1, F.col(f"grams_{k}")
+        least = F.transform(F.sequence(F.lit(1), F.size(grams) - (w - 1)), lambda i: F.array_min(F.slice(grams, i, w)))
+        prints = F.when(F.size(grams) >= w, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(prints, lambda p: F.struct(F.lit(length).alias("length"), p.alias("print")))
+
     keys = [c for c in rows.columns if c != "words"]
-    return _with_grams(rows, k).select(*keys, F.explode_outer(prints).alias("print")).filter(F.col("print").isNotNull())
+    each = F.flatten(F.array(*[winnowed(length) for length in lengths]))
+    return _with_grams(rows, lengths).select(*keys, F.explode_outer(each).alias("x")).filter(F.col("x").isNotNull()).select(*keys, "x.length", "x.print")
 
 
 def _small(texts: DataFrame) -> bool:
@@ -113,17 +120,25 @@ def _shared_windows(source: DataFrame, benchmark: DataFrame, item_col: str, item
     if not lengths:
         return None
     texts = windows.select("length", "window").distinct()
-    small = _small(texts)
-    shared = None
-    for length in lengths:
-        own = texts.filter(F.col("length") == length)
-        prints = _fingerprints(own.select(F.split("window", " ").alias("words")), length).distinct()
+    few = _small(texts)
+
+    def found() -> DataFrame:
+        prints = None
+        for length in lengths:
+            own = _fingerprints(texts.filter(F.col("length") == length).select(F.split("window", " ").alias("words")), [length]).distinct()
+            prints = own if prints is None else prints.unionByName(own)
         rows = source.select("row_id", word_list(F.col("body")).alias("words"))
-        found = _fingerprints(rows, length).join(_sized(prints, small), "print")
-        hit = found.groupBy("row_id").agg(F.collect_set("print").alias("prints"))
-        part = _extend(source, hit, _sized(own.select("window"), small), length)
-        shared = part if shared is None else shared.unionByName(part)
-    return materialize(shared, "benchmark-hits"), windows
+        hits = _fingerprints(rows, lengths).join(_sized(prints, few), ["length", "print"])
+        hits = materialize(hits.groupBy("row_id", "length").agg(F.collect_set("print").alias("prints")), "fingerprint-hits")
+        hit = small(hits.select(F.col("row_id").alias("hit_id")).distinct(), hits)
+        near = materialize(source.join(hit, source.row_id.eqNullSafe(hit.hit_id), "left_semi"), "hit-texts")
+        shared = None
+        for length in lengths:
+            part = _extend(near, hits.filter(F.col("length") == length).drop("length"), _sized(texts.filter(F.col("length") == length).select("window"), few), length)
+            shared = part if shared is None else shared.unionByName(part)
+        return shared
+
+    return settle(found, "benchmark-hits"), windows
 
 
 def _extend(source: DataFrame, hit: DataFrame, windows: DataFrame, length: int) -> DataFrame:
@@ -132,9 +147,9 @@ def _extend(source: DataFrame, hit: DataFrame, windows: DataFrame, length: int)
     w = length - k + 1
     hit = hit.withColumnRenamed("row_id", "hit_id")
     rows = source.join(hit, source.row_id.eqNullSafe(hit.hit_id)).select("row_id", _text_hash(F.col("body")).alias("body_hash"), "prints", word_list(F.col("body")).alias("words"))
-    grams, words = F.col("grams"), F.col("words")
+    grams, words = F.col(f"grams_{k}"), F.col("words")
     at = F.filter(F.sequence(F.lit(1), F.size(grams)), lambda p: F.array_contains(F.col("prints"), F.get(grams, p - 1)))
-    rows = _with_grams(rows, k).withColumn("at", F.when(F.size(grams) >= w, at).otherwise(F.array().cast("array<int>")))
+    rows = _with_grams(rows, [length]).withColumn("at", F.when(F.size(grams) >= w, at).otherwise(F.array().cast("array<int>")))
     around = F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(F.lit(1), p - (w - 1)), p)))
     rows = rows.withColumn("starts", F.array_distinct(around))
     cut = F.transform(F.filter("starts", lambda s: s + (length - 1) <= F.size(words)), lambda s: F.struct(s.alias("start"), F.array_join(F.slice(words, s, length), " ").alias("window")))
@@ -149,5 +164,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     if found is None:
         return docs
     hit, text_hash = fresh_names(docs, "hit", "text_hash")
-    gone = found[0].select(F.col("row_id").alias(hit), F.col("body_hash").alias(text_hash)).distinct()
+    gone = small(found[0].select(F.col("row_id").alias(hit), F.col("body_hash").alias(text_hash)).distinct(), found[0])
     return docs.join(gone, docs[id_col].eqNullSafe(F.col(hit)) & (_text_hash(docs[text_col]) == F.col(text_hash)), "left_anti")

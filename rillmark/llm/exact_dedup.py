@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillmark.llm.shared import fresh_names, materialize, new_path, partitions, remove
+from rillmark.llm.shared import fresh_names, materialize, new_path, partitions, remove, settle, small
 
 MEMTABLE_ROWS = 200_000
 #: Bits of a filter for each repeated digest, and of all ranges' filters together at most.
@@ -246,6 +246,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``digest`` may be any deterministic function of the text to binary: equal bytes are verified.
     """
+    return settle(lambda: _exact_dedup(docs, id_col, text_col, keep, digest, memtable_rows).drop("first"), "dedup")
+
+
+def _exact_dedup(docs: DataFrame, id_col: str, text_col: str, keep: str, digest: Callable[[Column], Column], memtable_rows: int) -> DataFrame:
+    """exact_dedup with ``first``: whether a row is the one of its identifier and text that counts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), text.alias("body")).withColumn("digest", digest(F.col("body")))
     index = _index(rows, keep, memtable_rows)
@@ -255,18 +260,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plain, differing = _verified(hits, keep)
     own = ["row_id", "keep_id", "group_size", (F.col("tag") == F.col("keep_tag")).alias("kept"), "digest"]
     found = misses.unionByName(hits.drop("body").join(plain, "digest").select(*own))
-    return found if differing is None else found.unionByName(hits.join(differing, ["digest", "body"]).select(*own))
+    found = found if differing is None else found.unionByName(hits.join(differing, ["digest", "body"]).select(*own))
+    return found.withColumn("first", F.col("kept") | ~F.col("row_id").eqNullSafe(F.col("keep_id")))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """The rows of ``docs`` that exact_dedup keeps, with their columns."""
-    digest, tag = fresh_names(docs, "digest", "tag")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn(digest, sha256_digest(text))
-    index = _index(rows.select(F.col(id_col).cast("long").alias("row_id"), F.col(digest).alias("digest")), keep, MEMTABLE_ROWS)
-    tagged = _tagged(rows, digest, tag, index.filters(), index.parts)
-    hits = tagged.filter(F.col(tag).isNotNull())
-    plain, differing = _verified(hits.select(F.col(tag).alias("tag"), F.col(id_col).cast("long").alias("row_id"), F.col(digest).alias("digest"), text.alias("body")), keep)
-    kept = plain.select(F.col("keep_tag").alias(tag))
-    kept = kept if differing is None else kept.union(differing.select("keep_tag"))
-    return tagged.filter(F.col(tag).isNull()).unionByName(hits.join(kept, tag, "left_semi").select(*tagged.columns)).select(*docs.columns)
+    gone, digest = fresh_names(docs, "gone", "digest")
+    names = {"row_id": gone, "digest": digest}
+    others = settle(lambda: _exact_dedup(docs, id_col, text_col, keep, sha256_digest, MEMTABLE_ROWS).filter("not kept").select("row_id", "digest", "first").withColumnsRenamed(names), "copies")
+    own = docs.withColumn(digest, sha256_digest(F.coalesce(F.col(text_col), F.lit(""))))
+    # rows of the identifier that stays are gone only as repeats of the very row
+    other = small(others.filter("first").drop("first").distinct(), others)
+    left = own.join(other, own[id_col].cast("long").eqNullSafe(other[gone]) & (own[digest] == other[digest]), "left_anti")
+    repeated = others.filter("not first").limit(1).count()
+    return (left.dropDuplicates([id_col, digest]) if repeated else left).drop(digest)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillmark.llm.shared import materialize, partitions
+from rillmark.llm.shared import materialize, partitions, settle
 from rillmark.llm.words import Words, mix, words
 
 ORDER = 3
@@ -457,6 +457,10 @@ def _restored(keys: np.ndarray, *dealt: np.ndarray) -> list[np.ndarray]:
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: row_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score.  Rows where ``held_out`` is true are not learned from."""
+    return settle(lambda: _score(docs, held_out, id_col, text_col), "scores")
+
+
+def _score(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
     blocks = materialize(_blocks(docs, held_out, id_col, text_col), "blocks")
     parts = max(partitions(docs.sparkSession), blocks.count())
     names = ["row_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -489,4 +493,4 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
     counts = materialize(_told(blocks.withColumn("kind", F.lit(0)).mapInArrow(ask_counts, _ASKED), parts, True), "counts")
     contexts = materialize(_told(_visited(blocks, parts, [counts]).mapInArrow(ask_contexts, _ASKED), parts, False), "contexts")
-    return materialize(_visited(blocks, parts, [counts, contexts]).mapInArrow(run, schema), "scores")
+    return _visited(blocks, parts, [counts, contexts]).mapInArrow(run, schema)

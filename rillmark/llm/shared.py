@@ -10,10 +10,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Rows of keys (some 40 bytes each) that may be broadcast.
+SMALL_ROWS = 500_000
 
 _TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 _fallback: str | None = None
@@ -35,8 +40,6 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet; removed when the driver ends."""
-    if not _written:
-        atexit.register(_remove_all)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     return path
@@ -67,11 +70,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def settle(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The result of ``build``, materialized; the tables made on the way go at once."""
+    begin = len(_written)
+    out = materialize(build(), name)
+    made = [x for x in _written[begin:] if x[1] != out._rillmark_path]
+    del _written[begin:]
+    _written.append((out.sparkSession, out._rillmark_path))
+    for spark, path in made:
+        remove(spark, path)
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Remove a materialized table that nothing reads any more."""
     remove(df.sparkSession, df._rillmark_path)
 
 
+def small(keys: DataFrame, of: DataFrame) -> DataFrame:
+    """``keys``, drawn from the materialized table ``of``, to be broadcast if that has SMALL_ROWS rows
+    at most and the keys are numbers or digests; else left to Spark."""
+    fixed = all(isinstance(f.dataType, (T.NumericType, T.BinaryType)) for f in keys.schema)
+    return F.broadcast(keys) if fixed and of.count() <= SMALL_ROWS else keys
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -104,6 +126,9 @@ def without(columns: list[str], *results: str) -> list[str]:
     return [c for c in columns if c.lower() not in taken]
 
 
+atexit.register(_remove_all)
+
+
 def partitions(spark: SparkSession) -> int:
     """Partitions of an explicit exchange: the session's setting, as for Spark's own."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

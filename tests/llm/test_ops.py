@@ -7,6 +7,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from math import log10
@@ -193,6 +194,31 @@ def test_html_blocks():
         list(html_extract.blocks(odd))
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<p title=it's>one</p><p>two</p><p>that's three</p>", ["one", "two", "that's three"]),
+        ("<p>a</p><!--><p>b</p><p>c</p>", ["a", "b", "c"]),
+        ("<p>a</p><!---><p>b</p><!-- <p>x --!><p>c", ["a", "b", "c"]),
+        ("<p>x<a href=foo/>y</a>z</p><p class = \"a>b\" id=3>q</p>", ["xyz", "q"]),
+        ("<p>1 < 2 and 3 > 2</p><p data-a=\"1\"'x>t</p>", ["1 < 2 and 3 > 2", "t"]),
+        ("<p>kept</p><a href='x>gone", ["kept"]),
+        ("<script>if (a < b) '</p>'</SCRIPT ><p>after", ["after"]),
+    ],
+)
+def test_html_reads_as_browsers_do(page, texts):
+    assert [b.text for b in html_extract.blocks(page)] == texts
+
+
+@pytest.mark.parametrize("part", ["<a ", "<!", "<a x=\"", "<div>", "<b><p>", "<p>x</p>", "<script>", "<div></x>", "&amp", "<p title="])
+def test_html_reading_is_linear(part):
+    page = part * (1_000_000 // len(part))
+    begin = time.perf_counter()
+    for _ in html_extract.blocks(page):
+        pass
+    assert time.perf_counter() - begin < 5  # a second or less where nothing else runs
+
+
 @pytest.fixture(scope="session")
 def labeller():
     return html_extract.trained()
@@ -562,11 +588,21 @@ def test_drop_copies(spark):
     assert stay.columns == docs.columns
     texts = [r["text"] or "" for r in stay.collect()]
     assert sorted(texts) == sorted({t for _, t in pairs(docs)})
+    odd = spark.createDataFrame([(5, None, "a"), (5, "", "b"), (5, "x", "c"), (5, "x", "d"), (4, "x", "e"), (None, "y", "f"), (None, "y", "g")], "doc_id long, text string, digest string")
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in exact_dedup.drop_copies(odd).collect()) == [(0, "y"), (5, ""), (5, "x")]
 
 
 # ---- 9 WARC ---------------------------------------------------------------------------------
 
 
+def test_warc_long_header(spark):
+    draw = random.Random(8)
+    url = "http://x/" + "".join(chr(draw.randrange(33, 400)) for _ in range(800_000))
+    pages = spark.createDataFrame([(1, url, "text"), (2, "u", "other")], "page_id long, url string, html string").repartition(1)
+    got = {r["page_id"]: r for r in warc.read_archives(spark, warc.write_archives(pages), 1000).collect()}
+    assert got[1]["url"] == url and got[2]["payload_bytes"] == 5 and len(got) == 2
+
+
 @pytest.mark.parametrize("range_bytes", [50, 777, 1 << 20])
 def test_warc_round_trip(spark, range_bytes):
     draw = random.Random(3)
