@@ -29,10 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.shared import fresh_names, without
+from rillmark.llm.shared import fresh_names, lean, without
 
-CACHED_PIECES = 180_000
-CACHED_PAIRS = 400_000
+CACHED_PIECES = 100_000
+CACHED_PAIRS = 200_000
 LONGEST_CACHED = 48
 #: White space before a space: such a run must be split as a whole.
 _RUN = re.compile(r"\s ")
@@ -127,9 +127,9 @@ class BytePairCodec:
         key = left << 32 | right
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) >= CACHED_PAIRS:
-                self._pairs.clear()
-            known = self._pairs[key] = self._compatible(left, right)
+            known = self._compatible(left, right)
+            if len(self._pairs) < CACHED_PAIRS:
+                self._pairs[key] = known
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -245,7 +245,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
                     columns.append(pa.array([own.decode(x) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "token_ids") -> DataFrame:
@@ -260,4 +260,4 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "token_ids
             back = pa.array([own.decode(x) for x in batch.column(held).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], back], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

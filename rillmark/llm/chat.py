@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillmark.llm.shared import partitions
+from rillmark.llm.shared import lean, partitions
 
 START, END = "<|im_start|>", "<|im_end|>"
 _CONTROL = re.compile(r"<(\\*)\|")
@@ -115,7 +115,7 @@ def format_chats(log: DataFrame) -> DataFrame:
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         yield from _batched(fold(rows), schema.names, [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()])
 
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(lean(run), schema)
 
 
 def _batched(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], size: int = 1000, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def digest_chats(pieces: DataFrame) -> DataFrame:
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         yield from _batched(summed(rows), ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"], [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()])
 
-    return pieces.select("conv_id", "formatted", "loss_from", "loss_to").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return pieces.select("conv_id", "formatted", "loss_from", "loss_to").mapInArrow(lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def log_of_turns(turns: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillmark.llm.shared import fresh_names, materialize, new_path, partitions, remove, settle, small
+from rillmark.llm.shared import fresh_names, lean, materialize, new_path, partitions, remove, settle, small
 
 MEMTABLE_ROWS = 200_000
 #: Bits of a filter for each repeated digest, and of all ranges' filters together at most.
@@ -131,7 +131,7 @@ class DigestIndex:
             if table:
                 yield from run(table)
 
-        self._write(entries.select("digest", F.col("keep_id").cast("long")).mapInArrow(memtables, _SEGMENT))
+        self._write(entries.select("digest", F.col("keep_id").cast("long")).mapInArrow(lean(memtables), _SEGMENT))
 
     def compact(self) -> DataFrame:
         """Merge all runs into one generation with one entry a digest, and return it."""
@@ -162,7 +162,7 @@ class DigestIndex:
         old = self.runs
         dealt = self._segments().repartition(self.parts, "part").sortWithinPartitions("part")
         self.runs = []
-        self._write(dealt.mapInArrow(run, _SEGMENT))
+        self._write(dealt.mapInArrow(lean(run), _SEGMENT))
         for path in old:
             remove(self.spark, path)
         return self.read()
@@ -180,7 +180,7 @@ class DigestIndex:
                     for i in range(0, len(found), 10_000):
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found[i : i + 10_000], strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["digest", "keep_id", "group_size"])
 
-        return self._segments().drop("part", "filter").mapInArrow(run, "digest binary, keep_id long, group_size long")
+        return self._segments().drop("part", "filter").mapInArrow(lean(run), "digest binary, keep_id long, group_size long")
 
     def filters(self) -> dict[int, np.ndarray]:
         """Each range's filter of digests with several rows: MOST_BITS bits together at most."""
@@ -216,7 +216,7 @@ def _tagged(rows: DataFrame, digest: str, tag: str, filters: dict[int, np.ndarra
             yield pa.RecordBatch.from_arrays([*columns, pa.array(number + np.arange(batch.num_rows), pa.int64(), mask=~hits)], names=schema.names)
             number += batch.num_rows
 
-    return materialize(rows.mapInArrow(probe, schema), "dedup-rows")
+    return materialize(rows.mapInArrow(lean(probe), schema), "dedup-rows")
 
 
 def _verified(hits: DataFrame, keep: str) -> tuple[DataFrame, DataFrame | None]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.shared import fresh_names, without
+from rillmark.llm.shared import fresh_names, lean, without
 from rillmark.llm.words import words
 
 PATHS, WORDS, COUNTS = 160, 32, 10
@@ -507,4 +507,4 @@ def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = N
                 texts = main_texts(model, batch.column(body).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

@@ -42,16 +42,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.llm.components import components
-from rillmark.llm.shared import discard, fresh_names, materialize, partitions, tidy
+from rillmark.llm.shared import discard, fresh_names, lean, materialize, partitions, settle, small, tidy
 from rillmark.llm.words import mix, words
 
 SHINGLE = 5
 THRESHOLD = 80  # per cent
 SKETCH = 1 << 22
 SLICES = 64
-SEEN = 200_000  # digests a task remembers; a set that returns later is only written again
+SEEN = 50_000  # digests a task remembers; a set that returns later is only written again
 BLOCK_TOKENS = 1 << 17
-PART_TOKENS = 1 << 22  # keys of a part that are in memory at once, about
+PART_TOKENS = 1 << 19  # keys of a part that are in memory at once, about
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 STEPS = 20  # size blocks: by the natural logarithm of the size
 MOST_ROUNDS, WORTH = 6, 8
@@ -121,7 +121,7 @@ def _scan(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([1] * SLICES, pa.int32()), none, none, none, none, none, pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     names = ["kind", "row_id", "body_hash", "n", "d1", "d2", "shingles", "slice", "counts"]
-    return docs.mapInArrow(run, "kind int, row_id long, body_hash long, n long, d1 long, d2 long, shingles array<long>, slice int, counts binary")
+    return docs.mapInArrow(lean(run), "kind int, row_id long, body_hash long, n long, d1 long, d2 long, shingles array<long>, slice int, counts binary")
 
 
 def _sum_slices(sketches: DataFrame, *keys: str) -> DataFrame:
@@ -135,7 +135,7 @@ def _sum_slices(sketches: DataFrame, *keys: str) -> DataFrame:
             packed = [zlib.compress(x.tobytes(), 1) for x in total.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(packed, pa.binary())], names=["slice", "counts"])
 
-    return sketches.repartition(partitions(sketches.sparkSession), *keys).select("slice", "counts").mapInArrow(run, "slice int, counts binary")
+    return sketches.repartition(partitions(sketches.sparkSession), *keys).select("slice", "counts").mapInArrow(lean(run), "slice int, counts binary")
 
 
 def _sketch(scanned: DataFrame) -> np.ndarray:
@@ -163,7 +163,7 @@ def _prefixes(scanned: DataFrame, sketch: np.ndarray) -> DataFrame:
                 tokens.append(own[order[: _prefix_length(len(own))]].view(np.int64))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("d1", "d2", "n")), pa.array(tokens, pa.list_(pa.int64()))], names=["d1", "d2", "n", "tokens"])
 
-    return scanned.filter("shingles is not null").select("d1", "d2", "n", "shingles").mapInArrow(run, "d1 long, d2 long, n long, tokens array<long>")
+    return scanned.filter("shingles is not null").select("d1", "d2", "n", "shingles").mapInArrow(lean(run), "d1 long, d2 long, n long, tokens array<long>")
 
 
 _BLOCK = "block long, tokens binary, sids binary, n binary, size binary"
@@ -200,7 +200,7 @@ def _blocks(prefixes: DataFrame, turn: int) -> DataFrame:
         if held:
             yield flush()
 
-    return prefixes.repartition(partitions(prefixes.sparkSession), "d1").sortWithinPartitions("d1", "d2").mapInArrow(run, _BLOCK)
+    return prefixes.repartition(partitions(prefixes.sparkSession), "d1").sortWithinPartitions("d1", "d2").mapInArrow(lean(run), _BLOCK)
 
 
 def _opened(batch: pa.RecordBatch, i: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -257,7 +257,7 @@ def _told(asked: DataFrame, parts: int, hubs: bool) -> DataFrame:
         if rows:
             yield answer(part, rows)
 
-    return asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, _ASKED)
+    return asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(run), _ASKED)
 
 
 def _visited(blocks: DataFrame, told: DataFrame, parts: int) -> DataFrame:
@@ -330,9 +330,9 @@ def _lists(prefixes: DataFrame, tokens: int, turn: int) -> DataFrame:
             for j in range(0, len(columns[0]), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[j : j + 50_000]) for x in columns], names=["token", "sid", "n", "rest", "hub", "offered", "open"])
 
-    shared = materialize(_visited(blocks, _told(blocks.mapInArrow(ask_shared, _ASKED), parts, False), parts).mapInArrow(keep_shared, _BLOCK), "shared-prefixes")
+    shared = materialize(_visited(blocks, _told(blocks.mapInArrow(lean(ask_shared), _ASKED), parts, False), parts).mapInArrow(lean(keep_shared), _BLOCK), "shared-prefixes")
     discard(blocks)
-    found = materialize(_visited(shared, _told(shared.mapInArrow(ask_hubs, _ASKED), parts, True), parts).mapInArrow(entries, _ENTRIES), "index-lists")
+    found = materialize(_visited(shared, _told(shared.mapInArrow(lean(ask_hubs), _ASKED), parts, True), parts).mapInArrow(lean(entries), _ENTRIES), "index-lists")
     discard(shared)
     return found
 
@@ -356,7 +356,7 @@ def _fetch(scanned: DataFrame, wanted: DataFrame) -> DataFrame:
             if keep.any():
                 yield batch.filter(pa.array(keep.astype(bool)))
 
-    found = scanned.filter("shingles is not null").select("d1", "d2", "shingles").mapInArrow(run, "d1 long, d2 long, shingles array<long>")
+    found = scanned.filter("shingles is not null").select("d1", "d2", "shingles").mapInArrow(lean(run), "d1 long, d2 long, shingles array<long>")
     found = found.groupBy("d1", "d2").agg(F.max("shingles").alias("shingles"))
     return materialize(found.join(wanted, ["d1", "d2"]).select("sid", "shingles"), "sets")
 
@@ -462,7 +462,7 @@ def _met(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: row_id, n_shingles, component_id."""
-    return _components(docs, id_col, text_col).select("row_id", F.col("n").alias("n_shingles"), "component_id")
+    return settle(lambda: _components(docs, id_col, text_col).select("row_id", F.col("n").alias("n_shingles"), "component_id"), "near-groups")
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -549,9 +549,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A document is an identifier with its text: rows that repeat both stay or go together, and of one
     identifier's texts in a group one stays.  Rows without a shingle, or in a group without an
     identifier, stay."""
-    found = _components(docs, id_col, text_col).filter("group is not null and row_id is not null")
-    stays = found.groupBy("group").agg(F.min(F.struct("row_id", "body_hash")).alias("stays"))
     gone, text_hash = fresh_names(docs, "gone", "text_hash")
-    drop = found.join(stays, "group").filter(F.struct("row_id", "body_hash") != F.col("stays")).select(F.col("row_id").alias(gone), F.col("body_hash").alias(text_hash)).distinct()
+
+    def others() -> DataFrame:
+        found = _components(docs, id_col, text_col).filter("group is not null and row_id is not null")
+        stays = found.groupBy("group").agg(F.min(F.struct("row_id", "body_hash")).alias("stays"))
+        return found.join(stays, "group").filter(F.struct("row_id", "body_hash") != F.col("stays")).select(F.col("row_id").alias(gone), F.col("body_hash").alias(text_hash)).distinct()
+
+    drop = settle(others, "near-copies")
+    drop = small(drop, drop)
     same = (F.col(id_col).cast("long") == F.col(gone)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(text_hash))
     return docs.join(drop, same, "left_anti")

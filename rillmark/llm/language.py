@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.shared import fresh_names, without
+from rillmark.llm.shared import fresh_names, lean, without
 from rillmark.llm.words import LOWER, byte_view, mix
 
 UNKNOWN = "und"
@@ -153,7 +153,7 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
                     best = np.where(letters, 1 / share.sum(1), 0.0)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(told, pa.string()), pa.array(best, pa.float64())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:

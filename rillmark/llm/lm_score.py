@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillmark.llm.shared import materialize, partitions, settle
+from rillmark.llm.shared import lean, materialize, partitions, settle
 from rillmark.llm.words import Words, mix, words
 
 ORDER = 3
@@ -358,7 +358,7 @@ def _blocks(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> Da
         if found:
             yield flush()
 
-    return rows.mapInArrow(run, T.StructType([T.StructField(k, v) for k, v in kinds.items()]))
+    return rows.mapInArrow(lean(run), T.StructType([T.StructField(k, v) for k, v in kinds.items()]))
 
 
 def _deal(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -417,7 +417,7 @@ def _told(asked: DataFrame, parts: int, owners: bool) -> DataFrame:
         if rows:
             yield from answer(part, rows)
 
-    return asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, _TOLD)
+    return asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(run), _TOLD)
 
 
 def _visited(blocks: DataFrame, number: int, answers: list[DataFrame]) -> DataFrame:
@@ -491,6 +491,6 @@ def _score(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> Dat
             yield pa.RecordBatch.from_arrays([row["row_ids"].values, pa.array(row["held_out"] > 0), pa.array(size), pa.array(sums[0]), pa.array(np.full(len(size), occurring[0], np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=names)
             del row, own, n, occurring, kinds, machine, before, c, base, logs, sums
 
-    counts = materialize(_told(blocks.withColumn("kind", F.lit(0)).mapInArrow(ask_counts, _ASKED), parts, True), "counts")
-    contexts = materialize(_told(_visited(blocks, parts, [counts]).mapInArrow(ask_contexts, _ASKED), parts, False), "contexts")
-    return _visited(blocks, parts, [counts, contexts]).mapInArrow(run, schema)
+    counts = materialize(_told(blocks.withColumn("kind", F.lit(0)).mapInArrow(lean(ask_counts), _ASKED), parts, True), "counts")
+    contexts = materialize(_told(_visited(blocks, parts, [counts]).mapInArrow(lean(ask_contexts), _ASKED), parts, False), "contexts")
+    return _visited(blocks, parts, [counts, contexts]).mapInArrow(lean(run), schema)

@@ -8,11 +8,13 @@ machine) a temporary folder takes its place.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +22,8 @@ from pyspark.sql import types as T
 #: Rows of keys (some 40 bytes each) that may be broadcast.
 SMALL_ROWS = 500_000
 
-_TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", _BATCH: str(4 << 20)}
 _fallback: str | None = None
 _written: list[tuple[SparkSession, str]] = []
 
@@ -59,6 +62,32 @@ def tidy(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def _give_back() -> None:
+    """Return to the system what Arrow and the C library keep for later."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``; a worker, which serves many tasks, gives memory back after each.
+
+    A session that sets no size for batches is given one: texts may be long, and a batch is in memory
+    several times, in the executor and in its worker."""
+    session = SparkSession.getActiveSession()
+    if session is not None and session.conf.get(_BATCH, None) is None:
+        session.conf.set(_BATCH, str(4 << 20))
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
     spark = df.sparkSession

@@ -35,7 +35,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillmark.llm.shared import materialize, new_path, partitions
+from rillmark.llm.shared import lean, materialize, new_path, partitions
 
 BLOCK = 2048
 LANES = 1536
@@ -369,7 +369,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
         if file is not None:
             yield file.close(part, nth)
 
-    return materialize(dealt.mapInArrow(write, "part int, nth int, path string, tokens long"), "token-list")
+    return materialize(dealt.mapInArrow(lean(write), "part int, nth int, path string, tokens long"), "token-list")
 
 
 def read_file(source) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -430,4 +430,4 @@ def read_tokens(spark: SparkSession, files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["row_id", "start", "n_tokens", "ids_crc32"])
 
     todo = spark.createDataFrame(bases, "path string, base long").repartition(max(1, len(bases)))
-    return todo.mapInArrow(read, schema)
+    return todo.mapInArrow(lean(read), schema)

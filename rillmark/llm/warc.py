@@ -28,7 +28,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillmark.llm.shared import materialize, new_path, partitions
+from rillmark.llm.shared import lean, materialize, new_path, partitions
 
 REVISIT_BYTES = 1000
 RANGE_BYTES = 8 << 20
@@ -88,7 +88,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{path.rsplit('/', 1)[1]}"]), pa.array([total], pa.int64())], names=["path", "bytes"])
 
-    return materialize(to_write.mapInArrow(write, "path string, bytes long"), "warc-list")
+    return materialize(to_write.mapInArrow(lean(write), "path string, bytes long"), "warc-list")
 
 
 class _Window:
@@ -200,4 +200,4 @@ def read_archives(spark: SparkSession, archives: DataFrame, range_bytes: int = R
                     if held:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
-    return ranges.repartition(partitions(spark)).mapInArrow(read, schema)
+    return ranges.repartition(partitions(spark)).mapInArrow(lean(read), schema)
