@@ -42,7 +42,7 @@ from rillmark.llm.words import Words, mix, words
 ORDER = 3
 BITS = 17  # of a symbol in packed n-grams
 WIDE = 32  # of a symbol in a block
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 SEGMENT = 512
 LANES = 4096
 _END_HASH = np.uint64(0x7E57E57E57E57E57)
@@ -492,5 +492,6 @@ def _score(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> Dat
             del row, own, n, occurring, kinds, machine, before, c, base, logs, sums
 
     counts = materialize(_told(blocks.withColumn("kind", F.lit(0)).mapInArrow(lean(ask_counts), _ASKED), parts, True), "counts")
-    contexts = materialize(_told(_visited(blocks, parts, [counts]).mapInArrow(lean(ask_contexts), _ASKED), parts, False), "contexts")
-    return _visited(blocks, parts, [counts, contexts]).mapInArrow(lean(run), schema)
+    nothing = F.lit(bytearray(_packed(np.zeros(0, np.int64))))  # for answers that a visit doesn't use
+    contexts = materialize(_told(_visited(blocks, parts, [counts.withColumn("n", nothing)]).mapInArrow(lean(ask_contexts), _ASKED), parts, False), "contexts")
+    return _visited(blocks, parts, [counts.withColumn("more", nothing), contexts]).mapInArrow(lean(run), schema)
