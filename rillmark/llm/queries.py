@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillmark.llm import bpe, chat, html_extract, language, lm_score, token_files, warc
+from rillmark.llm import bpe, chat, html_extract, language, lm_score, token_files, valid_time, warc
 from rillmark.llm import decontaminate as decon
 from rillmark.llm import exact_dedup as dedup
 from rillmark.llm import jaccard_join as jaccard
@@ -134,6 +134,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, files).withColumnRenamed("row_id", "doc_id")
 
 
+def op13_valid_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return valid_time.enrich(_table(spark, sf_dir, "sales"), _table(spark, sf_dir, "client_changes"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_byte_bpe": op2_byte_bpe,
@@ -145,5 +149,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
     "op10_token_files": op10_token_files,
+    "op13_valid_time": op13_valid_time,
 }
 ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op7_decontaminate": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_warc": OP9_SQL}
