@@ -7,7 +7,7 @@ client and the sales that wait, and is started anew for each batch on one checkp
   batch.  A row is therefore never late for Spark, a batch without rows still brings its clock (one
   marker row), and Spark's watermark (clock minus ``delay``, the smaller of the two tables) is H;
 * changes below their own table's watermark are late; every other change is one version;
-* event-time timers release the sales that wait (no ``sold_at``, or ``sold_at`` < H) and then prune: of a
+* event-time timers (timeouts of the state's groups) release the sales that wait (no ``sold_at``, or ``sold_at`` < H) and then prune: of a
   client's versions with ``valid_at`` <= H only the last stays;
 * a released sale takes its client's last unpruned version with ``valid_at`` <= ``sold_at``, in the order of
   ``valid_at``, ``seq``, ``change_id`` (null lowest);
@@ -33,7 +33,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -41,7 +41,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rillmark.llm.shared import lean, materialize, new_path, partitions, remove
 
@@ -51,14 +51,17 @@ BUCKET_ROWS = 20_000
 #: A client with more than this part of a table's rows is cut into cells of time.
 HOT = 128
 SLICES = 64
-#: Added to clocks, in seconds: Spark's watermark begins at 0, and every time that occurs is later than it.
-SHIFT = 1 << 37
+#: Clocks are shifted by so many seconds, as Spark's watermark begins at 0, and held between 0 and twice that
+#: (1834 to 2106); what a clock loses by that, or below a millisecond, each start is told as ``rest``.
+SHIFT = 1 << 32
 _NONE = np.iinfo(np.int64).min
 
 CHANGE, SALE, LATE, TICK, SUMMARY, FLUSH = range(6)
 _FEED = "kind int, bucket int, client_id long, cell int, from_cell int, n long, id long, at long, seq long, cents long, op string, clock timestamp"
 _VERSION = ["client_id", "cell", "at", "seq", "id", "cents", "op"]
 _KEEP = {"versions": _VERSION, "waiting": ["client_id", "cell", "at", "id"], "entries": ["client_id", "cell", "from_cell", "n", "at", "seq", "id", "cents", "op"]}
+_COLUMNS = [f.split()[0] for f in _FEED.split(", ") ]
+_STATE = ", ".join(f"{name} binary" for name in _KEEP)
 _OUT = "rec string, id long, batch long, n_held long, change_id long, balance_cents long, op string"
 _ORDER = ["at", "seq", "id", "op", "cents"]
 
@@ -117,6 +120,10 @@ def _last_at(versions: pd.DataFrame, sales: pd.DataFrame) -> np.ndarray:
     return out
 
 
+def _known(values: np.ndarray) -> pd.Series:
+    return pd.Series(values).mask(values == _NONE).astype("Int64")
+
+
 def release(versions: pd.DataFrame, waiting: pd.DataFrame, entries: pd.DataFrame, batch: int) -> pd.DataFrame:
     """The result rows of ``waiting``, each with its client's versions as they stand."""
     held = np.zeros(len(waiting), np.int64)
@@ -141,8 +148,7 @@ def release(versions: pd.DataFrame, waiting: pd.DataFrame, entries: pd.DataFrame
                     open_ = rows[(at[rows] < 0) & (waiting["at"].to_numpy()[rows] != _NONE)]
                     for c in chosen:
                         chosen[c][open_] = before[c].iloc[-1]
-    none = lambda x: pd.Series(x).mask(np.asarray(x) == _NONE).astype("Int64")
-    return pd.DataFrame({"rec": "sale", "id": none(waiting["id"].to_numpy()), "batch": batch, "n_held": pd.Series(held, dtype="Int64"), "change_id": none(chosen["id"]), "balance_cents": none(chosen["cents"]), "op": chosen["op"]})
+    return pd.DataFrame({"rec": "sale", "id": _known(waiting["id"].to_numpy()), "batch": batch, "n_held": pd.Series(held, dtype="Int64"), "change_id": _known(chosen["id"]), "balance_cents": _known(chosen["cents"]), "op": chosen["op"]})
 
 
 def prune(versions: pd.DataFrame, entries: pd.DataFrame, limit: int, done_cells: int) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -168,80 +174,55 @@ def prune(versions: pd.DataFrame, entries: pd.DataFrame, limit: int, done_cells:
     return versions[keep].reset_index(drop=True), entries
 
 
-class Enrich(StatefulProcessor):
-    """State of one bucket of clients: versions, waiting sales, summaries of hot clients' cells."""
-
-    def __init__(self, batch: int, rest: int, done_cells: int):
-        self.batch, self.rest, self.done_cells = batch, rest, done_cells
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("bucket", ", ".join(f"{name} binary" for name in _KEEP))
-
-    def _load(self) -> dict[str, pd.DataFrame]:
-        row = self.state.get() or (None,) * len(_KEEP)
-        return {name: _unpack(data, _KEEP[name]) for name, data in zip(_KEEP, row, strict=True)}
+def step(batch: int, rest: int, done_cells: int) -> Callable:
+    """The function of one start of the query, for a bucket with rows or whose timer has expired."""
 
-    def _save(self, tables: dict[str, pd.DataFrame], now: int) -> None:
-        """Keep the tables, and set the timer to the first moment at which one of them changes."""
-        self.state.update(tuple(_pack(tables[name]) if len(tables[name]) else None for name in _KEEP))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        due = [tables["waiting"]["at"].min()] if len(tables["waiting"]) else []
-        second = _groups(tables["versions"])
-        second = (second[:-1] + 1)[np.diff(second) > 1]
-        due += [tables["versions"]["at"].to_numpy()[second].min()] if len(second) else []
-        due += [now * 1000] if len(tables["entries"]) else []
-        if due:
-            self.handle.registerTimer(int(min(due) // 1000 + SHIFT * 1000 - 1))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True)
-        kind = new["kind"].to_numpy()
-        late = new[kind == LATE]
+    def run(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs() - SHIFT * 1000
+        limit = now * 1000 + rest
+        new = pd.concat([pd.DataFrame(columns=_COLUMNS), *rows], ignore_index=True) if not state.hasTimedOut else pd.DataFrame(columns=_COLUMNS)
+        kind = new["kind"].to_numpy(np.int64)
+        late = new["id"].to_numpy(np.int64)[kind == LATE]
         if len(late):
-            gone = pd.array([None] * len(late), dtype="Int64")
-            ids = late["id"].reset_index(drop=True)
-            yield pd.DataFrame({"rec": "late", "id": ids.mask(ids == _NONE).astype("Int64"), "batch": self.batch, "n_held": gone, "change_id": gone, "balance_cents": gone, "op": None})
-        if not np.isin(kind, (CHANGE, SALE, SUMMARY, FLUSH)).any():
-            return
-        tables = self._load()
+            nothing = pd.array([None] * len(late), dtype="Int64")
+            yield pd.DataFrame({"rec": "late", "id": _known(late), "batch": batch, "n_held": nothing, "change_id": nothing, "balance_cents": nothing, "op": None})
+        kept = state.get if state.exists else (None,) * len(_KEEP)
+        tables = {name: _unpack(data, _KEEP[name]) for name, data in zip(_KEEP, kept, strict=True)}
         for name, wanted in (("versions", CHANGE), ("waiting", SALE), ("entries", SUMMARY)):
             found = new.loc[kind == wanted, _KEEP[name]]
             if len(found):
+                found = found.astype({c: np.int64 for c in found.columns if c != "op"})
                 tables[name] = pd.concat([tables[name], found], ignore_index=True) if len(tables[name]) else found.reset_index(drop=True)
-        tables["versions"] = _ordered(tables["versions"], "client_id", "cell")
-        if (kind == FLUSH).any():
-            yield release(tables["versions"], tables["waiting"], tables["entries"], self.batch)
-            tables["waiting"] = tables["waiting"].iloc[:0]
-        free = tables["waiting"]["at"].to_numpy() == _NONE  # without a time: at once
+        versions, waiting, entries = tables.values()
+        versions = _ordered(versions, "client_id", "cell")
+        at = waiting["at"].to_numpy()
+        free = (at < limit) | (at == _NONE) | (kind == FLUSH).any()
         if free.any():
-            yield release(tables["versions"], tables["waiting"][free].reset_index(drop=True), tables["entries"], self.batch)
-            tables["waiting"] = tables["waiting"][~free].reset_index(drop=True)
-        self._save(tables, timerValues.getCurrentWatermarkInMs() - SHIFT * 1000)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() - SHIFT * 1000
-        limit = now * 1000 + self.rest
-        tables = self._load()
-        at = tables["waiting"]["at"].to_numpy()
-        free = at < limit
-        if free.any():
-            yield release(tables["versions"], tables["waiting"][free].reset_index(drop=True), tables["entries"], self.batch)
-            tables["waiting"] = tables["waiting"][~free].reset_index(drop=True)
-        tables["versions"], tables["entries"] = prune(tables["versions"], tables["entries"], limit, self.done_cells)
-        self._save(tables, now)
+            yield release(versions, waiting[free].reset_index(drop=True), entries, batch)
+            waiting = waiting[~free].reset_index(drop=True)
+        versions, entries = prune(versions, entries, limit, done_cells)
+        if not (len(versions) or len(waiting) or len(entries)):
+            if state.exists:
+                state.remove()
+            return
+        state.update(tuple(_pack(t) if len(t) else None for t in (versions, waiting, entries)))
+        # the timer: the first moment at which a sale is released or a version pruned
+        second = _groups(versions)
+        second = (second[:-1] + 1)[np.diff(second) > 1]
+        due = [waiting["at"].min()] if len(waiting) else []
+        due += [versions["at"].to_numpy()[second].min()] if len(second) else []
+        due += [now * 1000] if len(entries) else []
+        if due:
+            state.setTimeoutTimestamp(max(1, max(int(min(due)) // 1000 - 1, now) + SHIFT * 1000))
 
-    def close(self) -> None:
-        pass
+    return run
 
 
 @contextmanager
 def _settings(spark: SparkSession) -> Iterator[None]:
-    """No batch without data may move the watermark between two feeds; state is kept in RocksDB."""
+    """No batch without data may move the watermark between two feeds."""
     wanted = {
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
-        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.multipleWatermarkPolicy": "min",
     }
     old = {key: spark.conf.get(key, None) for key in wanted}
@@ -268,9 +249,21 @@ def _clocks(table: DataFrame) -> tuple[list[int | None], int]:
     return out, sum(n for _, n in found.values())
 
 
-def _before(clocks: list[int | None], delay: int) -> list[int]:
-    """The watermark that holds in each batch, from the clocks of the earlier ones."""
-    return [_NONE, *(_NONE if c is None else c - delay for c in clocks[:-1])]
+def _before(clocks: list[int | None]) -> list[int]:
+    """A table's watermark in each batch, from the clock of the earlier ones."""
+    return [_NONE, *(_NONE if c is None else c - DELAY_HOURS * 3_600_000_000 for c in clocks[:-1])]
+
+
+def _watermarks(sold: list[int | None], valid: list[int | None]) -> tuple[list[int], list[int]]:
+    """H of each batch and of the flush, and what Spark's watermark shows of it, both in microseconds."""
+    delay = DELAY_HOURS * 3_600_000_000
+    exact, shown = [], []
+    for k in range(BATCHES + 1):
+        ends = [_NONE if k == 0 or c[k - 1] is None else c[k - 1] for c in (sold, valid)]
+        exact.append(min(_NONE if x == _NONE else x - delay for x in ends))
+        held = (0 if x == _NONE else max(0, min(x + SHIFT * 10**6, 2 * SHIFT * 10**6)) for x in ends)
+        shown.append(max(0, min(x // 1000 * 1000 - delay for x in held)) - SHIFT * 10**6)
+    return exact, shown
 
 
 def _by_batch(values: list[int | None], batch: Column) -> Column:
@@ -279,12 +272,13 @@ def _by_batch(values: list[int | None], batch: Column) -> Column:
 
 def _clock(micros: Column) -> Column:
     """A clock as a shifted timestamp; none seen counts as the beginning of time."""
-    return F.timestamp_micros(F.coalesce(micros + F.lit(SHIFT * 10**6), F.lit(0)))
+    shifted = F.greatest(F.lit(0), F.least(micros + F.lit(SHIFT * 10**6), F.lit(2 * SHIFT * 10**6)))
+    return F.timestamp_micros(F.coalesce(shifted, F.lit(0)))
 
 
 def _cells(at: Column, limits: list[int]) -> Column:
     """Number of a hot client's cell: which values of H lie before, then the slice of time."""
-    passed = sum(((at > F.lit(h)).cast("int") for h in limits[1:]), F.lit(0))
+    passed = sum(((at > F.lit(h)).cast("int") for h in limits[1:BATCHES]), F.lit(0))
     width = DAYS * 86_400_000_000 // SLICES
     piece = F.least(F.lit(SLICES - 1), F.greatest(F.lit(0), F.floor((at - F.lit(FIRST_DAY * 86_400_000_000)) / width)))
     return (passed * SLICES + piece).cast("int")
@@ -318,14 +312,13 @@ def _feed(df: DataFrame, **values: Column) -> DataFrame:
     return df.select("batch", *((F.coalesce(c, none[t]) if t in none else c).alias(n) for n, t, c in filled))
 
 
-def _feeds(sales: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame, list[int], int]:
-    """What the two streams read, by batch; H of each batch, and the number of buckets."""
+def _feeds(sales: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
+    """What the two streams read, by batch, and what H is beyond Spark's watermark in each."""
     spark = sales.sparkSession
-    delay = DELAY_HOURS * 3_600_000_000
     sales, changes = _staged(sales, changes)
     (sold, n_sales), (valid, n_changes) = _clocks(sales), _clocks(changes)
-    own = _before(valid, delay)
-    limits = [min(a, b) for a, b in zip(_before(sold, delay), own, strict=True)]
+    own = _before(valid)
+    limits, shown = _watermarks(sold, valid)
     buckets = max(2 * partitions(spark), -(-(n_sales + n_changes) // BUCKET_ROWS))
     hot = _hot([(sales, n_sales), (changes, n_changes)]).withColumn("is_hot", F.lit(True))
     deal = lambda *c: F.pmod(F.xxhash64(*c), F.lit(buckets)).cast("int")
@@ -344,16 +337,20 @@ def _feeds(sales: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame,
     rows = rows.union(_feed(told, kind=F.lit(SUMMARY), bucket=deal("client_id", "cell")))
     ticks = spark.range(BATCHES).select(F.col("id").cast("int").alias("batch"))
     tick = _feed(ticks, kind=F.lit(TICK), bucket=F.lit(0))
+    near = [k for k in range(1, BATCHES) if limits[k] != limits[k - 1] and shown[k] == shown[k - 1]]
+    if near:  # H moves by less than a timer can tell: every bucket is woken
+        woken = spark.range(buckets).select(F.explode(F.array(*map(F.lit, near))).alias("batch"), F.col("id").alias("bucket"))
+        tick = tick.union(_feed(woken, kind=F.lit(TICK)))
     flush = _feed(spark.range(buckets).select(F.lit(BATCHES).alias("batch"), F.col("id").alias("bucket")), kind=F.lit(FLUSH))
     clocked = lambda df, clocks: df.withColumn("clock", _clock(_by_batch([*clocks, clocks[-1]], F.col("batch"))))
-    return clocked(sales.union(tick).union(flush), sold), clocked(rows.union(tick).union(flush.limit(1)), valid), limits, buckets
+    return clocked(sales.union(tick).union(flush), sold), clocked(rows.union(tick).union(flush.limit(1)), valid), [a - b for a, b in zip(limits, shown, strict=True)]
 
 
 def enrich(sales: DataFrame, changes: DataFrame) -> DataFrame:
     """rec (``sale`` or ``late``), id, batch, n_held, change_id, balance_cents, op."""
     spark = sales.sparkSession
     root = new_path(spark, "valid-time")
-    left, right, limits, _ = _feeds(sales, changes)
+    left, right, rest = _feeds(sales, changes)
     for name, feed in (("sales", left), ("changes", right)):
         feed.write.partitionBy("batch").parquet(f"{root}/staged/{name}")
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -366,10 +363,8 @@ def enrich(sales: DataFrame, changes: DataFrame) -> DataFrame:
                 fs.rename(fs_path(f"{root}/staged/{name}/batch={batch}"), fs_path(f"{root}/feed/{name}/{batch}"))
                 stream = spark.readStream.schema(_FEED).option("recursiveFileLookup", "true").parquet(f"{root}/feed/{name}")
                 streams.append(stream.withWatermark("clock", f"{DELAY_HOURS} hours"))
-            limit = limits[batch] if batch < BATCHES else limits[-1]
-            rest = limit % 1000 if limit != _NONE else 0
-            rows = streams[0].union(streams[1]).drop("clock").groupBy("bucket")
-            found = rows.transformWithStateInPandas(Enrich(batch, rest, batch * SLICES), _OUT, "append", "eventtime")
+            rows = streams[0].union(streams[1]).groupBy("bucket")
+            found = rows.applyInPandasWithState(step(batch, rest[batch], batch * SLICES), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
             query = found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
             query.awaitTermination()
     return spark.read.schema(_OUT).parquet(f"{root}/out")
