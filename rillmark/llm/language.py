@@ -10,13 +10,14 @@ landmarks and weights is taken once and a batch of texts is scored by a single p
 longer than PART characters is scored in parts of that length, whose margins are averaged by length:
 presence in one long text would fill all bits, and languages draw together.
 
-The sample: the labelled rows whose text has a letter and 1 to LONGEST_SAMPLE characters; for each
-language, the row of least hash in each of SAMPLE_SLOTS slots of a hash of the identifier and text.
-Only fitting is bounded: every whole text is scored.
-
-Defined cases: null text or one without a letter gives ``und`` with score 0; rows without a label
-are not learned from; with no row to learn from every text is ``und``; repeated rows are scored
-alike; further columns are ignored.
+The sample: of the labelled rows whose text has a letter, whatever its length, for each language the
+row of least hash in each of SAMPLE_SLOTS slots of a hash of the identifier and text.  Of a row longer than
+SAMPLE_PART characters it takes a part of that length, cut at a place drawn by the row's hash.  Only fitting is
+bounded: every whole text is scored.
+
+Defined cases: null text or one without a letter gives ``und`` with score 0; rows without a label are
+not learned from; with no row to learn from every text is ``und`` (and ``drop_untold`` keeps what has a
+letter); repeated rows are scored alike; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ ORDERS = (1, 2, 3, 4)
 FEATURES = 1 << 14
 SAMPLE_SLOTS = 192
 LANDMARK_SLOTS = 64
-LONGEST_SAMPLE = 8000
+SAMPLE_PART = 8000
 RIDGE = 0.03
 BATCH = 256
 PIECE = 1 << 18
@@ -111,11 +112,13 @@ def has_letter(text: Column) -> Column:
 
 
 def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, slot, text): at most SAMPLE_SLOTS rows a language."""
+    """(lang, slot, text): at most SAMPLE_SLOTS rows a language, of SAMPLE_PART characters at most."""
     length = F.length(text_col)
-    rows = labelled.filter(F.col(lang_col).isNotNull() & (length > 0) & (length <= LONGEST_SAMPLE) & has_letter(F.col(text_col)))
+    rows = labelled.filter(F.col(lang_col).isNotNull() & has_letter(F.col(text_col)))
     key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
-    picked = rows.select(F.col(lang_col).alias("lang"), F.pmod(key, F.lit(SAMPLE_SLOTS)).alias("slot"), F.struct(key.alias("key"), F.col(text_col).alias("text")).alias("row"))
+    begin = F.when(length > SAMPLE_PART, F.pmod(F.xxhash64(key), length - SAMPLE_PART + 1)).otherwise(0).cast("int")
+    part = F.substring(F.col(text_col), begin + 1, F.lit(SAMPLE_PART))
+    picked = rows.select(F.col(lang_col).alias("lang"), F.pmod(key, F.lit(SAMPLE_SLOTS)).alias("slot"), F.struct(key.alias("key"), part.alias("text")).alias("row"))
     return picked.groupBy("lang", "slot").agg(F.min("row").alias("row")).select("lang", "slot", "row.text")
 
 
@@ -163,7 +166,12 @@ def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
 
 
 def drop_untold(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` with a letter and a language of that score or more, with their columns."""
+    """The rows of ``docs`` with a letter and a language of that score or more, with their columns.
+
+    Where no row has a label nothing can be told, and only what has no letter goes."""
     names = fresh_names(docs, "lang_pred", "score")
-    told = predict(docs, train(docs, id_col, text_col, lang_col), id_col, text_col, docs.columns, tuple(names))
+    model = train(docs, id_col, text_col, lang_col)
+    if model is None:
+        return docs.filter(has_letter(F.col(text_col)))
+    told = predict(docs, model, id_col, text_col, docs.columns, tuple(names))
     return told.filter((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).select(*docs.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillmark.llm import bpe, chat, html_extract, language, lm_score, token_files, valid_time, warc
+from rillmark.llm import bpe, chat, html_extract, language, lm_score, spelling, token_files, toxicity, valid_time, warc
 from rillmark.llm import decontaminate as decon
 from rillmark.llm import exact_dedup as dedup
 from rillmark.llm import jaccard_join as jaccard
@@ -134,6 +134,16 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, files).withColumnRenamed("row_id", "doc_id")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out)
+    return toxicity.classify(docs, _table(spark, sf_dir, "labels"), F.col("held_out"), keep=["doc_id", "held_out"])
+
+
 def op13_valid_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid_time.enrich(_table(spark, sf_dir, "sales"), _table(spark, sf_dir, "client_changes"))
 
@@ -149,6 +159,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
     "op10_token_files": op10_token_files,
+    "op11_spelling": op11_spelling,
+    "op12_toxicity": op12_toxicity,
     "op13_valid_time": op13_valid_time,
 }
 ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op7_decontaminate": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_warc": OP9_SQL}
