@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.functions.text import compute_cost, fuzzy_bound, fuzzy_ratio, normalize_path, normalize_text
+from rillmark.operators.quantiles import exact_percentiles
 
 K_VALUES = (1, 3, 5, 10)
 FUZZY_THRESHOLD = 0.7
@@ -90,20 +91,23 @@ def summary_at_k(at_k: DataFrame, totals: DataFrame) -> DataFrame:
 def latency_summary(records: DataFrame, latency: str, prompt: str, completion: str, price_in: float = 0.0008, price_out: float = 0.004, accuracy: int | None = None) -> DataFrame:
     """One row: count, mean, 50th, 90th and 99th percentile of latency, tokens and costs.
 
-    Percentiles are exact and interpolated, from the counts of distinct values; with ``accuracy`` they
-    are of a bounded sketch (relative rank error 1 / accuracy), for records without bound."""
-    def percentile(p: int) -> Column:
-        return F.percentile(latency, p / 100) if accuracy is None else F.percentile_approx(F.col(latency).cast("double"), p / 100, accuracy)
-
+    Percentiles are exact and interpolated (``quantiles.exact_percentiles``); with ``accuracy`` they are of
+    a sketch, in one pass (relative rank error 1 / accuracy)."""
     cost = compute_cost(F.col(prompt), F.col(completion), price_in, price_out)
-    return records.agg(
+    shares = {p: p / 100 for p in (50, 90, 99)}
+    sketched = [] if accuracy is None else [F.round(F.percentile_approx(F.col(latency).cast("double"), s, accuracy), 4).alias(f"p{p}_ms") for p, s in shares.items()]
+    one = records.agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg(latency), 4).alias("avg_ms"),
-        *[F.round(percentile(p), 4).alias(f"p{p}_ms") for p in (50, 90, 99)],
+        *sketched,
         F.sum(F.col(prompt) + F.col(completion)).cast("long").alias("total_tokens"),
         F.round(F.sum(cost), 4).alias("total_cost"),
         F.round(F.avg(cost), DIGITS).alias("avg_cost"),
     )
+    if accuracy is None:
+        exact = exact_percentiles(records, latency, list(shares.values()))
+        one = one.crossJoin(exact.agg(*[F.round(F.max(F.when(F.col("share") == s, F.col(latency))), 4).alias(f"p{p}_ms") for p, s in shares.items()]))  # one row each
+    return one.select("n", "avg_ms", *[f"p{p}_ms" for p in shares], "total_tokens", "total_cost", "avg_cost")
 
 
 def query_details(matched: DataFrame, totals: DataFrame, ks: tuple[int, ...] = K_VALUES) -> DataFrame:
