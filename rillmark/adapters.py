@@ -42,6 +42,10 @@ class RateLimit:
         self.gap, self.clock, self.sleep = 60.0 / per_minute if per_minute > 0 else 0.0, clock, sleep
         self.next = float("-inf")
 
+    def share(self, callers: int) -> None:
+        """Keep to one of ``callers`` equal parts of the limit."""
+        self.gap *= callers
+
     def wait(self) -> None:
         now = self.clock()
         if now < self.next:
@@ -94,6 +98,9 @@ class CandidateGenerator:
         self.send, self.model, self.attempts = send, model, attempts
         self.limit = RateLimit(per_minute, clock, sleep)
 
+    def share(self, callers: int) -> None:
+        self.limit.share(callers)
+
     def _ask(self, messages: list[dict[str, str]]) -> dict:
         self.limit.wait()
         system = "\n".join(m["content"].strip() for m in messages if m["role"] == "system" and (m["content"] or "").strip())

@@ -6,7 +6,6 @@ import argparse
 import json
 import logging
 import sys
-import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from rillmark.config import RetrievalConfig, normalize_ks
 from rillmark.functions.vectors import hash_embedding
 from rillmark.operators import chunking, evaluation
 from rillmark.plans import rag
+from rillmark.progress import Progress
 from rillmark.sources import readers
 from rillmark.sources.store import Collection
 
@@ -41,12 +41,12 @@ def chunk(args) -> int:
 
 
 def ingest(args) -> int:
-    spark, begin = _spark(), time.monotonic()
+    spark = _spark()
     tables = readers.read_table_files(spark, args.tables, args.root) if args.tables else None
     chunks = _vectors(readers.load_chunks(spark, args.path, tables), "embedding_content", "vector")
-    n = Collection(spark, args.collection).upsert(chunks.drop("given_keys"), overwrite=not args.no_overwrite)
+    with Progress(spark, show=log.info) as progress:
+        n = Collection(spark, args.collection).upsert(progress.counted(chunks.drop("given_keys")), overwrite=not args.no_overwrite)
     print(f"{n} chunks")
-    log.info(evaluation.throughput(n, n, time.monotonic() - begin))
     return 0
 
 

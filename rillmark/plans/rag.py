@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -12,21 +13,39 @@ from rillmark.config import RetrievalConfig
 from rillmark.operators import postprocess, prompts, search
 
 
-def retrieve(points: DataFrame, queries: DataFrame, config: RetrievalConfig, keywords: list[str] | None = None, reranker: Callable[[], providers.Reranker] | None = None) -> DataFrame:
+log = logging.getLogger(__name__)
+
+
+def _text_leg(points: DataFrame, asked: DataFrame, leg: int, config: RetrievalConfig, text_leg: Callable[[DataFrame, int], DataFrame] | None) -> DataFrame | None:
+    """The text leg's rows, or None if it fails: a search then goes on with the dense leg alone.
+
+    A leg that is passed in may be a service or a stored index, so its rows (``leg`` a query) are made at
+    once, where a failure can still be met."""
+    try:
+        if text_leg is not None:
+            return text_leg(asked, leg).select("query_id", "id", "pos").checkpoint()
+        return search.text_match(points, asked, leg) if config.text_mode == "match" else search.bm25(points, asked, leg)
+    except Exception:
+        log.warning("the text leg failed; dense search alone", exc_info=True)
+        return None
+
+
+def retrieve(points: DataFrame, queries: DataFrame, config: RetrievalConfig, keywords: list[str] | None = None, reranker: Callable[[], providers.Reranker] | None = None, text_leg: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Lists of points for queries (query_id, query, query_vec): filtered, fused, boosted, topped up
     with tables, routed, balanced, reranked and cut.
 
     Candidates are found on identifiers and vectors alone; what else a point holds is joined to the
-    few rows that remain."""
+    few rows that remain.  ``text_leg`` (queries, number of rows) takes the place of the text search over the
+    points, as ``Collection.text_match`` does with its stored lists."""
     points = search.named_vector(points, config.vector_name)
-    hybrid = config.hybrid_search and bool({"content", "tokens"} & set(points.columns)) and "query" in queries.columns  # else dense alone
+    hybrid = config.hybrid_search and (text_leg is not None or bool({"content", "tokens"} & set(points.columns))) and "query" in queries.columns  # else dense alone
     fetch = search.pool_size(config.top_k)
     leg = max(fetch, config.hybrid_prefetch)
     asked = search.company_filter(queries).withColumn("targets", postprocess.route_sections(F.col("query")))
-    found = dense = search.dense_topk(points.select("id", "vector", "source"), asked, leg if hybrid else fetch, config.score_threshold)
-    if hybrid:
-        text = search.text_match(points, asked, leg) if config.text_mode == "match" else search.bm25(points, asked, leg)
-        found = search.rrf([dense, text], fetch)
+    text = _text_leg(points, asked, leg, config, text_leg) if hybrid else None
+    found = search.dense_topk(points.select("id", "vector", "source"), asked, fetch if text is None else leg, config.score_threshold)
+    if text is not None:
+        found = search.rrf([found, text], fetch)
     title, path = (F.col(c) if c in points.columns else F.lit(None).cast("string") for c in ("table_title", "table_path"))
     points = points.withColumn("table_path", postprocess.table_path(F.col("type"), path, title)) if "type" in points.columns else points
     payload = points.drop("vector", "tokens", "query", "targets", "score", "original_score", "pos", "query_id")

@@ -110,17 +110,30 @@ def rerank_scores(rows: DataFrame, make: Callable[[], Reranker], top_n: int) ->
 RESPONSE = T.StructType([T.StructField("answer", T.StringType()), T.StructField("model", T.StringType()), T.StructField("usage", T.StructType([T.StructField(n, T.IntegerType()) for n in ("prompt_tokens", "completion_tokens", "total_tokens")]))])
 
 
-def generate(rows: DataFrame, make: Callable[[], Generator], attempts: int = 3) -> DataFrame:
-    """``rows`` (with messages) and answer, model, usage; an empty answer without tokens is asked again."""
+def generate(rows: DataFrame, make: Callable[[], Generator], attempts: int = 3, callers: int | None = None, failures: bool = False) -> DataFrame:
+    """``rows`` (with messages) and answer, model, usage; an empty answer without tokens is asked again.
+
+    With ``callers`` the rows are dealt to so many tasks, and a provider that has a rate limit gets that part
+    of it (``share``), so all tasks together keep to it whatever runs at once.  With ``failures`` a
+    provider that raises gives an empty answer instead of ending the job."""
+    if callers is not None:
+        rows = rows.repartition(callers)
     schema = T.StructType([*rows.schema.fields, *RESPONSE.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         provider = make()
+        if callers is not None and hasattr(provider, "share"):
+            provider.share(callers)
         for part in batches:
             answers = []
             for messages in part.column("messages").to_pylist():
                 for _ in range(attempts):
-                    found = provider.generate(messages)
+                    try:
+                        found = provider.generate(messages)
+                    except Exception:
+                        if not failures:
+                            raise
+                        found = {}
                     prompt, completion = found.get("prompt_tokens") or 0, found.get("completion_tokens") or 0
                     total = found.get("total_tokens") or prompt + completion
                     if found.get("content") or total:

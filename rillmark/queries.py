@@ -151,6 +151,16 @@ def text_match_leg(spark, sf_dir):
     return search.text_match(_contents(spark, sf_dir), _asked(spark, sf_dir), 50)
 
 
+@_query("text_match_index", f"SELECT * FROM (SELECT query_id, id::VARCHAR AS id, row_number() OVER (PARTITION BY query_id ORDER BY id::VARCHAR)::INT AS pos FROM ({_match()})) WHERE pos <= 50")
+def text_match_index(spark, sf_dir):
+    """The same search over a collection's stored posting lists, of which half were written again."""
+    points = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "doc_id", F.lit(0).alias("chunk_id"), "source", F.col("text").alias("content"))
+    collection = store.Collection(spark, _scratch(spark, "postings"))
+    collection.upsert(points)
+    collection.upsert(points.filter(F.pmod(F.crc32("source"), F.lit(2)) == 0))
+    return collection.text_match(_asked(spark, sf_dir), 50)
+
+
 _BM25 = f"""
   SELECT query_id, id, round(sum(round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)), 9)), 6) AS score FROM (
     WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) BETWEEN 2 AND 20) AS words FROM documents),
@@ -882,3 +892,6 @@ def answer_cache(spark, sf_dir):
     answers.write_cache(answers.dataset(found, truths), path)
     back = answers.read_cache(spark, path)
     return back.select("question", "answer", F.md5(F.array_join("contexts", "|")).alias("contexts_md5"), "usage.total_tokens", "ground_truth")
+
+
+from rillmark import queries_pdf, queries_store  # noqa: E402, F401  (they register their queries here)
