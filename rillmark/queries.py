@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -274,7 +275,7 @@ _SAMPLE = "list_transform(range(6), lambda j: round(j * (n - 1) / 5.0)::INT)"
 
 
 @_query("table_topup", f"""
-{_L}, t AS (SELECT lang || '-corp_' || (2017 + doc_id % 3) AS doc_id, (doc_id + 1000000)::VARCHAR AS id, (doc_id % 50)::INT AS page, 'T' || doc_id % 17 AS table_id FROM documents),
+{_L}, t AS (SELECT lang || '-corp' || (doc_id // 100) || '_' || (2017 + doc_id % 3) AS doc_id, (doc_id + 1000000)::VARCHAR AS id, (doc_id % 50)::INT AS page, 'T' || doc_id % 17 AS table_id FROM documents),
 s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY id) AS scroll FROM t) WHERE scroll <= 50),
 q AS (SELECT query_id, min_by(score, pos) AS top FROM l GROUP BY 1 HAVING count(*) FILTER (WHERE type = 'table') < 3),
 k AS (SELECT query_id, doc_id AS key, min(pos) AS doc_pos FROM l JOIN q USING (query_id) GROUP BY 1, 2),
@@ -378,14 +379,14 @@ def chunk_min_length(spark, sf_dir):
 
 
 @_query("section_carry_forward", """
-WITH b AS (SELECT doc_id % 40 AS d, doc_id, CASE WHEN doc_id % 6 = 0 THEN 'Item ' || doc_id % 10 || 'A. ' || lang || chr(10) || 'body' WHEN doc_id % 35 = 0 THEN 'SIGNATURES of ' || lang ELSE text END AS t FROM documents),
+WITH b AS (SELECT doc_id // 40 AS d, doc_id, CASE WHEN doc_id % 6 = 0 THEN 'Item ' || doc_id % 10 || 'A. ' || lang || chr(10) || 'body' WHEN doc_id % 35 = 0 THEN 'SIGNATURES of ' || lang ELSE text END AS t FROM documents),
 h AS (SELECT d, doc_id, trim(split_part(t, chr(10), 1)) AS line FROM b)
 SELECT doc_id, coalesce(last_value(CASE WHEN regexp_matches(line, '(?i)^\\s*(Table\\s+of\\s+Contents\\b|Item\\s+\\d+[A-Z]?\\b|Management[’'']?s\\s+Discussion\\b|Consolidated\\s+(Statements?|Statement)\\b|Notes?\\s+to\\s+Consolidated\\s+Financial\\s+Statements\\b|Report\\s+of\\s+Independent\\b|Exhibit\\s+Index\\b|Signatures\\b)') THEN line END IGNORE NULLS)
   OVER (PARTITION BY d ORDER BY doc_id ROWS UNBOUNDED PRECEDING), 'General') AS section_path FROM h
 """)
 def section_carry_forward(spark, sf_dir):
     text = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("Item "), (F.col("doc_id") % 10).cast("string"), F.lit("A. "), "lang", F.lit("\nbody"))).when(F.col("doc_id") % 35 == 0, F.concat(F.lit("SIGNATURES of "), "lang")).otherwise(F.col("text"))
-    blocks = _docs(spark, sf_dir).select((F.col("doc_id") % 40).alias("d"), "doc_id", text.alias("text"))
+    blocks = _docs(spark, sf_dir).select(F.floor(F.col("doc_id") / 40).alias("d"), "doc_id", text.alias("text"))
     return chunking.carry_sections(blocks, "d", ["doc_id"]).select("doc_id", "section_path")
 
 
@@ -423,7 +424,7 @@ def _fixture_chunks(spark, sf_dir) -> DataFrame:
     d = F.col("doc_id")
     return _docs(spark, sf_dir).select(
         d.alias("line_no"),
-        F.concat("lang", F.lit("-corp_"), (2017 + d % 3).cast("string")).alias("doc_id"),
+        F.concat("lang", F.lit("-corp"), F.floor(d / 100).cast("string"), F.lit("_"), (2017 + d % 3).cast("string")).alias("doc_id"),
         F.when(d % 3 == 0, F.col("source")).alias("source"),
         F.when(d % 5 == 0, "table").otherwise("text").alias("type"),
         F.when(d % 4 == 0, "Board of Directors").when(d % 4 == 1, "").when(d % 4 == 2, "Properties").alias("section_path"),
@@ -435,7 +436,7 @@ def _fixture_chunks(spark, sf_dir) -> DataFrame:
 
 
 _FIXTURE = """
-  SELECT doc_id AS line_no, lang || '-corp_' || (2017 + doc_id % 3) AS doc_id, CASE WHEN doc_id % 3 = 0 THEN source END AS source0, CASE WHEN doc_id % 5 = 0 THEN 'table' ELSE 'text' END AS type,
+  SELECT doc_id AS line_no, lang || '-corp' || (doc_id // 100) || '_' || (2017 + doc_id % 3) AS doc_id, CASE WHEN doc_id % 3 = 0 THEN source END AS source0, CASE WHEN doc_id % 5 = 0 THEN 'table' ELSE 'text' END AS type,
     CASE doc_id % 4 WHEN 0 THEN 'Board of Directors' WHEN 1 THEN '' WHEN 2 THEN 'Properties' END AS section_path, CASE doc_id % 6 WHEN 0 THEN 'Statement of Income' WHEN 1 THEN 'Cash Flow notes' END AS section_name,
     CASE WHEN doc_id % 7 <> 0 THEN doc_id % 9 END AS page, CASE doc_id % 8 WHEN 0 THEN 't1.csv' WHEN 1 THEN 'Segments' WHEN 2 THEN '' END AS title0,
     CASE WHEN doc_id % 10 = 0 THEN 'June 30 and September 30 ' || text ELSE text END AS text FROM documents
@@ -523,10 +524,10 @@ def scroll_scan(spark, sf_dir):
 
 _NORM = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
 _QUERY_IDS = "SELECT DISTINCT floor(doc_id / 40)::INT AS query_id FROM documents"
-#: A list's gold: the items of its class of 20; lists of the class 19 have none, and an item in seven is a file.
+#: A list's gold: the ten items of a block; one list in twenty has none, and an item in seven is a file.
 _GOLD = f"""
-  SELECT query_id, (item_id // 20)::INT AS gold_index, CASE WHEN item_id % 7 <> 3 THEN {_NORM.format("text")} ELSE '' END AS nt, CASE WHEN item_id % 7 = 3 THEN 'src' || item_id % 10 END AS fn
-  FROM benchmark JOIN ({_QUERY_IDS}) ON item_id % 20 = query_id % 20 WHERE item_id % 20 <> 19
+  SELECT query_id, (item_id % 10)::INT AS gold_index, CASE WHEN item_id % 7 <> 3 THEN {_NORM.format("text")} ELSE '' END AS nt, CASE WHEN item_id % 7 = 3 THEN 'src' || item_id % 10 END AS fn
+  FROM benchmark JOIN ({_QUERY_IDS}) ON item_id // 10 = query_id % (SELECT max(item_id) // 10 + 1 FROM benchmark) WHERE query_id % 20 <> 19
 """
 _MATCHED = f"""
   SELECT l.query_id, l.pos, coalesce(min(g.gold_index) FILTER (WHERE nt <> '' AND (contains(t, nt) OR contains(nt, t))), min(g.gold_index) FILTER (WHERE fn IS NOT NULL AND (contains(source, fn) OR contains(doc_id, fn) OR contains(lower(section_path), fn)))) AS gold_index
@@ -553,13 +554,14 @@ def _gold(spark, sf_dir):
     docs = _docs(spark, sf_dir).withColumn("query_id", F.floor(F.col("doc_id") / 40).cast("int"))
     w = Window.partitionBy("query_id").orderBy(F.col("n_chars").desc(), F.col("doc_id"))
     rows = docs.withColumn("pos", F.row_number().over(w)).select("query_id", F.col("text").alias("content"), "source", F.col("lang").alias("doc_id"), F.lit("x").alias("section_path"), "pos")
-    items = _table(spark, sf_dir, "benchmark").filter("item_id % 20 <> 19")
+    items = _table(spark, sf_dir, "benchmark")
+    blocks = items.agg(F.max(F.floor(F.col("item_id") / 10)) + 1).first()[0]
     is_file = F.col("item_id") % 7 == 3
     entry = F.struct(F.when(is_file, "file").otherwise(F.lit(None)).alias("type"), F.when(is_file, F.concat(F.lit("gold\\set/SRC"), (F.col("item_id") % 10).cast("string"))).otherwise(F.col("text")).alias("content"))
-    held = F.array_sort(F.collect_list(F.struct((F.floor(F.col("item_id") / 20)).alias("i"), entry.alias("g"))))
-    entries = items.groupBy((F.col("item_id") % 20).cast("int").alias("class")).agg(F.transform(held, lambda x: x["g"]).alias("gold"))
+    held = F.array_sort(F.collect_list(F.struct(F.col("item_id").alias("i"), entry.alias("g"))))
+    entries = items.groupBy(F.floor(F.col("item_id") / 10).alias("block")).agg(F.transform(held, lambda x: x["g"]).alias("gold"))
     asked = docs.select("query_id").distinct()
-    gold = readers.explode_gold(asked.join(entries, F.col("query_id") % 20 == F.col("class")).select("query_id", "gold"))
+    gold = readers.explode_gold(asked.filter("query_id % 20 <> 19").join(entries, F.col("query_id") % blocks == F.col("block")).select("query_id", "gold"))
     return rows, gold, evaluation.gold_counts(asked, gold)
 
 
@@ -747,7 +749,22 @@ def _scratch(spark, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/rillmark-{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/rillmark-{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_scratch() -> None:
+    for spark, path in _made:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the JVM may already be gone when the interpreter ends
+            return
 
 
 _JSONL = f"""
@@ -767,13 +784,13 @@ def chunk_jsonl(spark, sf_dir):
     return back.select("doc_id", "source", "type", "section_path", "section_name", "page", "order", "table_title", F.md5("text").alias("text_md5"), "company", "fiscal_year", "parser", "chunk_id")
 
 
-@_query("record_files", "SELECT doc_id::VARCHAR AS example_id, source, md5(text) AS text_md5, count(*) OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) AS line_no FROM documents")
+@_query("record_files", "SELECT doc_id::VARCHAR AS example_id, source, md5(text) AS text_md5, count(*) OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) AS line_no FROM documents")
 def record_files(spark, sf_dir):
-    """Raw records, dealt to three files, with their line numbers."""
+    """Raw records, dealt to files of 500, with their line numbers."""
     path = _scratch(spark, "records")
     d = F.col("doc_id")
     record = F.to_json(F.struct(d.alias("example_id"), "source", F.lit("q").alias("query"), "text"))
-    _docs(spark, sf_dir).withColumn("third", d % 3).repartition("third").sortWithinPartitions("third", "doc_id").select(record.alias("value"), "third").write.partitionBy("third").text(path)
+    _docs(spark, sf_dir).withColumn("part", F.floor(d / 500)).repartition("part").sortWithinPartitions("part", "doc_id").select(record.alias("value"), "part").write.partitionBy("part").text(path)
     return readers.read_records(spark, f"{path}/*").select("example_id", "source", F.md5("text").alias("text_md5"), "line_no")
 
 
