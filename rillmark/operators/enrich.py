@@ -105,3 +105,8 @@ def enrich(chunks: DataFrame, header_once: bool = False) -> DataFrame:
     rows = rows.withColumn("content", with_header(F.col("context_header"), F.col("content")))
     embedding = F.col("content") if header_once else with_header(F.col("context_header"), F.col("content"))
     return rows.withColumn("embedding_content", embedding).withColumn("id", point_id(F.col("source"), F.col("chunk_id")))
+
+
+def chunk_counts(chunks: DataFrame) -> DataFrame:
+    """doc_id, type, n and n_sources (a chunk without source counts its document) of chunks."""
+    return chunks.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce("source", "doc_id")).alias("n_sources"))

@@ -110,6 +110,17 @@ def latency_summary(records: DataFrame, latency: str, prompt: str, completion: s
     return one.select("n", "avg_ms", *[f"p{p}_ms" for p in shares], "total_tokens", "total_cost", "avg_cost")
 
 
+def token_totals(records: DataFrame, by: list[str], prompt: Column, completion: Column, price_in: float = 0.0008, price_out: float = 0.004) -> DataFrame:
+    """by, tokens, cost: the tokens of each group's calls, and what they cost."""
+    cost = F.round(F.sum(compute_cost(prompt, completion, price_in, price_out)), DIGITS)
+    return records.groupBy(*by).agg(F.sum(prompt + completion).cast("long").alias("tokens"), cost.alias("cost"))
+
+
+def chat_statistics(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """key, exchanges (pairs of turns) and n_roles of each chat."""
+    return turns.groupBy(key).agg(F.floor(F.count(F.lit(1)) / 2).alias("exchanges"), F.count_distinct("role").alias("n_roles"))
+
+
 def query_details(matched: DataFrame, totals: DataFrame, ks: tuple[int, ...] = K_VALUES) -> DataFrame:
     """One row a query: its rank metrics, metrics at every k, and its list with the gold each row matches."""
     at_k = metrics_at_k(matched, totals, ks)

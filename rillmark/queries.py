@@ -618,7 +618,7 @@ def latency_percentiles(spark, sf_dir):
 def token_cost(spark, sf_dir):
     rows = _table(spark, sf_dir, "events")
     n = F.col("event_id") % 100
-    return rows.groupBy("user_id").agg(F.sum(n).alias("tokens"), F.round(F.sum(tx.compute_cost(n, F.lit(0), 0.001, 0.005)), 6).alias("cost"))
+    return evaluation.token_totals(rows, ["user_id"], n, F.lit(0), 0.001, 0.005)
 
 
 @_query("report_means", "SELECT round(avg(value), 6) AS value, round(avg(user_id), 6) AS user_id FROM events")
@@ -665,7 +665,7 @@ def structured_prompt(spark, sf_dir):
 
 @_query("chat_statistics", "SELECT conv_id, (count(*) // 2)::BIGINT AS exchanges, count(DISTINCT role) AS n_roles FROM conversations GROUP BY 1")
 def chat_statistics(spark, sf_dir):
-    return _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.floor(F.count(F.lit(1)) / 2).alias("exchanges"), F.count_distinct("role").alias("n_roles"))
+    return evaluation.chat_statistics(_table(spark, sf_dir, "conversations"))
 
 
 @_query("text_normalize", f"SELECT doc_id, md5({_NORM.format('text')}) AS normalized_md5, CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '...' ELSE text END AS excerpt FROM documents")
@@ -697,7 +697,7 @@ def event_latency_by_type(spark, sf_dir):
 
 @_query("chunk_counts", f"SELECT doc_id, type, count(*) AS n, count(DISTINCT coalesce(source0, doc_id)) AS n_sources FROM ({_FIXTURE}) GROUP BY 1, 2")
 def chunk_counts(spark, sf_dir):
-    return _fixture_chunks(spark, sf_dir).groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce("source", "doc_id")).alias("n_sources"))
+    return enrich.chunk_counts(_fixture_chunks(spark, sf_dir))
 
 
 @_query("record_chunks", f"""
