@@ -41,6 +41,7 @@ SEED = 11
 _TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _PART = re.compile(r"[A-Za-z]+")
+_DIGIT = re.compile(r"\d")
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 _SKIP = {"head", "template", "noscript", "select", "button", "svg", "math", "object", "audio", "video", "canvas", "datalist"}
 #: Start tags that don't end an open head; its end tag may be left out.
@@ -211,7 +212,7 @@ def vectors(found: list[Block]) -> np.ndarray:
     out[:, place + 5] = ["©" in t for t in texts]
     out[:, place + 6] = [t[:1].isupper() for t in texts]
     out[:, place + 7] = length > 200
-    out[:, place + 8] = [any(c.isdigit() for c in t[:200]) for t in texts]
+    out[:, place + 8] = [_DIGIT.search(t) is not None for t in texts]
     out[:, place + 9] = 1
     return out
 
@@ -236,10 +237,10 @@ class Labeller:
         self.p["o"] = draw.normal(0, 0.3, 2 * hidden)
         self.p["d"] = np.zeros(1)
 
-    def _run(self, side: str, x: np.ndarray, live: np.ndarray, keep: bool):
-        """x: (lanes, steps, 4 hidden), inputs already multiplied; live: (lanes, steps)."""
-        h = np.zeros((x.shape[0], self.hidden))
-        c = np.zeros_like(h)
+    def _run(self, side: str, x: np.ndarray, live: np.ndarray, keep: bool, state: tuple[np.ndarray, np.ndarray] | None = None):
+        """x: (lanes, steps, 4 hidden), inputs already multiplied; live: (lanes, steps); from ``state`` on,
+        and the state at the end."""
+        h, c = state or np.zeros((2, x.shape[0], self.hidden))
         states, trace = np.zeros((x.shape[0], x.shape[1], self.hidden)), []
         n = self.hidden
         order = range(x.shape[1]) if side == "f" else range(x.shape[1] - 1, -1, -1)
@@ -254,19 +255,29 @@ class Labeller:
             c = np.where(mask, new, c)
             h = np.where(mask, o * np.tanh(new), h)
             states[:, t] = h
-        return states, trace
-
-    def odds(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Probability of main text for each block; x holds the pages' rows one after another."""
-        lanes, steps = len(lengths), int(lengths.max())
-        live = np.arange(steps) < lengths[:, None]
-        out = np.full((lanes, steps), self.p["d"][0])
+        return states, trace, (h, c)
+
+    def odds(self, pages: list[list[Block]], most_blocks: int) -> list[np.ndarray]:
+        """Probability of main text for each block of each page.
+
+        Both directions go over windows of ``most_blocks`` blocks at most and carry their states on, so a page of
+        any length needs the memory of a window."""
+        lengths = np.array([len(p) for p in pages])
+        steps, width = int(lengths.max()), max(1, most_blocks // len(pages))
+        out = np.full((len(pages), steps), self.p["d"][0])
+        places = list(range(0, steps, width))
+        x = None
         for k, side in enumerate("fb"):
-            padded = np.zeros((lanes, steps, 4 * self.hidden))
-            padded[live] = x @ self.p[side + "x"] + self.p[side + "c"]
-            states, _ = self._run(side, padded, live, False)
-            out += states @ self.p["o"][k * self.hidden : (k + 1) * self.hidden]
-        return _sigmoid(out[live])
+            state = None
+            for w in places if side == "f" else reversed(places):
+                live = np.arange(w, min(w + width, steps)) < lengths[:, None]
+                if x is None or len(places) > 1:
+                    x = vectors([b for p in pages for b in p[w : w + width]])
+                padded = np.zeros((*live.shape, 4 * self.hidden))
+                padded[live] = x @ self.p[side + "x"] + self.p[side + "c"]
+                states, _, state = self._run(side, padded, live, False, state)
+                out[:, w : w + width] += states @ self.p["o"][k * self.hidden : (k + 1) * self.hidden]
+        return [_sigmoid(row[:n]) for row, n in zip(out, lengths, strict=True)]
 
     def gradients(self, x: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         lanes, steps, n = len(lengths), int(lengths.max()), self.hidden
@@ -481,9 +492,7 @@ def main_texts(model: Labeller, pages: list[str], most_blocks: int = 20_000) ->
         while end < len(order) and (end + 1 - begin) * len(read[order[end]]) <= most_blocks:
             end += 1
         own = order[begin:end]
-        lengths = np.array([len(read[i]) for i in own])
-        odds = model.odds(vectors([b for i in own for b in read[i]]), lengths)
-        for i, p in zip(own, np.split(odds, np.cumsum(lengths)[:-1]), strict=True):
+        for i, p in zip(own, model.odds([read[i] for i in own], most_blocks), strict=True):
             out[i] = "\n".join(b.text for b, q in zip(read[i], p, strict=True) if q >= 0.5)
         begin = end
     return out

@@ -245,7 +245,7 @@ def test_html_held_out_accuracy(labeller):
     for page in html_extract.layouts(4242, 150):
         found = list(html_extract.blocks(page))
         if found:
-            odds = labeller.odds(html_extract.vectors(found), np.array([len(found)]))
+            [odds] = labeller.odds([found], 20_000)
             wrong += int(((odds >= 0.5) != np.array([b.label for b in found])).sum())
             total += len(found)
     assert wrong <= 0.02 * total
