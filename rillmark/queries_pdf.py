@@ -54,7 +54,9 @@ def document_files(docs: DataFrame) -> DataFrame:
                 out.append((f"{i}.pdf", data))
             yield pd.DataFrame(out, columns=["path", "content"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "path string, content binary")
+    # a small table may be one task's; writing and decoding files is the work here
+    spread = docs.select("doc_id", "text").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return spread.mapInPandas(run, "path string, content binary")
 
 
 def _spans(spark, files: DataFrame) -> DataFrame:
