@@ -469,6 +469,21 @@ def test_language(spark):
     assert language.identify(docs.limit(0), F.col("held")).count() == 0
 
 
+def test_language_learns_from_texts_of_every_length(spark):
+    draw = random.Random(9)
+    stems = {"en": ["the", "and", "th", "ing", "tion"], "de": ["der", "und", "sch", "ung", "ß"]}
+    long = lambda lang: " ".join("".join(draw.choice(stems[lang]) for _ in range(3)) for _ in range(1500))
+    rows = [(i, long(["en", "de"][i % 2]), ["en", "de"][i % 2], 0, "x") for i in range(40)]
+    rows += [(100 + i, "the thing and the nation", "en", 0, "x") for i in range(20)]  # de has long texts only
+    docs = spark.createDataFrame(rows, DOCS)
+    assert all(len(r[1]) > 8000 for r in rows[:40])
+    got = language.identify(docs, F.lit(False), keep=["doc_id", "lang"]).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
+    assert language.drop_untold(docs.filter("doc_id < 100"), 0.3).count() == 40
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string")).unionByName(spark.createDataFrame([(500, "12 ...", None, 0, "x"), (501, None, None, 0, "x")], DOCS))
+    assert language.drop_untold(unlabelled, 0.3).count() == 60
+
+
 def test_language_equals_an_explicit_kernel_ridge():
     """Landmarks are all rows here, so the Nystroem map is exact: unhashed kernel, dual ridge."""
     draw = random.Random(14)
