@@ -21,15 +21,11 @@ def ann_exact(spark, sf_dir):
 
 @_query("ann_recall")
 def ann_recall(spark, sf_dir):
-    """How many of each question's ten nearest points the nearest cells hold."""
+    """How many of each question's ten nearest points the nearest cells hold, as many cells as a sample needs."""
     points = _points(spark, sf_dir)
     index = cells.CellIndex.build(points, _scratch(spark, "cells"))
     asked = _questions(points)
-    return cells.recall(index.topk(asked, 10, probes=PROBES), search.dense_topk(points, asked, 10))
-
-
-#: Cells that ``ann_recall`` asks for each question.
-PROBES = 16
+    return cells.recall(index.topk(asked, 10, probes=index.probes_for(asked, 10)), search.dense_topk(points, asked, 10))
 
 
 @_query("percentiles_by_group", " UNION ALL ".join(f"SELECT event_type, {s}::DOUBLE AS share, round(quantile_cont(value, {s}), 6) AS value FROM events WHERE value IS NOT NULL GROUP BY 1" for s in (0.0, 0.25, 0.5, 0.9, 0.99, 1.0)))

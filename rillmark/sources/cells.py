@@ -4,7 +4,7 @@ Cells are fitted on a bounded sample (SAMPLE_ROWS rows of least hash) and then t
 keeps its radius, the largest distance of a point from its centre.  Points are stored sorted by cell,
 so a search reads the row groups of the cells it asks.
 
-Approximate search asks ``probes`` cells for each query.  Exact search asks them first and then every
+Approximate search asks ``probes`` cells for each query; ``probes_for`` finds how many reach a recall.  Exact search asks them first and then every
 cell in which, by the triangle inequality, a point may score as high as the query's k-th so far; what
 other cells hold cannot be among the results.  ``recall`` measures the one against the other.
 
@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 from rillmark.operators.search import DIGITS, top_per_query
 
 SAMPLE_ROWS, ROUNDS, MOST_CELLS = 20_000, 12, 4096
+#: Queries that ``probes_for`` measures.
+TUNED = 200
 #: Queries whose vectors all tasks hold at once; more take a pass each.
 MOST_QUERIES = 20_000
 
@@ -108,6 +110,25 @@ class CellIndex:
         known = json.loads(spark.read.text(f"{path}/cells").first()[0])
         return cls(spark, path, np.array(known["centres"]), np.array(known["radii"]))
 
+    def _far(self, vectors: np.ndarray) -> np.ndarray:
+        """Distances of unit vectors from the centres."""
+        return np.sqrt(np.maximum(0, 1 + (self.centres**2).sum(1) - 2 * vectors @ self.centres.T))
+
+    def probes_for(self, queries: DataFrame, k: int, target: float = 0.95) -> int:
+        """The least number of cells that holds the share ``target`` of the exact results of TUNED queries of
+        least hash: how near their cells are decides how many must be asked."""
+        own = queries.filter("query_vec is not null").orderBy(F.xxhash64(F.col("query_id").cast("string")), "query_id").limit(TUNED)
+        rows = own.collect()
+        if not rows or not len(self.centres):
+            return 1
+        vectors, _ = _unit(np.array([r["query_vec"] for r in rows], np.float64).reshape(len(rows), -1))
+        order = self._far(vectors).argsort(axis=1).argsort(axis=1)
+        place = {r["query_id"]: i for i, r in enumerate(rows)}
+        points = self.spark.read.parquet(f"{self.path}/points").select("id", "cell")
+        found = self.topk(self.spark.createDataFrame(rows, own.schema), k, exact=True).join(points, "id").select("query_id", "cell").collect()  # k rows a query
+        ranks = sorted(int(order[place[r["query_id"]], r["cell"]]) for r in found)
+        return ranks[min(len(ranks), -(-int(target * 1000) * len(ranks) // 1000)) - 1] + 1 if ranks else 1
+
     def topk(self, queries: DataFrame, k: int, probes: int = 8, exact: bool = False, threshold: float | None = None) -> DataFrame:
         """(query_id, id, score, pos) of queries (query_id, query_vec): the k points of highest cosine
         in the ``probes`` nearest cells, or with ``exact`` among all points."""
@@ -126,7 +147,7 @@ class CellIndex:
         n = len(self.centres)
         if not n or not len(vectors):
             return self._named(self._scan(np.zeros((0, 1)), np.zeros((0, n), bool), k, None), names, k)
-        far = np.sqrt(np.maximum(0, 1 + (self.centres**2).sum(1) - 2 * vectors @ self.centres.T))
+        far = self._far(vectors)
         wanted = np.zeros((len(vectors), n), bool)
         order = np.argsort(far, axis=1)[:, : min(probes, n)]
         np.put_along_axis(wanted, order, True, axis=1)

@@ -150,6 +150,10 @@ def test_cells(spark, tmp_path, exact):
     else:
         r = cells.recall(got, true.filter("query_id >= 0")).agg(F.sum("hits") / F.sum("k")).first()[0]
         assert r >= 0.9
+        for target in (0.5, 0.97, 1.0):
+            n = index.probes_for(queries, 10, target)
+            tuned = cells.recall(index.topk(queries, 10, probes=n), true).agg(F.sum("hits") / F.sum("k")).first()[0]
+            assert tuned >= target - 0.01 and n <= 16
     assert cells.CellIndex.build(table.limit(0), f"file://{tmp_path}/none").topk(queries, 3, exact=exact).count() == 0
 
 
