@@ -44,12 +44,14 @@ def segments(spans: DataFrame) -> DataFrame:
 def columns(segs: DataFrame) -> DataFrame:
     """Segments with ``region`` and ``column`` of a page of up to two text columns.
 
-    Lines of more than FULL of the page's width, and centred ones, part it into regions.  The other lines have
+    Lines of more than FULL of the page's width, and centred ones across its middle, part it into regions.  The other lines have
     two columns if a vertical band is free of them, with EACH_SIDE lines or more on each side whose mean
     width is that of text; a page with too few lines takes the band that most lines of its file have, if it is
     free there."""
     size = F.col("x1") - F.col("x0")
-    centred = F.abs((F.col("x0") + F.col("x1")) / 2 - F.col("width") / 2) < CENTRED * F.col("width")
+    # a centred line lies across the page's middle; a column's line of one letter only lies near it
+    across_middle = (F.col("x0") < F.col("width") / 2) & (F.col("x1") > F.col("width") / 2)
+    centred = across_middle & (F.abs((F.col("x0") + F.col("x1")) / 2 - F.col("width") / 2) < CENTRED * F.col("width"))
     segs = segs.withColumn("full", (size > FULL * F.col("width")) | centred)
     page, kind = Window.partitionBy(*PAGE), Window.partitionBy(*PAGE, "full")
     across = kind.orderBy("x0", "x1", "row", "seg")

@@ -93,6 +93,15 @@ def test_layout_of_columns_below_a_title(spark):
     assert [len(b["text"].split("\n")) for b in blocks] == [1, 12, 9, 1] and blocks[1]["x0"] == 50
 
 
+def test_one_letter_line_of_the_right_column(spark):
+    left = [(50, 700 - 11 * i, f"left line number {i} with words") for i in range(9)]
+    right = [(320, 700 - 11 * i, "|" if i in (3, 8) else f"right line number {i} with words") for i in range(9)]
+    page_number = [(303.3, 560, "7")]
+    data = pdf_write.write_pdf([(left + right + page_number, [])])
+    (found,) = layout.page_texts(pdf.pdf_spans(spark.createDataFrame([("a", bytearray(data))], "path string, content binary"))).collect()
+    assert found["text"].replace("\n\n", "\n").split("\n") == [t[2] for t in left + right + page_number]
+
+
 def test_layout_tables(spark):
     grid = [["Item", "Unnamed: 1", "2019", "none"], ["Cash and more", "x", "12", ""], ["total of all the items here"], ["Debt", "", "7", ""], ["Sum", "y", "19", ""]]
     full = [["Item", "Unnamed: 1", "2019", "none"], *grid[1:]]
