@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillmark.operators.search import DIGITS, top_per_query
+from rillmark.operators.search import DIGITS, QUERY_BLOCK, VECTOR_BLOCK, Best, top_per_query
 
 SAMPLE_ROWS, ROUNDS, MOST_CELLS = 20_000, 12, 4096
 #: Queries that ``probes_for`` measures.
@@ -176,27 +176,16 @@ class CellIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             all_queries, asked = shared.value
-            held = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            held = Best(len(all_queries), k, floor)
+            for batch in (whole.slice(i, VECTOR_BLOCK) for whole in batches for i in range(0, whole.num_rows, VECTOR_BLOCK)):
                 cells = batch.column(0).to_numpy()
                 own, ids = _matrix(batch.column(2)), batch.column(1).to_numpy(zero_copy_only=False)
-                found = [held] if held is not None else []
                 for cell in np.unique(cells):
-                    mine = np.flatnonzero(cells == cell)
-                    who = np.flatnonzero(asked[:, cell])
-                    scores = np.round(all_queries[who] @ own[mine].T, DIGITS) + 0.0
-                    q, c = np.nonzero(scores >= floor)
-                    found.append((who[q], ids[mine[c]], scores[q, c]))
-                q, i, s = (np.concatenate(x) for x in zip(*found, strict=True))
-                order = np.lexsort((i, -s, q))
-                q, i, s = q[order], i[order], s[order]
-                starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
-                rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
-                held = tuple(x[rank < k] for x in (q, i, s))
-            if held is not None and len(held[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(held[0].astype(np.int32)), pa.array(held[1]), pa.array(held[2])], names=["q", "id", "score"])
+                    mine, who = cells == cell, np.flatnonzero(asked[:, cell])
+                    for begin in range(0, len(who), QUERY_BLOCK):
+                        some = who[begin : begin + QUERY_BLOCK]
+                        held.add(some, ids[mine], np.round(all_queries[some] @ own[mine].T, DIGITS) + 0.0)
+            yield from held.batches()
 
         schema = T.StructType([T.StructField("q", T.IntegerType()), points.schema["id"], T.StructField("score", T.DoubleType())])
         return points.select("cell", "id", "vector").mapInArrow(run, schema)

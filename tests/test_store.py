@@ -176,3 +176,18 @@ def test_percentiles_by_selection(spark, monkeypatch, few):
     whole = {r["share"]: r["v"] for r in quantiles.exact_percentiles(frame.filter("g = 'a'"), "v", shares).collect()}
     assert whole == {s: got["a", s] for s in shares}
     assert quantiles.exact_percentiles(frame.limit(0), "v", shares).count() == 0
+
+
+def test_a_task_holds_the_best_only(monkeypatch):
+    """Of all scores of a task few are held at a time, however many there are."""
+    monkeypatch.setattr(search, "MOST_FOUND", 2000)
+    scores = np.round(np.random.default_rng(3).normal(size=(60, 20_000)), 2)
+    scores[5] = 0.5  # all alike: identifiers decide
+    best, ids, most = search.Best(60, 4, -1.0), np.arange(20_000)[::-1], 0
+    for begin in range(0, 20_000, 500):
+        best.add(np.arange(60), ids[begin : begin + 500], scores[:, begin : begin + 500])
+        most = max(most, sum(len(x[0]) for x in best.found))
+    (got,) = best.batches()
+    expected = [(q, int(i), float(s)) for q in range(60) for i, s in sorted(zip(ids, scores[q], strict=True), key=lambda x: (-x[1], x[0]))[:4]]
+    assert list(zip(*(c.to_pylist() for c in got.columns), strict=True)) == expected
+    assert most <= 2000
