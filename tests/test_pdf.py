@@ -102,6 +102,26 @@ def test_one_letter_line_of_the_right_column(spark):
     assert found["text"].replace("\n\n", "\n").split("\n") == [t[2] for t in left + right + page_number]
 
 
+def test_spans_of_many_files_come_together(monkeypatch):
+    """A batch of rows is of many files, and a long file's rows come in parts; no row is lost."""
+    import pyarrow as pa
+
+    class Files:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    files = {f"{i}.pdf": pdf_write.write_pdf([([(50, 700 - 9 * j, f"{i} {j}") for j in range(i % 4)], [])]) for i in range(90)} | {"none.pdf": None}
+    batch = pa.RecordBatch.from_arrays([pa.array(list(files)), pa.array(list(files.values()), pa.binary())], names=["path", "content"])
+    expected = [r for path, data in files.items() for r in pdf.read_file(path, data or b"")]
+    for most, n in ((20_000, 1), (100, -(-len(expected) // 100))):
+        monkeypatch.setattr(pdf, "SPANS_AT_ONCE", most)
+        got = list(pdf.pdf_spans(Files())(iter([batch])))
+        assert [tuple(r.values()) for b in got for r in b.to_pylist()] == expected and len(got) == n
+
+
 def test_layout_tables(spark):
     grid = [["Item", "Unnamed: 1", "2019", "none"], ["Cash and more", "x", "12", ""], ["total of all the items here"], ["Debt", "", "7", ""], ["Sum", "y", "19", ""]]
     full = [["Item", "Unnamed: 1", "2019", "none"], *grid[1:]]
