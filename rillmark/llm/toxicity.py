@@ -5,15 +5,16 @@ hashed embeddings of the whole word and of its first 4 to 8 bytes, so inflected
 share what is learned.  Filters of one, two and three words slide over the whole text, the largest value of each
 filter over the text is kept, and a linear layer gives the margin.
 
-Training: rows with a label and outside ``held_out``.  Of each label the row of least hash in each of SLOTS slots
-is drawn, so at most 2 SLOTS rows are collected, of any length; a row longer than PART characters gives a part of
-that length at a place drawn by its hash.  The first coordinate of an embedding starts as the log odds
-of its document counts, the others near zero; what fewer than two rows hold stays zero, so that a word never
-seen says nothing however long a text is.  All weights are then fitted by Adam on the cross entropy.
-
-Scores: the slots are dealt to FOLDS folds, each row gets the margin of a network fitted without its
-fold, and these set, for each language, the margin at which the classes part best (weighted to the
-labels' shares); a language with few rows takes the common one.
+Training: all rows with a label and outside ``held_out``, whole texts.  Tasks count the rows that hold a bucket.
+The first coordinate of an embedding starts as the log odds of these counts, the others near zero; what
+fewer than two rows hold stays zero, so that a word never seen says nothing however long a text is.  All weights
+are then fitted by Adam on the cross entropy: rows are dealt to shards by their hash, a task leads a shard's rows
+past its networks, a step's rows in memory, and the shards' weights are averaged in tasks after each pass.
+Few rows are passed EPOCHS times, SHARD rows and more once.  The driver holds networks, never rows.
+
+Scores: rows are dealt to FOLDS folds, each row gets the margin of a network fitted without its fold, and
+the counts of these (in steps of 1 / GRAIN) set, for each language, the margin at which the classes part best;
+a language with few rows takes the common one.
 The score is a logistic function of the margin that passes THRESHOLD there.  The language is what the
 string-kernel classifier reads in the text: label, language, source and identifier of a row never
 enter its score.
@@ -37,13 +38,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.llm import language
-from rillmark.llm.shared import fresh_names, lean, without
+from rillmark.llm.shared import discard, fresh_names, lean, materialize, partitions, tidy, without
 from rillmark.llm.words import LOWER, byte_view, mix
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 16, (1, 2, 3), 16
 PREFIXES = (4, 5, 6, 7, 8)
-SLOTS, PART = 2048, 1 << 15
 EPOCHS, ROWS_A_STEP, RATE, DECAY = 5, 64, 0.01, 1e-4
+#: Rows a shard has at most on average, and words after which a step ends.  Where rows are fewer than SHARD there are more passes.
+SHARD, STEP_WORDS = 20_480, 1 << 17
+#: Parts in which an embedding is added up; margins are counted by steps of 1 / GRAIN up to WIDEST.
+CHUNKS, GRAIN, WIDEST = 32, 256, 64
 THRESHOLD, SLOPE = 0.7, 1.5
 #: Rows of each label that a language must have for a threshold of its own.
 LEAST_ROWS = 12
@@ -152,84 +156,136 @@ def log_odds(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """For each bucket the log odds of the labels of the rows that hold it; 0 below two rows."""
     counts = np.zeros((2, BUCKETS))
     for own, label in zip(rows, labels, strict=True):
-        counts[int(label)][np.unique(own)] += 1
-    sizes = np.array([(labels == 0).sum(), (labels == 1).sum()])[:, None]
+        _count(counts[int(label)], own)
+    return odds_of(counts)
+
+
+def _count(counts: np.ndarray, buckets: np.ndarray) -> None:
+    """Add a row to the counts of its buckets; bucket 0 counts the rows."""
+    held = np.unique(buckets)
+    counts[held[held > 0]] += 1
+    counts[0] += 1
+
+
+def odds_of(counts: np.ndarray) -> np.ndarray:
+    """Log odds of each bucket from its rows of either label."""
+    sizes = counts[:, :1]
     odds = np.log((counts[1] + 0.5) / (sizes[1] + 1)) - np.log((counts[0] + 0.5) / (sizes[0] + 1))
     odds[counts.sum(0) < 2] = 0
     odds[0] = 0
     return odds
 
 
-def fit(texts: list[str], labels: np.ndarray) -> Network:
-    """A network for the given texts, labels 0 and 1 both among them."""
+def start(odds: np.ndarray) -> Network:
+    """A network before training, from the log odds of the buckets."""
     rng = np.random.default_rng(7)
-    rows = []
-    for k in range(0, len(texts), BATCH):
-        buckets, begin = rows_of(texts[k : k + BATCH])
-        rows += [buckets[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
     embed = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
-    odds = log_odds(rows, labels)
     embed[odds == 0] = 0
-    learned = odds != 0
     embed[:, 0] = odds / (1 + len(PREFIXES))
     filters = [rng.normal(0, 0.1, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     for own in filters:
         own[:, 0, : FILTERS // 2] = 1 / len(own)
-    net = Network(embed, filters, np.zeros(len(WIDTHS) * FILTERS, np.float32), np.full(len(WIDTHS) * FILTERS, 0.02, np.float32), -1.0)
-    state: dict = {}
+    return Network(embed, filters, np.zeros(len(WIDTHS) * FILTERS, np.float32), np.full(len(WIDTHS) * FILTERS, 0.02, np.float32), -1.0)
+
+
+class Trainer:
+    """Adam on the cross entropy of a network, a step for some rows at a time; ``sizes`` are the rows of either label.
 
-    def adam(name: object, value: np.ndarray, grad: np.ndarray, rate: float, places: np.ndarray | None = None) -> None:
-        first, second, t = state.setdefault(name, [np.zeros_like(value), np.zeros_like(value), 0])
-        state[name][2] = t = t + 1
+    A bucket outside ``learned`` stays as it is.  ``touched`` tells which buckets have been moved."""
+
+    def __init__(self, net: Network, learned: np.ndarray, sizes: np.ndarray):
+        self.net, self.learned = net, learned
+        self.balance = sizes.sum() / (2 * np.maximum(sizes, 1))
+        self.state: dict = {}
+        self.touched = np.zeros(BUCKETS, bool)
+        self.seen = 0
+
+    def _adam(self, name: object, value: np.ndarray, grad: np.ndarray, rate: float, places: np.ndarray | None = None) -> None:
+        first, second, t = self.state.setdefault(name, [np.zeros_like(value), np.zeros_like(value), 0])
+        self.state[name][2] = t = t + 1
         at = slice(None) if places is None else places
         first[at] = 0.9 * first[at] + 0.1 * grad
         second[at] = 0.99 * second[at] + 0.01 * grad * grad
         value[at] -= rate * (first[at] / (1 - 0.9**t) / (np.sqrt(second[at] / (1 - 0.99**t)) + 1e-6) + DECAY * value[at])
 
-    balance = np.where(labels == 1, len(labels) / (2 * labels.sum()), len(labels) / (2 * (labels == 0).sum()))
+    def _tops(self, flat: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Largest value of each filter in each text, and where it stands; windows are made piece by piece."""
+        n = (len(cuts) - 1, len(self.net.bias))
+        top, place = np.full(n, -np.inf, np.float32), np.zeros(n, np.int64)
+        for k in range(0, len(flat), PIECE // 8):
+            values = self.net.windows(self.net.vectors(flat[k : k + PIECE // 8 + _PAD]))[: PIECE // 8]
+            values[flat[k : k + len(values), 0] == 0] = 0
+            for i in range(int(np.searchsorted(cuts, k, "right")) - 1, int(np.searchsorted(cuts, k + len(values), "left"))):
+                begin = max(cuts[i] - k, 0)
+                own = values[begin : cuts[i + 1] - k]
+                at = own.argmax(0)
+                best = np.take_along_axis(own, at[None], 0)[0]
+                better = best > top[i]
+                top[i, better], place[i, better] = best[better], k + begin + at[better]
+        return top, place
+
+    def step(self, rows: list[np.ndarray], labels: np.ndarray, rate: float) -> None:
+        net = self.net
+        self.seen += len(rows)
+        flat = np.concatenate(rows)
+        top, place = self._tops(flat, np.concatenate([[0], np.cumsum([len(r) for r in rows])]))
+        top = top + net.bias
+        hidden = np.maximum(top, 0)
+        margin = hidden @ net.weights + net.offset
+        error = ((1 / (1 + np.exp(-margin)) - labels) * self.balance[labels] / len(rows)).astype(np.float32)
+        back = error[:, None] * net.weights * (top > 0)
+        moved = back * (flat[place, 0] != 0)
+        words, inverse = np.unique(np.minimum(place[None] + np.arange(max(WIDTHS))[:, None, None], len(flat) - 1), return_inverse=True)
+        inverse = inverse.reshape(max(WIDTHS), *place.shape)
+        vectors = net.vectors(flat[words])
+        change = np.zeros((len(words), DIM), np.float32)
+        grads = []
+        for i, w in enumerate(WIDTHS):
+            span = slice(i * FILTERS, (i + 1) * FILTERS)
+            grad = np.zeros_like(net.filters[i])
+            for j in range(w):
+                there = inverse[j, :, span]
+                grad[j] = np.einsum("nf,nfd->df", moved[:, span], vectors[there])
+                np.add.at(change, there.ravel(), (moved[:, span, None] * net.filters[i][j].T).reshape(-1, DIM))
+            grads.append(grad)
+        self._adam("weights", net.weights, hidden.T @ error, rate)
+        self._adam("bias", net.bias, back.sum(0), rate)
+        offset = np.array([net.offset], np.float32)
+        self._adam("offset", offset, error.sum(keepdims=True), rate)
+        net.offset = float(offset[0])
+        for i, grad in enumerate(grads):
+            self._adam(i, net.filters[i], grad, rate)
+        some = np.abs(change).sum(1) > 0
+        if not some.any():
+            return
+        places, inverse = np.unique(flat[words[some]], return_inverse=True)
+        grad = np.zeros((len(places), DIM), np.float32)
+        np.add.at(grad, inverse.reshape(int(some.sum()), -1), change[some][:, None, :])
+        good = self.learned[places]
+        self._adam("embed", net.embed, grad[good], rate, places[good])
+        self.touched[places[good]] = True
+
+
+def _each(texts: list[str | None]) -> list[np.ndarray]:
+    """Buckets of each text."""
+    out = []
+    for k in range(0, len(texts), BATCH):
+        buckets, begin = rows_of(texts[k : k + BATCH])
+        out += [buckets[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
+    return out
+
+
+def fit(texts: list[str], labels: np.ndarray) -> Network:
+    """A network for texts at hand, labels 0 and 1 both among them."""
+    rows, labels = _each(texts), np.asarray(labels).astype(int)
+    odds = log_odds(rows, labels)
+    trainer, rng = Trainer(start(odds), odds != 0, np.bincount(labels, minlength=2)), np.random.default_rng(7)
     for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
         order = rng.permutation(len(rows))
         for k in range(0, len(rows), ROWS_A_STEP):
             own = order[k : k + ROWS_A_STEP]
-            flat = np.concatenate([rows[i] for i in own])
-            cuts = np.concatenate([[0], np.cumsum([len(rows[i]) for i in own])])
-            vectors = net.vectors(flat)
-            values = net.windows(vectors)
-            values[flat[:, 0] == 0] = 0
-            place = np.array([a + values[a:b].argmax(0) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-            top = np.take_along_axis(values, place, 0) + net.bias
-            hidden = np.maximum(top, 0)
-            margin = hidden @ net.weights + net.offset
-            error = ((1 / (1 + np.exp(-margin)) - labels[own]) * balance[own] / len(own)).astype(np.float32)
-            back = error[:, None] * net.weights * (top > 0)
-            moved = back * (flat[place, 0] != 0)
-            step = np.zeros((len(flat), DIM), np.float32)
-            grads = []
-            for i, w in enumerate(WIDTHS):
-                part, at = moved[:, i * FILTERS : (i + 1) * FILTERS], place[:, i * FILTERS : (i + 1) * FILTERS]
-                grad = np.zeros_like(net.filters[i])
-                for j in range(w):
-                    there = np.minimum(at + j, len(flat) - 1)
-                    grad[j] = np.einsum("nf,nfd->df", part, vectors[there])
-                    np.add.at(step, there.ravel(), (part[:, :, None] * net.filters[i][j].T).reshape(-1, DIM))
-                grads.append(grad)
-            adam("weights", net.weights, hidden.T @ error, rate)
-            adam("bias", net.bias, back.sum(0), rate)
-            offset = np.array([net.offset], np.float32)
-            adam("offset", offset, error.sum(keepdims=True), rate)
-            net.offset = float(offset[0])
-            for i, grad in enumerate(grads):
-                adam(i, net.filters[i], grad, rate)
-            touched = np.flatnonzero(np.abs(step).sum(1) > 0)
-            if not len(touched):
-                continue
-            places, inverse = np.unique(flat[touched], return_inverse=True)
-            grad = np.zeros((len(places), DIM), np.float32)
-            np.add.at(grad, inverse.reshape(len(touched), -1), step[touched][:, None, :])
-            good = learned[places]
-            adam("embed", net.embed, grad[good], rate, places[good])
-    return net
+            trainer.step([rows[i] for i in own], labels[own], RATE * (1 - epoch / EPOCHS))
+    return trainer.net
 
 
 def best_cut(margins: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> float:
@@ -263,47 +319,212 @@ class Model:
         return 1 / (1 + np.exp(-(SLOPE * (self.net.margins(texts) - cut) + np.log(THRESHOLD / (1 - THRESHOLD)))))
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
-    """(label, slot, text): at most SLOTS rows a label, of texts of any length; and (label, count) of all rows.
-
-    The rows are drawn by identifiers, so only the drawn ones' texts leave the scan."""
-    marks = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("row_id"), F.col(label_col).alias("label"))
+def learned_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(label, fold, key, text) of every row with a label and a text that isn't empty, written once."""
+    marks = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("row_id"), F.col(label_col).cast("int").alias("label"))
     known = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
-    each = known.select("row_id").join(marks, "row_id")
-    key = F.xxhash64(F.col("row_id").cast("string"))
-    drawn = each.groupBy("label", F.pmod(key, F.lit(SLOTS)).alias("slot")).agg(F.min(F.struct(key.alias("key"), "row_id")).alias("row"))
-    drawn = drawn.select("label", "slot", "row.row_id")  # 2 SLOTS rows at most
-    length, own = F.length("text"), F.xxhash64("row_id", "text")
-    begin = F.when(length > PART, F.pmod(F.xxhash64(own), length - PART + 1)).otherwise(0).cast("int")
-    rows = known.join(F.broadcast(drawn), "row_id").select("label", "slot", F.struct(own.alias("own"), F.substring(F.col("text"), begin + 1, F.lit(PART)).alias("text")).alias("row"))
-    return rows.groupBy("label", "slot").agg(F.min("row").alias("row")).select("label", "slot", "row.text"), each.groupBy("label").count()
+    own = F.xxhash64(F.col("row_id").cast("string"))
+    return materialize(known.join(marks, "row_id").select("label", F.pmod(own, F.lit(FOLDS)).cast("int").alias("fold"), F.xxhash64(own, "text").alias("key"), "text"), "toxicity")
 
 
-def train(docs: DataFrame, labels: DataFrame, tongue: tuple | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from the rows of ``docs`` that have labels; ``tongue`` is a model of ``language.train``."""
-    drawn, counts = sample(docs, labels, id_col, text_col, label_col)
-    shares = {r["label"]: r["count"] for r in counts.collect()}
-    rows = drawn.orderBy("label", "slot").collect()
-    labels = np.array([r["label"] for r in rows])
-    if len(set(labels.tolist())) < 2:
-        return Model(None, float(labels[0]) if len(labels) else 0.0, None, {})
-    texts = [r["text"] for r in rows]
-    fold = np.array([r["slot"] % FOLDS for r in rows])
-    margins = np.zeros(len(rows))
-    for k in range(FOLDS):  # each row's margin by a network that has not seen it
-        own, other = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
-        if not len(own):
+def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
+    """The sums of float32 arrays (part, shard, body) by part, added up in tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = None, None
+        for batch in batches:
+            for k, body in zip(batch.column("part").to_pylist(), batch.column("body"), strict=True):
+                own = np.frombuffer(body.as_buffer(), np.float32)
+                if k != part:
+                    if part is not None:
+                        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "body": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+                    part, total = k, np.zeros(len(own))
+                total += own
+        if part is not None:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "body": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    dealt = parts.repartition(partitions(parts.sparkSession), "part").sortWithinPartitions("part", "shard")
+    with tidy(parts.sparkSession):
+        return {r["part"]: np.frombuffer(r["body"], np.float32) for r in dealt.mapInArrow(lean(run), "part int, body binary").collect()}  # arrays of fixed size
+
+
+_PARTS = "part int, shard long, body binary"
+
+
+def _sent(arrays: Iterator[tuple[int, np.ndarray]], shard: int) -> Iterator[pa.RecordBatch]:
+    for part, own in arrays:
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int64()), "body": pa.array([own.astype(np.float32).tobytes()], pa.binary())})
+
+
+def counts_of(rows: DataFrame) -> np.ndarray:
+    """FOLDS x 2 x BUCKETS: the rows of each fold and label that hold a bucket; bucket 0 has all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((FOLDS, 2, BUCKETS))
+        for batch in batches:
+            folds, marks = batch.column("fold").to_pylist(), batch.column("label").to_pylist()
+            for own, fold, label in zip(_each(batch.column("text").to_pylist()), folds, marks, strict=True):
+                _count(counts[fold, label], own)
+        if counts.any():
+            yield from _sent(((k, counts.reshape(2 * FOLDS, -1)[k]) for k in range(2 * FOLDS)), 0)
+
+    out = np.zeros((2 * FOLDS, BUCKETS))
+    for k, own in _summed(rows.select("label", "fold", "text").mapInArrow(lean(run), _PARTS)).items():
+        out[k] = own
+    return out.reshape(FOLDS, 2, BUCKETS)
+
+
+def _packed(net: Network) -> tuple:
+    """A network without the vectors that are zero."""
+    at = np.flatnonzero(net.embed.any(1)).astype(np.int32)
+    return at, net.embed[at], net.filters, net.bias, net.weights, net.offset
+
+
+def _unpacked(packed: tuple) -> Network:
+    at, vectors, *others = packed
+    embed = np.zeros((BUCKETS, DIM), np.float32)
+    embed[at] = vectors
+    return Network(embed, *others)
+
+
+def _dense(net: Network) -> np.ndarray:
+    return np.concatenate([*(f.ravel() for f in net.filters), net.bias, net.weights, [net.offset]])
+
+
+def _epoch(rows: DataFrame, nets: list[Network], learned: list[np.ndarray], sizes: list[np.ndarray], skipped: list[int | None], shards: int, epoch: float, epochs: int) -> list[Network]:
+    """The networks after one more pass over all rows.
+
+    Rows are dealt to shards by their hash.  In a task, a shard's rows go by in the order of a hash, a step's
+    rows in memory, and train every network that may see them.  A bucket's vector is then the mean of the shards
+    that moved it; filters and weights are means by the rows of the shards."""
+    total = sum(int(s.sum()) for s in sizes[-1:])
+    packed = [(_packed(net), np.packbits(own), n) for net, own, n in zip(nets, learned, sizes, strict=True)]
+    shared = rows.sparkSession.sparkContext.broadcast(pickle.dumps(packed))  # networks of fixed size
+
+    def state_of(trainers: list[Trainer]) -> Iterator[tuple[int, np.ndarray]]:
+        for k, trainer in enumerate(trainers):
+            if not trainer.seen:
+                continue
+            for c in range(CHUNKS):
+                at = slice(c * BUCKETS // CHUNKS, (c + 1) * BUCKETS // CHUNKS)
+                moved = trainer.touched[at, None].astype(np.float32)
+                yield k * (CHUNKS + 1) + c, np.concatenate([moved, trainer.net.embed[at] * moved], 1).ravel()
+            yield k * (CHUNKS + 1) + CHUNKS, np.append(_dense(trainer.net), 1) * trainer.seen
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, trainers, held, words, passed = None, [], [], 0, 0
+
+        def learn() -> None:
+            rate = RATE * max(0.05, 1 - (epoch + passed * shards / total) / epochs)
+            for trainer, skip in zip(trainers, skipped, strict=True):
+                own = [(r, label) for r, fold, label in held if fold != skip]
+                if own:
+                    trainer.step([r for r, _ in own], np.array([label for _, label in own]), rate)
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("shard", "fold", "label")]
+            for own, dealt, fold, label in zip(_each(batch.column("text").to_pylist()), *columns, strict=True):
+                if dealt != shard:
+                    if held:
+                        learn()
+                    if shard is not None:
+                        yield from _sent(state_of(trainers), shard)
+                    shard, held, words, passed = dealt, [], 0, 0
+                    trainers = [Trainer(_unpacked(net), np.unpackbits(known).astype(bool), n) for net, known, n in pickle.loads(shared.value)]
+                held.append((own, fold, label))
+                words, passed = words + len(own), passed + 1
+                if len(held) == ROWS_A_STEP or words >= STEP_WORDS:
+                    learn()
+                    held, words = [], 0
+        if held:
+            learn()
+        if shard is not None:
+            yield from _sent(state_of(trainers), shard)
+
+    order = F.xxhash64("key", F.lit(int(epoch)))
+    dealt = rows.withColumns({"shard": F.pmod(F.xxhash64("key", F.lit("shard")), F.lit(shards)), "turn": order})
+    dealt = dealt.select("shard", "turn", "label", "fold", "text").repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "turn", "label", "fold")
+    found = _summed(dealt.mapInArrow(lean(run), _PARTS))
+    shared.destroy()
+    out = []
+    for k, net in enumerate(nets):
+        embed = net.embed.copy()
+        for c in range(CHUNKS):
+            own = found.get(k * (CHUNKS + 1) + c)
+            if own is not None:
+                own = own.reshape(-1, 1 + DIM)
+                at = c * BUCKETS // CHUNKS + np.flatnonzero(own[:, 0])
+                embed[at] = own[own[:, 0] > 0, 1:] / own[own[:, 0] > 0, :1]
+        dense = found.get(k * (CHUNKS + 1) + CHUNKS)
+        if dense is None:
+            out.append(net)
             continue
-        known = other if len(set(labels[other].tolist())) == 2 else np.arange(len(rows))
-        margins[own] = fit([texts[i] for i in known], labels[known]).margins([texts[i] for i in own])
-    model = Model(fit(texts, labels), 0.0, tongue, {})
-    weight = np.array([shares[x] / max(1, (labels == x).sum()) for x in labels])
-    model.cuts[None] = best_cut(margins, labels, weight)
-    names = np.array(model.languages(texts), object)
-    for name in set(names.tolist()) - {None}:
-        mine = names == name
-        if all((labels[mine] == x).sum() >= LEAST_ROWS for x in (0, 1)):
-            model.cuts[name] = best_cut(margins[mine], labels[mine], weight[mine])
+        dense = (dense[:-1] / dense[-1]).astype(np.float32)
+        filters, bias, weights, offset = [], None, None, 0.0
+        at = 0
+        for f in net.filters:
+            filters.append(dense[at : at + f.size].reshape(f.shape).copy())
+            at += f.size
+        bias, weights, offset = dense[at : at + len(net.bias)].copy(), dense[at + len(net.bias) : -1].copy(), float(dense[-1])
+        out.append(Network(embed, filters, bias, weights, offset))
+    return out
+
+
+def margin_counts(rows: DataFrame, nets: list[Network], tongue: tuple | None) -> list:
+    """(name, margin, label, n): rows by language and the margin of the network that has not seen them, to 1 / GRAIN."""
+    model = Model(None, 0.0, tongue, {})
+    shared = rows.sparkSession.sparkContext.broadcast(pickle.dumps((model, [_packed(net) for net in nets])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, packed = pickle.loads(shared.value)
+        networks = [_unpacked(net) for net in packed]
+        for whole in batches:
+            for batch in (whole.slice(i, BATCH) for i in range(0, whole.num_rows, BATCH)):
+                texts, fold = batch.column("text").to_pylist(), batch.column("fold").to_numpy()
+                margin = np.zeros(len(texts))
+                for k in np.unique(fold):
+                    own = np.flatnonzero(fold == k)
+                    margin[own] = networks[k].margins([texts[i] for i in own])
+                grains = np.round(np.clip(margin, -WIDEST, WIDEST) * GRAIN).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(known.languages(texts), pa.string()), pa.array(grains), batch.column("label")], names=["name", "grain", "label"])
+
+    each = rows.select("label", "fold", "text").mapInArrow(lean(run), "name string, grain int, label int")
+    with tidy(rows.sparkSession):
+        found = each.groupBy("name", "grain", "label").count().collect()  # grains, labels and languages are few
+    shared.destroy()
+    return found
+
+
+def train(docs: DataFrame, labels: DataFrame, tongue: tuple | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """A model from all rows of ``docs`` that have labels; ``tongue`` is a model of ``language.train``."""
+    rows = learned_rows(docs, labels, id_col, text_col, label_col)
+    counts = counts_of(rows)
+    of_label = counts[:, :, 0].sum(0)
+    if (of_label == 0).any():
+        discard(rows)
+        return Model(None, float(of_label[1] > 0), None, {})
+    total, nets, learned, sizes, skipped = int(of_label.sum()), [], [], [], []
+    for k in [*range(FOLDS), None]:  # a network for each fold's margins, and one of all rows
+        without_fold = counts.sum(0) - (0 if k is None else counts[k])
+        k, own = (k, without_fold) if (without_fold[:, 0] > 0).all() else (None, counts.sum(0))
+        odds = odds_of(own)
+        nets.append(start(odds))
+        learned.append(odds != 0)
+        sizes.append(own[:, 0])
+        skipped.append(k)
+    epochs = max(1, min(EPOCHS, round(SHARD / total)))
+    for epoch in range(epochs):
+        nets = _epoch(rows, nets, learned, sizes, skipped, -(-total // SHARD), epoch, epochs)
+    model = Model(nets[-1], 0.0, tongue, {})
+    found = margin_counts(rows, nets[:-1], tongue)
+    discard(rows)
+    found.sort(key=lambda r: (r["grain"], r["label"], r["name"] or ""))
+    margin, y, n = (np.array([r[c] for r in found], float) for c in ("grain", "label", "count"))
+    names = np.array([r["name"] for r in found], object)
+    for name in [None, *sorted(set(names.tolist()) - {None})]:
+        mine = np.full(len(names), True) if name is None else names == name
+        if name is None or all(n[mine & (y == x)].sum() >= LEAST_ROWS for x in (0, 1)):
+            model.cuts[name] = best_cut(margin[mine] / GRAIN, y[mine], n[mine])
     return model
 
 

@@ -112,3 +112,32 @@ def test_one_label_or_none(spark, marks, expected):
     got = toxicity.classify(docs, labels, F.lit(False)).collect()
     assert [r["score"] for r in got] == [expected] * 5
     assert toxicity.classify(docs.limit(0), labels, F.lit(False)).count() == 0
+
+
+def test_every_labelled_row_and_whole_text_is_learned_from(spark):
+    """Words of two rows each, and marks anywhere in long texts: a sample of rows or of their parts would miss many."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12))
+    marks = [word() for _ in range(1500)]
+    known = [(2 * i, f"{word()} {marks[i // 2]} {word()}", "en", 1) for i in range(3000)]
+    known += [(2 * i + 1, f"{word()} {word()} {word()}", "en", 0) for i in range(3000)]
+    docs = spark.createDataFrame([r[:3] for r in known], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in known], "doc_id long, toxic int")
+    rows_ = toxicity.learned_rows(docs, labels, "doc_id", "text", "toxic")
+    assert toxicity.counts_of(rows_)[:, :, 0].sum(0).tolist() == [3000, 3000]
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.classify(docs, labels, F.lit(False)).collect()}
+    assert np.mean([got[r[0]] for r in known if r[3]]) > 0.9
+    long = spark.createDataFrame([(1, "ab " * 40_000 + "vilewort"), (2, "ab " * 10)], "doc_id long, text string")
+    kept = toxicity.learned_rows(long, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), "doc_id", "text", "toxic")
+    assert sorted(r["n"] for r in kept.select(F.length("text").alias("n")).collect()) == [30, 120_008]
+
+
+def test_shards_are_averaged_and_dealing_does_not_matter(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD", 100)
+    known = rows(350, 21)
+    docs = spark.createDataFrame([r[:3] for r in known], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in known], "doc_id long, toxic int")
+    one = {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.classify(docs, labels, F.lit(False)).collect()}
+    two = {r["doc_id"]: r["score"] for r in toxicity.classify(docs.repartition(5), labels.repartition(3), F.lit(False)).collect()}
+    assert two == pytest.approx({k: s for k, (s, _) in one.items()}, abs=1e-5)
+    assert np.mean([one[r[0]][1] == r[3] for r in known]) > 0.9
