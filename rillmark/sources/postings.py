@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from rillmark.functions.text import index_tokens
 
 BLOCK = 4096
+#: Tokens that are broadcast.
+MOST_TOKENS = 500_000
 KEY = ["segment", "token", "block"]
 
 
@@ -44,6 +46,9 @@ def rarest_first(blocks: DataFrame, queries: DataFrame, query_col: str = "query"
 
 def match(blocks: DataFrame, queries: DataFrame, query_col: str = "query") -> DataFrame:
     """(query_id, segment, number) of the points that hold every index token of a query."""
+    tokens = queries.select(F.explode(index_tokens(F.col(query_col))).alias("token")).distinct()
+    if tokens.count() <= MOST_TOKENS:  # only the lists asked for are moved
+        blocks = blocks.join(F.broadcast(tokens), "token", "left_semi")
     first, others = rarest_first(blocks, queries, query_col)
     lists = blocks.join(first, "token").select("query_id", "segment", "block", F.explode("offsets").alias("at"))
     asked = lists.join(others, "query_id", "left")  # one row for each other token; one without, if there is none

@@ -16,6 +16,8 @@ from rillmark.sources import postings
 
 _PLACE = ("segment", "number")  # a point's place in the index
 _HASH = "source_hash"
+#: Identifiers that are broadcast, when points are replaced.
+SMALL_KEYS = 500_000
 
 
 def merge_points(old: DataFrame, new: DataFrame, key: str = "id", order: list[str] | None = None) -> DataFrame:
@@ -26,6 +28,28 @@ def merge_points(old: DataFrame, new: DataFrame, key: str = "id", order: list[st
     return old.join(latest.select(key), key, "left_anti").unionByName(latest, allowMissingColumns=True)
 
 
+def _small(keys: DataFrame) -> tuple[DataFrame, int]:
+    """Keys, to be broadcast if they are few, and how many there are."""
+    n = keys.count()
+    return (F.broadcast(keys) if n <= SMALL_KEYS else keys), n
+
+
+def latest_points(points: DataFrame) -> DataFrame:
+    """``points`` with one row an identifier, as ``merge_points`` chooses; only rows of repeated identifiers are moved."""
+    keys, n = _small(points.groupBy("id").count().filter("count > 1").select(F.col("id").alias("__id")))
+    if not n:
+        return points
+    same = F.col("id").eqNullSafe(F.col("__id"))
+    several = points.join(keys, same, "left_semi")
+    return points.join(keys, same, "left_anti").unionByName(merge_points(several.limit(0), several))
+
+
+def replace_points(old: DataFrame, latest: DataFrame) -> DataFrame:
+    """Points of both; a point of ``latest`` replaces the old one of its identifier, and no other row is moved."""
+    keys, n = _small(old.select("id").join(latest.select("id"), "id", "left_semi").distinct())
+    return (old.join(keys, "id", "left_anti") if n else old).unionByName(latest, allowMissingColumns=True)
+
+
 def delete_sources(points: DataFrame, incoming: DataFrame, source: str = "source") -> DataFrame:
     """Points of sources that are not among the incoming ones."""
     return points.join(incoming.select(source).distinct(), source, "left_anti")
@@ -183,17 +207,14 @@ class Collection:
         """Write points (with their source's hash) in place of the touched buckets, and commit; False if
         another writer took the number."""
         segment = uuid.uuid4().hex
-        merged = f"merged-{segment}"
-        points.drop(*_PLACE).write.parquet(f"{self.path}/{merged}")
-        points = self.spark.read.parquet(f"{self.path}/{merged}")
+        points = points.drop(*_PLACE)
         targets = self._split(self._dealt(points, touched), touched)
-        dealt = self._dealt(points, targets).drop(_HASH).repartition("source_bucket", F.pmod(F.xxhash64("id"), F.lit(8)))
+        dealt = self._dealt(points, targets).drop(_HASH)  # rows stay in the tasks that read them
         dealt = dealt.withColumns({"segment": F.lit(segment), "number": F.monotonically_increasing_id()})
         dealt.write.partitionBy("source_bucket").parquet(f"{self.path}/points-{segment}")
         written = self.spark.read.schema(dealt.schema).parquet(f"{self.path}/points-{segment}")
         lists = postings.build(written, ["source_bucket"])
-        lists.repartition("source_bucket", F.pmod(F.xxhash64("token"), F.lit(8))).sortWithinPartitions("source_bucket", "token", "block").write.partitionBy("source_bucket").parquet(f"{self.path}/index-{segment}")
-        self._remove(merged)
+        lists.sortWithinPartitions("source_bucket", "token", "block").write.partitionBy("source_bucket").parquet(f"{self.path}/index-{segment}")
         made, lists_of = self._dirs(f"points-{segment}"), self._dirs(f"index-{segment}")
         kept = {what: {b: w for b, w in (meta or {}).get(what, {}).items() if b not in touched} for what in ("buckets", "index")}
         streams = dict((meta or {}).get("streams", {}))
@@ -233,7 +254,7 @@ class Collection:
         while not done:
             meta = self._meta()
             if meta is None:
-                done = self._save(merge_points(staged.limit(0), staged), ["0-0"], None, stream)
+                done = self._save(latest_points(staged), ["0-0"], None, stream)
                 continue
             if stream is not None and meta.get("streams", {}).get(stream[0], -1) >= stream[1]:
                 n, done = 0, True
@@ -244,8 +265,8 @@ class Collection:
                 by = replace or ["source"]
                 for c in by:
                     old = old if c in old.columns else old.withColumn(c, F.lit(None).cast(staged.schema[c].dataType))
-                old = old.join(staged.select(*by).distinct(), by, "left_anti")
-            done = self._save(merge_points(_like(old, staged), _like(staged, old)), touched, meta, stream)
+                old = old.join(_small(staged.select(*by).distinct())[0], by, "left_anti")
+            done = self._save(replace_points(_like(old, staged), latest_points(_like(staged, old))), touched, meta, stream)
         self._remove(name)
         return n
 

@@ -191,3 +191,16 @@ def test_a_task_holds_the_best_only(monkeypatch):
     expected = [(q, int(i), float(s)) for q in range(60) for i, s in sorted(zip(ids, scores[q], strict=True), key=lambda x: (-x[1], x[0]))[:4]]
     assert list(zip(*(c.to_pylist() for c in got.columns), strict=True)) == expected
     assert most <= 2000
+
+
+def test_upsert_keeps_one_point_an_identifier(spark, tmp_path):
+    """Repeated identifiers in a write, and one that moves to another source, without a window over all points."""
+    schema = "id string, doc_id string, chunk_id int, source string, content string"
+    first = spark.createDataFrame([("a", "d", 0, "s", "old one"), ("a", "d", 1, "s", "new one"), ("b", "d", 0, "s", "two"), ("c", "d", 0, "t", "three")], schema)
+    collection = store.Collection(spark, f"file://{tmp_path}/c")
+    collection.upsert(first)
+    assert sorted((r["id"], r["content"]) for r in collection.read().collect()) == [("a", "new one"), ("b", "two"), ("c", "three")]
+    collection.upsert(spark.createDataFrame([("c", "d", 0, "u", "moved"), ("c", "d", 2, "u", "moved last")], schema))
+    assert sorted((r["id"], r["source"], r["content"]) for r in collection.read().collect()) == [("a", "s", "new one"), ("b", "s", "two"), ("c", "u", "moved last")]
+    plan = store.replace_points(first, store.latest_points(first.dropDuplicates(["id"])))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan  # contents are not moved where no identifier is repeated
