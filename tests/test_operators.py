@@ -537,3 +537,16 @@ def test_chunks_of_byte_pair_tokens(spark):
     assert got[0]["n_tokens"] == 50 and {r["doc_id"] for r in got} == {1} and got[0]["chunk"].startswith("Some words, é and")
     whole = chunking.paragraph_chunks(docs, size=10_000, overlap=0, split=split, joint="").filter("doc_id = 1").first()
     assert whole["chunk"] == docs.first()["text"]
+
+
+def test_text_match_tests_a_chunk_in_its_own_row(spark, monkeypatch):
+    """Queries of the same tokens are one, in parts too, and no join moves the chunks' sets."""
+    chunks = spark.createDataFrame([(i, "alpha beta " + ("gamma" if i % 2 else "delta"), "oracle-corporation" if i % 3 == 0 else "x") for i in range(12)], "id long, content string, source string")
+    asked = spark.createDataFrame([(1, "gamma beta", ["oracle-corporation"]), (2, "Beta gamma", []), (3, "gamma, beta", None), (4, "nothing", []), (5, "delta", ["oracle-corporation"])], "query_id int, query string, wanted array<string>")
+    expected = {(1, 3, 1), (1, 9, 2), *((q, i, p) for q in (2, 3) for p, i in enumerate((1, 3, 5, 7), 1)), (5, 0, 1), (5, 6, 2)}
+    found = search.text_match(chunks, asked, 4)
+    assert {tuple(r) for r in found.collect()} == expected
+    assert "array_except(asked" in found._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(search, "MOST_QUERIES", 1)
+    monkeypatch.setattr(search, "MOST_NAMED", 0)
+    assert {tuple(r) for r in search.text_match(chunks, asked, 4).collect()} == expected
