@@ -48,26 +48,35 @@ PART = 1 << 14
 def presence(column: pa.Array) -> np.ndarray:
     """One row of FEATURES booleans for each text: the hashed n-grams it contains, whole texts."""
     data, at = byte_view(column)
-    out = np.zeros((len(column), FEATURES), bool)
-    flat = out.reshape(-1)
+    flat = np.zeros(len(column) * FEATURES + 1, bool)  # the last for what would reach into the next text
     lowered = LOWER[data]
     for begin in range(0, len(lowered), PIECE):
         end = min(begin + PIECE, len(lowered))
         own = lowered[begin : min(end + max(ORDERS) - 1, len(lowered))].astype(np.uint64)
-        row = np.searchsorted(at, np.arange(begin, end), "right") - 1
-        limit = at[row + 1]
+        first = max(0, int(np.searchsorted(at, begin, "right")) - 1)
+        cuts = at[first : int(np.searchsorted(at, end + max(ORDERS), "left")) + 1]
+        base = np.repeat(np.arange(first, first + len(cuts) - 1) * FEATURES, np.diff(np.clip(cuts, begin, end)))
         gram = np.zeros(end - begin, np.uint64)
-        place = np.arange(begin, end)
         for n in range(1, max(ORDERS) + 1):
             m = min(len(own) - n + 1, end - begin)
             if m <= 0:
                 break
             gram = gram[:m] * np.uint64(256) + own[n - 1 : n - 1 + m]
             if n in ORDERS:
-                whole = place[:m] + n <= limit[:m]
-                slot = (mix(gram + np.uint64(n << 40)) >> np.uint64(40)) % np.uint64(FEATURES)
-                flat[row[:m][whole] * FEATURES + slot[whole].astype(np.int64)] = True
-    return out
+                slot = _SLOTS[n][gram] if n in _SLOTS else _slots(gram, n)
+                slot = slot + base[:m]
+                across = (cuts[1:, None] - np.arange(1, n) - begin).ravel()
+                slot[across[(across >= 0) & (across < m)]] = len(flat) - 1
+                flat[slot] = True
+    return flat[:-1].reshape(len(column), FEATURES)
+
+
+def _slots(gram: np.ndarray, n: int) -> np.ndarray:
+    slot = mix(gram + np.uint64(n << 40)) >> np.uint64(40) & np.uint64(FEATURES - 1)  # FEATURES is a power of two
+    return slot.view(np.int64)
+
+
+_SLOTS = {n: _slots(np.arange(256**n, dtype=np.uint64), n) for n in (1, 2)}
 
 
 def fit(texts: list[str], langs: list[str], landmarks: list[bool]) -> tuple[list[str], np.ndarray, np.ndarray] | None:

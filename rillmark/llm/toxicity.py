@@ -52,8 +52,12 @@ THRESHOLD, SLOPE = 0.7, 1.5
 #: Rows of each label that a language must have for a threshold of its own.
 LEAST_ROWS = 12
 FOLDS = 3
+#: Bits for each labelled row in the filter of their identifiers, and bits of it at most (beyond, more rows pass and the result is the same).
+SIEVE_BITS, SIEVE_MOST = 8, 1 << 27
 #: Bytes of text, and texts, that are scored at once.
 PIECE, BATCH = 1 << 20, 256
+#: Words that are scored at once.
+SCORED = 1 << 14
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _VALUE = np.random.default_rng(20240611).integers(1, 2**64, 256, dtype=np.uint64)
@@ -136,16 +140,22 @@ class Network:
 
     def pooled(self, buckets: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """Largest value of each filter in each text."""
-        out = np.full((len(begin) - 1, len(self.bias)), -np.inf, np.float32)
-        step = PIECE // 8
+        out = np.full((len(self.bias), len(begin) - 1), -np.inf, np.float32)
+        step = min(SCORED, PIECE // 8)
         for k in range(0, len(buckets), step):
-            values = self.windows(self.vectors(buckets[k : k + step + _PAD]))[:step]
-            values[buckets[k : k + len(values), 0] == 0] = 0  # behind a text no window reaches into the next one
+            own = buckets[k : k + step + _PAD]
+            vectors, n = self.vectors(own).T, min(step, len(own))
+            values = np.zeros((len(self.bias), n), np.float32)  # as of windows, a filter's values side by side
+            for i, filters in enumerate(self.filters):
+                part = values[i * FILTERS : (i + 1) * FILTERS]
+                for j in range(len(filters)):
+                    part[:, : len(own) - j] += filters[j].T @ vectors[:, j : j + n]
+            values[:, own[:n, 0] == 0] = 0  # behind a text no window reaches into the next one
             first = int(np.searchsorted(begin, k, "right")) - 1
-            last = int(np.searchsorted(begin, k + len(values), "left"))
+            last = int(np.searchsorted(begin, k + n, "left"))
             cuts = np.maximum(begin[first:last] - k, 0)
-            out[first:last] = np.maximum(out[first:last], np.maximum.reduceat(values, cuts))
-        return out
+            out[:, first:last] = np.maximum(out[:, first:last], np.maximum.reduceat(values, cuts, axis=1))
+        return np.ascontiguousarray(out.T)
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
         tops = [self.pooled(*rows_of(texts[k : k + BATCH])) for k in range(0, len(texts), BATCH)]
@@ -319,12 +329,40 @@ class Model:
         return 1 / (1 + np.exp(-(SLOPE * (self.net.margins(texts) - cut) + np.log(THRESHOLD / (1 - THRESHOLD)))))
 
 
+def _sieve(marks: DataFrame) -> np.ndarray:
+    """Bits of the hashes of the marked identifiers, SIEVE_BITS each where SIEVE_MOST allows: what is not in it has no mark."""
+    with tidy(marks.sparkSession):
+        bits = min(SIEVE_MOST, max(1 << 15, 1 << (SIEVE_BITS * marks.count()).bit_length()))
+        place = F.pmod("hash", F.lit(bits)) + 1  # Spark's bitmaps count from 1
+        found = marks.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("map")).collect()
+    out = np.zeros((bits >> 15, 1 << 12), np.uint8)
+    for r in found:  # SIEVE_MOST bits and less
+        out[r["bucket"] - 1] = np.frombuffer(r["map"], np.uint8)
+    return out.ravel()
+
+
 def learned_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(label, fold, key, text) of every row with a label and a text that isn't empty, written once."""
+    """(label, fold, key, text) of every row with a label and a text that isn't empty, written once.
+
+    Texts without a label are sifted out where they are read; the rest meet their labels in a sorted join at every
+    size, so that no more than the learned texts moves."""
     marks = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("row_id"), F.col(label_col).cast("int").alias("label"))
-    known = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
     own = F.xxhash64(F.col("row_id").cast("string"))
-    return materialize(known.join(marks, "row_id").select("label", F.pmod(own, F.lit(FOLDS)).cast("int").alias("fold"), F.xxhash64(own, "text").alias("key"), "text"), "toxicity")
+    like = F.xxhash64(F.col("row_id").cast(docs.schema[id_col].dataType).cast("string"))
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(marks.select(like.alias("hash"))))
+    known = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text")).filter(F.length("text") > 0).withColumn("hash", own)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sieve.value
+        for batch in batches:
+            place = batch.column("hash").to_numpy() % (8 * len(bits))
+            left = batch.filter(pa.array((bits[place >> 3] >> (place & 7) & 1).astype(bool)))
+            yield pa.RecordBatch.from_arrays(left.columns[:2], names=["row_id", "text"])
+
+    sifted = known.mapInArrow(lean(sift), known.drop("hash").schema)
+    out = materialize(sifted.join(marks.hint("merge"), "row_id").select("label", F.pmod(own, F.lit(FOLDS)).cast("int").alias("fold"), F.xxhash64(own, "text").alias("key"), "text"), "toxicity")
+    sieve.destroy()
+    return out
 
 
 def _summed(parts: DataFrame) -> dict[int, np.ndarray]:

@@ -141,3 +141,20 @@ def test_shards_are_averaged_and_dealing_does_not_matter(spark, monkeypatch):
     two = {r["doc_id"]: r["score"] for r in toxicity.classify(docs.repartition(5), labels.repartition(3), F.lit(False)).collect()}
     assert two == pytest.approx({k: s for k, (s, _) in one.items()}, abs=1e-5)
     assert np.mean([one[r[0]][1] == r[3] for r in known]) > 0.9
+
+
+def test_texts_without_a_label_do_not_move(spark, monkeypatch):
+    """The join is the same at every size, and what it gets are the texts that have a label, but for a few."""
+    plans, write = [], toxicity.materialize
+    monkeypatch.setattr(toxicity, "materialize", lambda df, name: plans.append(df) or write(df, name))
+    docs = spark.range(4000).select(F.when(F.col("id") % 9 > 0, F.col("id") * 7919).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = docs.filter("doc_id % 10 = 0").select(F.col("doc_id").cast("int").alias("doc_id"), (F.col("doc_id") % 3 % 2).cast("int").alias("toxic"))
+    labels = labels.unionByName(labels.limit(5)).unionByName(spark.createDataFrame([(None, 1), (-1, 0), (7919, None)], "doc_id int, toxic int"))
+    got = toxicity.learned_rows(docs, labels, "doc_id", "text", "toxic").select("label", "text").collect()
+    plain = docs.join(labels.filter(F.col("toxic").isin(0, 1)), "doc_id").select(F.col("toxic").alias("label"), "text").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, plain)) and len(got) > 350
+    plan = plans[0]._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    marks = toxicity._sieve(labels.select(F.xxhash64(F.col("doc_id").cast("string")).alias("hash")))
+    held = np.unpackbits(marks).mean()
+    assert 0 < held < 0.15
