@@ -308,25 +308,36 @@ _ZSTD = pa.Codec("zstd", 1)
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Integers from 0 up in the fewest bytes, compressed; their width and number ahead."""
-    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(x.max(initial=0)) < 1 << 8 * w)
-    planes = np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
-    return bytes([width]) + len(x).to_bytes(8, "little") + _ZSTD.compress(planes.tobytes(), asbytes=True)
+    """Integers from 0 up, byte by byte of their places: number, width, and of each place's bytes their
+    compressed size (0: as they are).  Places are compressed apart, as the lower ones are mostly noise."""
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    sizes, bodies = [], []
+    for plane in planes:
+        raw = plane.tobytes()
+        body = _ZSTD.compress(raw, asbytes=True)
+        sizes.append(len(body) if len(body) < len(raw) else 0)
+        bodies.append(body if sizes[-1] else raw)
+    return b"".join([len(x).to_bytes(8, "little"), bytes([width]), np.array(sizes, "<u4").tobytes(), *bodies])
 
 
 def _unpacked(x: bytes) -> np.ndarray:
-    width, n = x[0], int.from_bytes(x[1:9], "little")
-    planes = np.frombuffer(_ZSTD.decompress(x[9:], n * width, asbytes=True), np.uint8).reshape(width, n)
-    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
+    n, width = int.from_bytes(x[:8], "little"), x[8]
+    out, at = np.zeros((n, 8), np.uint8), 9 + 4 * width
+    for k, size in enumerate(np.frombuffer(x, "<u4", width, 9).tolist()):
+        body = _ZSTD.decompress(x[at : at + size], n, asbytes=True) if size else x[at : at + n]
+        out[:, k] = np.frombuffer(body, np.uint8)
+        at += size or n
+    return out.view("<i8").ravel().astype(np.int64, copy=False)
 
 
 def _packed_keys(x: np.ndarray) -> bytes:
-    """Ascending hashes as steps."""
-    return _packed(np.diff(x, prepend=np.uint64(0)))
+    """Ascending hashes as steps from the first."""
+    return int(x[0] if len(x) else 0).to_bytes(8, "little") + _packed(np.diff(x, prepend=x[:1]))
 
 
 def _unpacked_keys(x: bytes) -> np.ndarray:
-    return np.cumsum(_unpacked(x).view(np.uint64))
+    return np.cumsum(_unpacked(x[8:]).view(np.uint64)) + np.uint64(int.from_bytes(x[:8], "little"))
 
 
 def _blocks(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:

@@ -350,6 +350,19 @@ def test_lm_learns_rare_words_and_ngrams_of_a_large_corpus(spark):
         assert abs(got[i] - expected[i]) < 1e-4 * max(1, len(held[i]) / 100), i
 
 
+def test_lm_packed_keys_take_what_their_spread_needs():
+    """Noise in lower bytes doesn't keep the upper ones from being compressed."""
+    draw = np.random.default_rng(5)
+    keys = np.sort(draw.integers(0, 2**64, 2_000_000, dtype=np.uint64, endpoint=False))[900_000:920_000]
+    body = lm_score._packed_keys(keys)
+    assert np.array_equal(lm_score._unpacked_keys(body), keys)
+    assert len(body) < 5.75 * len(keys)
+    for x in ([], [0], [0, 0], [255, 256], [2**63 - 1, 0, 5], [1 << 40] * 3):
+        assert lm_score._unpacked(lm_score._packed(np.array(x, np.int64))).tolist() == x
+    for x in ([], [0], [2**64 - 1], [0, 2**64 - 1], [7, 7, 9]):
+        assert lm_score._unpacked_keys(lm_score._packed_keys(np.array(x, np.uint64))).tolist() == x
+
+
 # ---- 5 Jaccard ------------------------------------------------------------------------------
 
 
