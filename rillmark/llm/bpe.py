@@ -31,12 +31,15 @@ from pyspark.sql import functions as F
 
 from rillmark.llm.shared import fresh_names, lean, without
 
-CACHED_PIECES = 100_000
+CACHED_PIECES = 250_000
 CACHED_PAIRS = 200_000
 LONGEST_CACHED = 48
 #: White space before a space: such a run must be split as a whole.
 _RUN = re.compile(r"\s ")
 PIECES_AT_ONCE = 200_000
+#: Under a pattern that begins so, letters behind a space are one piece, and a mark behind them is the next.
+_LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|"
+_MARKS = frozenset(",.;:!?")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,10 +53,11 @@ class BytePairCodec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
+        self._letters = pattern.startswith(_LETTERS)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self._automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            self._automaton.add_word(token.decode("latin-1"), (len(token), rank))
+            self._automaton.add_word(token.decode("latin-1"), rank)
         self._automaton.make_automaton()
         self._lengths = {rank: len(token) for token, rank in ranks.items()}
         self._shorter = {rank: next((ranks[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in ranks), -1) for token, rank in ranks.items()}
@@ -67,6 +71,11 @@ class BytePairCodec:
         return _little(self.encode_piece(piece.encode("utf-8")))
 
     def _behind_space(self, chunk: str) -> bytes:
+        if self._letters:
+            if chunk.isalpha():
+                return self._packed(" " + chunk)
+            if chunk[-1:] in _MARKS and chunk[:-1].isalpha():
+                return self._spaced[chunk[:-1]] + self._pieces[chunk[-1]]
         parts = self.pattern.findall(" " + chunk)
         if len(parts) == 1:
             return self._packed(parts[0])
@@ -139,7 +148,7 @@ class BytePairCodec:
         text = piece.decode("latin-1")
         pairs, last = self._pairs, -1
         greedy = []
-        for _, (_, rank) in self._automaton.iter_long(text):
+        for _, rank in self._automaton.iter_long(text):
             if last >= 0:
                 fits = pairs.get(last << 32 | rank)
                 if not (self._tolerates(last, rank) if fits is None else fits):
@@ -148,10 +157,10 @@ class BytePairCodec:
             last = rank
         else:
             return greedy
-        longest = [-1] * (len(piece) + 1)
-        for end, (n, rank) in self._automaton.iter(text):
-            longest[end - n + 1] = rank  # ends ascend, so the longest match of a start comes last
         lengths, shorter = self._lengths, self._shorter
+        longest = [-1] * (len(piece) + 1)
+        for end, rank in self._automaton.iter(text):
+            longest[end - lengths[rank] + 1] = rank  # ends ascend, so the longest match of a start comes last
         chosen: list[int] = []
         dead = bytearray(len(piece) + 1)
         at, token, last = 0, longest[0], -1
@@ -238,7 +247,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for whole in batches:
-            for batch in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+            for batch in (whole.slice(i, 250) for i in range(0, whole.num_rows, 250)):
                 ids = [own.encode(text) for text in batch.column(body).to_pylist()]
                 columns = [*batch.columns[:-1], pa.array(ids, pa.binary())]
                 if decoded:

@@ -166,6 +166,25 @@ def test_bpe_equals_tiktoken(name):
         assert own.decode(ids) == text.encode()
 
 
+def test_bpe_letters_behind_a_space_need_no_pattern():
+    """What str.isalpha takes for letters, the pattern takes for one piece; marks behind it are another."""
+    own = bpe.codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    assert own.pattern.findall(" " + "".join(letters)) == [" " + "".join(letters)]
+
+    class Never:
+        def findall(self, text):
+            raise AssertionError(text)
+
+    other = bpe.BytePairCodec(own.ranks, public_tokenizers.PATTERN)
+    pieces = ["lanreque", "\u00cbnciar", "Stberen,", "la.", "x!"]
+    expected = [b"".join(own._packed(p) for p in own.pattern.findall(" " + x)) for x in pieces]
+    other.pattern = Never()
+    assert [other._behind_space(x) for x in pieces] == expected
+    plain = bpe.BytePairCodec(own.ranks, r"\S|\s")
+    assert plain.decode(plain.encode("ab cd, e")) == b"ab cd, e" and len(plain.encode("ab cd, e")) == 4 * 8
+
+
 def test_bpe_long_text_in_pieces(monkeypatch):
     own = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     text = "one two  three\n\n four " * 60_000
