@@ -58,6 +58,7 @@ _RIGHT, _WRONG, _RATE = _SCALE - 2048, 512, 4  # bounds of a weight, and its spe
 
 _UP = np.arange(1, 17, dtype=np.uint32)
 _FROM = np.tri(16, dtype=np.uint32).T.copy()  # row d: 1 from d on
+_SUMS = _FROM.astype(np.float32)  # times a row: its running sums
 
 
 class _Model:
@@ -87,20 +88,22 @@ class _Model:
         """The mixed distribution of digit ``k``: counts of order 0, each ``rest`` / 256 wide, and two weights."""
         node = (16**k - 1) // 15 + self.prefix if k < 3 else _NODES + ((self.prefix * 0x9E3779B1 + k) >> 8 & _HASHED - 1)
         self.node = self.row * (_NODES + _HASHED) + node
-        own = self.counts[self.node]
-        self.upto = np.cumsum(own, axis=1, dtype=np.uint32)
-        self.below = self.upto - own
+        own = self.own = self.counts[self.node]
+        self.upto = (own.astype(np.float32) @ _SUMS).astype(np.uint32)  # exact below 2^24
         self.total = self.upto[:, 15]
         shift = 4 * (self.digits - 1 - k)
         self.digit = [said >> shift & 15 for said in self.said]
         self.slot = [(self.row * self.digits + k) * _SURE + right for right in self.right]
-        one, two = (odds[slot] * alive for odds, slot, alive in zip(self.odds, self.slot, self.alive, strict=True))
+        self.held = [odds[slot] for odds, slot in zip(self.odds, self.slot, strict=True)]
+        one, two = (held * alive for held, alive in zip(self.held, self.alive, strict=True))
         self.weight = [((_SCALE - two) * one >> 15).astype(np.uint32), two.astype(np.uint32)]
         self.rest = (np.uint32(_SCALE - 16) - self.weight[0] - self.weight[1] << np.uint32(8)) // self.total
 
     def span(self, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where digit ``d`` of each lane begins on a line of _SCALE, and its width."""
-        below, upto = self.below[self.row, d], self.upto[self.row, d]
+        place = self.row * 16 + d
+        upto = self.upto.reshape(-1)[place]
+        below = upto - self.own.reshape(-1)[place]
         first = (below * self.rest >> np.uint32(8)) + d.astype(np.uint32)
         last = (upto * self.rest >> np.uint32(8)) + (d + 1).astype(np.uint32)
         for digit, weight in zip(self.digit, self.weight, strict=True):
@@ -116,14 +119,14 @@ class _Model:
         return np.minimum((upto <= place[:, None].astype(np.uint32)).sum(1), 15)
 
     def learn(self, k: int, d: np.ndarray) -> None:
-        self.counts.reshape(-1)[self.node * 16 + d] += _STEP
+        place = self.node * 16 + d
+        self.counts.reshape(-1)[place] = self.own.reshape(-1)[self.row * 16 + d] + np.uint16(_STEP)
         full = self.node[self.total > _MOST]
         if len(full):
             self.counts[full] = (self.counts[full] + 1) >> 1
-        for odds, slot, alive, digit in zip(self.odds, self.slot, self.alive, self.digit, strict=True):
+        for odds, slot, p, alive, digit in zip(self.odds, self.slot, self.held, self.alive, self.digit, strict=True):
             hit = digit == d
-            p = odds[slot]
-            odds[slot] = p + ((np.where(hit, _RIGHT, _WRONG) - p >> _RATE) * alive)
+            odds[slot] = p + ((hit * np.int32(_RIGHT - _WRONG) + np.int32(_WRONG) - p >> _RATE) * alive)
             alive &= hit
         self.prefix = self.prefix << 4 | d
 
