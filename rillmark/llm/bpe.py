@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.shared import fresh_names, lean, without
+from rillmark.llm.shared import fresh_names, kept, lean, without
 
 CACHED_PIECES = 250_000
 CACHED_PAIRS = 200_000
@@ -223,14 +223,9 @@ class _Pieces(dict):
         return ids
 
 
-_codecs: dict[tuple[str, str], BytePairCodec] = {}
-
-
 def codec(path: str, pattern: str) -> BytePairCodec:
     """The process's codec for a file of ranks."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = BytePairCodec(read_ranks(path), pattern)
-    return _codecs[path, pattern]
+    return kept(("bpe", path, pattern), lambda: BytePairCodec(read_ranks(path), pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.llm.components import components
-from rillmark.llm.shared import discard, fresh_names, lean, materialize, partitions, settle, small, tidy
+from rillmark.llm.shared import discard, fresh_names, in_groups, lean, partitions, settle, small, tidy
 from rillmark.llm.words import mix, words
 
 SHINGLE = 5
@@ -290,7 +290,7 @@ def _lists(prefixes: DataFrame, tokens: int, turn: int) -> DataFrame:
     ``offered`` entries can link with the most central set of their list (hub).  The offer decides all
     pairs with the hub, so it stays out of what is left (``open``), as do lists of two sets."""
     parts = max(partitions(prefixes.sparkSession), -(-tokens // PART_TOKENS))
-    blocks = materialize(_blocks(prefixes, turn), "prefix-blocks")
+    blocks = in_groups(_blocks(prefixes, turn), "prefix-blocks")
 
     def ask_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,9 +330,9 @@ def _lists(prefixes: DataFrame, tokens: int, turn: int) -> DataFrame:
             for j in range(0, len(columns[0]), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[j : j + 50_000]) for x in columns], names=["token", "sid", "n", "rest", "hub", "offered", "open"])
 
-    shared = materialize(_visited(blocks, _told(blocks.mapInArrow(lean(ask_shared), _ASKED), parts, False), parts).mapInArrow(lean(keep_shared), _BLOCK), "shared-prefixes")
+    shared = in_groups(_visited(blocks, _told(blocks.mapInArrow(lean(ask_shared), _ASKED), parts, False), parts).mapInArrow(lean(keep_shared), _BLOCK), "shared-prefixes")
     discard(blocks)
-    found = materialize(_visited(shared, _told(shared.mapInArrow(lean(ask_hubs), _ASKED), parts, True), parts).mapInArrow(lean(entries), _ENTRIES), "index-lists")
+    found = in_groups(_visited(shared, _told(shared.mapInArrow(lean(ask_hubs), _ASKED), parts, True), parts).mapInArrow(lean(entries), _ENTRIES), "index-lists")
     discard(shared)
     return found
 
@@ -358,19 +358,19 @@ def _fetch(scanned: DataFrame, wanted: DataFrame) -> DataFrame:
 
     found = scanned.filter("shingles is not null").select("d1", "d2", "shingles").mapInArrow(lean(run), "d1 long, d2 long, shingles array<long>")
     found = found.groupBy("d1", "d2").agg(F.max("shingles").alias("shingles"))
-    return materialize(found.join(wanted, ["d1", "d2"]).select("sid", "shingles"), "sets")
+    return in_groups(found.join(wanted, ["d1", "d2"]).select("sid", "shingles"), "sets")
 
 
 def _compare(scanned: DataFrame, names: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
     """pairs (a, b, ...), which must be materialized, with the exact intersection and union of their sets."""
     wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "sid")
-    wanted = materialize(names.join(wanted, "sid"), "wanted")
+    wanted = in_groups(names.join(wanted, "sid"), "wanted")
     sets = _fetch(scanned, wanted)
     right = pairs.join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("right")), "b")
     both = right.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("left")), "a")
     common = F.size(F.array_intersect("left", "right")).cast("long")
     found = both.withColumn("common", common).withColumn("either", F.size("left") + F.size("right") - F.col("common")).drop("left", "right")
-    compared = materialize(found, label)
+    compared = in_groups(found, label)
     discard(wanted)
     discard(sets)
     return compared
@@ -390,35 +390,35 @@ def _linked_components(compared: DataFrame) -> DataFrame | None:
     links = compared.filter(_LINKED).select(F.col("a").alias("u"), F.col("b").alias("v"))
     if not links.limit(1).count():
         return None
-    return materialize(components(links).select(F.col("node").alias("sid"), "component"), "components")
+    return in_groups(components(links).select(F.col("node").alias("sid"), "component"), "components")
 
 
 def _pivots(scanned: DataFrame, names: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """The comparisons (a: pivot, b, common, either) of all rounds, (sid, component) by them, and the
     entries that are left."""
-    offers = materialize(lists.filter("offered").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct(), "offers")
+    offers = in_groups(lists.filter("offered").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct(), "offers")
     done = _compare(scanned, names, offers, "compared")
     found = _linked_components(done)
     entries = lists.filter("open").select("token", "sid", "n", "rest")
     if found is None:
         return done, None, entries.withColumn("component", F.col("sid"))
-    left = materialize(_apart(entries, found), "left")
+    left = in_groups(_apart(entries, found), "left")
     entry = F.struct((F.col("n") - F.col("rest")).alias("place"), "sid", "n", "rest")
     last: DataFrame | None = None
     for _ in range(MOST_ROUNDS if _many(left) else 0):  # offer the next set of each list
         later = left if last is None else left.join(last.withColumnRenamed("hub", "before"), "token").filter(entry > F.col("before"))
-        last = materialize(later.groupBy("token").agg(F.min(entry).alias("hub")), "pivots")
+        last = in_groups(later.groupBy("token").agg(F.min(entry).alias("hub")), "pivots")
         side = last.select("token", F.col("hub.sid").alias("a"), F.col("hub.n").alias("a_n"), F.col("hub.rest").alias("a_rest"))
         side = side.join(found.select(F.col("sid").alias("a"), F.col("component").alias("a_component")), "a", "left").withColumn("a_component", F.coalesce("a_component", "a"))
         met = left.withColumnsRenamed({"sid": "b", "n": "b_n", "rest": "b_rest"}).join(side, "token").filter(f"component <> a_component and {_possible('a', 'b')}")
         tried = done.select("a", "b").union(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        offers = materialize(met.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "offers")
+        offers = in_groups(met.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "offers")
         compared = _compare(scanned, names, offers, "compared")
         linked = compared.filter(_LINKED).count()
         done = done.unionByName(compared)
         if linked:
             found = _linked_components(done)
-            before, left = left, materialize(_apart(left.drop("component"), found), "left")
+            before, left = left, in_groups(_apart(left.drop("component"), found), "left")
             discard(before)
         if 10 * linked < offers.count():  # few sets are left that a pivot would take
             break
@@ -474,10 +474,10 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     body = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("row_id"), F.xxhash64(body).alias("body_hash"), body.alias("body"))
-    scanned = materialize(_scan(source), "scan")
+    scanned = in_groups(_scan(source), "scan")
     rows = scanned.filter("kind = 0").select("row_id", "body_hash", "n", "d1", "d2")
     sets = rows.filter("n > 0 and row_id is not null").groupBy("d1", "d2").agg(F.min("row_id").alias("label"), F.max("n").alias("n"))
-    sets, turn = materialize(sets, "distinct-sets"), 0
+    sets, turn = in_groups(sets, "distinct-sets"), 0
     while True:
         sets = sets.withColumn("sid", F.col("d1").bitwiseXOR(F.shiftright("d2", 64 - turn) if turn else F.lit(0).cast("long")))
         if not sets.groupBy("sid").count().filter("count > 1").limit(1).count():
@@ -495,11 +495,11 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         # edges between components found so far, and then what they make of them
         again = components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
         known = names.select("sid", F.col("sid").alias("component")) if found is None else names.select("sid").join(found, "sid", "left").select("sid", F.coalesce("component", "sid").alias("component"))
-        found = materialize(known.join(again, "component", "left").select("sid", F.coalesce("whole", "component").alias("component")), "components")
+        found = in_groups(known.join(again, "component", "left").select("sid", F.coalesce("whole", "component").alias("component")), "components")
     grouped = sets if found is None else sets.join(found, "sid", "left")
     grouped = grouped.withColumn("group", F.col("sid") if found is None else F.coalesce("component", "sid"))
     least = grouped.groupBy("group").agg(F.min("label").alias("least"))
-    named = materialize(grouped.join(least, "group").select("d1", "d2", "group", "least"), "named-sets")
+    named = in_groups(grouped.join(least, "group").select("d1", "d2", "group", "least"), "named-sets")
     each = rows.join(named, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("row_id"))
     return each.select("row_id", "body_hash", "n", "group", component.alias("component_id"))
@@ -511,16 +511,16 @@ def _across(scanned: DataFrame, names: DataFrame, left: DataFrame, compared: Dat
     used = linked.select(F.col("a").alias("sid")).distinct().withColumn("pivot", F.col("sid"))
     best = linked.groupBy(F.col("b").alias("sid")).agg(F.min(F.struct("distance", "a")).alias("best"))
     best = best.join(used.select("sid"), "sid", "left_anti").select("sid", F.col("best.a").alias("pivot"), F.col("best.distance").alias("distance"))
-    members = materialize(best.unionByName(used.withColumn("distance", F.lit(0.0))), "members")
+    members = in_groups(best.unionByName(used.withColumn("distance", F.lit(0.0))), "members")
 
     entries = left.join(members, "sid", "left")
     entries = entries.withColumns({"pivot": F.coalesce("pivot", "sid"), "distance": F.coalesce("distance", F.lit(0.0)), "block": _block(F.col("n"))})
-    entries = materialize(entries, "entries")
+    entries = in_groups(entries, "entries")
     if hasattr(left, "_rillmark_path"):
         discard(left)
     blocks = entries.groupBy("token", "block", "component", "pivot").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
     pairs = _met(blocks, ["pivot"]).select(F.least("a_pivot", "b_pivot").alias("a"), F.greatest("a_pivot", "b_pivot").alias("b")).distinct()
-    pairs = materialize(pairs, "pivot-pairs")
+    pairs = in_groups(pairs, "pivot-pairs")
     if not pairs.limit(1).count():
         return None
     told = _compare(scanned, names, pairs, "compared-pivots")
@@ -531,7 +531,7 @@ def _across(scanned: DataFrame, names: DataFrame, left: DataFrame, compared: Dat
     far = told.filter(f"not ({_LINKED})").withColumn("gap", 1 - F.col("common") / F.col("either") - F.lit(1 - THRESHOLD / 100 + 1e-9))
     for side in "ab":
         far = far.join(reach.withColumnsRenamed({"pivot": side, "reach": f"{side}_reach"}), side, "left")
-    far = materialize(far.filter("gap <= coalesce(a_reach, 0) + coalesce(b_reach, 0)").select("a", "b", "gap"), "open-pairs")
+    far = in_groups(far.filter("gap <= coalesce(a_reach, 0) + coalesce(b_reach, 0)").select("a", "b", "gap"), "open-pairs")
     if not far.limit(1).count():
         return edges
     wanted = far.select(F.col("a").alias("pivot")).union(far.select("b")).distinct()
@@ -539,7 +539,7 @@ def _across(scanned: DataFrame, names: DataFrame, left: DataFrame, compared: Dat
     met = _met(able, ["sid", "pivot", "distance"]).select("a_sid", "b_sid", "a_component", "b_component", (F.col("a_distance") + F.col("b_distance")).alias("reach"), F.least("a_pivot", "b_pivot").alias("a"), F.greatest("a_pivot", "b_pivot").alias("b")).distinct()
     met = met.join(far, ["a", "b"]).filter("reach >= gap")
     met = met.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"), F.col("a_component").alias("u"), F.col("b_component").alias("v")).distinct()
-    more = _compare(scanned, names, materialize(met, "member-pairs"), "compared-members").filter(_LINKED)
+    more = _compare(scanned, names, in_groups(met, "member-pairs"), "compared-members").filter(_LINKED)
     return edges.unionByName(more.select("u", "v"))
 
 
