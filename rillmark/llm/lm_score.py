@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillmark.llm.shared import lean, materialize, partitions, settle
+from rillmark.llm.shared import in_groups, lean, partitions, settle
 from rillmark.llm.words import Words, mix, words
 
 ORDER = 3
@@ -45,6 +45,7 @@ WIDE = 32  # of a symbol in a block
 BLOCK_BYTES = 8 << 20
 SEGMENT = 512
 LANES = 4096
+SLICES = 8  # of a part's keys, added up one after the other
 _END_HASH = np.uint64(0x7E57E57E57E57E57)
 _ROOT = np.uint64(0x5EED5EED5EED5EED)
 _UNKNOWN = -1
@@ -164,7 +165,7 @@ class Automaton:
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each lane's symbol, and its next state."""
-        state = state.copy()
+        state = state.astype(np.int64)
         log, target = np.zeros(len(state)), np.zeros(len(state), np.int64)
         lanes = np.arange(len(state))
         while len(lanes):
@@ -255,12 +256,12 @@ class Block:
         w, p = len(self.vocabulary), len(self.pairs)
         seen, twos, threes = counts[:w], counts[w : w + p], counts[w + p :]
         used = np.flatnonzero(occurring[1:] > 0) + 1
-        state = np.zeros(len(occurring), np.int64)
+        state = np.zeros(len(occurring), np.int32)
         state[used] = np.arange(1, len(used) + 1)
         last = self.pairs & 0xFFFFFFFF
         one, two = state[1 : w + 1], state[w + 1 :]
         two = np.where(two > 0, two, one[last])
-        fail, backoff = np.zeros(len(used) + 1, np.int64), np.zeros(len(used) + 1)
+        fail, backoff = np.zeros(len(used) + 1, np.int32), np.zeros(len(used) + 1)
         backoff[1:] = np.log10(kinds[used] / (occurring[used] + kinds[used]))
         fail[state[w + 1 :]] = one[last]
         fail[0] = 0
@@ -275,12 +276,15 @@ class Block:
         paired[hit] = smoothed(twos[hit], 1 + after, alone[last[hit]])
         found = np.flatnonzero(threes > 0)
         context, ends = self.triples[found] >> WIDE, self.pair[self.sample[found]]
-        keys = [np.arange(w), one[after] << WIDE | last[hit], two[context] << WIDE | last[ends]]
+        keys = [np.arange(w), one[after].astype(np.int64) << WIDE | last[hit], two[context].astype(np.int64) << WIDE | last[ends]]
         logs = [np.log10(x).astype(np.float32) for x in (alone, paired[hit], smoothed(threes[found], 1 + w + context, paired[ends]))]
         targets = [x.astype(np.int32) for x in (one, two[hit], two[ends])]
-        del found, context, ends, hit, after, paired
-        machine = Automaton.of_states(fail, backoff, np.concatenate(keys), np.concatenate(logs), np.concatenate(targets))
-        return machine, two[self.ahead]
+        del found, context, ends, hit, after, paired, last, one, state, used, alone
+        arcs = []
+        for part in (keys, logs, targets):
+            arcs.append(np.concatenate(part))
+            part.clear()
+        return Automaton.of_states(fail, backoff, *arcs), two[self.ahead]
 
 
 def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -291,16 +295,18 @@ def block_of(vocabulary: np.ndarray, word: np.ndarray, sizes: np.ndarray, held_o
     """``vocabulary``: ascending hashes; ``word``: of each token; ``sizes``: tokens of each text."""
     end = int(np.searchsorted(vocabulary, _END_HASH))
     first = np.cumsum(sizes) - sizes
-    before = np.r_[end, word[:-1]]
+    before = np.r_[end, word[:-1]].astype(np.int32)
     before[first] = end
     start = end << WIDE | end
-    pairs, pair = np.unique(np.r_[start, before << WIDE | word], return_inverse=True)
+    pairs, pair = np.unique(np.r_[start, before.astype(np.int64) << WIDE | word], return_inverse=True)
+    pair = pair.astype(np.int32)
     start, pair = pair[0], pair[1:]
     ahead = np.r_[start, pair[:-1]]
     ahead[first] = start
-    triples, triple = np.unique(ahead << WIDE | word, return_inverse=True)
-    sample = np.empty(len(triples), np.int64)
-    sample[triple] = np.arange(len(triple))
+    triples, triple = np.unique(ahead.astype(np.int64) << WIDE | word, return_inverse=True)
+    word, triple = word.astype(np.int32), triple.astype(np.int32)
+    sample = np.empty(len(triples), np.int32)
+    sample[triple] = np.arange(len(triple), dtype=np.int32)
     return Block(vocabulary, word, before, first, np.repeat(~held_out, sizes), pairs, pair, ahead, triples, triple, sample)
 
 
@@ -393,27 +399,39 @@ def _asked(block: int, keys: np.ndarray, n: np.ndarray, more: np.ndarray, parts:
         yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int64()), pa.array(own, pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], names=["block", "part", "keys", "n", "more"])
 
 
-def _told(asked: DataFrame, parts: int, owners: bool) -> DataFrame:
+def _told(asked: DataFrame, parts: int, owners: bool, slices: int = SLICES) -> DataFrame:
     """Answers to each block and part, in the order of its keys: the sums of n over all blocks, and
     1 for the one block that owns a key with n > 0, or else the sums of more."""
 
+    def summed(keys: np.ndarray, n: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        distinct, inverse = np.unique(keys, return_inverse=True)
+        total = np.bincount(inverse, n, len(distinct)).astype(np.int64)[inverse]
+        if other is not None:
+            return total, np.bincount(inverse, other, len(distinct)).astype(np.int64)[inverse]
+        having = np.flatnonzero(n)
+        more = np.zeros(len(keys), np.int64)
+        owner = np.full(len(distinct), -1)
+        owner[inverse[having]] = having
+        more[owner[owner >= 0]] = 1
+        return total, more
+
     def answer(part: int, rows: list[tuple[int, bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         rows.sort(key=lambda r: r[0])
         lists = [_unpacked_keys(r[1]) for r in rows]
-        keys = np.concatenate(lists)
-        n = np.concatenate([_unpacked(r[2]) for r in rows])
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        total = np.bincount(inverse, n, len(distinct)).astype(np.int64)[inverse]
-        if owners:
-            having = np.flatnonzero(n)
-            more = np.zeros(len(keys), np.int64)
-            owner = np.full(len(distinct), -1)
-            owner[inverse[having]] = having
-            more[owner[owner >= 0]] = 1
-        else:
-            more = np.bincount(inverse, np.concatenate([_unpacked(r[3]) for r in rows]), len(distinct)).astype(np.int64)[inverse]
-        at = np.cumsum([0, *map(len, lists)])
-        columns = [[_packed(x[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)] for x in (total, more)]
+        sides = [[_unpacked(r[k]) for r in rows] for k in ((2,) if owners else (2, 3))]
+        # keys ascend in each list, so slices between common borders hold all of a key's entries
+        longest = max(lists, key=len)
+        borders = np.unique(longest[np.arange(1, slices) * len(longest) // slices]) if len(longest) else longest
+        cuts = [np.r_[0, np.searchsorted(x, borders), len(x)] for x in lists]
+        told: list[tuple[list[np.ndarray], list[np.ndarray]]] = [([], []) for _ in rows]
+        for i in range(len(borders) + 1):
+            own = [slice(c[i], c[i + 1]) for c in cuts]
+            answers = summed(*(np.concatenate([x[o] for x, o in zip(side, own, strict=True)]) for side in (lists, *sides)))
+            at = np.cumsum([0, *(o.stop - o.start for o in own)])
+            for pair, begin, end in zip(told, at[:-1], at[1:], strict=True):
+                for out, x in zip(pair, answers, strict=True):
+                    out.append(x[begin:end])
+        columns = [[_packed(np.concatenate(pair[k])) for pair in told] for k in range(2)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], names=["block", "part", "n", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,12 +467,15 @@ def _opened(batches: Iterator[pa.RecordBatch], answers: int) -> Iterator[tuple[d
             if kind < answers:
                 told[kind].append((batch.column("n")[i].as_py(), batch.column("more")[i].as_py()))
                 continue
-            row = {c: batch.column(c)[i] for c in ("block", "row_ids")} | {c: _unpacked(batch.column(c)[i].as_py()) for c in ("held_out", "sizes", "words")}
-            vocabulary = _unpacked_keys(batch.column("vocabulary")[i].as_py())
+            row = {c: batch.column(c)[i] for c in ("block", "row_ids")} | {c: _unpacked(batch.column(c)[i].as_py()) for c in ("held_out", "sizes")}
+            vocabulary, word = _unpacked_keys(batch.column("vocabulary")[i].as_py()), _unpacked(batch.column("words")[i].as_py())
+            found = [row, block_of(vocabulary, word, row["sizes"], row["held_out"] > 0)]
+            del row, vocabulary, word
             lists = [tuple(np.concatenate([_unpacked(x) for x in column]) for column in zip(*t, strict=True)) for t in told]
             told = [[] for _ in range(answers)]
-            yield row, block_of(vocabulary, row["words"], row["sizes"], row["held_out"] > 0), lists
-            del row, vocabulary, lists  # one block in memory
+            found.append(lists)
+            del lists
+            yield tuple(found.pop(0) for _ in range(3))  # nothing of a block stays here while it is worked on
 
 
 def _restored(keys: np.ndarray, *dealt: np.ndarray) -> list[np.ndarray]:
@@ -472,7 +493,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
 
 def _score(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
-    blocks = materialize(_blocks(docs, held_out, id_col, text_col), "blocks")
+    blocks = in_groups(_blocks(docs, held_out, id_col, text_col), "blocks")
     parts = max(partitions(docs.sparkSession), blocks.count())
     names = ["row_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = docs.select(F.col(id_col).alias("row_id"), held_out.alias("held_out"), *(F.lit(0).cast("long").alias(c) for c in names[2:5]), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score")).schema
@@ -502,7 +523,7 @@ def _score(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> Dat
             yield pa.RecordBatch.from_arrays([row["row_ids"].values, pa.array(row["held_out"] > 0), pa.array(size), pa.array(sums[0]), pa.array(np.full(len(size), occurring[0], np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=names)
             del row, own, n, occurring, kinds, machine, before, c, base, logs, sums
 
-    counts = materialize(_told(blocks.withColumn("kind", F.lit(0)).mapInArrow(lean(ask_counts), _ASKED), parts, True), "counts")
+    counts = in_groups(_told(blocks.withColumn("kind", F.lit(0)).mapInArrow(lean(ask_counts), _ASKED), parts, True), "counts")
     nothing = F.lit(bytearray(_packed(np.zeros(0, np.int64))))  # for answers that a visit doesn't use
-    contexts = materialize(_told(_visited(blocks, parts, [counts.withColumn("n", nothing)]).mapInArrow(lean(ask_contexts), _ASKED), parts, False), "contexts")
+    contexts = in_groups(_told(_visited(blocks, parts, [counts.withColumn("n", nothing)]).mapInArrow(lean(ask_contexts), _ASKED), parts, False), "contexts")
     return _visited(blocks, parts, [counts.withColumn("more", nothing), contexts]).mapInArrow(lean(run), schema)
